@@ -23,41 +23,52 @@ def names(columns: str | Sequence[str] | None) -> list[str]:
     return [columns] if isinstance(columns, str) else list(columns)
 
 
-def same_keys(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> Column:
-    """Null-safe equality on ``keys``; Spark still plans it as an equi-join."""
-    condition = F.lit(True)
-    for key in keys:
-        condition = condition & left[key].eqNullSafe(right[key])
-    return condition
-
-
-def join_keyed(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
-    """Join that matches null keys too and keeps one copy of the key columns."""
+def join_keyed(
+    left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner", hint: str | None = None
+) -> DataFrame:
+    """Equi-join that matches null keys too and keeps one copy of the key columns."""
     right = right.select(*[F.col(c).alias(f"_r_{c}") if c in keys else F.col(c) for c in right.columns])
     condition = F.lit(True)
     for key in keys:
         condition = condition & left[key].eqNullSafe(right[f"_r_{key}"])
+    if hint:
+        right = right.hint(hint)
     return left.join(right, condition, how).drop(*[f"_r_{key}" for key in keys])
 
 
+# A narrow table of up to this many rows is numbered as one piece; longer ones are cut.
+ONE_PIECE_ROWS = 1 << 20
+# A narrow side of up to this many rows (tens of MB) may be broadcast to the wide side.
+BROADCAST_ROWS = 200_000
+
+
 def cut_into_pieces(
-    narrow: DataFrame,
-    sort_keys: Sequence[str],
-    block: Column | None = None,
-    partitions: int | None = None,
-) -> DataFrame:
+    narrow: DataFrame, sort_keys: Sequence[str], partitions: int | None = None
+) -> tuple[DataFrame, int]:
     """Add ``_piece``, a number that grows with the order and splits it into balanced ranges.
 
-    Range bounds are sampled, so the result is written out before anything reads it twice.
-    A caller that knows a monotone expression of the order passes it as ``block`` and saves
-    the sampling, the shuffle and the write.
+    Also returns the row count. The narrow table is written first, so what produced it (a
+    tokenizer, say) runs once although range bounds need a sampling pass; it is written again
+    after the range shuffle, because sampled bounds could change on recomputation.
     """
-    if block is not None:
-        return narrow.withColumn(PIECE, block)
     spark = narrow.sparkSession
-    count = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    narrow = materialize(narrow, "narrow")
+    rows = narrow.count()
+    if partitions is None and rows <= ONE_PIECE_ROWS:
+        return narrow.withColumn(PIECE, F.lit(0)), rows
+    count = partitions or max(int(spark.conf.get("spark.sql.shuffle.partitions")), rows // ONE_PIECE_ROWS + 1)
     ranged = narrow.repartitionByRange(count, *sort_keys).withColumn(PIECE, F.spark_partition_id())
-    return materialize(ranged, "pieces")
+    return materialize(ranged, "pieces"), rows
+
+
+def join_back(wide: DataFrame, narrow: DataFrame, keys: Sequence[str], narrow_rows: int | None) -> DataFrame:
+    """Join a table with what was computed from its keys.
+
+    A narrow side of known small size is broadcast. Beyond that both sides are shuffled and
+    merged; the hint keeps a badly estimated wide side from being broadcast instead.
+    """
+    small = narrow_rows is not None and narrow_rows <= BROADCAST_ROWS
+    return join_keyed(wide, narrow, keys, hint="broadcast" if small else "merge")
 
 
 def ordinals(
@@ -67,15 +78,17 @@ def ordinals(
     group: str | Sequence[str] | None = None,
     carry: Mapping[str, Column] | None = None,
     sums: Mapping[str, Column] | None = None,
-    block: Column | None = None,
+    piece: Column | None = None,
     partitions: int | None = None,
     name: str = "ordinal",
-) -> DataFrame:
+) -> tuple[DataFrame, int | None]:
     """Narrow frame of ``group``, ``order_by`` and ``carry`` columns plus the row number.
 
     Numbers start at 0 in each group. Every entry of ``sums`` becomes the sum of that
     expression over all earlier rows of the group. ``order_by`` must be unique per group;
-    a tie stops the job, since the order would be arbitrary.
+    a tie stops the job, since the order would be arbitrary. Also returns the row count, if
+    known. A caller whose order is a plain sequence passes ``piece``, an expression that grows
+    with it; that saves the writes and the range shuffle.
     """
     keys, groups = names(order_by), names(group)
     carry, sums = dict(carry or {}), dict(sums or {})
@@ -85,7 +98,10 @@ def ordinals(
         *[expr.alias(col) for col, expr in carry.items()],
         *[F.coalesce(expr.cast("long"), F.lit(0)).alias(f"_add_{col}") for col, expr in sums.items()],
     )
-    cut = cut_into_pieces(narrow, groups + keys, block, partitions)
+    if piece is not None:
+        cut, rows = narrow.withColumn(PIECE, piece), None
+    else:
+        cut, rows = cut_into_pieces(narrow, groups + keys, partitions)
     offsets = _piece_offsets(cut, groups, list(sums))
 
     inside = Window.partitionBy(*groups, PIECE).orderBy(*keys)
@@ -100,11 +116,12 @@ def ordinals(
     )
     placed = join_keyed(numbered, offsets, groups + [PIECE])
     kept = [c for c in narrow.columns if not c.startswith("_add_")]
-    return placed.select(
+    result = placed.select(
         *kept,
         (F.col("_at") + F.col("_before_rows")).alias(name),
         *[(F.col(f"_run_{c}") + F.col(f"_before_{c}")).alias(c) for c in sums],
     )
+    return result, rows
 
 
 def _piece_offsets(cut: DataFrame, groups: list[str], sums: list[str]) -> DataFrame:
@@ -132,10 +149,10 @@ def with_ordinal(
     """``df`` plus its row number. Wide rows are shuffled once, by the join on the order keys;
     the range shuffle and its written copy carry the keys only."""
     keys = list(dict.fromkeys(names(group) + names(order_by)))
-    numbers = ordinals(df, order_by, group=group, name=name, **options)
+    numbers, rows = ordinals(df, order_by, group=group, name=name, **options)
     if set(df.columns) == set(keys):
         return numbers
-    return join_keyed(df, numbers, keys)
+    return join_back(df, numbers, keys, rows)
 
 
 def previous_value(
@@ -151,7 +168,7 @@ def previous_value(
     Inside a piece it is an ordinary ``lag``; the first row of a piece takes the last value
     of the group's piece before it.
     """
-    cut = cut_into_pieces(df, [group, order_by], partitions=partitions)
+    cut, _ = cut_into_pieces(df, [group, order_by], partitions)
     inside = Window.partitionBy(group, PIECE).orderBy(order_by)
     last = cut.groupBy(group, PIECE).agg(F.max_by(value, order_by).alias("_last"))
     carried = last.select(
