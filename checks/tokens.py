@@ -288,7 +288,7 @@ def pad_lm_16(spark, sf):
 def embed_hash(spark, sf):
     """Vectors listed as their non-zero slots."""
     vectors = embedding.embed(spread(docs(spark, sf)), HashEncoder(64)).select(
-        "doc_id", F.posexplode("embedding").alias("slot", "value")
+        "doc_id", F.posexplode_outer("embedding").alias("slot", "value")
     )
     return vectors.filter(F.col("value") > 0).withColumn("value", F.round(F.col("value").cast("double"), 5))
 

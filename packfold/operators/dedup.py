@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from packfold.functions.tokenizers import WORD_PATTERN
+from packfold.plans.barrier import computed_once
 from packfold.plans.ordinals import join_back, ordinals
 from packfold.plans.skew import lookup_skewed
 from packfold.session import materialize
@@ -40,14 +41,25 @@ def paragraph_table(df: DataFrame, *columns: str, text: str = "text") -> DataFra
 
 
 def ngram_table(
-    paragraphs: DataFrame, *columns: str, min_size: int = NGRAM_SIZE, max_size: int = NGRAM_SIZE
+    paragraphs: DataFrame,
+    *columns: str,
+    min_size: int = NGRAM_SIZE,
+    max_size: int = NGRAM_SIZE,
+    within: str | None = None,
 ) -> DataFrame:
-    """One row per n-gram occurrence: ``columns`` and the hash ``h``."""
-    words = paragraphs.select(*columns, words_of(F.col("paragraph")).alias("words"))
-    # `words` is used twice below, which keeps the regex out of the lambda
-    count = ngram_count(F.size("words"), min_size, max_size)
-    hashes = F.transform(F.sequence(F.lit(1), count), lambda i: F.xxhash64(F.slice("words", i, max_size)))
-    return words.filter(F.size("words") >= min_size).select(*columns, F.explode(hashes).alias("h"))
+    """One row per n-gram occurrence: ``columns`` and the hash ``h``.
+
+    With ``within``, equal n-grams under different values of that column get different hashes.
+    """
+    scope = [within] if within else []
+    # words become numbers first: an n-gram then hashes a few longs instead of strings
+    numbers = F.transform(words_of(F.col("paragraph")), lambda w: F.xxhash64(w))
+    words = paragraphs.select(*dict.fromkeys([*columns, *scope]), numbers.alias("_words"))
+    count = ngram_count(F.size("_words"), min_size, max_size)
+    none = F.array().cast("array<int>")
+    starts = F.when(count > 0, F.sequence(F.lit(1), count)).otherwise(none)
+    hashes = F.transform(starts, lambda i: F.xxhash64(F.slice("_words", i, max_size), *scope))
+    return words.select(*columns, F.explode(hashes).alias("h"))
 
 
 def _document_positions(df: DataFrame, doc: str) -> DataFrame:
@@ -85,9 +97,7 @@ def seen_per_paragraph(
     paragraphs = paragraph_table(placed, doc, "_base", "_shard", text=text).select(
         doc, "para", "_shard", "paragraph", _position().alias("pos")
     )
-    grams = ngram_table(paragraphs, doc, "para", "pos", "_shard", min_size=min_size, max_size=max_size)
-    # the shard becomes part of the n-gram, so equal n-grams of two shards never meet
-    grams = grams.select(doc, "para", "pos", F.xxhash64("h", "_shard").alias("h"))
+    grams = ngram_table(paragraphs, doc, "para", "pos", min_size=min_size, max_size=max_size, within="_shard")
 
     repeated = (
         grams.groupBy("h")
@@ -113,36 +123,30 @@ def annotate(
     ``doc_ngrams``, ``doc_seen``, ``doc_ratio`` and ``doc_dup``."""
     seen = seen_per_paragraph(df, doc, text=text, shard=shard, min_size=min_size, max_size=max_size)
     per_doc = seen.groupBy(doc).agg(F.sort_array(F.collect_list(F.struct("para", "seen"))).alias("_seen"))
-    joined = df.join(per_doc, doc, "left").withColumn("_lines", F.split(F.coalesce(text, F.lit("")), "\n"))
-    joined = joined.withColumn("_counts", _dense(F.col("_seen"), F.size("_lines")))
+    joined = computed_once(df.join(per_doc, doc, "left"), _lines=F.split(F.coalesce(text, F.lit("")), "\n"))
     grams = lambda line: ngram_count(F.regexp_count(F.lower(line), F.lit(WORD_PATTERN)), min_size, max_size)
-    lines = F.zip_with(
+    ratio = lambda hit, all_: F.when(all_ > 0, hit / all_).otherwise(F.lit(0.0))
+    counted = F.zip_with(
         "_lines",
-        "_counts",
+        _dense(F.col("_seen"), F.size("_lines")),
         lambda line, n: F.struct(line.alias("text"), grams(line).cast("long").alias("ngrams"), n.alias("seen")),
     )
-    joined = joined.withColumn("_rated", lines)
-    ratio = lambda hit, all_: F.when(all_ > 0, hit / all_).otherwise(F.lit(0.0))
-    total = lambda field: F.aggregate("_rated", F.lit(0).cast("long"), lambda t, x: t + x[field])
-    return (
-        joined.withColumn(
-            "paragraphs",
-            F.transform(
-                "_rated",
-                lambda p: F.struct(
-                    p["text"].alias("text"),
-                    p["ngrams"].alias("ngrams"),
-                    p["seen"].alias("seen"),
-                    ratio(p["seen"], p["ngrams"]).alias("dup_ratio"),
-                    (ratio(p["seen"], p["ngrams"]) >= threshold).alias("is_dup"),
-                ),
-            ),
-        )
-        .withColumns({"doc_ngrams": total("ngrams"), "doc_seen": total("seen")})
-        .withColumn("doc_ratio", ratio(F.col("doc_seen"), F.col("doc_ngrams")))
-        .withColumn("doc_dup", F.col("doc_ratio") >= threshold)
-        .drop("_seen", "_lines", "_counts", "_rated")
+    joined = computed_once(joined, _counted=counted)
+    rated = F.transform(
+        "_counted",
+        lambda p: F.struct(
+            p["text"].alias("text"),
+            p["ngrams"].alias("ngrams"),
+            p["seen"].alias("seen"),
+            ratio(p["seen"], p["ngrams"]).alias("dup_ratio"),
+            (ratio(p["seen"], p["ngrams"]) >= threshold).alias("is_dup"),
+        ),
     )
+    total = lambda field: F.aggregate("_counted", F.lit(0).cast("long"), lambda t, x: t + x[field])
+    joined = computed_once(joined, paragraphs=rated, doc_ngrams=total("ngrams"), doc_seen=total("seen"))
+    return joined.withColumns(
+        {"doc_ratio": ratio(F.col("doc_seen"), F.col("doc_ngrams"))}
+    ).withColumn("doc_dup", F.col("doc_ratio") >= threshold).drop("_seen", "_lines", "_counted")
 
 
 def _dense(sparse: Column, size: Column) -> Column:
