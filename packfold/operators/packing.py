@@ -15,8 +15,8 @@ from pyspark.sql import types as T
 from packfold.functions.hashing import shuffle_key
 from packfold.plans.ordinals import join_back, names, ordinals
 
-# Rows one task walks through. A table with more rows is packed as several shards.
-SHARD_ROWS = 1 << 20
+# Rows and chunks one task plans. A longer table is packed as several consecutive shards.
+SHARD_CHUNKS = 1 << 20
 
 
 def _lengths(
@@ -25,10 +25,15 @@ def _lengths(
     group: list[str],
     ids: str,
     bos: int | None,
-    shard_rows: int,
+    seq_length: int,
+    shard_chunks: int,
     shuffle_seed: int | None,
 ) -> tuple[DataFrame, int]:
-    """Narrow table of row order, length, shuffle key and the places of ``bos`` inside the row."""
+    """Narrow table of row order, length, shuffle key and the places of ``bos`` inside the row.
+
+    A shard ends once its rows, each counted as at least one chunk, fill ``shard_chunks``
+    chunks. That bounds its rows as well as its chunks, for short and for long rows.
+    """
     carry = {"_len": F.coalesce(F.size(ids), F.lit(0))}
     if bos is not None:
         places = F.filter(F.transform(ids, lambda x, i: F.when(x == bos, i)), lambda i: i.isNotNull())
@@ -36,8 +41,10 @@ def _lengths(
         carry["_bos_at"] = F.when(F.array_contains(ids, bos), places).otherwise(none)
     if shuffle_seed is not None:
         carry["_mix"] = shuffle_key(F.concat_ws("/", *[F.col(k) for k in order_by]), shuffle_seed)
-    numbered, rows = ordinals(df, order_by, group=group, carry=carry)
-    return numbered.withColumn("shard", F.floor(F.col("ordinal") / shard_rows).cast("long")), rows
+    weight = F.greatest(F.coalesce(F.size(ids), F.lit(0)), F.lit(seq_length))
+    numbered, rows = ordinals(df, order_by, group=group, carry=carry, sums={"_weight": weight})
+    shard = F.floor(F.col("_weight") / (seq_length * shard_chunks)).cast("long")
+    return numbered.withColumn("shard", shard).drop("_weight"), rows
 
 
 def _per_shard(lengths: DataFrame, group: list[str], plan, schema: T.StructType) -> DataFrame:
@@ -76,11 +83,11 @@ def assign_buffers(
     num_sequences: int = 1024,
     group: str | Sequence[str] | None = None,
     ids: str = "input_ids",
-    shard_rows: int = SHARD_ROWS,
+    shard_chunks: int = SHARD_CHUNKS,
 ) -> DataFrame:
     """Order keys plus ``shard`` and ``buffer`` of every row."""
     keys, groups = names(order_by), names(group)
-    lengths, _ = _lengths(df, keys, groups, ids, None, shard_rows, None)
+    lengths, _ = _lengths(df, keys, groups, ids, None, seq_length, shard_chunks, None)
     schema = T.StructType(
         _fields(lengths, [*groups, *keys, "shard"])
         + [T.StructField("buffer", T.LongType()), T.StructField("token_count", T.IntegerType())]
@@ -109,7 +116,7 @@ def pack_aligned(
     group: str | Sequence[str] | None = None,
     ids: str = "input_ids",
     shuffle_seed: int | None = None,
-    shard_rows: int = SHARD_ROWS,
+    shard_chunks: int = SHARD_CHUNKS,
 ) -> DataFrame:
     """Rows of exactly ``seq_length`` tokens, each starting with ``bos``.
 
@@ -117,12 +124,13 @@ def pack_aligned(
     the concatenation of its rows, each followed by ``eos, bos``, cut from left to right; a cut
     that does not fall on ``bos`` gets one inserted. What is left at the end of a buffer is
     dropped. ``shuffle_seed`` shuffles the rows of a buffer before and its chunks after the cut.
-    The cut plan is made per shard of ``shard_rows`` consecutive rows, from lengths alone.
+    The cut plan is made per shard of up to ``shard_chunks`` chunks, from lengths alone; a shard
+    boundary ends a buffer.
     """
     if seq_length < 2:
         raise ValueError("seq_length must be at least 2")
     keys, groups = names(order_by), names(group)
-    lengths, rows = _lengths(df, keys, groups, ids, bos, shard_rows, shuffle_seed)
+    lengths, rows = _lengths(df, keys, groups, ids, bos, seq_length, shard_chunks, shuffle_seed)
     cut = T.StructType(
         [T.StructField(n, T.LongType()) for n in ("buffer", "chunk")]
         + [T.StructField(n, T.IntegerType()) for n in ("lo", "hi", "at")]

@@ -12,7 +12,7 @@ from packfold.functions.hashing import uniform
 from packfold.plans.ordinals import names, with_ordinal
 
 # Up to this many rows a heap per task and one small merge are cheaper than numbering all rows.
-TOP_ROWS = 10_000
+TOP_ROWS = 1_000
 
 ROLES = ("user", "assistant", "system")
 

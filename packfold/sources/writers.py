@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from packfold.functions.text import json_line, numbered_path, tsv_safe
 from packfold.plans.ordinals import ordinals, join_back, names
+from packfold.session import materialize
 from packfold.sources.manifests import catalogue
 
 WRITABLE = ("parquet", "json")
@@ -172,9 +173,13 @@ def export_vectors(
 ) -> None:
     """``path/vectors`` with one vector per line and ``path/metadata`` with the labels, TSV.
 
-    Both carry the same order; without ``order_by`` both come from one pass over the same rows.
+    Both list the rows in the same order: they are read from one written copy, or sorted by
+    ``order_by``.
     """
-    df = df.sort(*names(order_by)) if order_by else df
+    if order_by:
+        df = df.sort(*names(order_by))
+    elif labels:
+        df = materialize(df.select(column, *[c for c in labels if c != column]), "export")
     _save(df.select(vectors_tsv(column).alias("value")).write.mode(_mode(overwrite)).text, f"{path}/vectors")
     if labels:
         safe = df.select(*[tsv_safe(F.col(c).cast("string")).alias(c) for c in labels])
