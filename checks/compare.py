@@ -36,22 +36,35 @@ def rows_of(columns, rows) -> Counter:
     return Counter(tuple(_plain(row[i]) for i in order) for row in rows)
 
 
+# Types of both sides that hold the same values.
+SAME_TYPES = {
+    "int": "INTEGER",
+    "bigint": "BIGINT",
+    "double": "DOUBLE",
+    "string": "VARCHAR",
+    "boolean": "BOOLEAN",
+}
+
+
 def spark_rows(df) -> tuple[list[str], Counter]:
     return sorted(df.columns), rows_of(df.columns, df.collect())
 
 
-def sql_rows(con, sql: str) -> tuple[list[str], Counter]:
+def sql_rows(con, sql: str) -> tuple[dict[str, str], Counter]:
     result = con.execute(sql)
     columns = [d[0] for d in result.description]
-    return sorted(columns), rows_of(columns, result.fetchall())
+    return {d[0]: str(d[1]) for d in result.description}, rows_of(columns, result.fetchall())
 
 
 def difference(df, con, sql: str) -> str | None:
     """None when both sides agree, else a short account of the difference."""
     got_columns, got = spark_rows(df)
-    want_columns, want = sql_rows(con, sql)
-    if got_columns != want_columns:
-        return f"columns {got_columns} != {want_columns}"
+    want_types, want = sql_rows(con, sql)
+    if got_columns != sorted(want_types):
+        return f"columns {got_columns} != {sorted(want_types)}"
+    got_types = {name: SAME_TYPES.get(kind, kind) for name, kind in df.dtypes}
+    if got_types != want_types:
+        return f"types {got_types} != {want_types}"
     if got != want:
         extra, missing = got - want, want - got
         sample = lambda c: [str(r)[:400] for r in list(c)[:2]]

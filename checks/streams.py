@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from checks.registry import SQL, byte_count, query, table
-from checks.tokens import TOKENIZER, training_log
+from checks.registry import SQL, byte_count, byte_ids, query, table
+from checks.tokens import TOKENIZER, aligned_sql, training_log
 from packfold.functions import arrays
 from packfold.session import fresh_path
 from packfold.sources.readers import read_stream
@@ -30,7 +30,15 @@ def stream_tokenize(spark, sf):
     return spark.read.parquet(f"{folder}/data").select("doc_id", "token_count")
 
 
-@query("stream_pack")
+# the file, and so the micro-batch, a document arrives in
+ARRIVAL_SQL = """(doc_id - (SELECT min(doc_id) FROM documents)) * 3
+    // (SELECT max(doc_id) - min(doc_id) + 1 FROM documents)"""
+
+
+@query(
+    "stream_pack",
+    f"""SELECT grp::INTEGER AS batch, buffer, chunk, input_ids FROM ({aligned_sql(256, 64, byte_ids('text'), group=ARRIVAL_SQL)})""",
+)
 def stream_pack(spark, sf):
     documents = table(spark, sf, "documents").select("doc_id", TOKENIZER.encode("text").alias("input_ids"))
     folder = fresh_path(spark, "stream-packed")

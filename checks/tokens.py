@@ -10,7 +10,7 @@ from packfold.functions import arrays
 from packfold.functions.encoders import HashEncoder
 from packfold.functions.text import stripped
 from packfold.functions.tokenizers import ByteTokenizer, WordTokenizer
-from packfold.operators import embedding, grouping, mixing, packing, padding, selecting, tokenizing
+from packfold.operators import embedding, grouping, mapping, mixing, packing, padding, selecting, tokenizing
 from packfold.operators.perplexity import perplexity_series as series
 from packfold.plans.ordinals import with_ordinal
 from packfold.sources.readers import spread
@@ -88,6 +88,23 @@ def tokenize_truncated(spark, sf):
     return cut.select(*[arrays.as_text(c).alias(c) for c in cut.columns])
 
 
+@query(
+    "mapped_batches",
+    "SELECT doc_id, length(text)::BIGINT AS letters, upper(lang) AS tag, n_chars - length(text) AS gap FROM documents",
+)
+def mapped_batches(spark, sf):
+    """A user function over Arrow batches, then record-wise expressions on its output."""
+
+    def measure(text, lang):
+        import pyarrow.compute as pc
+
+        return {"letters": pc.cast(pc.utf8_length(text), "int64"), "tag": pc.utf8_upper(lang)}
+
+    mapped = mapping.map_batches(docs(spark, sf), measure, "letters bigint, tag string", columns=["text", "lang"])
+    gap = F.col("n_chars") - F.col("letters")
+    return mapping.map_records(mapped, gap=gap).select("doc_id", "letters", "tag", "gap")
+
+
 VOCABULARY_SQL = f"""words AS (SELECT doc_id, unnest(regexp_extract_all(text, '{WORD}')) AS word,
         unnest(range(len(regexp_extract_all(text, '{WORD}')))) AS place FROM documents),
     vocabulary AS (SELECT word, row_number() OVER (ORDER BY n DESC, word) + 3 AS id
@@ -178,11 +195,11 @@ def buffers_sql(limit: int, ids: str, group: str = "0") -> str:
         FROM filling f JOIN numbered r ON r.grp = f.grp AND r.o = f.o + 1)"""
 
 
-def aligned_sql(length: int, sequences: int, ids: str, group: str = "0") -> str:
+def aligned_sql(length: int, sequences: int, ids: str, group: str = "0", order: str = "f.o") -> str:
     """The walk over each buffer: one recursion step per chunk."""
     return f"""WITH RECURSIVE {buffers_sql(length * sequences, ids, group)},
     docs_at AS (SELECT f.grp, f.buffer, list_concat(l.ids, [2, 1]) AS stream,
-            sum(f.n + 2) OVER (PARTITION BY f.grp, f.buffer ORDER BY f.o) - (f.n + 2) AS start
+            sum(f.n + 2) OVER (PARTITION BY f.grp, f.buffer ORDER BY {order}) - (f.n + 2) AS start
         FROM filling f JOIN lens l USING (doc_id)),
     flat AS (SELECT grp, buffer, start + i AS pos, id FROM
         (SELECT grp, buffer, start, unnest(stream) AS id, unnest(range(len(stream))) AS i FROM docs_at)),
@@ -220,6 +237,19 @@ def pack_bos_default(spark, sf):
     return packed_text(packing.pack_aligned(byte_tokens(spark, sf), "doc_id", bos=1, eos=2))
 
 
+@query(
+    "pack_bos_shuffled",
+    f"""SELECT buffer, chunk, row_number() OVER (PARTITION BY buffer ORDER BY md5('42:0/' || buffer || '/' || chunk)) - 1 AS position, input_ids
+    FROM ({aligned_sql(256, 64, byte_ids('text'), order="md5('42:' || doc_id)")})""",
+)
+def pack_bos_shuffled(spark, sf):
+    """Rows shuffled inside their buffer before the cut, chunks after it."""
+    packed = packing.pack_aligned(
+        byte_tokens(spark, sf), "doc_id", bos=1, eos=2, seq_length=256, num_sequences=64, shuffle_seed=42
+    )
+    return packed.select("buffer", "chunk", "position", arrays.as_text("input_ids").alias("input_ids"))
+
+
 @query(
     "pack_by_split",
     f"""SELECT grp AS split, buffer, chunk, input_ids
