@@ -239,7 +239,7 @@ def pack_bos_default(spark, sf):
 
 @query(
     "pack_bos_shuffled",
-    f"""SELECT buffer, chunk, row_number() OVER (PARTITION BY buffer ORDER BY md5('42:0/' || buffer || '/' || chunk)) - 1 AS position, input_ids
+    f"""SELECT buffer, chunk, row_number() OVER (PARTITION BY buffer ORDER BY md5('42:' || buffer || '/' || chunk)) - 1 AS position, input_ids
     FROM ({aligned_sql(256, 64, byte_ids('text'), order="md5('42:' || doc_id)")})""",
 )
 def pack_bos_shuffled(spark, sf):
@@ -278,7 +278,7 @@ def buffer_assign(spark, sf):
 )
 def buffer_shuffle(spark, sf):
     buffers = packing.assign_buffers(byte_tokens(spark, sf), "doc_id", seq_length=1024, num_sequences=64)
-    return packing.shuffle_in_buffers(buffers, ["shard", "buffer"], "doc_id").select("doc_id", "buffer", "position")
+    return packing.shuffle_in_buffers(buffers, "buffer", "doc_id").select("doc_id", "buffer", "position")
 
 
 @query(

@@ -1,7 +1,6 @@
 """Tokenizers as column functions: ``encode(text column) -> array<int> column``.
 
-The functions handed to Spark are closures over plain values and import what they need, so
-executors do not need this package installed.
+A tokenizer supplies functions between Arrow arrays; Spark runs them batch by batch.
 """
 
 from __future__ import annotations

@@ -72,7 +72,7 @@ def _document_positions(df: DataFrame, doc: str) -> DataFrame:
         low, high = df.agg(F.min(doc), F.max(doc)).first()
         if low is None or (high - low).bit_length() + PARAGRAPH_BITS <= 62:
             return df.withColumn("_base", F.shiftleft(F.col(doc).cast("long") - F.lit(low or 0), PARAGRAPH_BITS))
-    numbered, rows = ordinals(df, doc)
+    numbered, rows, _ = ordinals(df, doc)
     base = F.shiftleft("ordinal", PARAGRAPH_BITS).alias("_base")
     return join_back(df, numbered.select(doc, base), [doc], rows)
 

@@ -56,13 +56,13 @@ def interleave(
         raise ValueError("probabilities must add up to 1")
     keys = names(order_by)
     rows = concatenate(tables, SOURCE)
-    numbered, total = ordinals(rows, keys, group=SOURCE)
+    numbered, total, _ = ordinals(rows, keys, group=SOURCE)
     sizes = dict.fromkeys(range(len(tables)), 0)
     # one row per source table
     sizes.update({r[SOURCE]: r["rows"] for r in numbered.groupBy(SOURCE).agg(F.count("*").alias("rows")).collect()})
 
     size_of = F.element_at(F.create_map(*[F.lit(x) for pair in sizes.items() for x in pair]), F.col(SOURCE))
-    picks, _ = ordinals(
+    picks, _, _ = ordinals(
         draws(rows.sparkSession, total, probabilities, seed),
         "draw",
         group=SOURCE,
@@ -80,7 +80,7 @@ def assign_shards(
 ) -> DataFrame:
     """Contiguous shards whose sizes differ by at most one, longer shards first."""
     keys = names(order_by)
-    numbered, total = ordinals(df, keys)
+    numbered, total, _ = ordinals(df, keys)
     size, longer = divmod(total, shards)
     edge = longer * (size + 1)
     row = F.col("ordinal")

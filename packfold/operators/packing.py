@@ -1,7 +1,7 @@
 """Cutting token arrays into training rows of one length.
 
 Both packers move tokens twice: once to meet their cut plan, once to meet the other parts of
-their chunk. Everything sequential happens on row lengths only.
+their chunk. Everything sequential happens on row lengths only, in tasks of bounded size.
 """
 
 from __future__ import annotations
@@ -13,66 +13,46 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from packfold.functions.hashing import shuffle_key
+from packfold.operators.buffers import number_buffers
 from packfold.plans.ordinals import join_back, names, ordinals
 
-# Rows and chunks one task plans. A longer table is packed as several consecutive shards.
+# Rows and chunks one task looks at while it numbers buffers.
 SHARD_CHUNKS = 1 << 20
+# Buffers one task cuts.
+BUFFERS_PER_TASK = 64
 
 
-def _lengths(
+def _buffered(
     df: DataFrame,
     order_by: list[str],
     group: list[str],
     ids: str,
-    bos: int | None,
     seq_length: int,
-    shard_chunks: int,
-    shuffle_seed: int | None,
+    num_sequences: int,
+    bos: int | None = None,
+    shuffle_seed: int | None = None,
+    shard_chunks: int = SHARD_CHUNKS,
 ) -> tuple[DataFrame, int]:
-    """Narrow table of row order, length, shuffle key and the places of ``bos`` inside the row.
+    """Narrow table of row order, length, buffer, shuffle key and the places of ``bos``.
 
     A shard ends once its rows, each counted as at least one chunk, fill ``shard_chunks``
     chunks. That bounds its rows as well as its chunks, for short and for long rows.
     """
-    carry = {"_len": F.coalesce(F.size(ids), F.lit(0))}
+    size = F.coalesce(F.size(ids), F.lit(0))
+    carry = {"_len": size}
     if bos is not None:
         places = F.filter(F.transform(ids, lambda x, i: F.when(x == bos, i)), lambda i: i.isNotNull())
         none = F.array().cast("array<int>")
         carry["_bos_at"] = F.when(F.array_contains(ids, bos), places).otherwise(none)
     if shuffle_seed is not None:
         carry["_mix"] = shuffle_key(F.concat_ws("/", *[F.col(k) for k in order_by]), shuffle_seed)
-    weight = F.greatest(F.coalesce(F.size(ids), F.lit(0)), F.lit(seq_length))
-    numbered, rows = ordinals(df, order_by, group=group, carry=carry, sums={"_weight": weight})
-    shard = F.floor(F.col("_weight") / (seq_length * shard_chunks)).cast("long")
-    return numbered.withColumn("shard", shard).drop("_weight"), rows
-
-
-def _per_shard(lengths: DataFrame, group: list[str], plan, schema: T.StructType) -> DataFrame:
-    return lengths.groupBy(*group, "shard").applyInArrow(plan, schema)
-
-
-def _fields(df: DataFrame, columns: Sequence[str]) -> list[T.StructField]:
-    return [df.schema[c] for c in columns]
-
-
-def _buffer_numbers():
-    """Greedy buffers: rows are taken until their lengths reach the limit; the row that
-    crosses it still belongs to the buffer."""
-
-    def number(lengths, limit):
-        import numpy as np
-
-        ends = np.cumsum(lengths)
-        buffers = np.zeros(len(lengths), np.int64)
-        start, buffer = 0, 0
-        while start < len(lengths):
-            filled = ends[start - 1] if start else 0
-            stop = min(int(np.searchsorted(ends, filled + limit, side="left")) + 1, len(lengths))
-            buffers[start:stop] = buffer
-            start, buffer = stop, buffer + 1
-        return buffers
-
-    return number
+    sums = {"_weight": F.greatest(size, F.lit(seq_length))}
+    numbered, rows, totals = ordinals(df, order_by, group=group, carry=carry, sums=sums)
+    shard_weight = seq_length * shard_chunks
+    shard = F.floor(F.col("_weight") / shard_weight).cast("long")
+    lengths = numbered.withColumn("shard", shard).drop("_weight")
+    shards = totals["_weight"] // shard_weight + 1
+    return number_buffers(lengths, group, seq_length * num_sequences, shards), rows
 
 
 def assign_buffers(
@@ -83,26 +63,12 @@ def assign_buffers(
     num_sequences: int = 1024,
     group: str | Sequence[str] | None = None,
     ids: str = "input_ids",
-    shard_chunks: int = SHARD_CHUNKS,
+    **options,
 ) -> DataFrame:
-    """Order keys plus ``shard`` and ``buffer`` of every row."""
+    """Order keys of every row with its ``buffer`` and ``token_count``."""
     keys, groups = names(order_by), names(group)
-    lengths, _ = _lengths(df, keys, groups, ids, None, seq_length, shard_chunks, None)
-    schema = T.StructType(
-        _fields(lengths, [*groups, *keys, "shard"])
-        + [T.StructField("buffer", T.LongType()), T.StructField("token_count", T.IntegerType())]
-    )
-    number, limit, kept = _buffer_numbers(), seq_length * num_sequences, [*groups, *keys, "shard"]
-
-    def plan(table):
-        import pyarrow as pa
-
-        table = table.sort_by("ordinal")
-        buffers = number(table["_len"].to_numpy(), limit)
-        out = table.select(kept).append_column("buffer", pa.array(buffers))
-        return out.append_column("token_count", table["_len"])
-
-    return _per_shard(lengths, groups, plan, schema)
+    buffered, _ = _buffered(df, keys, groups, ids, seq_length, num_sequences, **options)
+    return buffered.select(*dict.fromkeys(groups + keys), "buffer", F.col("_len").alias("token_count"))
 
 
 def pack_aligned(
@@ -116,7 +82,7 @@ def pack_aligned(
     group: str | Sequence[str] | None = None,
     ids: str = "input_ids",
     shuffle_seed: int | None = None,
-    shard_chunks: int = SHARD_CHUNKS,
+    **options,
 ) -> DataFrame:
     """Rows of exactly ``seq_length`` tokens, each starting with ``bos``.
 
@@ -124,36 +90,38 @@ def pack_aligned(
     the concatenation of its rows, each followed by ``eos, bos``, cut from left to right; a cut
     that does not fall on ``bos`` gets one inserted. What is left at the end of a buffer is
     dropped. ``shuffle_seed`` shuffles the rows of a buffer before and its chunks after the cut.
-    The cut plan is made per shard of up to ``shard_chunks`` chunks, from lengths alone; a shard
-    boundary ends a buffer.
+    The cuts are planned from lengths alone, for BUFFERS_PER_TASK neighbouring buffers at a time.
     """
     if seq_length < 2:
         raise ValueError("seq_length must be at least 2")
     keys, groups = names(order_by), names(group)
-    lengths, rows = _lengths(df, keys, groups, ids, bos, seq_length, shard_chunks, shuffle_seed)
+    buffered, rows = _buffered(
+        df, keys, groups, ids, seq_length, num_sequences, bos=bos, shuffle_seed=shuffle_seed, **options
+    )
+    row_keys = list(dict.fromkeys(groups + keys))
     cut = T.StructType(
         [T.StructField(n, T.LongType()) for n in ("buffer", "chunk")]
         + [T.StructField(n, T.IntegerType()) for n in ("lo", "hi", "at")]
     )
-    schema = T.StructType(_fields(lengths, [*groups, *keys, "shard"]) + [T.StructField("_cuts", T.ArrayType(cut))])
-    plan = _aligned_plan(seq_length, seq_length * num_sequences, [*groups, *keys, "shard"], shuffle_seed is not None)
-    cuts = _per_shard(lengths, groups, plan, schema)
+    schema = T.StructType([buffered.schema[k] for k in row_keys] + [T.StructField("_cuts", T.ArrayType(cut))])
+    plan = _aligned_plan(seq_length, row_keys, shuffle_seed is not None)
+    task = F.floor(F.col("buffer") / BUFFERS_PER_TASK).alias("_task")
+    cuts = buffered.groupBy(*groups, task).applyInArrow(plan, schema)
 
-    row_keys = list(dict.fromkeys(groups + keys))
     stream = df.select(
         *row_keys,
         F.concat(F.coalesce(F.col(ids), F.array().cast("array<int>")), F.array(F.lit(eos), F.lit(bos))).alias("_stream"),
     )
     pieces = join_back(stream, cuts, row_keys, rows).select(
-        *groups, "shard", F.explode("_cuts").alias("_cut"), "_stream"
+        *groups, F.explode("_cuts").alias("_cut"), "_stream"
     )
     part = F.struct(
         F.col("_cut.at").alias("at"),
         F.slice("_stream", F.col("_cut.lo") + 1, F.col("_cut.hi") - F.col("_cut.lo")).alias("ids"),
     )
-    chunk_key = [*groups, "shard", "buffer", "chunk"]
+    chunk_key = [*groups, "buffer", "chunk"]
     packed = (
-        pieces.select(*groups, "shard", "_cut.buffer", "_cut.chunk", part.alias("_part"))
+        pieces.select(*groups, "_cut.buffer", "_cut.chunk", part.alias("_part"))
         .groupBy(*chunk_key)
         .agg(F.sort_array(F.collect_list("_part")).alias("_parts"))
     )
@@ -164,14 +132,14 @@ def pack_aligned(
     )
     if shuffle_seed is not None:
         # chunks of a buffer: at most num_sequences and the length of one row
-        mix = shuffle_key(F.concat_ws("/", "shard", "buffer", "chunk"), shuffle_seed)
-        place = Window.partitionBy(*groups, "shard", "buffer").orderBy(mix)
+        mix = shuffle_key(F.concat_ws("/", "buffer", "chunk"), shuffle_seed)
+        place = Window.partitionBy(*groups, "buffer").orderBy(mix)
         packed = packed.withColumn("position", F.row_number().over(place).cast("long") - 1)
     return packed.withColumn("labels", F.col("input_ids"))
 
 
-def _aligned_plan(seq_length: int, limit: int, kept: list[str], shuffled: bool):
-    number = _buffer_numbers()
+def _aligned_plan(seq_length: int, kept: list[str], shuffled: bool):
+    """The function that turns the rows of some buffers into cuts of those rows."""
 
     def chunk_spans(size, bos_at):
         """Start offsets of the chunks of one buffer and whether each starts on a bos."""
@@ -211,12 +179,8 @@ def _aligned_plan(seq_length: int, limit: int, kept: list[str], shuffled: bool):
         import numpy as np
         import pyarrow as pa
 
-        table = table.sort_by("ordinal")
-        buffers = number(table["_len"].to_numpy(), limit)
-        if shuffled:
-            table = table.append_column("_buffer", pa.array(buffers)).sort_by(
-                [("_buffer", "ascending"), ("_mix", "ascending")]
-            )
+        table = table.sort_by([("buffer", "ascending"), ("_mix" if shuffled else "ordinal", "ascending")])
+        buffers = table["buffer"].to_numpy()
         lens = table["_len"].to_numpy().astype(np.int64)
         has_bos = np.diff(table["_bos_at"].combine_chunks().offsets.to_numpy()) > 0
         found = []
@@ -262,7 +226,7 @@ def pack_fixed(
     keys, groups = names(order_by), names(group)
     row_keys = list(dict.fromkeys(groups + keys))
     size = F.coalesce(F.size(ids), F.lit(0)).cast("long")
-    starts, rows = ordinals(df, keys, group=groups, carry={"_len": size}, sums={"_start": size})
+    starts, rows, _ = ordinals(df, keys, group=groups, carry={"_len": size}, sums={"_start": size})
     starts = starts.filter(F.col("_len") > 0).drop("ordinal", "_len")
 
     first = F.floor(F.col("_start") / seq_length)

@@ -25,7 +25,7 @@ def assign_batches(
 
 def _batches(df, keys, batch_size, ids, name):
     carry = {"_len": token_count(ids)} if ids else {}
-    numbered, rows = ordinals(df, keys, carry=carry)
+    numbered, rows, _ = ordinals(df, keys, carry=carry)
     numbered = numbered.withColumn(name, F.floor(F.col("ordinal") / batch_size).cast("long")).drop("ordinal")
     if ids:
         batch = Window.partitionBy(name)

@@ -8,6 +8,7 @@ the rows is cut into as many pieces as its size asks for, so no task sees a whol
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -42,6 +43,14 @@ ONE_PIECE_ROWS = 1 << 20
 BROADCAST_ROWS = 200_000
 
 
+class Numbered(NamedTuple):
+    """A numbered narrow table, its row count and the totals of its prefix sums, where known."""
+
+    frame: DataFrame
+    rows: int | None
+    totals: dict[str, int]
+
+
 def cut_into_pieces(
     narrow: DataFrame, sort_keys: Sequence[str], partitions: int | None = None
 ) -> tuple[DataFrame, int]:
@@ -81,14 +90,14 @@ def ordinals(
     piece: Column | None = None,
     partitions: int | None = None,
     name: str = "ordinal",
-) -> tuple[DataFrame, int | None]:
+) -> Numbered:
     """Narrow frame of ``group``, ``order_by`` and ``carry`` columns plus the row number.
 
     Numbers start at 0 in each group. Every entry of ``sums`` becomes the sum of that
     expression over all earlier rows of the group. ``order_by`` must be unique per group;
-    a tie stops the job, since the order would be arbitrary. Also returns the row count, if
-    known. A caller whose order is a plain sequence passes ``piece``, an expression that grows
-    with it; that saves the writes and the range shuffle.
+    a tie stops the job, since the order would be arbitrary. A caller whose order is a plain
+    sequence passes ``piece``, an expression that grows with it; that saves the writes and the
+    range shuffle.
     """
     keys, groups = names(order_by), names(group)
     carry, sums = dict(carry or {}), dict(sums or {})
@@ -99,9 +108,10 @@ def ordinals(
         *[F.coalesce(expr.cast("long"), F.lit(0)).alias(f"_add_{col}") for col, expr in sums.items()],
     )
     if piece is not None:
-        cut, rows = narrow.withColumn(PIECE, piece), None
+        cut, rows, totals = narrow.withColumn(PIECE, piece), None, {}
     else:
         cut, rows = cut_into_pieces(narrow, groups + keys, partitions)
+        totals = _totals(cut, list(sums))
     offsets = _piece_offsets(cut, groups, list(sums))
 
     inside = Window.partitionBy(*groups, PIECE).orderBy(*keys)
@@ -121,7 +131,14 @@ def ordinals(
         (F.col("_at") + F.col("_before_rows")).alias(name),
         *[(F.col(f"_run_{c}") + F.col(f"_before_{c}")).alias(c) for c in sums],
     )
-    return result, rows
+    return Numbered(result, rows, totals)
+
+
+def _totals(cut: DataFrame, sums: list[str]) -> dict[str, int]:
+    if not sums:
+        return {}
+    row = cut.agg(*[F.sum(f"_add_{c}").alias(c) for c in sums]).first()
+    return {c: row[c] or 0 for c in sums}
 
 
 def _piece_offsets(cut: DataFrame, groups: list[str], sums: list[str]) -> DataFrame:
@@ -149,7 +166,7 @@ def with_ordinal(
     """``df`` plus its row number. Wide rows are shuffled once, by the join on the order keys;
     the range shuffle and its written copy carry the keys only."""
     keys = list(dict.fromkeys(names(group) + names(order_by)))
-    numbers, rows = ordinals(df, order_by, group=group, name=name, **options)
+    numbers, rows, _ = ordinals(df, order_by, group=group, name=name, **options)
     if set(df.columns) == set(keys):
         return numbers
     return join_back(df, numbers, keys, rows)

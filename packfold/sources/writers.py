@@ -99,7 +99,7 @@ def plan_files(df: DataFrame, order_by: str | Sequence[str], numbers, pattern: s
     if "{i}" not in pattern:
         raise ValueError(f"pattern {pattern} has no {{i}}: all rows would share one file")
     keys = names(order_by)
-    numbered, rows = ordinals(df, keys)
+    numbered, rows, _ = ordinals(df, keys)
     planned = numbered.select(*keys, file_number(F.col("ordinal"), numbers).alias("shard_id")).filter(
         F.col("shard_id").isNotNull()
     )

@@ -15,19 +15,19 @@ from packfold.plans.ordinals import ordinals, previous_value, with_ordinal
 def test_ordinals_and_prefix_sums(spark, partitions):
     keys = random.Random(1).sample(range(1000), 300)
     df = spark.createDataFrame([(k, k % 5) for k in keys], "k int, v int").repartition(4)
-    frame, rows = ordinals(df, "k", sums={"before": F.col("v")}, partitions=partitions)
+    frame, rows, totals = ordinals(df, "k", sums={"before": F.col("v")}, partitions=partitions)
     total, want = 0, []
     for i, k in enumerate(sorted(keys)):
         want.append((k, i, total))
         total += k % 5
-    assert rows == 300
+    assert rows == 300 and totals == {"before": total}
     assert [tuple(r) for r in frame.orderBy("k").select("k", "ordinal", "before").collect()] == want
 
 
 def test_ordinals_per_group_with_null_group(spark):
     rows = [("a" if i % 3 else None, i) for i in range(40)]
     df = spark.createDataFrame(rows, "g string, k int")
-    frame, _ = ordinals(df, "k", group="g", partitions=6)
+    frame, _, _ = ordinals(df, "k", group="g", partitions=6)
     for name in ("a", None):
         picked = frame.filter(F.col("g").eqNullSafe(F.lit(name))).orderBy("k").collect()
         assert [r.ordinal for r in picked] == list(range(len([1 for g, _ in rows if g == name])))

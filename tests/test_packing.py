@@ -2,9 +2,11 @@
 
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from packfold.operators import buffers
 from packfold.operators.packing import assign_buffers, pack_aligned, pack_fixed
 from packfold.plans import ordinals as plans
 
@@ -41,7 +43,7 @@ def walk(docs, length, limit):
 
 
 def packed_rows(df):
-    return [r.input_ids for r in df.orderBy("shard", "buffer", "chunk").collect()]
+    return [r.input_ids for r in df.orderBy("buffer", "chunk").collect()]
 
 
 def test_known_sequence(spark):
@@ -68,15 +70,60 @@ def test_aligned_equals_walk(spark, seed, length, sequences, bos_share):
     assert got == walk(docs, length, length * sequences)
 
 
-def test_aligned_by_shard_equals_walk_per_shard(spark):
-    docs = random_docs(9, 50, 30, 0.1)
-    packed = pack_aligned(frame(spark, docs), "doc", bos=BOS, eos=EOS, seq_length=8, num_sequences=2, shard_chunks=7)
-    shards, weight = {}, 0
-    for doc in docs:
-        shards.setdefault(weight // 56, []).append(doc)
-        weight += max(len(doc), 8)
-    assert len(shards) > 5 and max(len(s) for s in shards.values()) <= 7
-    assert packed_rows(packed) == [c for shard in shards.values() for c in walk(shard, 8, 16)]
+@pytest.mark.parametrize("seed,sequences,entries", [(9, 2, 10**6), (10, 9, 0), (12, 40, 0), (13, 3, 0)])
+def test_buffers_run_across_shards(spark, monkeypatch, seed, sequences, entries):
+    """Shards far smaller than a buffer, or a little larger; maps walked at once or composed in
+    blocks of two first."""
+    monkeypatch.setattr(buffers, "BLOCK", 2)
+    monkeypatch.setattr(buffers, "TOP_ENTRIES", entries)
+    docs = random_docs(seed, 70, 30, 0.1)
+    packed = pack_aligned(
+        frame(spark, docs), "doc", bos=BOS, eos=EOS, seq_length=8, num_sequences=sequences, shard_chunks=7
+    )
+    assert packed_rows(packed) == walk(docs, 8, 8 * sequences)
+
+
+def test_buffers_across_shards_by_group(spark, monkeypatch):
+    monkeypatch.setattr(buffers, "BLOCK", 2)
+    monkeypatch.setattr(buffers, "TOP_ENTRIES", 0)
+    docs = random_docs(21, 90, 12, 0.1)
+    rows = [("hot" if i % 4 else None, i, d) for i, d in enumerate(docs)]
+    df = spark.createDataFrame(rows, "g string, doc int, input_ids array<int>")
+    packed = pack_aligned(df, "doc", bos=BOS, eos=EOS, seq_length=4, num_sequences=5, shard_chunks=5, group="g")
+    for name in ("hot", None):
+        want = walk([d for g, _, d in rows if g == name], 4, 20)
+        assert packed_rows(packed.filter(F.col("g").eqNullSafe(F.lit(name)))) == want
+
+
+@pytest.mark.parametrize("seed", range(40))
+def test_maps_of_shards_compose(seed):
+    """Any cut of a table into shards gives the state a plain walk reaches at each shard."""
+    rng = random.Random(seed)
+    limit = rng.randint(1, 40)
+    lens = [rng.choice([0, 0, 1, 2, rng.randint(0, 60)]) for _ in range(rng.randint(1, 60))]
+    shards, i = [], 0
+    while i < len(lens):
+        j = i + rng.randint(1, 9)
+        shards.append(lens[i:j])
+        i = j
+    build, look_up, compose = buffers._map_tools(limit)
+    maps = [build(np.array(s, np.int64)) for s in shards]
+    whole = maps[0]
+    for found in maps[1:]:
+        whole = compose(whole, found)
+    for start in range(1, limit + 1):
+        need, done = start, 0
+        for n in lens:
+            need -= n
+            if need <= 0:
+                need, done = limit, done + 1
+        at, filled = start, 0
+        for found in maps:
+            after, count = look_up(found, np.array([at]))
+            at, filled = int(after[0]), filled + int(count[0])
+        assert (at, filled) == (need, done)
+        after, count = look_up(whole, np.array([start]))
+        assert (int(after[0]), int(count[0])) == (need, done)
 
 
 def test_aligned_does_not_depend_on_partitions(spark, monkeypatch):
