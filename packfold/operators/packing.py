@@ -33,7 +33,8 @@ def _buffered(
     shuffle_seed: int | None = None,
     shard_chunks: int = SHARD_CHUNKS,
 ) -> tuple[DataFrame, int]:
-    """Narrow table of row order, length, buffer, shuffle key and the places of ``bos``.
+    """Narrow table of row order, length, buffer, shuffle key and the places of ``bos``; and a
+    bound on the number of cuts.
 
     A shard ends once its rows, each counted as at least one chunk, fill ``shard_chunks``
     chunks. That bounds its rows as well as its chunks, for short and for long rows.
@@ -52,7 +53,9 @@ def _buffered(
     shard = F.floor(F.col("_weight") / shard_weight).cast("long")
     lengths = numbered.withColumn("shard", shard).drop("_weight")
     shards = totals["_weight"] // shard_weight + 1
-    return number_buffers(lengths, group, seq_length * num_sequences, shards), rows
+    # a row has at most one cut more than the chunks it could fill
+    cuts = rows + totals["_weight"] // max(seq_length - 1, 1)
+    return number_buffers(lengths, group, seq_length * num_sequences, shards), cuts
 
 
 def assign_buffers(
@@ -95,7 +98,7 @@ def pack_aligned(
     if seq_length < 2:
         raise ValueError("seq_length must be at least 2")
     keys, groups = names(order_by), names(group)
-    buffered, rows = _buffered(
+    buffered, most_cuts = _buffered(
         df, keys, groups, ids, seq_length, num_sequences, bos=bos, shuffle_seed=shuffle_seed, **options
     )
     row_keys = list(dict.fromkeys(groups + keys))
@@ -112,7 +115,7 @@ def pack_aligned(
         *row_keys,
         F.concat(F.coalesce(F.col(ids), F.array().cast("array<int>")), F.array(F.lit(eos), F.lit(bos))).alias("_stream"),
     )
-    pieces = join_back(stream, cuts, row_keys, rows).select(
+    pieces = join_back(stream, cuts, row_keys, most_cuts).select(
         *groups, F.explode("_cuts").alias("_cut"), "_stream"
     )
     part = F.struct(

@@ -53,10 +53,10 @@ class Numbered(NamedTuple):
 
 def cut_into_pieces(
     narrow: DataFrame, sort_keys: Sequence[str], partitions: int | None = None
-) -> tuple[DataFrame, int]:
+) -> tuple[DataFrame, int, bool]:
     """Add ``_piece``, a number that grows with the order and splits it into balanced ranges.
 
-    Also returns the row count. The narrow table is written first, so what produced it (a
+    Also returns the row count and whether there is more than one piece. The narrow table is written first, so what produced it (a
     tokenizer, say) runs once although range bounds need a sampling pass; it is written again
     after the range shuffle, because sampled bounds could change on recomputation.
     """
@@ -64,10 +64,10 @@ def cut_into_pieces(
     narrow = materialize(narrow, "narrow")
     rows = narrow.count()
     if partitions is None and rows <= ONE_PIECE_ROWS:
-        return narrow.withColumn(PIECE, F.lit(0)), rows
+        return narrow.withColumn(PIECE, F.lit(0)), rows, False
     count = partitions or max(int(spark.conf.get("spark.sql.shuffle.partitions")), rows // ONE_PIECE_ROWS + 1)
     ranged = narrow.repartitionByRange(count, *sort_keys).withColumn(PIECE, F.spark_partition_id())
-    return materialize(ranged, "pieces"), rows
+    return materialize(ranged, "pieces"), rows, True
 
 
 def join_back(wide: DataFrame, narrow: DataFrame, keys: Sequence[str], narrow_rows: int | None) -> DataFrame:
@@ -108,11 +108,10 @@ def ordinals(
         *[F.coalesce(expr.cast("long"), F.lit(0)).alias(f"_add_{col}") for col, expr in sums.items()],
     )
     if piece is not None:
-        cut, rows, totals = narrow.withColumn(PIECE, piece), None, {}
+        cut, rows, many, totals = narrow.withColumn(PIECE, piece), None, True, {}
     else:
-        cut, rows = cut_into_pieces(narrow, groups + keys, partitions)
+        cut, rows, many = cut_into_pieces(narrow, groups + keys, partitions)
         totals = _totals(cut, list(sums))
-    offsets = _piece_offsets(cut, groups, list(sums))
 
     inside = Window.partitionBy(*groups, PIECE).orderBy(*keys)
     earlier = inside.rowsBetween(Window.unboundedPreceding, -1)
@@ -124,7 +123,10 @@ def ordinals(
         .alias("_at"),
         *[F.coalesce(F.sum(f"_add_{c}").over(earlier), F.lit(0)).alias(f"_run_{c}") for c in sums],
     )
-    placed = join_keyed(numbered, offsets, groups + [PIECE])
+    if many:
+        placed = join_keyed(numbered, _piece_offsets(cut, groups, list(sums)), groups + [PIECE])
+    else:
+        placed = numbered.withColumns({f"_before_{c}": F.lit(0).cast("long") for c in ["rows", *sums]})
     kept = [c for c in narrow.columns if not c.startswith("_add_")]
     result = placed.select(
         *kept,
@@ -185,8 +187,10 @@ def previous_value(
     Inside a piece it is an ordinary ``lag``; the first row of a piece takes the last value
     of the group's piece before it.
     """
-    cut, _ = cut_into_pieces(df, [group, order_by], partitions)
+    cut, _, many = cut_into_pieces(df, [group, order_by], partitions)
     inside = Window.partitionBy(group, PIECE).orderBy(order_by)
+    if not many:
+        return cut.select(*df.columns, F.lag(value).over(inside).alias(name))
     last = cut.groupBy(group, PIECE).agg(F.max_by(value, order_by).alias("_last"))
     carried = last.select(
         group, PIECE, F.lag("_last").over(Window.partitionBy(group).orderBy(PIECE)).alias("_carried")

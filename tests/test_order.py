@@ -70,6 +70,6 @@ def test_skewed_lookup_finds_hot_and_cold_keys(spark, monkeypatch):
 
 def test_pieces_are_balanced_when_one_group_is_hot(spark):
     df = spark.range(4000).select(F.when(F.col("id") < 3500, "hot").otherwise("cold").alias("g"), F.col("id").alias("k"))
-    cut, _ = plans.cut_into_pieces(df, ["g", "k"], partitions=8)
+    cut, _, _ = plans.cut_into_pieces(df, ["g", "k"], partitions=8)
     sizes = [r["count"] for r in cut.groupBy(plans.PIECE).count().collect()]
     assert max(sizes) < 1200 and sum(sizes) == 4000
