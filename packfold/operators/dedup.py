@@ -120,7 +120,7 @@ def annotate(
     max_size: int = NGRAM_SIZE,
 ) -> DataFrame:
     """All rows, plus ``paragraphs`` (text, ngrams, seen, dup_ratio, is_dup per line),
-    ``doc_ngrams``, ``doc_seen``, ``doc_ratio`` and ``doc_dup``."""
+    ``doc_ngrams``, ``doc_seen``, ``doc_ratio`` and ``doc_dup``. ``doc`` must be unique."""
     seen = seen_per_paragraph(df, doc, text=text, shard=shard, min_size=min_size, max_size=max_size)
     per_doc = seen.groupBy(doc).agg(F.sort_array(F.collect_list(F.struct("para", "seen"))).alias("_seen"))
     joined = computed_once(df.join(per_doc, doc, "left"), _lines=F.split(F.coalesce(text, F.lit("")), "\n"))
@@ -173,7 +173,8 @@ def remove_seen(df: DataFrame, doc: str = "doc_id", *, mode: str = "both", text:
         marked = marked.filter(~F.col("doc_dup"))
     if mode in ("paragraph", "both"):
         kept = F.filter("paragraphs", lambda p: ~p["is_dup"])
-        marked = marked.withColumn(text, F.array_join(kept["text"], "\n"))
+        left = F.array_join(kept["text"], "\n")
+        marked = marked.withColumn(text, F.when(F.col(text).isNotNull(), left))
     return marked.select(*df.columns)
 
 

@@ -21,7 +21,7 @@ def _save(writer, path: str) -> str:
         writer(path)
     except AnalysisException as error:
         if "PATH_ALREADY_EXISTS" in str(error):
-            raise FileExistsError(f"{path} already exists. set overwrite=True to overwrite.") from error
+            raise FileExistsError(f"{path} exists; pass overwrite=True to replace it") from error
         raise
     return path
 
@@ -74,21 +74,24 @@ def catalogue_to_manifest(spark, root: str, path: str, *, overwrite: bool = Fals
     return write_manifest(catalogue(spark, root, **options), path, overwrite=overwrite)
 
 
-def file_number(ordinal: Column, numbers: int | tuple | Iterable[int]) -> Column:
-    """Number of the file for row ``ordinal``: null past the end of ``numbers``."""
-    if isinstance(numbers, str):
-        raise TypeError("file_numbers cannot be string")
-    if isinstance(numbers, int):
-        numbers = range(numbers)
-    elif isinstance(numbers, tuple):
-        numbers = range(*numbers)
-    elif not isinstance(numbers, Iterable):
-        raise TypeError("file_numbers must be int or tuple")
-    if isinstance(numbers, range):
-        value = F.lit(numbers.start) + ordinal * F.lit(numbers.step)
-        return F.when(ordinal < len(numbers), value.cast("long"))
-    listed = F.array(*[F.lit(int(n)) for n in numbers]).cast("array<bigint>")
-    return F.when(ordinal < F.size(listed), F.get(listed, ordinal.cast("int")))
+def file_number(ordinal: Column, numbers: int | tuple[int, int] | Iterable[int]) -> Column:
+    """Number of the file for row ``ordinal``: null past the end of ``numbers``.
+
+    A count stands for 0, 1, ...; a pair for start and stop; anything else is taken as listed.
+    """
+    match numbers:
+        case int():
+            span = range(numbers)
+        case (int(start), int(stop)) if isinstance(numbers, tuple):
+            span = range(start, stop)
+        case str() | bytes():
+            raise TypeError(f"file numbers cannot be text: {numbers!r}")
+        case _:
+            span = numbers if isinstance(numbers, range) else [int(n) for n in numbers]
+    if isinstance(span, range):
+        return F.when(ordinal < len(span), (span.start + ordinal * span.step).cast("long"))
+    listed = F.array(*[F.lit(n) for n in span]).cast("array<bigint>")
+    return F.when(ordinal < len(span), F.get(listed, ordinal.cast("int")))
 
 
 def plan_files(df: DataFrame, order_by: str | Sequence[str], numbers, pattern: str) -> DataFrame:

@@ -76,7 +76,7 @@ def test_buffers_run_across_shards(spark, monkeypatch, seed, sequences, entries)
     blocks of two first."""
     monkeypatch.setattr(buffers, "BLOCK", 2)
     monkeypatch.setattr(buffers, "TOP_ENTRIES", entries)
-    docs = random_docs(seed, 70, 30, 0.1)
+    docs = random_docs(seed, 45, 30, 0.1)
     packed = pack_aligned(
         frame(spark, docs), "doc", bos=BOS, eos=EOS, seq_length=8, num_sequences=sequences, shard_chunks=7
     )
@@ -86,7 +86,7 @@ def test_buffers_run_across_shards(spark, monkeypatch, seed, sequences, entries)
 def test_buffers_across_shards_by_group(spark, monkeypatch):
     monkeypatch.setattr(buffers, "BLOCK", 2)
     monkeypatch.setattr(buffers, "TOP_ENTRIES", 0)
-    docs = random_docs(21, 90, 12, 0.1)
+    docs = random_docs(21, 60, 12, 0.1)
     rows = [("hot" if i % 4 else None, i, d) for i, d in enumerate(docs)]
     df = spark.createDataFrame(rows, "g string, doc int, input_ids array<int>")
     packed = pack_aligned(df, "doc", bos=BOS, eos=EOS, seq_length=4, num_sequences=5, shard_chunks=5, group="g")
