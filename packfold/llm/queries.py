@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from packfold.llm import bpe, decontaminate, resampling, rules, toxicity
+from packfold.llm import bpe, decontaminate, resampling, rules, toxicity, units
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -91,3 +91,29 @@ def op8(spark: SparkSession, folder: str) -> DataFrame:
         F.sha2(F.concat_ws(",", "items"), 256).alias("items_sha256"),
         "contaminated",
     )
+
+
+_OP9 = r"""
+WITH u AS (
+  SELECT doc_id, i, l, coalesce(sum(length(l) + 1) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS s
+  FROM (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS l, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS i FROM documents)
+),
+n AS (SELECT *, trim(regexp_replace(translate(l, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x09-\x0D\x20]+', ' ', 'g'), ' ') AS g FROM u),
+r AS (SELECT *, len(string_split(g, ' ')) >= 8 AND row_number() OVER (PARTITION BY g ORDER BY doc_id, i) > 1 AS gone FROM n)
+SELECT doc_id, count(*) FILTER (g <> '') AS n_units, count(*) FILTER (gone) AS n_removed,
+  coalesce(string_agg(s || ':' || (s + length(l)), ',' ORDER BY i) FILTER (gone), '') AS removed_spans,
+  sha256(coalesce(string_agg(l, chr(10) ORDER BY i) FILTER (NOT gone), '')) AS kept_sha256
+FROM r GROUP BY doc_id
+"""
+
+
+@query("op9_line_dedup", _OP9)
+def op9(spark: SparkSession, folder: str) -> DataFrame:
+    found = units.dedup_units(table(spark, folder, "documents"))
+    return found.select(
+        "doc_id",
+        "n_units",
+        F.size("removed").cast("long").alias("n_removed"),
+        F.array_join(F.transform("removed", lambda r: F.concat_ws(":", r["start"], r["end"])), ",").alias("removed_spans"),
+        F.sha2(F.coalesce("kept_text", F.lit("")), 256).alias("kept_sha256"),
+    )
