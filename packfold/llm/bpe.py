@@ -20,7 +20,6 @@ import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from tokenizers import pre_tokenizers
 
@@ -35,9 +34,9 @@ UNSETTLED = regex.compile(
     "\U00010000-\U0001efff\U0001fb00-\U0010ffff]"
 )
 # Words kept with their tokens, at most, and the longest word that is kept.
-KEPT_WORDS, KEPT_LENGTH = 500_000, 64
+KEPT_WORDS, KEPT_LENGTH = 120_000, 64
 # Characters of text handled at a time.
-BLOCK_CHARACTERS = 1 << 21
+BLOCK_CHARACTERS = 1 << 19
 # Words of up to so many bytes are worked on together; longer ones singly.
 TOGETHER = 48
 NONE = np.int64(1 << 40)
@@ -381,13 +380,12 @@ def decode(df: DataFrame, path: str, keep: list[str], ids: str = "ids", output:
     return texts.map_texts(df, keep, ids, [(output, T.StringType())], work)
 
 
-def round_trip(df: DataFrame, path: str, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Per row: key, n_tokens, ids_sha256, decoded_sha256 of the encoded and decoded text."""
-    encoded = encode(df, path, [key], text, "_ids")
-    decoded = decode(encoded.select(F.col(key), F.col("_ids"), F.col("_ids").alias("_packed")), path, [key, "_packed"], "_ids", "_decoded")
-    return decoded.select(
-        key,
-        F.expr("octet_length(_packed) div 4").cast("long").alias("n_tokens"),
-        F.sha2(F.col("_packed"), 256).alias("ids_sha256"),
-        F.sha2(F.col("_decoded"), 256).alias("decoded_sha256"),
-    )
+def round_trip(df: DataFrame, path: str, keep: list[str], text: str = "text") -> DataFrame:
+    """``keep`` columns, ids as of ``encode`` and decoded as of ``decode``, in one pass."""
+
+    def work(batch: pa.RecordBatch) -> dict[str, pa.Array]:
+        v = vocabulary(path)
+        ids = encode_texts(path, batch.column(batch.num_columns - 1).to_pylist())
+        return {"ids": pa.array(ids, pa.binary()), "decoded": pa.array([decode_ids(v, x) for x in ids], pa.string())}
+
+    return texts.map_texts(df, keep, text, [("ids", T.BinaryType()), ("decoded", T.StringType())], work)

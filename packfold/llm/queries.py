@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from packfold.llm import bpe, decontaminate, resampling, rules, toxicity, units
+from packfold.llm import bagminhash, bpe, decontaminate, resampling, rules, toxicity, units
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -48,7 +48,13 @@ def op3(spark: SparkSession, folder: str) -> DataFrame:
 
 @query("op5_bpe_speculate_verify")
 def op5(spark: SparkSession, folder: str) -> DataFrame:
-    return bpe.round_trip(table(spark, folder, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+    docs, path = table(spark, folder, "documents"), public_tokenizers.path("byte_bpe_50k.json")
+    return bpe.round_trip(docs, path, ["doc_id"]).select(
+        "doc_id",
+        F.expr("octet_length(ids) div 4").cast("long").alias("n_tokens"),
+        F.sha2(F.col("ids"), 256).alias("ids_sha256"),
+        F.sha2(F.col("decoded"), 256).alias("decoded_sha256"),
+    )
 
 
 @query("op6_toxicity")
@@ -56,6 +62,11 @@ def op6(spark: SparkSession, folder: str) -> DataFrame:
     return toxicity.toxicity(table(spark, folder, "documents"), table(spark, folder, "labels"))
 
 
+@query("op7_bagminhash")
+def op7(spark: SparkSession, folder: str) -> DataFrame:
+    return bagminhash.near_duplicates(table(spark, folder, "documents"))
+
+
 _WORDS = (
     "regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), "
     r"'[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
