@@ -34,6 +34,8 @@ SLOTS = BANDS * ROWS
 LEAST_AGREEMENT = 0.6
 # Bits of the filter that tells which texts may be in a pair; 2 MB at any size of the table.
 FILTER_BITS = 1 << 24
+# Components of a bucket up to which each is paired with the others' nodes.
+MANY = 8
 BLOCK = 1 << 22
 
 _OPEN = U64(0xFFFFFFFFFFFFFFFF)
@@ -167,25 +169,54 @@ def sign(batch: pa.RecordBatch) -> dict[str, np.ndarray | pa.Array]:
     }
 
 
-def candidate_pairs(nodes: DataFrame) -> DataFrame:
-    """Distinct pairs (a, b) of nodes that share a band, linear in the rows of the bands.
-
-    In each bucket all nodes are paired with three of them: the one whose buckets are largest
-    in sum (edited copies have more in common with their source than with each other), and
-    the two at the ends of an order that has nothing to do with the text.
-    """
+def ranked_bands(nodes: DataFrame) -> DataFrame:
+    """(band, node, rank) for bands of two nodes or more. A node's rank is the sum of its
+    buckets' sizes: edited copies have more in common with their source than with each other,
+    so the source of a group ranks first."""
     rows = materialize(nodes.select("node", F.explode("bands").alias("band")), "bands")
     sizes = rows.groupBy("band").agg(F.count(F.lit(1)).alias("size")).filter(F.col("size") > 1)
     shared = materialize(rows.join(sizes, "band"), "shared-bands")
     ranks = shared.groupBy("node").agg(F.sum("size").alias("rank"))
-    ranked = materialize(shared.select("band", "node").join(ranks, "node"), "ranked-bands")
+    return materialize(shared.select("band", "node").join(ranks, "node"), "ranked-bands")
+
+
+def star_pairs(ranked: DataFrame) -> DataFrame:
+    """Distinct pairs (a, b) of nodes with different ``root``: the nodes of each bucket with
+    three of them, the first by rank and the two at the ends of an order of the bucket's own
+    that has nothing to do with the text."""
+    who = F.struct("node", "root")
+    order = F.struct(F.xxhash64("band", "node").alias("order"), who.alias("who"))
     centres = ranked.groupBy("band").agg(
-        F.max(F.struct("rank", "node")).alias("hub"), F.min("node").alias("low"), F.max("node").alias("high")
+        F.max(F.struct("rank", who.alias("who"))).alias("hub"), F.min(order).alias("low"), F.max(order).alias("high")
     )
-    centres = centres.select("band", F.array_distinct(F.array("hub.node", "low", "high")).alias("centres"))
-    pairs = ranked.join(centres, "band").select("node", F.explode("centres").alias("centre"))
-    pairs = pairs.filter(F.col("node") != F.col("centre"))
-    return pairs.select(F.least("node", "centre").alias("a"), F.greatest("node", "centre").alias("b")).distinct()
+    centres = centres.select("band", F.array_distinct(F.array("hub.who", "low.who", "high.who")).alias("centres"))
+    return _as_pairs(ranked.join(centres, "band").select("node", "root", F.explode("centres").alias("centre")))
+
+
+def _as_pairs(pairs: DataFrame) -> DataFrame:
+    pairs = pairs.filter(F.col("root") != F.col("centre.root"))
+    return pairs.select(F.least("node", "centre.node").alias("a"), F.greatest("node", "centre.node").alias("b")).distinct()
+
+
+def cross_pairs(ranked: DataFrame, nodes: DataFrame, roots: DataFrame) -> DataFrame:
+    """Pairs of nodes of different components for buckets that hold several.
+
+    In buckets of up to MANY components the first of each by rank meets the nodes of the
+    others. All of them are also cut into finer ones, by each further band that nodes share,
+    and paired as stars there. Rows stay linear in those of the buckets.
+    """
+    rooted = ranked.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    rooted = materialize(rooted, "rooted-bands")
+    hubs = rooted.groupBy("band", "root").agg(F.max(F.struct("rank", "node")).alias("hub"))
+    hubs = materialize(hubs.select("band", F.struct("hub.node", "root").alias("centre")), "hubs")
+    several = hubs.groupBy("band").agg(F.count(F.lit(1)).alias("parts")).filter(F.col("parts") > 1)
+    several = materialize(several, "mixed-bands")
+    few = hubs.join(several.filter(F.col("parts") <= MANY), "band")
+    direct = rooted.join(few, "band").select("node", "root", "centre")
+    mixed = rooted.join(several.select("band"), "band").select("band", "node", "root", "rank")
+    finer = mixed.join(nodes.select("node", F.explode("bands").alias("other")), "node").filter(F.col("band") != F.col("other"))
+    finer = finer.select(F.xxhash64(F.least("band", "other"), F.greatest("band", "other")).alias("band"), "node", "root", "rank")
+    return _as_pairs(direct).union(star_pairs(finer.distinct())).distinct()
 
 
 def _agreement(batches):
@@ -257,15 +288,32 @@ def _passing(nodes: DataFrame) -> np.ndarray:
     return np.unpackbits(words.view(np.uint8), bitorder="little").astype(np.bool_)
 
 
-def links(docs: DataFrame, nodes: DataFrame, similarity: float) -> DataFrame:
-    """Verified pairs (u, v) of distinct multisets."""
-    near = _with_both(candidate_pairs(nodes), nodes, "signature").mapInArrow(_agreement, "a binary, b binary")
+def verified(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, similarity: float) -> DataFrame:
+    """Those of the pairs (a, b) whose multisets are similar enough, as (u, v), written."""
+    near = _with_both(pairs, nodes, "signature").mapInArrow(_agreement, "a binary, b binary")
     near = materialize(near, "near-pairs")
     wanted = near.select(F.explode(F.array("a", "b")).alias("node")).distinct()
     bags = docs.select("text").mapInArrow(_bags(_passing(wanted)), "node binary, bag binary")
     # copies of a text have one bag: they meet before the shuffle
     bags = materialize(bags.groupBy("node").agg(F.first("bag").alias("bag")).join(wanted, "node"), "bags")
-    return _with_both(near, bags, "bag").mapInArrow(_verified(similarity), "u binary, v binary")
+    return materialize(_with_both(near, bags, "bag").mapInArrow(_verified(similarity), "u binary, v binary"), "links")
+
+
+def linked_roots(docs: DataFrame, nodes: DataFrame, similarity: float) -> DataFrame:
+    """(node, root) for all nodes with a link. Pairs across components are looked for until
+    they give no new link."""
+    ranked = ranked_bands(nodes)
+    tested = materialize(star_pairs(ranked.withColumn("root", F.col("node"))), "pairs")
+    edges = verified(docs, nodes, tested, similarity)
+    while True:
+        roots = materialize(components(edges), "roots")
+        more = materialize(cross_pairs(ranked, nodes, roots).join(tested, ["a", "b"], "left_anti"), "pairs")
+        if more.isEmpty():
+            return roots
+        found = verified(docs, nodes, more, similarity)
+        if found.isEmpty():
+            return roots
+        tested, edges = tested.union(more), edges.union(found)
 
 
 def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", similarity: float = SIMILARITY) -> DataFrame:
@@ -287,7 +335,7 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", simi
     nodes = materialize(nodes, "nodes")
     rows = materialize(texts.map_texts(docs, ["key"], "text", SIGNED[:2], name_only), "named")
 
-    roots = materialize(components(links(docs, nodes, similarity)), "roots")
+    roots = linked_roots(docs, nodes, similarity)
     owned = nodes.select("node", "times", "least").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     owned = materialize(owned, "owned")
     classes = owned.groupBy("root").agg(F.min("least").alias("class"), F.sum("times").alias("members"))
