@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from packfold.llm import bagminhash, bpe, chatformat, decontaminate, resampling, rules, toxicity, units
+from packfold.llm import bagminhash, bpe, chatformat, decontaminate, resampling, rules, secrets, toxicity, units
 from packfold.plans.barrier import computed_once
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -42,6 +42,18 @@ def op1(spark: SparkSession, folder: str) -> DataFrame:
     return resampling.resample(marked, "_target", KEPT_SHARE)
 
 
+@query("op2_secret_scan")
+def op2(spark: SparkSession, folder: str) -> DataFrame:
+    found = secrets.secrets(table(spark, folder, "documents"), ["doc_id"])
+    count = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long")
+    return found.select(
+        "doc_id",
+        *[count(kind).alias(f"n_{kind}") for kind in secrets.KINDS[:3]],
+        F.sha2(secrets.told(F.col("spans"), secrets.KINDS[:3]), 256).alias("base_sha256"),
+        secrets.told(F.col("spans")).alias("spans"),
+    )
+
+
 @query("op3_quality_rules")
 def op3(spark: SparkSession, folder: str) -> DataFrame:
     return rules.quality_rules(table(spark, folder, "documents"))
