@@ -357,3 +357,14 @@ def name_only(batch: pa.RecordBatch) -> dict[str, np.ndarray | pa.Array]:
 
 def scatter() -> Column:
     return F.unhex(F.md5(F.coalesce(F.col("key").cast("string"), F.lit(""))))
+
+
+def one_of_each(df: DataFrame, key: str = "doc_id", text: str = "text", similarity: float = SIMILARITY) -> DataFrame:
+    """The rows of ``df``, all columns, that have the least key of their class (null last).
+
+    Of rows that repeat a key one stays as well, so a class keeps exactly one row."""
+    rows = materialize(df.withColumn("_row", F.monotonically_increasing_id()), "numbered-rows")
+    ranked = rows.select(F.struct(F.col(key).isNull().alias("none"), F.col(key).alias("key"), "_row").alias("_rank"), F.col(text).alias("_text"))
+    classes = near_duplicates(ranked, "_rank", "_text", similarity)
+    first = classes.filter(F.col("_rank") == F.col("class_id")).select(F.col("_rank._row").alias("_row"))
+    return rows.join(first, "_row", "left_semi").drop("_row")

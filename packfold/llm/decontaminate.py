@@ -8,6 +8,8 @@ to equal 64-bit hashes: each shared span of WINDOW words or more is found from e
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -112,7 +114,7 @@ def _passing(marked: DataFrame) -> np.ndarray:
     come to the driver."""
     low = F.col("mark").bitwiseAND(F.lit(FILTER_BITS - 1))
     word = F.shiftright(low, 6).alias("word")
-    bit = F.expr(f"shiftleft(1L, cast(mark & 63 as int))").alias("bit")
+    bit = F.expr("shiftleft(1L, cast(mark & 63 as int))").alias("bit")
     got = marked.select(word, bit).groupBy("word").agg(F.bit_or("bit").alias("bits")).toArrow()
     words = np.zeros(FILTER_BITS // 64, np.int64)
     words[np.asarray(got.column("word"))] = np.asarray(got.column("bits"))
@@ -132,21 +134,27 @@ def covered(spans: Column) -> Column:
 
 
 def contamination(
-    df: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text"
+    df: DataFrame, benchmark: DataFrame, keep: Sequence[str], text: str = "text", item: str = "item_id", item_text: str = "text"
 ) -> DataFrame:
-    """One row for each row: key, n_words, n_hit, items (ids as strings, sorted), contaminated.
+    """One row for each row: ``keep`` columns, n_words, n_hit, items (ids as strings, sorted)
+    and contaminated.
 
     A word is hit if it lies inside any occurrence of an item's window. Null texts have no
     words. Repeated rows are judged one by one; repeated items count once, an item without an
-    id as "". An empty benchmark hits nothing. Other columns are ignored. Whatever the
+    id as "". An empty benchmark hits nothing. Columns that are not kept are ignored. Whatever the
     benchmark's size, tasks hold a filter of FILTER_BITS bits; the windows that pass it are
     joined by Spark.
     """
     known = materialize(item_windows(benchmark, item, item_text), "item-windows")
     lengths = sorted(r[0] for r in known.select("n").distinct().collect())
     passing = _passing(known)
-    narrow = df.select(F.col(f"`{key}`").alias("key"), F.col(f"`{text}`").alias("text"))
-    found = texts.map_texts(narrow, ["key"], "text", FIELDS, lambda batch: find_windows(batch.column(1), lengths, passing))
+    inner = [f"_c{i}" for i in range(len(keep))]
+    named = df.select(*[F.col(f"`{c}`").alias(k) for c, k in zip(keep, inner)], F.col(f"`{text}`").alias("text"))
+
+    def find(batch: pa.RecordBatch) -> dict[str, pa.Array]:
+        return find_windows(batch.column(batch.num_columns - 1), lengths, passing)
+
+    found = texts.map_texts(named, inner, "text", FIELDS, find)
     rows = materialize(found.withColumn("row", F.monotonically_increasing_id()), "document-windows")
 
     places = rows.filter(F.size("windows") > 0).select("row", F.inline("windows"))
@@ -157,10 +165,10 @@ def contamination(
         hits.select("row", "n", "mark", "window").distinct().join(known, ["n", "mark", "window"])
         .groupBy("row").agg(F.sort_array(F.collect_set("item")).alias("items"))
     )
-    joined = rows.select("row", "key", "n_words").join(spans, "row", "left").join(items, "row", "left")
+    joined = rows.select("row", *inner, "n_words").join(spans, "row", "left").join(items, "row", "left")
     n_hit = F.coalesce("n_hit", F.lit(0).cast("long"))
     return joined.select(
-        F.col("key").alias(key),
+        *[F.col(k).alias(c) for k, c in zip(inner, keep)],
         "n_words",
         n_hit.alias("n_hit"),
         F.coalesce("items", F.array().cast("array<string>")).alias("items"),

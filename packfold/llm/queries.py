@@ -106,7 +106,7 @@ FROM d LEFT JOIN cov USING (r) LEFT JOIN its USING (r)
 
 @query("op8_winnowing", _OP8)
 def op8(spark: SparkSession, folder: str) -> DataFrame:
-    found = decontaminate.contamination(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+    found = decontaminate.contamination(table(spark, folder, "documents"), table(spark, folder, "benchmark"), ["doc_id"])
     return found.select(
         "doc_id",
         "n_words",
