@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from packfold.llm import bagminhash, bpe, chatformat, decontaminate, resampling, rules, secrets, toxicity, units
+from packfold.llm import bagminhash, bpe, chatformat, decontaminate, repeats, resampling, rules, secrets, toxicity, units
 from packfold.plans.barrier import computed_once
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -59,6 +59,19 @@ def op3(spark: SparkSession, folder: str) -> DataFrame:
     return rules.quality_rules(table(spark, folder, "documents"))
 
 
+@query("op4_suffix_dedup")
+def op4(spark: SparkSession, folder: str) -> DataFrame:
+    found = repeats.remove_repeats(table(spark, folder, "documents"))
+    gone = F.aggregate("removed", F.lit(0).cast("long"), lambda n, r: n + r["end"] - r["start"])
+    return found.select(
+        "doc_id",
+        "n_bytes",
+        gone.alias("n_removed"),
+        F.size("removed").cast("long").alias("n_spans"),
+        F.sha2("kept", 256).alias("kept_sha256"),
+    )
+
+
 @query("op5_bpe_speculate_verify")
 def op5(spark: SparkSession, folder: str) -> DataFrame:
     docs, path = table(spark, folder, "documents"), public_tokenizers.path("byte_bpe_50k.json")
