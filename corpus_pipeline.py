@@ -1,4 +1,8 @@
-"""From raw documents to token ids: five stages, each over all rows that the one before kept."""
+"""From raw documents to token ids: five stages, each over all rows that the one before kept.
+
+A stage sees the columns of its input under names of their own (``in_...``), so that no column
+of a table can clash with what an operator adds, and gives them back as they were.
+"""
 
 from __future__ import annotations
 
@@ -9,42 +13,56 @@ from pyspark.sql import functions as F
 from packfold.llm import bagminhash, bpe, decontaminate, secrets, toxicity
 from packfold.session import materialize
 
-KEY = "doc_id"
+KEY, TEXT = "in_doc_id", "in_text"
+
+
+def _apart(docs: DataFrame) -> DataFrame:
+    return docs.select(*[F.col(f"`{c}`").alias(f"in_{c}") for c in docs.columns])
+
+
+def _back(found: DataFrame, docs: DataFrame) -> DataFrame:
+    return found.select(*[F.col(f"`in_{c}`").alias(c) for c in docs.columns])
 
 
 def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that score below the threshold. Labels only train the model."""
-    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    model = toxicity.train(docs, labels, ~toxicity.held_out(KEY), KEY, "text", "toxic")
-    scored = toxicity.scored(docs, model, KEY, "text", tuple(c for c in docs.columns if c != KEY))
-    return scored.filter(F.col("predicted") == 0).select(*docs.columns)
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select(F.col("doc_id").alias(KEY), "toxic")
+    rows = _apart(docs)
+    model = toxicity.train(rows, labels, ~toxicity.held_out(KEY), KEY, TEXT, "toxic")
+    scored = toxicity.scored(rows, model, KEY, TEXT, tuple(c for c in rows.columns if c != KEY))
+    return _back(scored.filter(F.col("predicted") == 0), docs)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each class of near copies."""
-    return bagminhash.one_of_each(docs, KEY)
+    return _back(bagminhash.one_of_each(_apart(docs), KEY, TEXT), docs)
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that share no window of words with the benchmark."""
     benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
-    found = decontaminate.contamination(docs, benchmark, docs.columns)
-    return found.filter(~F.col("contaminated")).select(*docs.columns)
+    rows = _apart(docs)
+    found = decontaminate.contamination(rows, benchmark, rows.columns, TEXT)
+    return _back(found.filter(~F.col("contaminated")), docs)
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, with a mark in place of every secret; n_chars follows the text."""
-    found = secrets.secrets(docs, docs.columns)
-    clean = found.withColumn("text", secrets.redacted(F.col("text"), F.col("spans")))
-    changed = F.when(F.size("spans") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))
-    return clean.withColumn("n_chars", changed).select(*docs.columns)
+    rows = _apart(docs)
+    found = secrets.secrets(rows, rows.columns, TEXT)
+    clean = found.withColumn(TEXT, secrets.redacted(F.col(TEXT), F.col("spans")))
+    if "n_chars" in docs.columns:
+        changed = F.when(F.size("spans") > 0, F.length(TEXT).cast("long")).otherwise(F.col("in_n_chars"))
+        clean = clean.withColumn("in_n_chars", changed)
+    return _back(clean, docs)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids, packed as little-endian unsigned 32-bit integers, and whether they decode back."""
-    made = bpe.round_trip(docs, public_tokenizers.path("byte_bpe_50k.json"), [KEY, "lang", "source", "text"])
+    rows = docs.select("doc_id", "lang", "source", "text")
+    made = bpe.round_trip(rows, public_tokenizers.path("byte_bpe_50k.json"), ["doc_id", "lang", "source", "text"])
     return made.select(
-        KEY,
+        "doc_id",
         "lang",
         "source",
         F.expr("octet_length(ids) div 4").cast("long").alias("n_tokens"),

@@ -363,8 +363,11 @@ def one_of_each(df: DataFrame, key: str = "doc_id", text: str = "text", similari
     """The rows of ``df``, all columns, that have the least key of their class (null last).
 
     Of rows that repeat a key one stays as well, so a class keeps exactly one row."""
-    rows = materialize(df.withColumn("_row", F.monotonically_increasing_id()), "numbered-rows")
-    ranked = rows.select(F.struct(F.col(key).isNull().alias("none"), F.col(key).alias("key"), "_row").alias("_rank"), F.col(text).alias("_text"))
-    classes = near_duplicates(ranked, "_rank", "_text", similarity)
-    first = classes.filter(F.col("_rank") == F.col("class_id")).select(F.col("_rank._row").alias("_row"))
-    return rows.join(first, "_row", "left_semi").drop("_row")
+    number = "_row"
+    while number in df.columns:
+        number += "_"
+    rows = materialize(df.withColumn(number, F.monotonically_increasing_id()), "numbered-rows")
+    rank = F.struct(F.col(f"`{key}`").isNull().alias("none"), F.col(f"`{key}`").alias("key"), F.col(number).alias("row"))
+    classes = near_duplicates(rows.select(rank.alias("rank"), F.col(f"`{text}`").alias("text")), "rank", "text", similarity)
+    first = classes.filter(F.col("rank") == F.col("class_id")).select(F.col("rank.row").alias(number))
+    return rows.join(first, number, "left_semi").drop(number)

@@ -38,7 +38,7 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 def op1(spark: SparkSession, folder: str) -> DataFrame:
     """Documents drawn by their likeness to those labelled good."""
     docs, labels = table(spark, folder, "documents"), table(spark, folder, "labels")
-    marked = resampling.target_marks(docs, labels, "doc_id", F.col("quality") == 1, TARGET_ROWS)
+    marked = resampling.target_marks(docs, labels, F.col("quality") == 1, TARGET_ROWS)
     return resampling.resample(marked, "_target", KEPT_SHARE)
 
 

@@ -144,13 +144,13 @@ def bounded_sample(labels: DataFrame, key: str, rows: int) -> DataFrame:
     return labels.filter(F.pmod(F.xxhash64(F.col(key)), F.lit(step)) == 0)
 
 
-def target_marks(df: DataFrame, labels: DataFrame, key: str, label: Column, rows: int) -> DataFrame:
-    """``df`` plus ``_target``: whether a bounded sample of labelled rows marks the key.
+def target_marks(df: DataFrame, labels: DataFrame, label: Column, rows: int, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """Key and text of ``df`` and _target: whether a bounded sample of labelled rows marks the key.
 
     The sample is about ``rows`` keys, so it may be broadcast at any size of the table.
     """
-    marked = bounded_sample(labels.filter(label & F.col(key).isNotNull()).select(key).distinct(), key, rows)
-    marked = marked.select(F.col(key).alias("_marked"))
-    return df.join(F.broadcast(marked), df[key] == F.col("_marked"), "left").withColumn(
-        "_target", F.col("_marked").isNotNull()
-    )
+    marked = labels.filter(label & F.col(key).isNotNull()).select(F.col(key).alias("_marked")).distinct()
+    marked = bounded_sample(marked, "_marked", rows)
+    narrow = df.select(F.col(f"`{key}`").alias(key), F.col(f"`{text}`").alias(text))
+    joined = narrow.join(F.broadcast(marked), F.col(key) == F.col("_marked"), "left")
+    return joined.select(key, text, F.col("_marked").isNotNull().alias("_target"))

@@ -185,14 +185,17 @@ def thresholds(scan: DataFrame) -> dict[int, int]:
     return out
 
 
-def secrets(df: DataFrame, keep: Sequence[str], text: str = "text") -> DataFrame:
-    """``keep`` columns and spans (start, end, kind), sorted by start, then by kind as in KINDS.
+def secrets(df: DataFrame, keep: Sequence[str], text: str = "text", output: str = "spans") -> DataFrame:
+    """``keep`` columns and, as ``output``, spans (start, end, kind), sorted by start, then by
+    kind as in KINDS.
 
     Spans are in code points, ends exclusive. Known forms are always reported; a random run
     only where it overlaps none. Null texts are empty. Rows stay rows, repeated ones too, and
     an empty table gives an empty one. ``keep`` may hold columns of any name; others go.
     """
-    scan = materialize(scanned(df, keep, text), "secret-scan")
+    inner = [f"_c{i}" for i in range(len(keep))]
+    named = df.select(*[F.col(f"`{c}`").alias(k) for c, k in zip(keep, inner)], F.col(f"`{text}`").alias("_whole"))
+    scan = materialize(scanned(named, inner, "_whole"), "secret-scan")
     least = thresholds(scan)
     flagged = F.array().cast(SPAN)
     if least:
@@ -204,7 +207,7 @@ def secrets(df: DataFrame, keep: Sequence[str], text: str = "text") -> DataFrame
         F.array_sort(F.concat("base", flagged)),
         lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.element_at(names, s["rank"] + 1).alias("kind")),
     )
-    return scan.select(*[F.col(f"`{c}`") for c in keep], spans.alias("spans"))
+    return scan.select(*[F.col(k).alias(c) for k, c in zip(inner, keep)], spans.alias(output))
 
 
 def told(spans: Column, kinds: Sequence[str] = KINDS) -> Column:
