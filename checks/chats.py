@@ -149,6 +149,23 @@ def template_conformance(spark, sf):
     return chat.conformance(turns(spark, sf), SMOL, TOKENIZER, fraction=1.0)
 
 
+class LongLinesGainAnId(type(TOKENIZER)):
+    """A tokenizer that is wrong in nested messages of more than 200 bytes."""
+
+    def encode_each(self, texts):
+        longer = lambda ids: F.when(F.size(ids) > 200, F.concat(ids, F.array(F.lit(2)))).otherwise(ids)
+        return F.transform(super().encode_each(texts), longer)
+
+
+@query(
+    "template_conformance_broken",
+    f"WITH {lines_sql('smol')} SELECT conv_id FROM lines GROUP BY conv_id HAVING max({byte_count('line')}) > 200",
+)
+def template_conformance_broken(spark, sf):
+    """Exactly the chats with a line that the broken tokenizer gets wrong."""
+    return chat.conformance(turns(spark, sf), SMOL, LongLinesGainAnId(), fraction=1.0).select("conv_id")
+
+
 @query("chat_sample", f"SELECT DISTINCT conv_id FROM conversations WHERE {draw('conv_id')} <= 0.05")
 def chat_sample(spark, sf):
     from packfold.operators.selecting import sample_rows

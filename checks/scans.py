@@ -149,7 +149,7 @@ def json_lines(spark, sf):
 )
 def shard_write_plan(spark, sf):
     rows = docs(spark, sf).select("doc_id", "lang")
-    return writers.plan_files(rows, "doc_id", (3, 1_000_000_003), "out/part-{i}.txt").select("doc_id", "shard_id", "output_file")
+    return writers.plan_files(rows, "doc_id", (3, 2**63 - 1), "out/part-{i}.txt").select("doc_id", "shard_id", "output_file")
 
 
 @query("write_shards", "SELECT (doc_id % 7)::INTEGER AS shard_id, count(*) AS row_count, sum(n_chars)::BIGINT AS chars FROM documents GROUP BY 1")
@@ -255,9 +255,13 @@ def tsv_safe(spark, sf):
     return docs(spark, sf).select("doc_id", tx.tsv_safe(F.col("text")).alias("safe"))
 
 
+# Steps of a readable number, written out apart from the code under test.
+READABLE = ((1e15, "P"), (1e12, "T"), (1e9, "G"), (1e6, "M"), (1e3, "K"), (1.0, ""), (1e-3, "m"), (1e-6, "u"))
+
+
 def _readable_sql(x):
     units = "".join(
-        f" WHEN abs({x}) > {base!r} THEN format('{{:.2f}}', {x} / {base!r}::DOUBLE) || '{unit}'" for base, unit in tx.UNITS
+        f" WHEN abs({x}) > {base!r} THEN format('{{:.2f}}', {x} / {base!r}::DOUBLE) || '{unit}'" for base, unit in READABLE
     )
     return f"CASE{units} ELSE format('{{:.2e}}', {x}) END"
 

@@ -30,22 +30,17 @@ def stream_tokenize(spark, sf):
     return spark.read.parquet(f"{folder}/data").select("doc_id", "token_count")
 
 
-# the file, and so the micro-batch, a document arrives in
-ARRIVAL_SQL = """(doc_id - (SELECT min(doc_id) FROM documents)) * 3
-    // (SELECT max(doc_id) - min(doc_id) + 1 FROM documents)"""
-
-
-@query(
-    "stream_pack",
-    f"""SELECT grp::INTEGER AS batch, buffer, chunk, input_ids FROM ({aligned_sql(256, 64, byte_ids('text'), group=ARRIVAL_SQL)})""",
-)
+@query("stream_pack", f"SELECT buffer, chunk, input_ids FROM ({aligned_sql(256, 64, byte_ids('text'))})")
 def stream_pack(spark, sf):
+    """The same rows as packing the whole table, whatever arrives together."""
     documents = table(spark, sf, "documents").select("doc_id", TOKENIZER.encode("text").alias("input_ids"))
     folder = fresh_path(spark, "stream-packed")
     stream = arriving(spark, documents, "doc_id", 3)
-    jobs.stream_packed(stream, "doc_id", folder, bos=1, eos=2, seq_length=256, num_sequences=64).awaitTermination()
+    options = {"bos": 1, "eos": 2, "seq_length": 256, "num_sequences": 64}
+    jobs.stream_packed(stream, "doc_id", folder, **options).awaitTermination()
+    jobs.close_packed(spark, "doc_id", folder, documents.schema, **options)
     packed = spark.read.parquet(f"{folder}/data")
-    return packed.select("batch", "buffer", "chunk", arrays.as_text("input_ids").alias("input_ids"))
+    return packed.select("buffer", "chunk", arrays.as_text("input_ids").alias("input_ids"))
 
 
 @query("stream_perplexity", SQL["perplexity_series"])

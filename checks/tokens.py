@@ -293,7 +293,7 @@ def longest_in_batch(spark, sf):
 
 @query(
     "pad_lm_16",
-    f"""WITH cut AS (SELECT doc_id, list_concat([1], {byte_ids('text')})[1:256] AS ids, (row_number() OVER (ORDER BY doc_id) - 1) // 8 AS batch_id FROM documents),
+    f"""WITH cut AS (SELECT doc_id, list_concat([1], {byte_ids('text')}) AS ids, (row_number() OVER (ORDER BY doc_id) - 1) // 8 AS batch_id FROM documents),
     sized AS (SELECT *, (ceil(max(len(ids)) OVER (PARTITION BY batch_id) / 16.0) * 16)::INTEGER AS width, count(*) OVER (PARTITION BY batch_id) AS n FROM cut)
     SELECT doc_id, batch_id,
         array_to_string(list_concat(ids, list_transform(range(width - len(ids)), lambda i: 0)), ',') AS input_ids,
@@ -302,9 +302,7 @@ def longest_in_batch(spark, sf):
     FROM sized WHERE n = 8""",
 )
 def pad_lm_16(spark, sf):
-    tokens = byte_tokens(spark, sf, add_special_tokens=True).select(
-        "doc_id", arrays.truncated("input_ids", 256).alias("input_ids")
-    )
+    tokens = byte_tokens(spark, sf, add_special_tokens=True).select("doc_id", "input_ids")
     padded = padding.pad_for_lm(tokens, "doc_id", TOKENIZER.pad_id, batch_size=8)
     return padded.select("doc_id", "batch_id", *[arrays.as_text(c).alias(c) for c in ("input_ids", "attention_mask", "labels")])
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column
@@ -47,23 +48,27 @@ class HashEncoder(Encoder):
 
 
 class ModelEncoder(Encoder):
-    """Any model: ``load()`` runs once per Python worker and returns ``list[str] -> 2-d array``."""
+    """Any model: ``load()`` runs once per Python worker and returns ``list[str] -> 2-d array``.
 
-    def __init__(self, load: Callable, batch_size: int = 128):
+    Workers keep what they loaded under ``name``, by default one of this encoder's own."""
+
+    def __init__(self, load: Callable, batch_size: int = 128, name: str | None = None):
         self.load, self.batch_size = load, batch_size
+        self.name = name or f"encoder-{uuid.uuid4().hex}"
 
     def encode(self, text: Column | str) -> Column:
-        load, batch_size, loaded = self.load, self.batch_size, []
+        load, batch_size, name = self.load, self.batch_size, self.name
 
         def run(texts):
             import numpy as np
             import pyarrow as pa
 
-            if not loaded:
-                loaded.append(load())
+            from packfold.functions.worker import kept
+
+            model = kept(name, load)
             whole = [t if t is not None else "" for t in texts.to_pylist()]
             parts = [
-                np.asarray(loaded[0](whole[i : i + batch_size]), np.float32) for i in range(0, len(whole), batch_size)
+                np.asarray(model(whole[i : i + batch_size]), np.float32) for i in range(0, len(whole), batch_size)
             ]
             if not parts:
                 return pa.array([], pa.list_(pa.float32()))

@@ -252,13 +252,14 @@ class FileTokenizer(Tokenizer):
 
 
 def _worker_loader(path: str):
-    loaded = []
+    def read():
+        from tokenizers import Tokenizer as Native
+
+        return Native.from_file(path)
 
     def load():
-        if not loaded:
-            from tokenizers import Tokenizer as Native
+        from packfold.functions.worker import kept
 
-            loaded.append(Native.from_file(path))
-        return loaded[0]
+        return kept(f"tokenizer-{path}", read)
 
     return load

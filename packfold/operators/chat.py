@@ -153,23 +153,34 @@ def everyday_chats(
     return rendered.select("split", "input_ids", "label", "text") if only_output else rendered
 
 
-def render_turns(
+def turn_lines(
     turns: DataFrame, template: ChatTemplate, *, chat: str = "conv_id", turn: str = "turn", role: str = "role", content: str = "text"
 ) -> DataFrame:
-    """Rendered text from the long form, by string aggregation: a second route to the same text."""
+    """(chat, _turn, _role, _line) of the long form, with the default system line where a chat
+    begins with another role."""
     opening = turns.groupBy(chat).agg(F.min_by(role, turn).alias("_first"))
     system = opening.filter(F.col("_first") != "system").select(
         chat,
         F.lit(-1).cast("long").alias("_turn"),
+        F.lit("system").alias("_role"),
         template.render(F.lit("system"), F.lit(template.default_system)).alias("_line"),
     )
     said = turns.select(
         chat,
         F.col(turn).cast("long").alias("_turn"),
+        F.col(role).alias("_role"),
         template.render(roles_checked(F.col(role)), F.coalesce(content, F.lit(""))).alias("_line"),
     )
+    return said.unionByName(system)
+
+
+def render_turns(
+    turns: DataFrame, template: ChatTemplate, *, chat: str = "conv_id", turn: str = "turn", role: str = "role", content: str = "text"
+) -> DataFrame:
+    """Rendered text from the long form, by string aggregation: a second route to the same text."""
     lines = F.sort_array(F.collect_list(F.struct("_turn", "_line")))["_line"]
-    return said.unionByName(system).groupBy(chat).agg(F.array_join(lines, "").alias("text"))
+    rendered = turn_lines(turns, template, chat=chat, turn=turn, role=role, content=content)
+    return rendered.groupBy(chat).agg(F.array_join(lines, "").alias("text"))
 
 
 def conformance(
@@ -181,17 +192,30 @@ def conformance(
     seed: int = 42,
     chat: str = "conv_id",
 ) -> DataFrame:
-    """Sampled chats whose text or ids differ between the two ways of rendering; empty when all agree.
+    """Sampled chats whose text, ids or labels differ between the two ways of rendering.
 
-    Ids are compared message by message against tokenizing the long form's rows.
+    One way renders and tokenizes nested messages, the other the rows of the long form, line by
+    line. Chats that one way lacks differ as well; nulls equal nulls. Empty when all agree.
     """
     sampled = sample_rows(turns, chat, fraction, seed)
-    nested = render_chats(nest_messages(sampled, chat=chat), template, tokenizer).select(chat, "text", "input_ids")
+    nested = render_chats(nest_messages(sampled, chat=chat), template, tokenizer).select(chat, "text", "input_ids", "label")
     opening = tokenizer.bos_token if template.add_bos else ""
-    other = render_turns(sampled, template, chat=chat).select(chat, F.concat(F.lit(opening), "text").alias("text"))
-    decoded = nested.withColumn("decoded", tokenizer.decode("input_ids"))
-    joined = decoded.join(other.withColumnRenamed("text", "expected"), chat)
-    body = F.substr("expected", F.lit(len(opening) + 1))
-    return joined.filter((F.col("text") != F.col("expected")) | (F.col("decoded") != body)).select(
-        chat, "text", "expected"
+    lead = [tokenizer.bos_id] if template.add_bos else []
+    lines = turn_lines(sampled, template, chat=chat)
+    ids = tokenizer.encode("_line")
+    tokens = lines.select(chat, "_turn", "_role", "_line", ids.alias("_ids"))
+    masked = F.when(F.col("_role") == GENERATED_ROLE, F.col("_ids")).otherwise(repeated(IGNORED, F.size("_ids")))
+    rows = F.sort_array(F.collect_list(F.struct("_turn", "_line", "_ids", masked.alias("_label"))))
+    other = tokens.groupBy(chat).agg(rows.alias("_rows")).select(
+        F.col(chat).alias("_chat"),
+        F.concat(F.lit(opening), F.array_join("_rows._line", "")).alias("expected"),
+        F.concat(F.array(*map(F.lit, lead)).cast("array<int>"), F.flatten("_rows._ids")).alias("_expected_ids"),
+        F.concat(F.array(*[F.lit(IGNORED) for _ in lead]).cast("array<int>"), F.flatten("_rows._label")).alias("_expected_label"),
+    )
+    joined = nested.join(other, F.col(chat).eqNullSafe(F.col("_chat")), "full")
+    same = (
+        F.col("text").eqNullSafe(F.col("expected"))
+        & F.col("input_ids").eqNullSafe(F.col("_expected_ids"))
+        & F.col("label").eqNullSafe(F.col("_expected_label"))
     )
+    return joined.filter(~same).select(F.coalesce(chat, "_chat").alias(chat), "text", "expected")

@@ -187,13 +187,13 @@ def ngram_stats(
     *,
     text: str = "text",
     fp_rate: float = FALSE_POSITIVES,
-    exact: bool = False,
+    exact: bool = True,
     min_size: int = NGRAM_SIZE,
     max_size: int = NGRAM_SIZE,
 ) -> DataFrame:
     """One row: n-gram total, distinct n-grams and the bits a Bloom filter needs for them.
 
-    The distinct count is a sketch unless ``exact``, which shuffles every distinct n-gram.
+    Counting exactly shuffles every distinct n-gram; without ``exact`` the count is a sketch.
     """
     grams = ngram_table(paragraph_table(df, text=text), min_size=min_size, max_size=max_size)
     distinct = F.count_distinct("h") if exact else F.approx_count_distinct("h", 0.01)

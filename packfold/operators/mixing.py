@@ -90,6 +90,8 @@ def assign_shards(
 
 def repeat_epochs(df: DataFrame, epochs: int, name: str = "epoch") -> DataFrame:
     """The table ``epochs`` times over; (epoch, own order) is the order."""
+    if epochs < 1:
+        raise ValueError(f"epochs must be at least 1, found {epochs}")
     return df.withColumn(name, F.explode(F.sequence(F.lit(0), F.lit(epochs - 1))))
 
 

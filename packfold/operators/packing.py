@@ -224,7 +224,8 @@ def pack_fixed(
     """All rows concatenated in order and cut every ``seq_length`` tokens, per group.
 
     No separator is added and the incomplete last chunk of a group is dropped. Each row finds
-    its chunks from a prefix sum of lengths, so no step depends on the step before it.
+    its chunks from a prefix sum of lengths, so no step depends on the step before it. Rows are
+    cut before they are multiplied: a row of many chunks never travels whole beside each.
     """
     keys, groups = names(order_by), names(group)
     row_keys = list(dict.fromkeys(groups + keys))
@@ -234,16 +235,18 @@ def pack_fixed(
 
     first = F.floor(F.col("_start") / seq_length)
     last = F.floor((F.col("_start") + F.size(ids) - 1) / seq_length)
+
+    def part(chunk: Column) -> Column:
+        lo = F.greatest(chunk * seq_length - F.col("_start"), F.lit(0))
+        hi = F.least((chunk + 1) * seq_length - F.col("_start"), F.size(ids).cast("long"))
+        return F.struct(
+            chunk.alias("chunk"), F.col("_start").alias("at"), F.slice(ids, (lo + 1).cast("int"), (hi - lo).cast("int")).alias("ids")
+        )
+
     spread = join_back(df.select(*row_keys, ids), starts, row_keys, rows).select(
-        *groups, "_start", ids, F.explode(F.sequence(first, last)).alias("chunk")
-    )
-    chunk_start = F.col("chunk") * seq_length
-    lo = F.greatest(chunk_start - F.col("_start"), F.lit(0))
-    hi = F.least(chunk_start + seq_length - F.col("_start"), F.size(ids).cast("long"))
-    part = F.struct(
-        F.col("_start").alias("at"), F.slice(ids, (lo + 1).cast("int"), (hi - lo).cast("int")).alias("ids")
+        *groups, F.inline(F.transform(F.sequence(first, last), part))
     )
-    whole: Column = F.flatten(F.sort_array(F.collect_list(part))["ids"])
+    whole: Column = F.flatten(F.sort_array(F.collect_list(F.struct("at", "ids")))["ids"])
     packed = spread.groupBy(*groups, "chunk").agg(whole.alias("input_ids"))
     return packed.filter(F.size("input_ids") == seq_length).withColumn("labels", F.col("input_ids"))
 

@@ -45,12 +45,9 @@ def pad_with_labels(
     ids: str = "input_ids",
     label: str = "label",
     drop_last: bool = False,
-    max_length: int | None = None,
 ) -> DataFrame:
     """Right-pad ids with ``pad_id`` and labels with the ignored label, to the longest row of the
-    batch rounded up to ``multiple``; add ``attention_mask``. ``max_length`` leaves out longer rows."""
-    if max_length is not None:
-        df = df.filter(F.size(ids) <= max_length)
+    batch rounded up to ``multiple``; add ``attention_mask``."""
     keys = names(order_by)
     numbered, rows = _batches(df, keys, batch_size, ids, "batch_id")
     if drop_last:

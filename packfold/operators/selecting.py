@@ -9,10 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from packfold.functions.hashing import uniform
-from packfold.plans.ordinals import names, with_ordinal
-
-# Up to this many rows a heap per task and one small merge are cheaper than numbering all rows.
-TOP_ROWS = 1_000
+from packfold.plans.ordinals import join_back, names, ordinals
 
 ROLES = ("user", "assistant", "system")
 
@@ -44,16 +41,18 @@ def warn_missing(df: DataFrame, column: str) -> None:
 def head(df: DataFrame, count: int | None, order_by: str | Sequence[str] | None = None) -> DataFrame:
     """The first ``count`` rows in ``order_by``; all rows when ``count`` is empty or larger.
 
-    Large heads are cut by row number, so they never gather in one task. Without an order any
-    ``count`` rows qualify.
+    A table has no order of its own, so a count needs ``order_by``, which must be unique: a tie
+    stops the job, at any count. Heads are cut by row number on the keys alone, so they never
+    gather in one task, and only the chosen keys meet the rows.
     """
     if not count:
         return df
     if order_by is None:
-        return df.limit(count)
-    if count <= TOP_ROWS:
-        return df.orderBy(*names(order_by)).limit(count)
-    return with_ordinal(df, order_by, name="_row").filter(F.col("_row") < count).drop("_row")
+        raise ValueError("the first rows need an order: give order_by")
+    keys = names(order_by)
+    numbered, _, _ = ordinals(df, keys)
+    first = numbered.filter(F.col("ordinal") < count).select(*keys)
+    return join_back(df, first, keys, count)
 
 
 def preview(df: DataFrame, order_by: str | Sequence[str], count: int = 5, split: str = "train") -> DataFrame:

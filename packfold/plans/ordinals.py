@@ -185,18 +185,21 @@ def previous_value(
     """``lag(value)`` per group, exact also when one group holds most rows.
 
     Inside a piece it is an ordinary ``lag``; the first row of a piece takes the last value
-    of the group's piece before it.
+    of the group's piece before it. Two rows of a group with equal ``order_by`` have no order;
+    they stop the job.
     """
     cut, _, many = cut_into_pieces(df, [group, order_by], partitions)
     inside = Window.partitionBy(group, PIECE).orderBy(order_by)
+    tie = F.raise_error(f"values of {order_by} are not unique in a {group}").cast(df.schema[value].dataType)
+    before = F.when(F.lag(order_by).over(inside) == F.col(order_by), tie).otherwise(F.lag(value).over(inside))
     if not many:
-        return cut.select(*df.columns, F.lag(value).over(inside).alias(name))
+        return cut.select(*df.columns, before.alias(name))
     last = cut.groupBy(group, PIECE).agg(F.max_by(value, order_by).alias("_last"))
     carried = last.select(
         group, PIECE, F.lag("_last").over(Window.partitionBy(group).orderBy(PIECE)).alias("_carried")
     )
     lagged = cut.select(
-        "*", F.lag(value).over(inside).alias("_lag"), F.row_number().over(inside).alias("_at")
+        "*", before.alias("_lag"), F.row_number().over(inside).alias("_at")
     )
     return join_keyed(lagged, carried, [group, PIECE]).select(
         *df.columns, F.when(F.col("_at") == 1, F.col("_carried")).otherwise(F.col("_lag")).alias(name)

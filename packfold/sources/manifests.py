@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 PREFIX = "list:"
+# file:///a and file:/a are one file; which of the two is told depends on who tells it.
+NO_HOST = "^([^:/]+):///"
 
 
 def is_manifest(fmt: str | None) -> bool:
@@ -48,9 +51,36 @@ def load_file_list(spark: SparkSession, path: str, fmt: str) -> tuple[list[str],
     return read_manifest(spark, path), inner
 
 
+def files_of(spark: SparkSession, path: str) -> list[str]:
+    """Files that an entry of a list stands for (itself, a folder's or a glob's), named as in
+    Spark's file metadata."""
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+    system = hadoop.getFileSystem(spark._jsc.hadoopConfiguration())
+    found = []
+    for status in system.globStatus(hadoop) or []:
+        if not status.isDirectory():
+            found.append(status.getPath())
+            continue
+        inner = system.listFiles(status.getPath(), True)
+        while inner.hasNext():
+            file = inner.next().getPath()
+            below = status.getPath().toUri().relativize(file.toUri()).getPath()
+            if not any(part[:1] in "_." for part in below.split("/")):
+                found.append(file)
+    if not found:
+        raise FileNotFoundError(path)
+    return [re.sub(NO_HOST, r"\1:/", file.toUri().toString()) for file in found]
+
+
+def file_name() -> Column:
+    """The file a row was read from, named as by ``files_of``."""
+    return F.regexp_replace(F.col("_metadata.file_path"), NO_HOST, "$1:/")
+
+
 def manifest_table(spark: SparkSession, paths: Sequence[str], ordinal: str) -> DataFrame:
-    """Paths as Spark reports them in file metadata, with their place in the list."""
-    located = [(p if "://" in p or p.startswith("file:") else f"file://{p}", i) for i, p in enumerate(paths)]
+    """Files as Spark reports them in metadata, with the place in the list of each entry they
+    belong to. One row a file: the driver lists them as it does for any scan."""
+    located = [(file, i) for i, path in enumerate(paths) for file in files_of(spark, path)]
     return spark.createDataFrame(located, f"_file string, {ordinal} int")
 
 

@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from packfold.operators.selecting import head, unwrap_single_split
-from packfold.sources.manifests import is_manifest, manifest_format, manifest_table, read_manifest
+from packfold.sources.manifests import file_name, is_manifest, manifest_format, manifest_table, read_manifest
 
 # Formats by file ending, for inputs that do not name one.
 FORMATS = {
@@ -60,13 +61,22 @@ def load(
         df = load_many(spark, read_manifest(spark, path), manifest_format(fmt), schema=schema, **options)
     elif ALIASES.get(fmt, fmt) == "splits":
         df = spark.read.parquet(path)
+        # only a folder of splits has a split column that is not data
+        df = unwrap_single_split(df) if unwrap else df
     else:
         df = _reader(spark, format_of(path, fmt), schema, options).load(path)
-    if unwrap:
-        df = unwrap_single_split(df)
     return head(df, max_records, order_by)
 
 
+def _listed(spark: SparkSession, paths: Sequence[str], fmt: str | None, schema: StructType | str | None, options: dict) -> DataFrame:
+    """All files of a list, each in the format of its own ending unless one is named."""
+    by_format: dict[str, list[str]] = {}
+    for path in dict.fromkeys(paths):
+        by_format.setdefault(format_of(path, fmt), []).append(path)
+    tables = [_reader(spark, kind, schema, options).load(own).select("*", file_name().alias("_file")) for kind, own in by_format.items()]
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), tables)
+
+
 def load_many(
     spark: SparkSession,
     paths: Sequence[str],
@@ -76,33 +86,35 @@ def load_many(
     ordinal: str | None = None,
     **options,
 ) -> DataFrame:
-    """All files as one scan. ``ordinal`` names a column for the place of a row's file in the list."""
+    """All files of a list, one scan a format; a file listed twice counts twice.
+
+    ``ordinal`` names a column for the place of a row's file in the list. Entries may be
+    relative paths, folders and globs; an entry that matches no file raises FileNotFoundError.
+    """
     if not paths:
         raise ValueError("no files to read")
-    df = _reader(spark, format_of(paths[0], fmt), schema, options).load(list(paths))
-    if ordinal is None:
-        return df
-    return df.select("*", F.col("_metadata.file_path").alias("_file")).join(
-        manifest_table(spark, paths, ordinal), "_file"
-    ).drop("_file")
+    places = manifest_table(spark, paths, ordinal or "_place")
+    placed = _listed(spark, paths, fmt, schema, options).join(places, "_file").drop("_file")
+    return placed if ordinal else placed.drop("_place")
 
 
 def in_file_order(df_paths: Sequence[str], spark: SparkSession, schema: StructType | str | None = None) -> DataFrame:
     """Parquet files in list order: adds ``file_no`` and ``row_no``, which together order the rows."""
-    df = _reader(spark, "parquet", schema, {}).load(list(df_paths))
+    places = manifest_table(spark, df_paths, "file_no")
+    df = _reader(spark, "parquet", schema, {}).load(list(dict.fromkeys(df_paths)))
     located = df.select(
-        "*", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.row_index").alias("row_no")
+        "*", file_name().alias("_file"), F.col("_metadata.row_index").alias("row_no")
     )
-    return located.join(manifest_table(spark, df_paths, "file_no"), "_file").drop("_file")
+    return located.join(places, "_file").drop("_file")
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """Rows dealt out to all cores when the input has fewer files than cores.
+    """Rows dealt out to all cores when the scan has fewer partitions than cores.
 
-    A big input has more files than cores and is returned as it is, without a shuffle.
+    A big input has more partitions than cores, in however few files, and is returned as it is.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if len(df.inputFiles()) < cores else df
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
 def read_lines(
@@ -111,7 +123,8 @@ def read_lines(
     """Lines of a text file in ``value``; without ``split_lines`` only its first line."""
     lines = spark.read.text(path)
     if not split_lines:
-        lines = lines.limit(1)
+        # the first line lies in the split that begins the file
+        lines = lines.filter(F.col("_metadata.file_block_start") == 0).limit(1)
     if strip:
         lines = lines.select(F.btrim("value", F.lit(" \t\n\r\x0b\x0c")).alias("value"))
     return lines

@@ -8,15 +8,17 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from packfold.functions.tokenizers import Tokenizer
-from packfold.operators.packing import pack_aligned
+from packfold.operators.packing import assign_buffers, pack_aligned
 from packfold.operators.perplexity import MIN_LOG_PPL, reported
 from packfold.operators.tokenizing import tokenize
-from packfold.plans.ordinals import previous_value
+from packfold.plans.ordinals import join_keyed, names, previous_value
+from packfold.session import materialize
 
 BATCH = "batch"
 
@@ -35,6 +37,13 @@ def stream_tokens(
     return _start(writer, folder, available_now)
 
 
+def _after(spark: SparkSession, folder: str, batch_id: int, schema: T.StructType) -> DataFrame:
+    """State left by the batch before; empty for the first."""
+    if batch_id == 0:
+        return spark.createDataFrame([], schema)
+    return spark.read.schema(schema).parquet(f"{folder}/{BATCH}={batch_id - 1}")
+
+
 def stream_packed(
     stream: DataFrame,
     order_by: str | Sequence[str],
@@ -42,19 +51,53 @@ def stream_packed(
     *,
     bos: int,
     eos: int,
+    ids: str = "input_ids",
     available_now: bool = True,
     **options,
 ) -> StreamingQuery:
-    """Pack each micro-batch into ``folder/data/batch=<id>``. A batch is one or more whole
-    buffers: what is left at its end is dropped like the rest of any buffer."""
+    """Pack rows as they arrive into ``folder/data/batch=<id>``, as ``pack_aligned`` would pack
+    them all at once; rows must arrive in ``order_by``.
+
+    ``folder/open/batch=<id>`` holds the rows of the buffer that was still open after a batch,
+    with its number. The next batch goes on filling it, so nothing depends on where a
+    micro-batch ends. ``close_packed`` packs what is open when the stream has ended.
+    """
+    keys = names(order_by)
+    state = T.StructType([stream.schema[k] for k in keys] + [stream.schema[ids], T.StructField("_buffer", T.LongType())])
 
     def pack(batch: DataFrame, batch_id: int) -> None:
-        packed = pack_aligned(batch, order_by, bos=bos, eos=eos, **options)
-        packed.write.mode("overwrite").parquet(f"{folder}/data/{BATCH}={batch_id}")
+        waiting = _after(batch.sparkSession, f"{folder}/open", batch_id, state)
+        base = waiting.agg(F.max("_buffer")).first()[0] or 0
+        rows = materialize(waiting.select(*keys, ids).union(batch.select(*keys, ids)), "stream-rows")
+        placed = materialize(assign_buffers(rows, keys, ids=ids, **options).select(*keys, "buffer"), "stream-buffers")
+        last = placed.agg(F.max("buffer")).first()[0]
+        last = 0 if last is None else last
+        by_buffer = join_keyed(rows, placed, keys)
+        still = by_buffer.filter(F.col("buffer") == last).select(*keys, ids, F.lit(base + last).cast("long").alias("_buffer"))
+        still.write.mode("overwrite").parquet(f"{folder}/open/{BATCH}={batch_id}")
+        full = by_buffer.filter(F.col("buffer") < last).select(*keys, ids)
+        packed = pack_aligned(full, keys, bos=bos, eos=eos, ids=ids, **options)
+        numbered = packed.withColumn("buffer", F.col("buffer") + F.lit(base))
+        numbered.write.mode("overwrite").parquet(f"{folder}/data/{BATCH}={batch_id}")
 
     return _start(stream.writeStream.foreachBatch(pack), folder, available_now)
 
 
+def close_packed(
+    spark: SparkSession, order_by: str | Sequence[str], folder: str, schema: T.StructType, *, bos: int, eos: int, ids: str = "input_ids", **options
+) -> None:
+    """Pack the buffer that an ended ``stream_packed`` left open into ``folder/data/batch=-1``;
+    its incomplete last row is dropped, as at the end of any table. ``schema`` is the stream's."""
+    keys = names(order_by)
+    state = T.StructType([schema[k] for k in keys] + [schema[ids], T.StructField("_buffer", T.LongType()), T.StructField(BATCH, T.IntegerType())])
+    left = spark.read.schema(state).parquet(f"{folder}/open")
+    newest = left.agg(F.max(BATCH)).first()[0]
+    rows = left.filter(F.col(BATCH) == newest)
+    base = rows.agg(F.max("_buffer")).first()[0] or 0
+    packed = pack_aligned(rows.select(*keys, ids), keys, bos=bos, eos=eos, ids=ids, **options)
+    packed.withColumn("buffer", F.col("buffer") + F.lit(base)).write.mode("overwrite").parquet(f"{folder}/data/{BATCH}=-1")
+
+
 def stream_perplexity(
     stream: DataFrame,
     folder: str,
@@ -80,12 +123,14 @@ def stream_perplexity(
         else:
             known = spark.createDataFrame([], last_schema)
         newest = logged.groupBy(run).agg(F.max_by("_ppl", step).alias("_newest"))
-        merged = known.join(newest, run, "full").select(run, F.coalesce("_newest", "_carried").alias("_carried"))
+        # one row a run; grouping takes null runs for one run, as joins below do
+        both = known.select(run, "_carried", F.lit(0).alias("_at")).union(newest.select(run, "_newest", F.lit(1)))
+        merged = both.groupBy(run).agg(F.max_by("_carried", "_at").alias("_carried"))
         merged.write.mode("overwrite").parquet(f"{folder}/last/{BATCH}={batch_id}")
 
         linked = previous_value(logged, run, step, "_ppl", "_previous")
         # only the first step of a run in this batch looks back into the table
-        joined = linked.join(known, run, "left").withColumn("_previous", F.coalesce("_previous", "_carried"))
+        joined = join_keyed(linked, known, [run], "left").withColumn("_previous", F.coalesce("_previous", "_carried"))
         rated = reported(joined.drop("_carried"), min_ppl=min_ppl)
         rated.write.mode("overwrite").parquet(f"{folder}/data/{BATCH}={batch_id}")
 

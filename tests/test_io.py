@@ -96,6 +96,24 @@ def test_tokenize_job_over_a_manifest(spark, tmp_path):
     assert [r.prompt for r in ordered] == prompts
 
 
+def test_listed_files_of_every_kind(spark, tmp_path):
+    """Plain paths, a space in a name, a folder, a glob, a file listed twice, formats by ending."""
+    for name, rows in (("a b", [1, 2]), ("dir/x", [3]), ("dir/y", [4])):
+        spark.createDataFrame([(r,) for r in rows], "v long").coalesce(1).write.parquet(str(tmp_path / name))
+    (tmp_path / "z.jsonl").write_text('{"v": 9}\n')
+    listed = [str(tmp_path / "a b"), str(tmp_path / "dir" / "*"), str(tmp_path / "a b")]
+    df = readers.load_many(spark, listed, "parquet", ordinal="place")
+    assert sorted((r.place, r.v) for r in df.collect()) == [(0, 1), (0, 2), (1, 3), (1, 4), (2, 1), (2, 2)]
+    assert readers.load_many(spark, listed, "parquet").count() == 6
+    ordered = readers.in_file_order([str(tmp_path / "dir" / "y"), str(tmp_path / "a b")], spark).orderBy("file_no", "row_no")
+    assert [r.v for r in ordered.collect()] == [4, 1, 2]
+    (tmp_path / "t.txt").write_text("line\n")
+    mixed = readers.load_many(spark, [str(tmp_path / "t.txt"), str(tmp_path / "z.jsonl")], ordinal="place")
+    assert {(r.place, r.value, r.v) for r in mixed.collect()} == {(0, "line", None), (1, None, 9)}
+    with pytest.raises(FileNotFoundError):
+        readers.in_file_order([str(tmp_path / "dir"), str(tmp_path / "no*.parquet")], spark)
+
+
 def test_save_formats(spark, tmp_path):
     df = spark.createDataFrame([(1, None), (2, "b")], "k int, v string")
     path = str(tmp_path / "d")
@@ -120,37 +138,37 @@ def test_splits_and_single_split(spark, tmp_path):
     assert readers.load(spark, one, "splits", unwrap=False).columns == ["k", "split"]
 
 
-@pytest.mark.parametrize("numbers", [3, [0, 1, 2], (0, 3), iter([0, 1, 2])])
-def test_write_many_numbers(spark, tmp_path, numbers):
-    writers.write_many(strings(spark, ["data1", "data2", "data3"]), "k", numbers, str(tmp_path / "output_{i}.txt"))
-    assert [(tmp_path / f"output_{i}.txt").read_text() for i in range(3)] == ["data1", "data2", "data3"]
+LETTERS = ["é", "two\nlines", ""]
 
 
-def test_write_many_stops_at_the_shorter_side(spark, tmp_path):
-    writers.write_many(strings(spark, ["a", "b"]), "k", 3, str(tmp_path / "o_{i}"))
-    writers.write_many(strings(spark, ["c", "d", "e"]), "k", (5, 6), str(tmp_path / "o_{i}"))
-    assert sorted(os.listdir(tmp_path)) == ["o_0", "o_1", "o_5"]
-    with pytest.raises(TypeError):
-        writers.write_many(strings(spark, ["a"]), "k", "invalid", str(tmp_path / "p_{i}"))
-    with pytest.raises(ValueError):
-        writers.write_many(strings(spark, ["a"]), "k", 1, str(tmp_path / "p"))
+@pytest.mark.parametrize("numbers,first", [(3, 0), (range(7, 10), 7), ((4, 99), 4)])
+def test_numbered_files_hold_one_row_each(spark, tmp_path, numbers, first):
+    writers.write_many(strings(spark, LETTERS), "k", numbers, str(tmp_path / "part-{i}"))
+    assert {f: (tmp_path / f).read_text() for f in os.listdir(tmp_path)} == {f"part-{first + i}": x for i, x in enumerate(LETTERS)}
 
 
-def test_write_many_custom_writer_and_empty_data(spark, tmp_path):
-    def custom(value, output_file, mode):
-        with open(output_file, mode) as f:
-            f.write(f"custom: {value}")
+def test_rows_and_numbers_end_together(spark, tmp_path):
+    writers.write_many(strings(spark, LETTERS), "k", [11, 5], str(tmp_path / "{i}.x"))
+    assert (tmp_path / "11.x").read_text() == LETTERS[0] and sorted(os.listdir(tmp_path)) == ["11.x", "5.x"]
+    for wrong, kind in ((("n", "{i}"), TypeError), ((2, "same"), ValueError)):
+        with pytest.raises(kind):
+            writers.write_many(strings(spark, LETTERS), "k", wrong[0], str(tmp_path / wrong[1]))
+    assert len(os.listdir(tmp_path)) == 2
 
-    writers.write_many(strings(spark, ["x", "y"]), "k", 2, str(tmp_path / "c_{i}"), writer=custom, mode="w")
-    assert (tmp_path / "c_1").read_text() == "custom: y"
-    empty = spark.createDataFrame([], "k int, value string")
-    writers.write_many(empty, "k", 0, str(tmp_path / "e_{i}"))
-    assert sorted(os.listdir(tmp_path)) == ["c_0", "c_1"]
 
+def test_own_writer_gets_value_and_path(spark, tmp_path):
+    def shout(value, output_file, ending):
+        with open(output_file, "w") as out:
+            out.write(value.upper() + ending)
 
-def test_write_a_thousand_files(spark, tmp_path):
-    writers.write_many(strings(spark, [f"data{i}" for i in range(1000)]), "k", 1000, str(tmp_path / "f_{i}.txt"))
-    assert len(os.listdir(tmp_path)) == 1000 and (tmp_path / "f_999.txt").read_text() == "data999"
+    writers.write_many(strings(spark, ["ab"]), "k", 1, str(tmp_path / "{i}"), writer=shout, ending="!")
+    writers.write_many(spark.createDataFrame([], "k int, value string"), "k", 4, str(tmp_path / "none{i}"))
+    assert {f: (tmp_path / f).read_text() for f in os.listdir(tmp_path)} == {"0": "AB!"}
+
+
+def test_many_numbered_files(spark, tmp_path):
+    writers.write_many(spark.range(600).selectExpr("id AS k", "hex(id) AS value"), "k", 600, str(tmp_path / "{i}"))
+    assert all((tmp_path / str(i)).read_text() == f"{i:X}" for i in range(0, 600, 37)) and len(os.listdir(tmp_path)) == 600
 
 
 def test_lines(spark, tmp_path):
@@ -203,16 +221,30 @@ def test_streaming_perplexity_carries_over_and_restarts(spark, tmp_path):
     assert math.isclose(got["a", 2], math.e - math.exp(0.5)) and math.isclose(got["c", 1], -math.e)
 
 
-def test_streaming_pack_equals_packing_each_batch(spark, tmp_path):
+@pytest.mark.parametrize("at_once", [1, 2, 100])
+def test_streaming_pack_equals_packing_all(spark, tmp_path, at_once):
     from packfold.operators.packing import pack_aligned
 
     source, out = str(tmp_path / "in"), str(tmp_path / "out")
-    parts = [spark.createDataFrame([(10 * b + i, [5 + i] * (7 + i)) for i in range(6)], "k int, input_ids array<int>") for b in range(2)]
+    parts = [spark.createDataFrame([(10 * b + i, [5 + i] * (7 + i)) for i in range(6)], "k int, input_ids array<int>") for b in range(4)]
     for i, part in enumerate(parts):
         drop(part, source, str(i))
     options = {"bos": 1, "eos": 2, "seq_length": 8, "num_sequences": 2}
-    stream = readers.read_stream(spark, source, parts[0].schema, max_files=1)
+    stream = readers.read_stream(spark, source, parts[0].schema, max_files=at_once)
     streams.stream_packed(stream, "k", out, **options).awaitTermination()
-    saved = spark.read.parquet(f"{out}/data")
-    want = sum(pack_aligned(p, "k", **options).count() for p in parts)
-    assert saved.count() == want and saved.select("batch").distinct().count() == 2
+    streams.close_packed(spark, "k", out, parts[0].schema, **options)
+    whole = parts[0].union(parts[1]).union(parts[2]).union(parts[3])
+    rows = lambda df: sorted((r.buffer, r.chunk, list(r.input_ids)) for r in df.collect())
+    assert rows(spark.read.parquet(f"{out}/data")) == rows(pack_aligned(whole, "k", **options))
+
+
+def test_streaming_perplexity_of_a_run_without_a_name(spark, tmp_path):
+    source, out = str(tmp_path / "in"), str(tmp_path / "out")
+    schema = "run_id string, step int, loss double"
+    drop(spark.createDataFrame([(None, 1, 1.0)], schema), source, "0")
+    drop(spark.createDataFrame([(None, 2, 0.5)], schema), source, "1")
+    streams.stream_perplexity(readers.read_stream(spark, source, schema, max_files=1), out).awaitTermination()
+    import math
+
+    got = {r.step: r.delta_ppl for r in spark.read.parquet(f"{out}/data").collect()}
+    assert math.isclose(got[2], math.e - math.exp(0.5))
