@@ -263,7 +263,9 @@ def starts_of(rows: DataFrame) -> DataFrame:
             done = rows.join(sizes, "group").select("context", F.expr("shiftleft(1L, base)").alias("starts"))
         else:
             small = rows.join(sizes.filter(F.col("size") <= TOGETHER).select("group"), "group").select("group", "context", "base", "left", "right")
-            together = small.repartition("group").sortWithinPartitions("group")
+            # a number of its own, else adaptive execution deals a few bytes of much work to few tasks
+            tasks = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+            together = small.repartition(tasks, "group").sortWithinPartitions("group")
             done = together.mapInArrow(_sorted_groups(reach), "context long, starts long")
         found = done if found is None else found.union(done)
         large = sizes.filter(F.col("size") > TOGETHER).select("group")
@@ -275,28 +277,26 @@ def starts_of(rows: DataFrame) -> DataFrame:
         reach = finer
 
 
-def cut(text: bytes, found: list[dict]) -> tuple[bytes, list[tuple[int, int]]]:
-    """The bytes that stay, and the maximal runs (start, end) that go."""
-    if not found:
+def cut(text: bytes, at: np.ndarray, left: np.ndarray, right: np.ndarray, times: np.ndarray, starts: np.ndarray) -> tuple[bytes, list[tuple[int, int]]]:
+    """The bytes that stay, and the maximal runs (start, end) that go, by the anchors found.
+
+    All strings around an anchor go if its context is found twice, else those in ``starts``."""
+    if not len(at):
         return text, []
     edge = np.zeros(len(text) + 1, np.int64)
-    for o in found:
-        starts = o["starts"] or 0
-        if o["times"] > 1:
-            low, high = max(0, REACH - o["right"]), o["left"]
-            starts |= (1 << (high + 1)) - (1 << low) if high >= low else 0
-        while starts:
-            d = starts.bit_length() - 1
-            run = 0
-            while starts >> d & 1 and d >= 0:
-                starts ^= 1 << d
-                run += 1
-                d -= 1
-                if d < 0:
-                    break
-            # strings that begin d + run down to d + 1 bytes before the anchor
-            edge[o["at"] - d - run] += 1
-            edge[o["at"] - d - 1 + LENGTH] -= 1
+    low = np.maximum(REACH - right, 0)
+    whole = (times > 1) & (left >= low)
+    np.add.at(edge, at[whole] - left[whole], 1)
+    np.add.at(edge, at[whole] - low[whole] + LENGTH, -1)
+    for place, bits in zip(at[~whole].tolist(), starts[~whole].tolist()):
+        while bits:
+            near = (bits & -bits).bit_length() - 1
+            run = bits >> near
+            size = ((run + 1) & ~run).bit_length() - 1
+            bits &= ~(((1 << size) - 1) << near)
+            # strings that begin near + size - 1 down to near bytes before the anchor
+            edge[place - near - size + 1] += 1
+            edge[place - near + LENGTH] -= 1
     gone = np.cumsum(edge[:-1]) > 0
     change = np.flatnonzero(np.diff(np.concatenate([[False], gone, [False]]).astype(np.int8)))
     return np.frombuffer(text, np.uint8)[~gone].tobytes(), list(zip(change[::2].tolist(), change[1::2].tolist()))
@@ -350,7 +350,11 @@ def remove_repeats(df: DataFrame, key: str = "doc_id", text: str = "text") -> Da
 
     def apply(batch: pa.RecordBatch) -> dict[str, pa.Array]:
         whole = [x.encode() if x else b"" for x in batch.column(2).to_pylist()]
-        made = [cut(x, h) for x, h in zip(whole, batch.column(1).to_pylist())]
+        hits = batch.column(1).fill_null([]) if batch.column(1).null_count else batch.column(1)
+        flat = hits.flatten()
+        fields = [np.asarray(flat.field(i).fill_null(0)) for i in range(5)]
+        edges = np.concatenate([[0], np.cumsum(np.asarray(hits.value_lengths()))]).tolist()
+        made = [cut(x, *[f[a:b] for f in fields]) for x, a, b in zip(whole, edges[:-1], edges[1:])]
         spans = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
         return {
             "n_bytes": pa.array([len(x) for x in whole], pa.int64()),
