@@ -36,7 +36,8 @@ LEAST_AGREEMENT = 0.6
 FILTER_BITS = 1 << 24
 # Components of a bucket up to which each is paired with the others' nodes.
 MANY = 8
-BLOCK = 1 << 22
+# Bands that a bucket of several components is combined with to cut it.
+FURTHER = 6
 
 _OPEN = U64(0xFFFFFFFFFFFFFFFF)
 _TIME_STEP, _POINT_STEP = U64(0xA24BAED4963EE407), U64(0x9FB21C651E98DF25)
@@ -153,7 +154,7 @@ SIGNED = [("n_shingles", T.LongType()), ("node", T.BinaryType()), ("signature",
 
 def sign(batch: pa.RecordBatch) -> dict[str, np.ndarray | pa.Array]:
     n, node, signature = [np.empty(0, np.int64)], [np.empty((0, 2), U64)], [np.empty((0, SLOTS), np.uint32)]
-    for block in texts.blocks(batch.column(1), BLOCK):
+    for block in texts.blocks(batch.column(1)):
         text, hashes, weight, total = shingles(block)
         n.append(total)
         node.append(names(text, hashes, weight, len(block.starts)))
@@ -164,7 +165,8 @@ def sign(batch: pa.RecordBatch) -> dict[str, np.ndarray | pa.Array]:
     return {
         "n_shingles": np.concatenate(n),
         "node": _binary(np.concatenate(node)),
-        "signature": _binary(signature),
+        # half of each slot is enough to compare
+        "signature": _binary(signature.astype(np.uint16)),
         "bands": pa.ListArray.from_arrays(offsets, flat),
     }
 
@@ -190,11 +192,11 @@ def star_pairs(ranked: DataFrame) -> DataFrame:
         F.max(F.struct("rank", who.alias("who"))).alias("hub"), F.min(order).alias("low"), F.max(order).alias("high")
     )
     centres = centres.select("band", F.array_distinct(F.array("hub.who", "low.who", "high.who")).alias("centres"))
-    return _as_pairs(ranked.join(centres, "band").select("node", "root", F.explode("centres").alias("centre")))
+    apart = F.filter("centres", lambda c: c["root"] != F.col("root"))
+    return _as_pairs(ranked.join(centres, "band").select("node", F.explode(apart).alias("centre")))
 
 
 def _as_pairs(pairs: DataFrame) -> DataFrame:
-    pairs = pairs.filter(F.col("root") != F.col("centre.root"))
     return pairs.select(F.least("node", "centre.node").alias("a"), F.greatest("node", "centre.node").alias("b")).distinct()
 
 
@@ -202,8 +204,8 @@ def cross_pairs(ranked: DataFrame, nodes: DataFrame, roots: DataFrame) -> DataFr
     """Pairs of nodes of different components for buckets that hold several.
 
     In buckets of up to MANY components the first of each by rank meets the nodes of the
-    others. All of them are also cut into finer ones, by each further band that nodes share,
-    and paired as stars there. Rows stay linear in those of the buckets.
+    others. All of them are also cut into finer ones, by a further band that nodes share, and
+    paired as stars there. Rows stay linear in those of the buckets.
     """
     rooted = ranked.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     rooted = materialize(rooted, "rooted-bands")
@@ -211,17 +213,21 @@ def cross_pairs(ranked: DataFrame, nodes: DataFrame, roots: DataFrame) -> DataFr
     hubs = materialize(hubs.select("band", F.struct("hub.node", "root").alias("centre")), "hubs")
     several = hubs.groupBy("band").agg(F.count(F.lit(1)).alias("parts")).filter(F.col("parts") > 1)
     several = materialize(several, "mixed-bands")
-    few = hubs.join(several.filter(F.col("parts") <= MANY), "band")
-    direct = rooted.join(few, "band").select("node", "root", "centre")
-    mixed = rooted.join(several.select("band"), "band").select("band", "node", "root", "rank")
-    finer = mixed.join(nodes.select("node", F.explode("bands").alias("other")), "node").filter(F.col("band") != F.col("other"))
-    finer = finer.select(F.xxhash64(F.least("band", "other"), F.greatest("band", "other")).alias("band"), "node", "root", "rank")
-    return _as_pairs(direct).union(star_pairs(finer.distinct())).distinct()
+    few = hubs.join(several.filter(F.col("parts") <= MANY), "band").groupBy("band").agg(F.collect_list("centre").alias("centres"))
+    apart = F.filter("centres", lambda c: c["root"] != F.col("root"))
+    direct = rooted.join(few, "band").select("node", F.explode(apart).alias("centre"))
+    mixed = rooted.join(several.select("band"), "band").select("band", "node", "root", "rank").join(nodes.select("node", "bands"), "node")
+    # the FURTHER bands after this one, in a circle
+    circle = F.concat("bands", F.slice("bands", 1, FURTHER))
+    others = F.slice(circle, F.array_position("bands", F.col("band")).cast("int") + 1, FURTHER)
+    finer = mixed.select("band", "node", "root", "rank", F.explode(others).alias("other"))
+    finer = finer.select(F.xxhash64("band", "other").alias("band"), "node", "root", "rank")
+    return _as_pairs(direct).union(star_pairs(finer)).distinct()
 
 
 def _agreement(batches):
     for batch in batches:
-        a, b = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint32).reshape(-1, SLOTS) for c in (2, 3))
+        a, b = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint16).reshape(-1, SLOTS) for c in (2, 3))
         share = (a == b).mean(axis=1) if len(a) else np.empty(0)
         keep = pa.array(share >= LEAST_AGREEMENT)
         yield batch.select([0, 1]).filter(keep)
@@ -229,17 +235,16 @@ def _agreement(batches):
 
 def _bags(passing: np.ndarray):
     def work(batches):
-        for batch in batches:
-            node, bag = [], []
-            for block in texts.blocks(batch.column(0), BLOCK):
-                text, hashes, weight, total = shingles(block)
-                name = names(text, hashes, weight, len(block.starts))
-                edge = np.searchsorted(text, np.arange(len(block.starts) + 1))
-                for i in np.flatnonzero(passing[(name[:, 0] & U64(FILTER_BITS - 1)).astype(np.int64)] & (total > 0)):
-                    of = slice(edge[i], edge[i + 1])
-                    node.append(name[i].tobytes())
-                    bag.append(hashes[of].tobytes() + weight[of].astype("<u4").tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(node, pa.binary()), pa.array(bag, pa.binary())], names=["node", "bag"])
+        for block in (b for batch in batches for b in texts.blocks(batch.column(0))):
+            text, hashes, weight, total = shingles(block)
+            name = names(text, hashes, weight, len(block.starts))
+            edge = np.searchsorted(text, np.arange(len(block.starts) + 1))
+            wanted = np.flatnonzero(passing[(name[:, 0] & U64(FILTER_BITS - 1)).astype(np.int64)] & (total > 0))
+            spans = [slice(edge[i], edge[i + 1]) for i in wanted]
+            bag = [hashes[of].tobytes() + weight[of].astype("<u4").tobytes() for of in spans]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([name[i].tobytes() for i in wanted], pa.binary()), pa.array(bag, pa.binary())], names=["node", "bag"]
+            )
 
     return work
 
@@ -290,13 +295,15 @@ def _passing(nodes: DataFrame) -> np.ndarray:
 
 def verified(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, similarity: float) -> DataFrame:
     """Those of the pairs (a, b) whose multisets are similar enough, as (u, v), written."""
+    spark = docs.sparkSession
     near = _with_both(pairs, nodes, "signature").mapInArrow(_agreement, "a binary, b binary")
     near = materialize(near, "near-pairs")
     wanted = near.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    bags = docs.select("text").mapInArrow(_bags(_passing(wanted)), "node binary, bag binary")
-    # copies of a text have one bag: they meet before the shuffle
-    bags = materialize(bags.groupBy("node").agg(F.first("bag").alias("bag")).join(wanted, "node"), "bags")
-    return materialize(_with_both(near, bags, "bag").mapInArrow(_verified(similarity), "u binary, v binary"), "links")
+    with texts.small_batches(spark):
+        bags = docs.select("text").mapInArrow(_bags(_passing(wanted)), "node binary, bag binary")
+        # copies of a text have one bag: they meet before the shuffle
+        bags = materialize(bags.groupBy("node").agg(F.first("bag").alias("bag")).join(wanted, "node"), "bags")
+        return materialize(_with_both(near, bags, "bag").mapInArrow(_verified(similarity), "u binary, v binary"), "links")
 
 
 def linked_roots(docs: DataFrame, nodes: DataFrame, similarity: float) -> DataFrame:
@@ -327,14 +334,14 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", simi
     other. Other columns are ignored.
     """
     docs = df.select(F.col(f"`{key}`").alias("key"), F.col(f"`{text}`").alias("text"))
-    signed = texts.map_texts(docs, ["key"], "text", SIGNED, sign)
-    # all that a node has is the same in its rows
-    nodes = signed.filter(F.col("n_shingles") > 0).groupBy("node").agg(
-        F.count(F.lit(1)).alias("times"), F.min("key").alias("least"), F.first("signature").alias("signature"), F.first("bands").alias("bands")
-    )
-    nodes = materialize(nodes, "nodes")
-    rows = materialize(texts.map_texts(docs, ["key"], "text", SIGNED[:2], name_only), "named")
-
+    with texts.small_batches(df.sparkSession):
+        signed = texts.map_texts(docs, ["key"], "text", SIGNED, sign)
+        # all that a node has is the same in its rows
+        nodes = signed.filter(F.col("n_shingles") > 0).groupBy("node").agg(
+            F.count(F.lit(1)).alias("times"), F.min("key").alias("least"), F.first("signature").alias("signature"), F.first("bands").alias("bands")
+        )
+        nodes = materialize(nodes, "nodes")
+        rows = materialize(texts.map_texts(docs, ["key"], "text", SIGNED[:2], name_only), "named")
     roots = linked_roots(docs, nodes, similarity)
     owned = nodes.select("node", "times", "least").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     owned = materialize(owned, "owned")
@@ -348,7 +355,7 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", simi
 
 def name_only(batch: pa.RecordBatch) -> dict[str, np.ndarray | pa.Array]:
     n, node = [np.empty(0, np.int64)], [np.empty((0, 2), U64)]
-    for block in texts.blocks(batch.column(1), BLOCK):
+    for block in texts.blocks(batch.column(1)):
         text, hashes, weight, total = shingles(block)
         n.append(total)
         node.append(names(text, hashes, weight, len(block.starts)))
