@@ -8,15 +8,18 @@ arrays stay small however large a batch is. One text longer than that is a block
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Sequence
+from contextlib import contextmanager
 from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 BLOCK = 1 << 20
+# Rows that ``map_texts`` works on at a time, so that results stay small beside their batch.
+ROWS = 2_000
 
 U64 = np.uint64
 _BASE = U64(0x9E3779B97F4A7C15)
@@ -192,7 +195,7 @@ def map_texts(
     )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (whole.slice(at, ROWS) for whole in batches for at in range(0, max(whole.num_rows, 1), ROWS)):
             made = work(batch)
             arrays = [batch.column(batch.schema.get_field_index(k)) for k in inner]
             arrays += [pa.array(made[name]) if not isinstance(made[name], pa.Array) else made[name] for name, _ in fields]
@@ -205,6 +208,19 @@ def map_texts(
     )
 
 
+@contextmanager
+def small_batches(spark: SparkSession, rows: int = 1_000) -> Iterator[None]:
+    """Plans made inside hand Python this many rows at a time, for wide rows. They must also
+    run inside; the session's own setting comes back at the end."""
+    setting = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(setting)
+    spark.conf.set(setting, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(setting, before)
+
+
 def gather(parts: Sequence[dict[str, np.ndarray]], names: Sequence[str]) -> dict[str, np.ndarray]:
     """The blocks' results as those of the batch."""
     return {n: np.concatenate([p[n] for p in parts]) if parts else np.empty(0) for n in names}

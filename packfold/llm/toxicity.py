@@ -96,8 +96,8 @@ def logits(block: Block, model: Model) -> np.ndarray:
     return model.bias + total / np.maximum(count, 1)
 
 
-def fit(text: np.ndarray, bucket: np.ndarray, weight: np.ndarray, label: np.ndarray, seed: int = 7) -> Model:
-    """Train on bags: ``bucket`` occurs ``weight`` times, as a share, in bag ``text`` (ascending).
+def fit(offset: np.ndarray, bucket: np.ndarray, weight: np.ndarray, label: np.ndarray, seed: int = 7) -> Model:
+    """Train on bags: bag i has bucket[offset[i]:offset[i + 1]], each with its share ``weight``.
 
     Mini-batches with Adagrad steps; every batch updates the table and the softmax together.
     """
@@ -107,7 +107,6 @@ def fit(text: np.ndarray, bucket: np.ndarray, weight: np.ndarray, label: np.ndar
     bias = np.zeros(2, np.float32)
     seen_table = np.full(BUCKETS, 1e-8, np.float32)
     seen_soft, seen_bias = np.full(soft.shape, 1e-8, np.float32), np.full(2, 1e-8, np.float32)
-    offset = np.searchsorted(text, np.arange(len(label) + 1))
     size = 64
     for epoch in range(EPOCHS):
         rate = 1.0 * (1 - epoch / EPOCHS)
@@ -188,8 +187,8 @@ def train(df: DataFrame, labels: DataFrame, trainable: Column, key: str, text: s
         rate = (target.sum() + 1) / (len(target) + 2)
         return Model(np.zeros(BUCKETS), float(np.log(rate / (1 - rate))))
     bucket, share = got.column("bucket").combine_chunks(), got.column("share").combine_chunks()
-    length = np.diff(np.asarray(bucket.offsets))
-    return fit(np.repeat(np.arange(len(target)), length), np.asarray(bucket.flatten()), np.asarray(share.flatten()), target)
+    offset = np.concatenate([[0], np.cumsum(np.asarray(bucket.value_lengths()))])
+    return fit(offset, np.asarray(bucket.flatten()), np.asarray(share.flatten()), target)
 
 
 def scored(df: DataFrame, model: Model, key: str = "doc_id", text: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
