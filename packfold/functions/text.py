@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -43,8 +45,19 @@ def file_url(path: Column, prefix: str) -> Column:
     return F.when(F.startswith(path, F.lit(start)), F.concat(F.lit(f"{HUB_URL}{prefix}/resolve/main/"), rest)).otherwise(path)
 
 
+# A place for a number: {i}, or {i:05d} with leading zeros up to a width, or {i:5d} with spaces.
+NUMBER_PLACE = re.compile(r"\{i(?::(0?)(\d*)d?)?\}")
+
+
 def numbered_path(pattern: str, number: Column) -> Column:
-    return F.replace(F.lit(pattern), F.lit("{i}"), number.cast("string"))
+    """``pattern`` with the number in every place for one; a longer number is not cut."""
+    parts, at = [], 0
+    for place in NUMBER_PLACE.finditer(pattern):
+        digits, width = number.cast("string"), int(place[2] or 0)
+        padded = F.lpad(digits, width, "0" if place[1] else " ") if width else digits
+        parts += [F.lit(pattern[at : place.start()]), F.when(F.length(digits) < width, padded).otherwise(digits)]
+        at = place.end()
+    return F.concat(*parts, F.lit(pattern[at:]))
 
 
 def json_line(value: Column) -> Column:

@@ -66,10 +66,13 @@ def _document_positions(df: DataFrame, doc: str) -> DataFrame:
     """Add ``_base``, the position of a document's first paragraph: positions of all its
     paragraphs stay below the next document's.
 
-    Integer ids in a limited range are shifted in place. Other ids are numbered first.
+    Integer ids in a limited range are shifted in place. Other ids are numbered first. Ids must
+    be unique; an id met twice stops the job either way.
     """
     if df.schema[doc].dataType.simpleString() in ("tinyint", "smallint", "int", "bigint"):
-        low, high = df.agg(F.min(doc), F.max(doc)).first()
+        low, high, rows, ids = df.agg(F.min(doc), F.max(doc), F.count(doc), F.count_distinct(doc)).first()
+        if rows != ids:
+            raise ValueError(f"values of {doc} are not unique")
         if low is None or (high - low).bit_length() + PARAGRAPH_BITS <= 62:
             return df.withColumn("_base", F.shiftleft(F.col(doc).cast("long") - F.lit(low or 0), PARAGRAPH_BITS))
     numbered, rows, _ = ordinals(df, doc)

@@ -8,7 +8,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from packfold.functions.text import json_line, numbered_path, tsv_safe
+from packfold.functions.text import NUMBER_PLACE, json_line, numbered_path, tsv_safe
 from packfold.plans.ordinals import ordinals, join_back, names
 from packfold.session import materialize
 from packfold.sources.manifests import catalogue
@@ -99,7 +99,7 @@ def plan_files(df: DataFrame, order_by: str | Sequence[str], numbers, pattern: s
 
     Adds ``shard_id`` and ``output_file``. Rows past the last number are left out, as pairing asks.
     """
-    if "{i}" not in pattern:
+    if not NUMBER_PLACE.search(pattern):
         raise ValueError(f"pattern {pattern} has no {{i}}: all rows would share one file")
     keys = names(order_by)
     numbered, rows, _ = ordinals(df, keys)

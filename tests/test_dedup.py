@@ -100,3 +100,9 @@ def test_statistics(spark):
     row = dedup.ngram_stats(df, exact=True, min_size=2, max_size=2).first()
     assert (row.ngrams, row.distinct_ngrams) == (5, 3)
     assert row.filter_bits == 29
+
+
+def test_an_id_met_twice_stops_the_job(spark):
+    twice = spark.createDataFrame([(1, "a b c"), (1, "a b c")], "doc_id long, text string")
+    with pytest.raises(ValueError, match="not unique"):
+        dedup.remove_seen(twice, "doc_id", min_size=2, max_size=2)

@@ -244,11 +244,12 @@ def test_scalars(spark):
         tx.file_url(F.lit("datasets/o/g/socratic/t.parquet"), "datasets/o/g").alias("url"),
         tx.file_url(F.lit("other/t.parquet"), "datasets/o/g").alias("kept"),
         tx.numbered_path("f-{i}.txt", F.lit(3)).alias("path"),
+        tx.numbered_path("a{i:05d}b{i:2d}", F.lit(123)).alias("padded"),
         tx.stripped(F.lit(" \t x \r\n")).alias("strip"),
         round_up(F.lit(65), 64).alias("up"),
         tx.json_line(F.struct(F.lit(None).cast("int").alias("a"), F.lit("é").alias("b"))).alias("json"),
     ).first()
-    assert row.tsv == "a    b<br>c" and row.path == "f-3.txt" and row.strip == "x" and row.up == 128
+    assert row.tsv == "a    b<br>c" and row.path == "f-3.txt" and row.padded == "a00123b123" and row.strip == "x" and row.up == 128
     assert row.url == "https://huggingface.co/datasets/o/g/resolve/main/socratic/t.parquet" and row.kept == "other/t.parquet"
     assert row.json == '{"a":null,"b":"é"}'
 
