@@ -87,7 +87,7 @@ def signatures(text: np.ndarray, hashes: np.ndarray, weight: np.ndarray, n_texts
     level = 1
     while (deep := weight > 2 ** (level - 1)).any():
         own.append(text[deep])
-        name.append(texts.mix(hashes[deep] + U64(level * int(texts._STEP) % 2**64)))
+        name.append(texts.mix(hashes[deep] + U64(level * int(texts.STEP) % 2**64)))
         size.append(np.full(deep.sum(), level - 1))
         floor.append(np.full(deep.sum(), 2.0 ** (level - 1)))
         reach.append(weight[deep])
@@ -127,7 +127,7 @@ def bands(signature: np.ndarray) -> np.ndarray:
     parts = signature.reshape(len(signature), BANDS, ROWS).astype(U64)
     total = np.broadcast_to(np.arange(BANDS, dtype=U64), parts.shape[:2]).copy()
     for r in range(ROWS):
-        total = texts.mix(total * texts._STEP + parts[:, :, r])
+        total = texts.mix(total * texts.STEP + parts[:, :, r])
     return total
 
 

@@ -47,7 +47,7 @@ def words_of(block: Block) -> tuple[np.ndarray, np.ndarray]:
 def _joined(words: np.ndarray, at: np.ndarray, n: int) -> np.ndarray:
     total = np.zeros(len(at), U64)
     for k in range(n):
-        total = total * texts._STEP + words[at + k]
+        total = total * texts.STEP + words[at + k]
     return texts.mix(total ^ U64(n))
 
 

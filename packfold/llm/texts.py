@@ -24,7 +24,7 @@ ROWS = 2_000
 U64 = np.uint64
 _BASE = U64(0x9E3779B97F4A7C15)
 _BASE_INVERSE = U64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
-_STEP = U64(0xD6E8FEB86659FD93)
+STEP = U64(0xD6E8FEB86659FD93)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -127,7 +127,7 @@ def prefix_hash(data: np.ndarray, fold: np.ndarray | None = None) -> np.ndarray:
 def slice_hash(sums: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
     """64-bit hashes of data[start:end], equal for equal bytes wherever they lie."""
     _, inverse = powers(len(sums))
-    return mix((sums[end] - sums[start]) * inverse[start] + (end - start).astype(U64) * _STEP)
+    return mix((sums[end] - sums[start]) * inverse[start] + (end - start).astype(U64) * STEP)
 
 
 def ngrams(hashes: np.ndarray, text: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -137,7 +137,7 @@ def ngrams(hashes: np.ndarray, text: np.ndarray, n: int) -> tuple[np.ndarray, np
     last = len(hashes) - n + 1
     total = np.zeros(last, U64)
     for k in range(n):
-        total = total * _STEP + hashes[k : k + last]
+        total = total * STEP + hashes[k : k + last]
     first = np.flatnonzero(text[:last] == text[n - 1 :])
     return mix(total[first]), first
 
