@@ -10,7 +10,7 @@ from packfold.functions import arrays
 from packfold.functions.encoders import HashEncoder
 from packfold.functions.text import stripped
 from packfold.functions.tokenizers import ByteTokenizer, WordTokenizer
-from packfold.operators import embedding, grouping, mapping, mixing, packing, padding, selecting, tokenizing
+from packfold.operators import embedding, grouping, mapping, mixing, packing, padding, tokenizing
 from packfold.operators.perplexity import perplexity_series as series
 from packfold.plans.ordinals import with_ordinal
 from packfold.sources.readers import spread

@@ -1,7 +1,6 @@
 """Tokenizers, chats, padding, mixing, grouping and embedding on small known inputs."""
 
 import math
-import random
 
 import numpy as np
 import pytest
