@@ -188,7 +188,10 @@ def map_texts(
     the names ``_k0``, ``_k1``...; only these columns leave the table, whatever else it has.
     """
     inner = [f"_k{i}" for i in range(len(keep))]
-    chosen = df.select(*[F.col(f"`{c}`").alias(k) for c, k in zip(keep, inner)], F.col(f"`{text}`").alias("_text"))
+    named = [F.col(f"`{c}`").alias(k) for c, k in zip(keep, inner)]
+    # a text that is kept as well goes to Python once
+    own = list(keep).index(text) if text in keep else None
+    chosen = df.select(*named, *([] if own is not None else [F.col(f"`{text}`").alias("_text")]))
     types = [df.schema[c].dataType for c in keep]
     schema = T.StructType(
         [T.StructField(k, t) for k, t in zip(inner, types)] + [T.StructField(f"_r{i}", t) for i, (_, t) in enumerate(fields)]
@@ -196,7 +199,7 @@ def map_texts(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in (whole.slice(at, ROWS) for whole in batches for at in range(0, max(whole.num_rows, 1), ROWS)):
-            made = work(batch)
+            made = work(batch if own is None else batch.append_column("_text", batch.column(own)))
             arrays = [batch.column(batch.schema.get_field_index(k)) for k in inner]
             arrays += [pa.array(made[name]) if not isinstance(made[name], pa.Array) else made[name] for name, _ in fields]
             yield pa.RecordBatch.from_arrays(arrays, names=[f.name for f in schema.fields])

@@ -29,6 +29,8 @@ TRAINING_ROWS = (3_000, 1_500)
 BUCKETS = 1 << 17
 SIZES = (3, 4, 5)
 DIMENSIONS = 4
+# Bytes of text at a time; every byte stands in several n-grams.
+BLOCK = 1 << 19
 EPOCHS = 12
 THRESHOLD = 0.7
 
@@ -156,7 +158,7 @@ def shares(block: Block) -> list[tuple[np.ndarray, np.ndarray]]:
 
 
 def _bags(batch: pa.RecordBatch) -> dict[str, pa.Array]:
-    made = [pair for block in texts.blocks(batch.column(2)) for pair in shares(block)]
+    made = [pair for block in texts.blocks(batch.column(2), BLOCK) for pair in shares(block)]
     return {
         "bucket": pa.array([b for b, _ in made], pa.list_(pa.int32())),
         "share": pa.array([w for _, w in made], pa.list_(pa.float32())),
@@ -181,7 +183,8 @@ def train(df: DataFrame, labels: DataFrame, trainable: Column, key: str, text: s
         F.broadcast(sample), F.col("key") == F.col("_labelled")
     )
     fields = [("bucket", T.ArrayType(T.IntegerType())), ("share", T.ArrayType(T.FloatType()))]
-    got = texts.map_texts(chosen, ["key", "_label"], "text", fields, _bags).toArrow().sort_by("key")
+    with texts.small_batches(df.sparkSession):
+        got = texts.map_texts(chosen, ["key", "_label"], "text", fields, _bags).toArrow().sort_by("key")
     target = np.asarray(got.column("_label")).astype(np.int64)
     if len(set(target.tolist())) < 2:
         rate = (target.sum() + 1) / (len(target) + 2)
@@ -196,7 +199,7 @@ def scored(df: DataFrame, model: Model, key: str = "doc_id", text: str = "text",
 
     def work(batch: pa.RecordBatch) -> dict[str, np.ndarray]:
         column = batch.column(batch.num_columns - 1)
-        parts = [np.empty(0)] + [logits(b, model) for b in texts.blocks(column)]
+        parts = [np.empty(0)] + [logits(b, model) for b in texts.blocks(column, BLOCK)]
         score = 1 / (1 + np.exp(-np.clip(np.concatenate(parts), -700, 700)))
         return {"score": score, "predicted": (score >= THRESHOLD).astype(np.int32)}
 
