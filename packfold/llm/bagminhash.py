@@ -34,10 +34,10 @@ SLOTS = BANDS * ROWS
 LEAST_AGREEMENT = 0.6
 # Bits of the filter that tells which texts may be in a pair; 2 MB at any size of the table.
 FILTER_BITS = 1 << 24
-# Components of a bucket up to which each is paired with the others' nodes.
-MANY = 8
-# Bands that a bucket of several components is combined with to cut it.
-FURTHER = 6
+# Nodes of a bucket that meet in one tile; larger buckets are dealt over several tiles.
+TILE = 1024
+# Pairs of a tile that are compared at a time.
+CELLS = 1 << 16
 
 _OPEN = U64(0xFFFFFFFFFFFFFFFF)
 _TIME_STEP, _POINT_STEP = U64(0xA24BAED4963EE407), U64(0x9FB21C651E98DF25)
@@ -149,7 +149,7 @@ def _binary(rows: np.ndarray) -> pa.Array:
     return pa.Array.from_buffers(pa.binary(), len(rows), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(rows))])
 
 
-SIGNED = [("n_shingles", T.LongType()), ("node", T.BinaryType()), ("signature", T.BinaryType()), ("bands", T.ArrayType(T.LongType()))]
+SIGNED = [("n_shingles", T.LongType()), ("node", T.BinaryType()), ("signature", T.BinaryType()), ("bands", T.ArrayType(T.LongType())), ("sketch", T.BinaryType())]
 
 
 def sign(batch: pa.RecordBatch) -> dict[str, np.ndarray | pa.Array]:
@@ -168,6 +168,8 @@ def sign(batch: pa.RecordBatch) -> dict[str, np.ndarray | pa.Array]:
         # half of each slot is enough to compare
         "signature": _binary(signature.astype(np.uint16)),
         "bands": pa.ListArray.from_arrays(offsets, flat),
+        # a byte of each slot: slots agree by chance a little more often, never less
+        "sketch": _binary(signature.astype(np.uint8)),
     }
 
 
@@ -200,29 +202,170 @@ def _as_pairs(pairs: DataFrame) -> DataFrame:
     return pairs.select(F.least("node", "centre.node").alias("a"), F.greatest("node", "centre.node").alias("b")).distinct()
 
 
-def cross_pairs(ranked: DataFrame, nodes: DataFrame, roots: DataFrame) -> DataFrame:
-    """Pairs of nodes of different components for buckets that hold several.
+def tiles(ranked: DataFrame, nodes: DataFrame, roots: DataFrame) -> DataFrame:
+    """(tile, band, side, node, root, n, bands, sketch): every two nodes of one bucket and of different
+    components meet in a tile, on its sides 0 and 1 or both on side 2.
 
-    In buckets of up to MANY components the first of each by rank meets the nodes of the
-    others. All of them are also cut into finer ones, by a further band that nodes share, and
-    paired as stars there. Rows stay linear in those of the buckets.
+    A bucket of up to TILE nodes is one tile. In larger ones the nodes of the largest component
+    (most of the bucket, as a rule) meet only those of the others, which meet each other too.
     """
-    rooted = ranked.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    rooted = ranked.join(roots, "node", "left").select("band", "node", F.coalesce("root", "node").alias("root"))
     rooted = materialize(rooted, "rooted-bands")
-    hubs = rooted.groupBy("band", "root").agg(F.max(F.struct("rank", "node")).alias("hub"))
-    hubs = materialize(hubs.select("band", F.struct("hub.node", "root").alias("centre")), "hubs")
-    several = hubs.groupBy("band").agg(F.count(F.lit(1)).alias("parts")).filter(F.col("parts") > 1)
-    several = materialize(several, "mixed-bands")
-    few = hubs.join(several.filter(F.col("parts") <= MANY), "band").groupBy("band").agg(F.collect_list("centre").alias("centres"))
-    apart = F.filter("centres", lambda c: c["root"] != F.col("root"))
-    direct = rooted.join(few, "band").select("node", F.explode(apart).alias("centre"))
-    mixed = rooted.join(several.select("band"), "band").select("band", "node", "root", "rank").join(nodes.select("node", "bands"), "node")
-    # the FURTHER bands after this one, in a circle
-    circle = F.concat("bands", F.slice("bands", 1, FURTHER))
-    others = F.slice(circle, F.array_position("bands", F.col("band")).cast("int") + 1, FURTHER)
-    finer = mixed.select("band", "node", "root", "rank", F.explode(others).alias("other"))
-    finer = finer.select(F.xxhash64("band", "other").alias("band"), "node", "root", "rank")
-    return _as_pairs(direct).union(star_pairs(finer)).distinct()
+    parts = rooted.groupBy("band", "root").agg(F.count(F.lit(1)).alias("n"))
+    mixed = parts.groupBy("band").agg(F.sum("n").alias("size"), F.count(F.lit(1)).alias("parts"), F.max(F.struct("n", "root")).alias("top"))
+    mixed = materialize(mixed.filter(F.col("parts") > 1).select("band", "size", "top"), "mixed-bands")
+    many = lambda n: F.greatest(F.ceil(n / TILE).cast("int"), F.lit(1))
+    placed = rooted.join(mixed, "band").select(
+        "band",
+        "node",
+        "root",
+        "size",
+        (F.col("root") == F.col("top.root")).alias("is_top"),
+        many(F.col("top.n")).alias("tops"),
+        many(F.col("size") - F.col("top.n")).alias("others"),
+    )
+    count = F.when(F.col("is_top"), F.col("tops")).otherwise(F.col("others"))
+    placed = placed.withColumn("part", F.pmod(F.xxhash64("band", "node"), count).cast("int"))
+
+    def cell(kind, i, j, side):
+        return F.struct(F.lit(kind).alias("kind"), i.alias("i"), j.alias("j"), side.cast("int").alias("side"))
+
+    part, zero = F.col("part"), F.lit(0)
+    each = lambda n, make: F.transform(F.sequence(zero, F.col(n) - 1), make)
+    with_top = F.when(F.col("is_top"), each("others", lambda q: cell(0, part, q, zero))).otherwise(
+        each("tops", lambda p: cell(0, p, part, F.lit(1)))
+    )
+    among = each(
+        "others",
+        lambda q: cell(1, F.least(q, part), F.greatest(q, part), F.when(q == part, 2).when(part < q, 0).otherwise(1)),
+    )
+    cells = (
+        F.when(F.col("size") <= TILE, F.array(cell(1, zero, zero, F.lit(2))))
+        .when(F.col("is_top"), with_top)
+        .otherwise(F.concat(with_top, among))
+    )
+    known = nodes.select("node", "n", "bands", "sketch")
+    dealt = placed.join(known, "node").withColumn("cell", F.explode(cells))
+    tile = F.xxhash64("band", "cell.kind", "cell.i", "cell.j")
+    return dealt.select(tile.alias("tile"), "band", "cell.side", "node", "root", "n", "bands", "sketch")
+
+
+def _words(column: pa.ChunkedArray) -> np.ndarray:
+    """The first eight bytes of binary values."""
+    return np.frombuffer(b"".join(x[:8] for x in column.to_pylist()), U64)
+
+
+def _tile_pairs(tile: pa.Table, similarity: float, best: bool):
+    """Pairs of the tile that may be similar enough, as indices, each pair in the first bucket
+    that it shares; with ``best`` the likeliest of each node only, in any bucket."""
+    side, n = np.asarray(tile.column("side")), np.asarray(tile.column("n"))
+    root = _words(tile.column("root"))
+    sketch = np.frombuffer(b"".join(tile.column("sketch").to_pylist()), np.uint8).reshape(-1, SLOTS)
+    bands = np.asarray(tile.column("bands").combine_chunks().flatten()).reshape(-1, BANDS)
+    band = tile.column("band")[0].as_py()
+    left, right = np.flatnonzero(side != 0), np.flatnonzero(side != 1)
+    step = max(CELLS // max(len(right), 1), 1)
+    for rows in (left[at : at + step] for at in range(0, len(left), step)):
+        # sizes bound the similarity from above
+        low, high = (f(n[rows][:, None], n[right][None, :]) for f in (np.minimum, np.maximum))
+        may = (low >= (similarity - 1e-9) * high) & (root[rows][:, None] != root[right][None, :])
+        x, y = np.nonzero(may)
+        agree = np.zeros(may.shape, np.int64)
+        agree[x, y] = np.count_nonzero(sketch[rows[x]] == sketch[right[y]], axis=1)
+        if best:
+            y = agree.argmax(axis=1) if len(right) else np.empty(0, int)
+            x = np.flatnonzero(agree[np.arange(len(y)), y] >= LEAST_AGREEMENT * SLOTS)
+            x, y = rows[x], right[y[x]]
+        else:
+            x, y = np.nonzero(agree >= LEAST_AGREEMENT * SLOTS)
+            x, y = rows[x], right[y]
+            once = x < y if len(side) and side[0] == 2 else np.ones(len(x), np.bool_)
+            x, y = x[once], y[once]
+            shared = bands[x] == bands[y]
+            first = bands[x, shared.argmax(axis=1)] == band
+            x, y = x[first], y[first]
+        yield x, y
+
+
+def _by_tile(made):
+    """A function of batches sorted by tile that hands ``made`` a whole tile at a time."""
+
+    def work(batches):
+        held = None
+        for batch in batches:
+            table = pa.Table.from_batches([batch])
+            table = table if held is None else pa.concat_tables([held, table])
+            tile = np.asarray(table.column("tile"))
+            if not len(tile):
+                continue
+            edges = np.append(0, np.flatnonzero(tile[1:] != tile[:-1]) + 1)
+            for start, end in zip(edges[:-1], edges[1:]):
+                yield from made(table.slice(start, end - start))
+            # the last tile may go on in the next batch
+            held = table.slice(edges[-1])
+        if held is not None:
+            yield from made(held)
+
+    return work
+
+
+def _together(dealt: DataFrame) -> DataFrame:
+    return dealt.repartition("tile").sortWithinPartitions("tile")
+
+
+def likeliest_pairs(dealt: DataFrame, similarity: float) -> DataFrame:
+    """For each node of a tile the pair (a, b) with the node most like it of another component."""
+
+    def made(tile):
+        node = tile.column("node").combine_chunks()
+        for x, y in _tile_pairs(tile, similarity, True):
+            yield pa.RecordBatch.from_arrays([node.take(pa.array(x)), node.take(pa.array(y))], names=["x", "y"])
+
+    found = _together(dealt).mapInArrow(_by_tile(made), "x binary, y binary")
+    return found.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+
+
+def tile_links(docs: DataFrame, dealt: DataFrame, similarity: float) -> DataFrame:
+    """Links (u, v) that join all components of a tile that any of its pairs links, written.
+
+    Pairs are made and verified inside a tile and never are rows of a table: what is shuffled is
+    the nodes of each tile that may have a link, with their multisets.
+    """
+    spark = docs.sparkSession
+
+    def some(tile):
+        found = [np.concatenate(pair) for pair in _tile_pairs(tile, similarity, False)]
+        yield from tile.take(pa.array(np.unique(np.concatenate([np.empty(0, int), *found])))).combine_chunks().to_batches()
+
+    schema = T.StructType(dealt.schema.fields)
+    near = materialize(_together(dealt).mapInArrow(_by_tile(some), schema), "near-tiles")
+
+    def linked(tile):
+        node, bags = tile.column("node").to_pylist(), tile.column("bag").to_pylist()
+        _, root = np.unique(_words(tile.column("root")), return_inverse=True)
+        parent = root.tolist()
+        above = list(range(len(parent)))
+        links = []
+
+        def find(i):
+            while above[i] != i:
+                above[i] = above[above[i]]
+                i = above[i]
+            return i
+
+        for x, y in _tile_pairs(tile, similarity, False):
+            for i, j in zip(x.tolist(), y.tolist()):
+                p, q = find(parent[i]), find(parent[j])
+                if p != q and weighted_jaccard(bags[i], bags[j]) >= similarity:
+                    above[p] = q
+                    links.append((node[i], node[j]))
+        u, v = (pa.array([link[k] for link in links], pa.binary()) for k in (0, 1))
+        yield pa.RecordBatch.from_arrays([u, v], names=["u", "v"])
+
+    bags = _bags_of(docs, near.select("node").distinct())
+    with texts.small_batches(spark):
+        whole = near.join(bags, "node").select(*near.columns, "bag")
+        return materialize(_together(whole).mapInArrow(_by_tile(linked), "u binary, v binary"), "links")
 
 
 def _agreement(batches):
@@ -299,28 +442,34 @@ def verified(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, similarity: fl
     near = _with_both(pairs, nodes, "signature").mapInArrow(_agreement, "a binary, b binary")
     near = materialize(near, "near-pairs")
     wanted = near.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    bags = _bags_of(docs, wanted)
     with texts.small_batches(spark):
+        return materialize(_with_both(near, bags, "bag").mapInArrow(_verified(similarity), "u binary, v binary"), "links")
+
+
+def _bags_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(node, bag) of the wanted nodes, written."""
+    with texts.small_batches(docs.sparkSession):
         bags = docs.select("text").mapInArrow(_bags(_passing(wanted)), "node binary, bag binary")
         # copies of a text have one bag: they meet before the shuffle
-        bags = materialize(bags.groupBy("node").agg(F.first("bag").alias("bag")).join(wanted, "node"), "bags")
-        return materialize(_with_both(near, bags, "bag").mapInArrow(_verified(similarity), "u binary, v binary"), "links")
+        return materialize(bags.groupBy("node").agg(F.first("bag").alias("bag")).join(wanted, "node"), "bags")
 
 
 def linked_roots(docs: DataFrame, nodes: DataFrame, similarity: float) -> DataFrame:
-    """(node, root) for all nodes with a link. Pairs across components are looked for until
-    they give no new link."""
+    """(node, root) for all nodes with a link.
+
+    Stars link most of a bucket. Of what they leave in different components each node is
+    tested with its likeliest partners, which joins most of the rest, and then every pair of
+    different components that has a bucket in common and signatures that agree enough."""
     ranked = ranked_bands(nodes)
     tested = materialize(star_pairs(ranked.withColumn("root", F.col("node"))), "pairs")
     edges = verified(docs, nodes, tested, similarity)
-    while True:
-        roots = materialize(components(edges), "roots")
-        more = materialize(cross_pairs(ranked, nodes, roots).join(tested, ["a", "b"], "left_anti"), "pairs")
-        if more.isEmpty():
-            return roots
-        found = verified(docs, nodes, more, similarity)
-        if found.isEmpty():
-            return roots
-        tested, edges = tested.union(more), edges.union(found)
+    roots = materialize(components(edges), "roots")
+    more = likeliest_pairs(tiles(ranked, nodes, roots), similarity).join(tested, ["a", "b"], "left_anti")
+    edges = edges.union(verified(docs, nodes, materialize(more, "pairs"), similarity))
+    roots = materialize(components(edges), "roots")
+    found = tile_links(docs, tiles(ranked, nodes, roots), similarity)
+    return roots if found.isEmpty() else materialize(components(edges.union(found)), "roots")
 
 
 def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", similarity: float = SIMILARITY) -> DataFrame:
@@ -338,7 +487,8 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", simi
         signed = texts.map_texts(docs, ["key"], "text", SIGNED, sign)
         # all that a node has is the same in its rows
         nodes = signed.filter(F.col("n_shingles") > 0).groupBy("node").agg(
-            F.count(F.lit(1)).alias("times"), F.min("key").alias("least"), F.first("signature").alias("signature"), F.first("bands").alias("bands")
+            F.count(F.lit(1)).alias("times"), F.min("key").alias("least"), F.first("signature").alias("signature"),
+            F.first("bands").alias("bands"), F.first("sketch").alias("sketch"), F.first("n_shingles").alias("n"),
         )
         nodes = materialize(nodes, "nodes")
         rows = materialize(texts.map_texts(docs, ["key"], "text", SIGNED[:2], name_only), "named")

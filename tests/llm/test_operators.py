@@ -353,6 +353,20 @@ def test_near_copies(spark, docs, empty):
     assert bagminhash.one_of_each(docs).columns == docs.columns
 
 
+def test_every_pair_of_a_bucket_is_tested(spark, monkeypatch):
+    """Forty pairs of near copies in one bucket, with no other bucket in common."""
+    monkeypatch.setattr(bagminhash, "TILE", 30, raising=False)
+    rows = [(2 * i + twin, " ".join(f"w{i}x{k}" for k in range(60)) + f" last{twin}") for i in range(40) for twin in (0, 1)]
+    df = spark.createDataFrame(rows, "key long, text string").repartition(3)
+    own = [F.xxhash64("node", F.lit(k)) for k in range(1, bagminhash.BANDS)]
+    signed = texts.map_texts(df, ["key"], "text", bagminhash.SIGNED, bagminhash.sign)
+    nodes = signed.withColumn("bands", F.array(F.lit(1).cast("long"), *own)).withColumn("n", F.col("n_shingles")).cache()
+    roots = bagminhash.linked_roots(df, nodes, 0.8)
+    got = {r.key: r.root for r in nodes.join(roots, "node").select("key", "root").collect()}
+    assert len(got) == 80 and len(set(got.values())) == 40
+    assert all(got[2 * i] == got[2 * i + 1] for i in range(40))
+
+
 def test_signatures_estimate_weighted_similarity():
     rnd = random.Random(10)
     a = [" ".join(f"w{rnd.randrange(300)}" for _ in range(200)) for _ in range(60)]
