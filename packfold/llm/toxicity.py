@@ -21,10 +21,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from packfold.llm import texts
-from packfold.llm.resampling import bounded_sample
+from packfold.llm.resampling import kth_largest
 from packfold.llm.texts import U64, Block
+from packfold.session import materialize
 
-# About so many labelled rows of class 0 and of class 1 at most are used for training.
+# So many labelled keys of class 0 and of class 1 at most are used for training, the last by hash.
 TRAINING_ROWS = (3_000, 1_500)
 BUCKETS = 1 << 17
 SIZES = (3, 4, 5)
@@ -168,17 +169,24 @@ def _bags(batch: pa.RecordBatch) -> dict[str, pa.Array]:
 def train(df: DataFrame, labels: DataFrame, trainable: Column, key: str, text: str, label: str) -> Model:
     """Fit on a bounded sample of the labelled rows for which ``trainable`` holds.
 
-    The bags are made by Spark tasks; those of about ``sum(TRAINING_ROWS)`` rows reach the
-    driver, which fits the table. A key labelled twice counts as 1 if any label is 1.
+    The bags are made by Spark tasks; those of at most ``sum(TRAINING_ROWS)`` keys reach the
+    driver, which fits the table. A key labelled twice counts as 1 if any label is 1. Classes
+    sampled at different rates shift the odds by the ratio of the rates; the bias takes that
+    back, so scores stand for the labels' own share of class 1 at every size of the table.
     Without rows of both classes every text scores the share of class 1.
     """
     known = labels.filter(F.col(key).isNotNull() & F.col(label).isNotNull() & trainable)
     known = known.groupBy(key).agg(F.max(F.col(label)).cast("int").alias("_label"))
-    sample = None
+    known = materialize(known.select(F.col(key).alias("_labelled"), "_label", F.xxhash64(key).alias("_hash")), "labelled")
+    sample, log_rates = None, []
     for value, rows in enumerate(TRAINING_ROWS):
-        part = bounded_sample(known.filter(F.col("_label") == value), key, rows)
+        part = known.filter(F.col("_label") == value)
+        count = part.count()
+        if count > rows:
+            part = part.filter(F.col("_hash") >= F.lit(kth_largest(part, "_hash", rows)))
+        log_rates.append(np.log(min(rows, count) / count) if count else 0.0)
         sample = part if sample is None else sample.union(part)
-    sample = sample.select(F.col(key).alias("_labelled"), "_label")
+    sample = sample.select("_labelled", "_label")
     chosen = df.select(F.col(f"`{key}`").alias("key"), F.col(f"`{text}`").alias("text")).join(
         F.broadcast(sample), F.col("key") == F.col("_labelled")
     )
@@ -191,7 +199,8 @@ def train(df: DataFrame, labels: DataFrame, trainable: Column, key: str, text: s
         return Model(np.zeros(BUCKETS), float(np.log(rate / (1 - rate))))
     bucket, share = got.column("bucket").combine_chunks(), got.column("share").combine_chunks()
     offset = np.concatenate([[0], np.cumsum(np.asarray(bucket.value_lengths()))])
-    return fit(offset, np.asarray(bucket.flatten()), np.asarray(share.flatten()), target)
+    model = fit(offset, np.asarray(bucket.flatten()), np.asarray(share.flatten()), target)
+    return model._replace(bias=model.bias - float(log_rates[1] - log_rates[0]))
 
 
 def scored(df: DataFrame, model: Model, key: str = "doc_id", text: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:

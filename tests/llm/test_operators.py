@@ -300,6 +300,22 @@ def test_toxicity_learns_from_training_rows_only(spark, docs, empty, labels):
     assert toxicity.toxicity(docs, labels.limit(0)).count() == len(ROWS)
 
 
+def test_training_takes_exactly_its_rows_and_keeps_the_odds(spark, monkeypatch):
+    seen = []
+
+    def fit(offset, bucket, weight, label):
+        seen.append(np.bincount(label).tolist())
+        return toxicity.Model(np.zeros(toxicity.BUCKETS), 0.0)
+
+    monkeypatch.setattr(toxicity, "fit", fit)
+    monkeypatch.setattr(toxicity, "TRAINING_ROWS", (200, 20))
+    df = spark.range(300).select(F.col("id").alias("doc_id"), F.lit("alpha beta").alias("text"))
+    known = df.select("doc_id", (F.col("doc_id") % 10 == 0).cast("int").alias("toxic"))
+    model = toxicity.train(df, known, F.lit(True), "doc_id", "text", "toxic")
+    assert seen == [[200, 20]]
+    assert np.isclose(model.bias, np.log(200 / 270) - np.log(20 / 30))
+
+
 # -- 7 near copies ----------------------------------------------------------------------------
 
 
