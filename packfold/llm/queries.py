@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from packfold.llm import bagminhash, bpe, chatformat, decontaminate, repeats, resampling, rules, secrets, toxicity, units
+from packfold.llm import bagminhash, bpe, chatformat, decontaminate, repair, repeats, resampling, rules, secrets, toxicity, units
 from packfold.plans.barrier import computed_once
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -192,3 +192,10 @@ def op10(spark: SparkSession, folder: str) -> DataFrame:
         F.sha2("loss", 256).alias("loss_sha256"),
         F.length("formatted").cast("long").alias("formatted_chars"),
     )
+
+
+@query("op12_conversation_repair")
+def op12(spark: SparkSession, folder: str) -> DataFrame:
+    """Every conversation, damaged, and its cheapest repair."""
+    harmed = repair.damage(table(spark, folder, "conversations"))
+    return repair.audits(harmed, here=F.col("here"), copies=F.col("copies"))
