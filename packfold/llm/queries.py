@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from packfold.llm import bagminhash, bpe, chatformat, decontaminate, repair, repeats, resampling, rules, secrets, toxicity, units
+from packfold.llm import bagminhash, bpe, chatformat, decontaminate, merkle, repair, repeats, resampling, rules, secrets, toxicity, units
 from packfold.plans.barrier import computed_once
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -199,3 +199,66 @@ def op12(spark: SparkSession, folder: str) -> DataFrame:
     """Every conversation, damaged, and its cheapest repair."""
     harmed = repair.damage(table(spark, folder, "conversations"))
     return repair.audits(harmed, here=F.col("here"), copies=F.col("copies"))
+
+
+
+# Unsigned CRC-32 of the digits in c: eight steps for each, the first with the digit's code.
+_CRC = (
+    "xor(list_reduce(list_prepend(4294967295::BIGINT, flatten(list_transform(string_split(c, ''), "
+    "lambda x: [ascii(x)::BIGINT, 0, 0, 0, 0, 0, 0, 0]))), "
+    "lambda s, x: xor(xor(s, x) >> 1, 3988292384 * (xor(s, x) & 1))), 4294967295)"
+)
+
+
+def _merkle_levels(name: str, base: str, chain: str, levels: int) -> list[str]:
+    """Levels above ``base`` (k, i, h, d) and, for each row of ``chain`` (k, i, x, p and more), x
+    folded up to the top and p with all siblings on the way. d tells how many levels a k has."""
+    parts = [f"{name}0 AS (SELECT k, i, h, d FROM {base})", f"{name}c0 AS (SELECT * FROM {chain})"]
+    side = "coalesce(string_agg(h, '') OVER (PARTITION BY k, i // 8 ORDER BY i ROWS BETWEEN {} AND {}), '')"
+    for n in range(levels):
+        before, after = side.format("UNBOUNDED PRECEDING", "1 PRECEDING"), side.format("1 FOLLOWING", "UNBOUNDED FOLLOWING")
+        parts += [
+            f"{name}s{n} AS (SELECT k, i, d > {n} AS up, {before} AS l, {after} AS r FROM {name}{n})",
+            f"{name}{n + 1} AS (SELECT k, i // 8 AS i, sha256(string_agg(h, '' ORDER BY i)) AS h, any_value(d) AS d FROM {name}{n} "
+            f"WHERE d > {n} GROUP BY k, i // 8 UNION ALL SELECT k, i, h, d FROM {name}{n} WHERE d <= {n})",
+            f"{name}c{n + 1} AS (SELECT c.* REPLACE (CASE WHEN up THEN c.i // 8 ELSE c.i END AS i, CASE WHEN up THEN sha256(l || x || r) ELSE x END AS x, "
+            f"CASE WHEN up THEN p || l || r ELSE p END AS p) FROM {name}c{n} c JOIN {name}s{n} s ON c.k = s.k AND c.i = s.i)",
+        ]
+    return parts
+
+
+def _op13_sql(levels: int = 7) -> str:
+    """Enough for 8 ** levels rows of a language and 8 ** 3 languages."""
+    lower = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+    def digest(text: str) -> str:
+        fields = ["doc_id::VARCHAR", "source", "lang", "n_chars::VARCHAR", text]
+        return "sha256(" + " || ".join(f"coalesce(strlen({f}) || ':' || {f}, '-')" for f in fields) + ")"
+
+    depth = "CASE WHEN {0} <= 1 THEN 0 ELSE length(to_base({0} - 1, 8)) END"
+    parts = [
+        f"made AS (SELECT doc_id, coalesce('=' || lang, '-') AS k, {digest('text')} AS h, {digest(lower)} AS low, doc_id::VARCHAR AS c FROM documents)",
+        f"claimed AS (SELECT doc_id, k, h, CASE WHEN c IS NOT NULL AND {_CRC} % 3 = 0 THEN low ELSE h END AS x FROM made)",
+        "placed AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY doc_id NULLS FIRST, h, x) - 1 AS i, count(*) OVER (PARTITION BY k) AS n FROM claimed)",
+        f"leaves AS (SELECT *, {depth.format('n')} AS d, '' AS p FROM placed)",
+        *_merkle_levels("a", "leaves", "(SELECT k, i, x, p, doc_id, h FROM leaves)", levels),
+        f"tops AS (SELECT '' AS k, row_number() OVER (ORDER BY k) - 1 AS i, h, k AS name, (SELECT {depth.format('count(*)')} FROM a{levels}) AS d FROM a{levels})",
+        f"low AS (SELECT '' AS k, t.i, c.x, c.p, c.doc_id, c.h, t.h AS subroot FROM ac{levels} c JOIN tops t ON c.k = t.name)",
+        *_merkle_levels("b", "tops", "low", 3),
+    ]
+    return (
+        f"WITH {', '.join(parts)} SELECT c.doc_id, c.h AS leaf, c.subroot, t.h AS root, sha256(c.p) AS proof_sha256, "
+        "c.x AS folded_root, c.x = t.h AS verified FROM bc3 c JOIN b3 t ON c.k = t.k"
+    )
+
+
+@query("op13_merkle_manifest", _op13_sql())
+def op13(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document's leaf and proof, and what a lower-cased copy of some folds to."""
+    docs = table(spark, folder, "documents")
+    names = ("doc_id", "source", "lang", "n_chars")
+    lower = F.translate("text", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    tampered = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 0
+    honest = merkle.leaf(*[F.col(c) for c in (*names, "text")])
+    changed = F.when(tampered, merkle.leaf(*[F.col(c) for c in names], lower))
+    return merkle.manifest(docs, "doc_id", "lang", honest, changed)
