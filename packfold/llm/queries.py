@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from packfold.llm import bagminhash, bpe, chatformat, decontaminate, merkle, repair, repeats, resampling, rules, secrets, toxicity, units
+from packfold.llm import bagminhash, binpacking, bpe, chatformat, decontaminate, merkle, repair, repeats, resampling, rules, secrets, toxicity, units
 from packfold.plans.barrier import computed_once
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -194,6 +194,15 @@ def op10(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+@query("op11_bin_packing")
+def op11(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document in one of 24 shards of about one size, equal texts in one shard."""
+    made = binpacking.shard_groups(table(spark, folder, "documents"), shards=24)
+    return made.select(
+        "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard")
+    )
+
+
 @query("op12_conversation_repair")
 def op12(spark: SparkSession, folder: str) -> DataFrame:
     """Every conversation, damaged, and its cheapest repair."""
