@@ -50,6 +50,14 @@ def scan_csv(spark, sf):
     return readers.load(spark, path, "csv", schema=schema)
 
 
+@query("scan_csv_text", DOCS_SQL)
+def scan_csv_text(spark, sf):
+    """Whole texts in quoted fields, with line ends and doubled quotes."""
+    path = fresh_path(spark, "csv-text")
+    docs(spark, sf).write.option("header", True).option("escape", '"').csv(path)
+    return readers.load(spark, path, "csv", schema=DOC_SCHEMA).select("doc_id", "lang", "source", "n_chars", "text")
+
+
 @query("scan_text_lines", r"SELECT trim(line, E' \t\n\r\x0b\x0c') AS value FROM (SELECT unnest(string_split(text, chr(10))) AS line FROM documents)")
 def scan_text_lines(spark, sf):
     path = writers.write_lines(docs(spark, sf), fresh_path(spark, "lines"), column="text")
@@ -77,22 +85,65 @@ def scan_splits(spark, sf):
     return readers.load(spark, path, "splits").select("doc_id", "split", "n_chars")
 
 
+SPLITS = ("test", "train", "validation")
+PLACE_SQL = f"CASE {split_of('doc_id')} WHEN 'test' THEN 0 WHEN 'train' THEN 1 ELSE 2 END"
+LISTED_SQL = f"""SELECT file_no::INTEGER AS file_no, row_number() OVER (PARTITION BY file_no ORDER BY doc_id) - 1 AS row_no, doc_id, lang, text
+    FROM (SELECT *, {PLACE_SQL} AS file_no FROM documents)"""
+
+
+def listed(spark, sf, fmt, *columns):
+    """Documents in one folder a split, each of several files in order, and a manifest of the folders."""
+    rows, root = with_split(docs(spark, sf)), fresh_path(spark, "listed")
+    for split in SPLITS:
+        one = rows.filter(F.col("split") == split).repartitionByRange(3, "doc_id").sortWithinPartitions("doc_id")
+        one.select(*columns).write.format(fmt).options(**({"header": True, "escape": '"'} if fmt == "csv" else {})).save(f"{root}/{split}")
+    paths = spark.createDataFrame([(f"{root}/{split}",) for split in SPLITS], "path string").coalesce(1)
+    manifest = writers.write_manifest(paths, fresh_path(spark, "manifest"))
+    return manifests.load_file_list(spark, manifest, f"list:{fmt}")
+
+
+@query("scan_manifest", LISTED_SQL)
+def scan_manifest(spark, sf):
+    """Folders listed in a manifest, read back in list order."""
+    paths, fmt = listed(spark, sf, "parquet", "doc_id", "lang", "text")
+    return readers.in_list_order(spark, paths, fmt).select("file_no", "row_no", "doc_id", "lang", "text")
+
+
+@query("scan_manifest_json", LISTED_SQL)
+def scan_manifest_json(spark, sf):
+    """The same from lines of JSON, which do not say where they lie."""
+    paths, fmt = listed(spark, sf, "json", "doc_id", "lang", "text")
+    read = readers.in_list_order(spark, paths, fmt, schema="doc_id bigint, lang string, text string")
+    return read.select("file_no", "row_no", "doc_id", "lang", "text")
+
+
+@query("scan_manifest_csv", LISTED_SQL)
+def scan_manifest_csv(spark, sf):
+    """The same from CSV, texts with line ends and quotes inside."""
+    paths, fmt = listed(spark, sf, "csv", "doc_id", "lang", "text")
+    read = readers.in_list_order(spark, paths, fmt, schema="doc_id bigint, lang string, text string")
+    return read.select("file_no", "row_no", "doc_id", "lang", "text")
+
+
 @query(
-    "scan_manifest",
-    f"""SELECT file_no::INTEGER AS file_no, row_number() OVER (PARTITION BY file_no ORDER BY doc_id) - 1 AS row_no, doc_id
-    FROM (SELECT doc_id, CASE {split_of('doc_id')} WHEN 'test' THEN 0 WHEN 'train' THEN 1 ELSE 2 END AS file_no FROM documents)""",
+    "scan_manifest_text",
+    f"""SELECT file_no::INTEGER AS file_no, row_number() OVER (PARTITION BY file_no ORDER BY doc_id, place) - 1 AS row_no, value
+    FROM (SELECT doc_id, {PLACE_SQL} AS file_no, unnest(string_split(text, chr(10))) AS value,
+        unnest(range(len(string_split(text, chr(10))))) AS place FROM documents)""",
 )
-def scan_manifest(spark, sf):
-    """Three files listed in a manifest, read back in list order."""
-    rows = with_split(docs(spark, sf)).select("doc_id", "split")
-    root = fresh_path(spark, "listed")
-    for split in ("test", "train", "validation"):
-        one = rows.filter(F.col("split") == split).coalesce(1).sortWithinPartitions("doc_id")
-        one.write.parquet(f"{root}/{split}")
-    listing = manifests.catalogue(spark, root, recursive=True).coalesce(1).sortWithinPartitions("path")
-    manifest = writers.write_manifest(listing, fresh_path(spark, "manifest"))
-    paths, _ = manifests.load_file_list(spark, manifest, "list:parquet")
-    return readers.in_file_order(paths, spark).select("file_no", "row_no", "doc_id")
+def scan_manifest_text(spark, sf):
+    """Lines of text files in list order."""
+    paths, fmt = listed(spark, sf, "text", "text")
+    return readers.in_list_order(spark, paths, fmt).select("file_no", "row_no", "value")
+
+
+@query("load_manifest_head", f"SELECT doc_id, lang FROM (SELECT *, {PLACE_SQL} AS file_no FROM documents) ORDER BY file_no, doc_id LIMIT 150")
+def load_manifest_head(spark, sf):
+    """The first records of a list are those of its first files."""
+    paths, fmt = listed(spark, sf, "json", "doc_id", "lang", "text")
+    manifest = writers.write_manifest(spark.createDataFrame([(p,) for p in paths], "path string").coalesce(1), fresh_path(spark, "manifest"))
+    first = readers.load(spark, manifest, f"list:{fmt}", schema="doc_id bigint, lang string, text string", max_records=150)
+    return first.select("doc_id", "lang")
 
 
 @query(

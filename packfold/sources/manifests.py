@@ -78,10 +78,12 @@ def file_name() -> Column:
 
 
 def manifest_table(spark: SparkSession, paths: Sequence[str], ordinal: str) -> DataFrame:
-    """Files as Spark reports them in metadata, with the place in the list of each entry they
-    belong to. One row a file: the driver lists them as it does for any scan."""
-    located = [(file, i) for i, path in enumerate(paths) for file in files_of(spark, path)]
-    return spark.createDataFrame(located, f"_file string, {ordinal} int")
+    """Files as Spark reports them in metadata: ``_file``, the place in the list of each entry they
+    belong to, and ``_seq``, which grows with the list and, inside an entry, with the name. One
+    row a file: the driver lists them as it does for any scan."""
+    located = [(file, i) for i, path in enumerate(paths) for file in sorted(files_of(spark, path))]
+    numbered = [(file, i, seq) for seq, (file, i) in enumerate(located)]
+    return spark.createDataFrame(numbered, f"_file string, {ordinal} int, _seq long")
 
 
 def catalogue(

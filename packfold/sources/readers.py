@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from packfold.operators.selecting import head, unwrap_single_split
+from packfold.plans.ordinals import join_back, ordinals
+from packfold.session import materialize
 from packfold.sources.manifests import file_name, is_manifest, manifest_format, manifest_table, read_manifest
 
 # Formats by file ending, for inputs that do not name one.
@@ -36,7 +38,9 @@ def format_of(path: str, named: str | None = None) -> str:
 
 def _reader(spark: SparkSession, fmt: str, schema: StructType | str | None, options: dict):
     if fmt == "csv":
-        options = {"header": True, **options}
+        # quoted fields may hold line ends and doubled quotes; a caller whose fields never hold
+        # line ends can pass multiLine=False and have large files split
+        options = {"header": True, "multiLine": True, "escape": '"', **options}
     reader = spark.read.format(fmt).options(**options)
     return reader.schema(schema) if schema is not None else reader
 
@@ -55,10 +59,15 @@ def load(
     """Read ``path``: a file, glob or directory of ``fmt``; with ``list:<fmt>`` a manifest of
     files; with ``splits`` a folder written by ``save_splits``.
 
-    JSON and CSV should come with a schema: inferring one reads the data twice.
+    JSON and CSV should come with a schema: inferring one reads the data twice. The first
+    ``max_records`` of a manifest are those in list order, unless ``order_by`` names another.
     """
     if is_manifest(fmt):
-        df = load_many(spark, read_manifest(spark, path), manifest_format(fmt), schema=schema, **options)
+        paths, inner = read_manifest(spark, path), manifest_format(fmt)
+        if max_records and not order_by:
+            listed = in_list_order(spark, paths, inner, schema=schema, **options)
+            return head(listed, max_records, ["file_no", "row_no"]).drop("file_no", "row_no")
+        df = load_many(spark, paths, inner, schema=schema, **options)
     elif ALIASES.get(fmt, fmt) == "splits":
         df = spark.read.parquet(path)
         # only a folder of splits has a split column that is not data
@@ -68,12 +77,23 @@ def load(
     return head(df, max_records, order_by)
 
 
-def _listed(spark: SparkSession, paths: Sequence[str], fmt: str | None, schema: StructType | str | None, options: dict) -> DataFrame:
-    """All files of a list, each in the format of its own ending unless one is named."""
+def _listed(
+    spark: SparkSession, paths: Sequence[str], fmt: str | None, schema: StructType | str | None, options: dict, located: bool = False
+) -> DataFrame:
+    """All files of a list, each in the format of its own ending unless one is named. ``located``
+    adds where a row lies: the block of its file, and a number that grows along the block."""
     by_format: dict[str, list[str]] = {}
     for path in dict.fromkeys(paths):
         by_format.setdefault(format_of(path, fmt), []).append(path)
-    tables = [_reader(spark, kind, schema, options).load(own).select("*", file_name().alias("_file")) for kind, own in by_format.items()]
+    tables = []
+    for kind, own in by_format.items():
+        places = [file_name().alias("_file")]
+        if located and kind == "parquet":
+            places += [F.lit(0).cast("long").alias("_block"), F.col("_metadata.row_index").alias("_line")]
+        elif located:
+            # a block is read by one task from its start to its end
+            places += [F.col("_metadata.file_block_start").alias("_block"), F.monotonically_increasing_id().alias("_line")]
+        tables.append(_reader(spark, kind, schema, options).load(own).select("*", *places))
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), tables)
 
 
@@ -93,19 +113,51 @@ def load_many(
     """
     if not paths:
         raise ValueError("no files to read")
-    places = manifest_table(spark, paths, ordinal or "_place")
+    places = manifest_table(spark, paths, ordinal or "_place").drop("_seq")
     placed = _listed(spark, paths, fmt, schema, options).join(places, "_file").drop("_file")
     return placed if ordinal else placed.drop("_place")
 
 
+def in_list_order(
+    spark: SparkSession,
+    paths: Sequence[str],
+    fmt: str | None = None,
+    *,
+    schema: StructType | str | None = None,
+    **options,
+) -> DataFrame:
+    """All rows of a list with ``file_no``, the place of their entry in it, and ``row_no``, their
+    number in the entry from 0 without gaps; the two order the rows as reading one file after
+    the other would. The files of a folder or glob follow each other by name.
+
+    Parquet tells a row's number in its file. Lines (text, JSON, CSV) have none, and a large file
+    is read in blocks by many tasks: lines are numbered along their block and blocks by a prefix
+    sum over what each holds. Where a block begins depends on the cluster at the time, so rows of
+    such formats are written once together with block and number, and read from there.
+    """
+    if not paths:
+        raise ValueError("no files to read")
+    files = manifest_table(spark, paths, "file_no")
+    rows = _listed(spark, paths, fmt, schema, options, located=True)
+    if any(format_of(path, fmt) != "parquet" for path in paths):
+        rows = materialize(rows, "listed")
+    held = rows.groupBy("_file", "_block").agg(F.count(F.lit(1)).alias("_rows"), F.min("_line").alias("_first"))
+    before, blocks, _ = ordinals(
+        held.join(files, "_file"),
+        ["_seq", "_block"],
+        group="file_no",
+        carry={"_file": F.col("_file"), "_first": F.col("_first")},
+        sums={"_before": F.col("_rows")},
+    )
+    # a file that is listed twice meets its rows twice
+    starts = before.select("_file", "_block", "file_no", (F.col("_before") - F.col("_first")).alias("_shift"))
+    numbered = join_back(rows, starts, ["_file", "_block"], blocks)
+    return numbered.withColumn("row_no", F.col("_line") + F.col("_shift")).drop("_file", "_block", "_line", "_shift")
+
+
 def in_file_order(df_paths: Sequence[str], spark: SparkSession, schema: StructType | str | None = None) -> DataFrame:
     """Parquet files in list order: adds ``file_no`` and ``row_no``, which together order the rows."""
-    places = manifest_table(spark, df_paths, "file_no")
-    df = _reader(spark, "parquet", schema, {}).load(list(dict.fromkeys(df_paths)))
-    located = df.select(
-        "*", file_name().alias("_file"), F.col("_metadata.row_index").alias("row_no")
-    )
-    return located.join(places, "_file").drop("_file")
+    return in_list_order(spark, df_paths, "parquet", schema=schema)
 
 
 def spread(df: DataFrame) -> DataFrame:

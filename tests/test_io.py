@@ -248,3 +248,38 @@ def test_streaming_perplexity_of_a_run_without_a_name(spark, tmp_path):
 
     got = {r.step: r.delta_ppl for r in spark.read.parquet(f"{out}/data").collect()}
     assert math.isclose(got[2], math.e - math.exp(0.5))
+
+
+def test_quoted_lines_in_csv(spark, tmp_path):
+    (tmp_path / "q.csv").write_text('k,v\n1,"line one\nline ""two"""\n2,plain\n3,""\n4,\n')
+    df = readers.load(spark, str(tmp_path / "q.csv"), schema="k int, v string")
+    assert [tuple(r) for r in df.orderBy("k").collect()] == [(1, 'line one\nline "two"'), (2, "plain"), (3, None), (4, None)]
+
+
+@pytest.mark.parametrize("fmt", ["text", "json", "csv"])
+def test_list_order_of_lines_in_many_blocks(spark, tmp_path, fmt):
+    """Large files are read in blocks; rows come back as reading file after file gives them."""
+    import json
+
+    lists = {"b.x": range(0, 3000), "a.x": range(3000, 3010), "dir/2.x": range(5000, 5500), "dir/1.x": range(4000, 5000)}
+    (tmp_path / "dir").mkdir()
+    for name, numbers in lists.items():
+        lines = [json.dumps({"v": f"row {n}"}) if fmt == "json" else f"row {n}" for n in numbers]
+        (tmp_path / name).write_text("\n".join((["v"] if fmt == "csv" else []) + lines) + "\n")
+    listed = [str(tmp_path / n) for n in ("b.x", "dir", "a.x", "b.x")]
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4000")
+    try:
+        options = {} if fmt == "text" else {"schema": "v string"}
+        if fmt == "csv":
+            options["multiLine"] = False
+        got = readers.in_list_order(spark, listed, fmt, **options)
+        rows = [tuple(r) for r in got.select("file_no", "row_no", got.columns[0]).orderBy("file_no", "row_no").collect()]
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    order = [lists["b.x"], [*lists["dir/1.x"], *lists["dir/2.x"]], lists["a.x"], lists["b.x"]]
+    assert rows == [(f, i, f"row {n}") for f, numbers in enumerate(order) for i, n in enumerate(numbers)]
+    manifest = tmp_path / "list.txt"
+    manifest.write_text("\n".join(listed))
+    first = readers.load(spark, str(manifest), f"list:{fmt}", max_records=3001, **options)
+    assert sorted(r[0] for r in first.collect()) == sorted([f"row {n}" for n in range(3000)] + ["row 4000"])
