@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import functions as F
 
 from checks.registry import draw, query, split_of, table
@@ -203,6 +205,48 @@ def shard_write_plan(spark, sf):
     return writers.plan_files(rows, "doc_id", (3, 2**63 - 1), "out/part-{i}.txt").select("doc_id", "shard_id", "output_file")
 
 
+NUMBERED_SQL = "SELECT 'part-' || lpad((7 + row_number() OVER (ORDER BY doc_id))::VARCHAR, 6, '0') || '.txt' AS file, text FROM documents"
+
+
+def numbered_back(spark, folder):
+    """Files by name, each with its whole text."""
+    whole = spark.read.text(folder, wholetext=True)
+    return whole.select(F.col("_metadata.file_name").alias("file"), F.col("value").alias("text"))
+
+
+@query("write_numbered", NUMBERED_SQL)
+def write_numbered(spark, sf):
+    """One file for each document, by exact name, committed together."""
+    folder = fresh_path(spark, "numbered")
+    writers.write_many(docs(spark, sf), "doc_id", (8, 2**62), folder + "/part-{i:06d}.txt", column="text")
+    return numbered_back(spark, folder)
+
+
+@query("write_numbered_listed", "SELECT 'n' || ((doc_id * 7) % 1000003) || '.json' AS file, to_json(text)::VARCHAR AS text FROM documents")
+def write_numbered_listed(spark, sf):
+    """Numbers from a table, each row as JSON."""
+    folder = fresh_path(spark, "numbered")
+    numbers = docs(spark, sf).select("doc_id", F.expr("(doc_id * 7) % 1000003").alias("number"))
+    writers.write_many(docs(spark, sf), "doc_id", numbers, folder + "/n{i}.json", column="text", to_json=True)
+    return numbered_back(spark, folder)
+
+
+@query("write_numbered_own", "SELECT ('d' || doc_id) AS file, upper(lang) || ':' || text AS text FROM documents")
+def write_numbered_own(spark, sf):
+    """A writer of the caller's own."""
+    folder = fresh_path(spark, "numbered")
+    os.makedirs(folder)
+
+    def labelled(value, output_file, mark):
+        with open(output_file, "w", encoding="utf-8", newline="") as out:
+            out.write(mark.join(value.split("\n", 1)))
+
+    rows = docs(spark, sf).select("doc_id", F.concat_ws("\n", F.upper("lang"), "text").alias("value"))
+    numbers = docs(spark, sf).select("doc_id")
+    writers.write_many(rows, "doc_id", numbers, folder + "/d{i}", writer=labelled, mark=":")
+    return numbered_back(spark, folder)
+
+
 @query("write_shards", "SELECT (doc_id % 7)::INTEGER AS shard_id, count(*) AS row_count, sum(n_chars)::BIGINT AS chars FROM documents GROUP BY 1")
 def write_shards(spark, sf):
     rows = docs(spark, sf).withColumn("shard_id", F.pmod("doc_id", F.lit(7)).cast("int"))

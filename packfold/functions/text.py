@@ -64,5 +64,11 @@ def json_line(value: Column) -> Column:
     return F.to_json(value, {"ignoreNullFields": "false"})
 
 
+def json_value(value: Column) -> Column:
+    """Any value as JSON, a text as a quoted one."""
+    listed = json_line(F.array(value))
+    return F.substring(listed, F.lit(2), F.length(listed) - 2)
+
+
 def stripped(text: Column | str) -> Column:
     return F.btrim(text, F.lit(WHITESPACE))

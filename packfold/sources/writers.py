@@ -5,13 +5,14 @@ from __future__ import annotations
 from collections.abc import Callable, Iterable, Sequence
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from packfold.functions.text import NUMBER_PLACE, json_line, numbered_path, tsv_safe
+from packfold.functions.text import NUMBER_PLACE, json_line, json_value, numbered_path, tsv_safe
 from packfold.plans.ordinals import ordinals, join_back, names
 from packfold.session import materialize
 from packfold.sources.manifests import catalogue
+from packfold.sources.numbered import FORMAT, NumberedFiles
 
 WRITABLE = ("parquet", "json")
 
@@ -74,39 +75,46 @@ def catalogue_to_manifest(spark, root: str, path: str, *, overwrite: bool = Fals
     return write_manifest(catalogue(spark, root, **options), path, overwrite=overwrite)
 
 
-def file_number(ordinal: Column, numbers: int | tuple[int, int] | Iterable[int]) -> Column:
-    """Number of the file for row ``ordinal``: null past the end of ``numbers``.
+def _numbers(spark: SparkSession, numbers: int | tuple[int, int] | Iterable[int] | DataFrame) -> range | DataFrame:
+    """File numbers as a range, or as a table of (ordinal, shard_id).
 
-    A count stands for 0, 1, ...; a pair for start and stop; anything else is taken as listed.
+    A count stands for 0, 1, ...; a pair for start and stop; anything else is taken as listed. A
+    table gives numbers in the order of its first column, the number being the last.
     """
     match numbers:
         case int():
-            span = range(numbers)
+            return range(numbers)
         case (int(start), int(stop)) if isinstance(numbers, tuple):
-            span = range(start, stop)
+            return range(start, stop)
+        case range():
+            return numbers
         case str() | bytes():
             raise TypeError(f"file numbers cannot be text: {numbers!r}")
+        case DataFrame():
+            order, number = numbers.columns[0], numbers.columns[-1]
+            placed = ordinals(numbers, order, carry={"shard_id": F.col(number).cast("long")}).frame
+            return placed.select("ordinal", "shard_id")
         case _:
-            span = numbers if isinstance(numbers, range) else [int(n) for n in numbers]
-    if isinstance(span, range):
-        return F.when(ordinal < len(span), (span.start + ordinal * span.step).cast("long"))
-    listed = F.array(*[F.lit(n) for n in span]).cast("array<bigint>")
-    return F.when(ordinal < len(span), F.get(listed, ordinal.cast("int")))
+            return spark.createDataFrame([(i, int(n)) for i, n in enumerate(numbers)], "ordinal long, shard_id long")
 
 
 def plan_files(df: DataFrame, order_by: str | Sequence[str], numbers, pattern: str) -> DataFrame:
     """Rows paired with file numbers in order, until the shorter of the two ends.
 
     Adds ``shard_id`` and ``output_file``. Rows past the last number are left out, as pairing asks.
+    ``numbers`` may be a table; listed numbers are joined to the rows as one.
     """
     if not NUMBER_PLACE.search(pattern):
         raise ValueError(f"pattern {pattern} has no {{i}}: all rows would share one file")
     keys = names(order_by)
+    given = _numbers(df.sparkSession, numbers)
     numbered, rows, _ = ordinals(df, keys)
-    planned = numbered.select(*keys, file_number(F.col("ordinal"), numbers).alias("shard_id")).filter(
-        F.col("shard_id").isNotNull()
-    )
-    planned = planned.withColumn("output_file", numbered_path(pattern, F.col("shard_id")))
+    if isinstance(given, range):
+        inside = numbered.filter(F.col("ordinal") < len(given))
+        planned = inside.withColumn("shard_id", (given.start + F.col("ordinal") * given.step).cast("long"))
+    else:
+        planned = numbered.join(given, "ordinal")
+    planned = planned.select(*keys, "shard_id", numbered_path(pattern, F.col("shard_id")).alias("output_file"))
     return join_back(df, planned, keys, rows)
 
 
@@ -117,42 +125,38 @@ def write_many(
     pattern: str,
     *,
     column: str = "value",
+    to_json: bool = False,
     writer: Callable | None = None,
     overwrite: bool = False,
     **options,
 ) -> None:
-    """One numbered file per row of ``column``, written by the executors.
+    """One numbered file per row of ``column``, as text or as JSON.
 
-    ``writer(value, output_file=..., **options)`` replaces the default text writer. Paths must
-    be reachable from every executor.
+    The files appear together when all are written (``sources/numbered.py``); an existing one is
+    refused, and then none appears, unless ``overwrite``. A null is an empty file.
+    ``writer(value, output_file=..., **options)`` replaces this: executors call it for each row,
+    and again for a task that is tried again, so what it does must bear repetition.
     """
-    planned = plan_files(df, order_by, numbers, pattern).select(F.col(column).alias("value"), "output_file")
-    write = writer or _text_writer(overwrite)
-
-    def write_rows(rows):
-        for row in rows:
-            write(row.value, output_file=row.output_file, **options)
-
-    planned.foreachPartition(write_rows)
-
-
-def _text_writer(overwrite: bool):
-    def write(value, output_file):
-        import os
+    planned = plan_files(df, order_by, numbers, pattern).select(
+        (json_value(F.col(column)) if to_json else F.col(column)).alias("value"), "output_file"
+    )
+    if writer is not None:
 
-        # a retried task may meet its own file, so equal content is not a conflict
-        if os.path.exists(output_file) and not overwrite:
-            with open(output_file, encoding="utf-8", newline="") as found:
-                if found.read() == value:
-                    return
-            raise FileExistsError(output_file)
-        folder = os.path.dirname(output_file)
-        if folder:
-            os.makedirs(folder, exist_ok=True)
-        with open(output_file, "w", encoding="utf-8", newline="") as target:
-            target.write(value)
+        def write_rows(rows):
+            for row in rows:
+                writer(row.value, output_file=row.output_file, **options)
 
-    return write
+        planned.foreachPartition(write_rows)
+        return
+    spark = df.sparkSession
+    spark.dataSource.register(NumberedFiles)
+    sink = planned.write.format(FORMAT).mode("append").option("root", NUMBER_PLACE.split(pattern)[0].rpartition("/")[0] or ".")
+    try:
+        sink.option("replace", str(overwrite).lower()).save()
+    except Exception as error:
+        if "FileExistsError" in str(error):
+            raise FileExistsError(f"files of {pattern} exist; pass overwrite=True to replace them") from error
+        raise
 
 
 def write_shards(df: DataFrame, path: str, shard: str = "shard_id", fmt: str = "parquet", *, overwrite: bool = False) -> str:

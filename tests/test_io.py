@@ -283,3 +283,43 @@ def test_list_order_of_lines_in_many_blocks(spark, tmp_path, fmt):
     manifest.write_text("\n".join(listed))
     first = readers.load(spark, str(manifest), f"list:{fmt}", max_records=3001, **options)
     assert sorted(r[0] for r in first.collect()) == sorted([f"row {n}" for n in range(3000)] + ["row 4000"])
+
+
+def test_numbered_files_appear_together_or_not_at_all(spark, tmp_path):
+    from pyspark.sql import Row
+
+    from packfold.sources.numbered import NumberedWriter
+
+    pattern = str(tmp_path / "part-{i}")
+    (tmp_path / "part-1").write_text("old")
+    with pytest.raises(FileExistsError):
+        writers.write_many(strings(spark, LETTERS), "k", 3, pattern)
+    assert os.listdir(tmp_path) == ["part-1"] and (tmp_path / "part-1").read_text() == "old"
+    writers.write_many(strings(spark, LETTERS), "k", 3, pattern, overwrite=True)
+    assert sorted(os.listdir(tmp_path)) == ["part-0", "part-1", "part-2"] and (tmp_path / "part-1").read_text() == LETTERS[1]
+
+    # an attempt that dies half-way leaves nothing, and the attempt that follows all of it
+    folder = tmp_path / "retried"
+    folder.mkdir()
+    rows = [Row(value=f"v{i}", output_file=str(folder / "deep" / f"{i}")) for i in range(5)]
+
+    def dying():
+        yield from rows[:3]
+        raise OSError("lost")
+
+    sink = NumberedWriter(str(folder), False)
+    with pytest.raises(OSError):
+        sink.write(dying())
+    sink.commit([sink.write(iter(rows)), sink.write(iter(())), None])
+    assert [p.name for p in folder.iterdir()] == ["deep"]
+    assert {p.name: p.read_text() for p in (folder / "deep").iterdir()} == {f"{i}": f"v{i}" for i in range(5)}
+    gone = NumberedWriter(str(folder), False)
+    gone.write(iter(rows))
+    gone.abort([])
+    assert [p.name for p in folder.iterdir()] == ["deep"]
+
+
+def test_numbers_from_a_table(spark, tmp_path):
+    numbers = spark.createDataFrame([(2, 30), (1, 10), (3, 20)], "place int, number int")
+    writers.write_many(strings(spark, ["a", "b"]), "k", numbers, str(tmp_path / "x{i:03d}"), to_json=True)
+    assert {f: (tmp_path / f).read_text() for f in os.listdir(tmp_path)} == {"x010": '"a"', "x030": '"b"'}
