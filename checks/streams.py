@@ -12,14 +12,19 @@ from packfold.sources.readers import read_stream
 from packfold.streaming import jobs
 
 
+# Files of each part that arrives.
+FILES = 3
+
+
 def arriving(spark, df, order, parts):
-    """``df`` written as files that arrive one after the other, in ``order``."""
+    """``df`` written in parts of several files that arrive one part after the other, in ``order``;
+    a micro-batch takes one part."""
     folder = fresh_path(spark, "arriving")
     low, high = df.agg(F.min(order), F.max(order)).first()
     part = F.floor((F.col(order) - low) * parts / (high - low + 1))
     for i in range(parts):
-        df.filter(part == i).coalesce(1).write.mode("append").parquet(folder)
-    return read_stream(spark, folder, df.schema, max_files=1)
+        df.filter(part == i).repartition(FILES).write.mode("append").parquet(folder)
+    return read_stream(spark, folder, df.schema, max_files=FILES)
 
 
 @query("stream_tokenize", f"SELECT doc_id, {byte_count('text')}::INTEGER AS token_count FROM documents")

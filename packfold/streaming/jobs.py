@@ -1,11 +1,12 @@
 """The tokenizing, packing and perplexity jobs over files that keep arriving.
 
 Every job writes under a folder and can be restarted: the checkpoint remembers finished
-micro-batches, and a batch that runs twice overwrites its own output.
+micro-batches and the state after them, and a batch that runs twice overwrites its own output.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
@@ -15,9 +16,9 @@ from pyspark.sql.streaming import StreamingQuery
 
 from packfold.functions.tokenizers import Tokenizer
 from packfold.operators.packing import assign_buffers, pack_aligned
-from packfold.operators.perplexity import MIN_LOG_PPL, reported
+from packfold.operators.perplexity import MIN_LOG_PPL
 from packfold.operators.tokenizing import tokenize
-from packfold.plans.ordinals import join_keyed, names, previous_value
+from packfold.plans.ordinals import join_keyed, names
 from packfold.session import materialize
 
 BATCH = "batch"
@@ -60,14 +61,22 @@ def stream_packed(
 
     ``folder/open/batch=<id>`` holds the rows of the buffer that was still open after a batch,
     with its number. The next batch goes on filling it, so nothing depends on where a
-    micro-batch ends. ``close_packed`` packs what is open when the stream has ended.
+    micro-batch ends. ``close_packed`` packs what is open when the stream has ended. A row that is
+    not beyond all rows of earlier batches has missed its place; such rows are not packed but
+    written to ``folder/late/batch=<id>``.
     """
     keys = names(order_by)
     state = T.StructType([stream.schema[k] for k in keys] + [stream.schema[ids], T.StructField("_buffer", T.LongType())])
 
     def pack(batch: DataFrame, batch_id: int) -> None:
         waiting = _after(batch.sparkSession, f"{folder}/open", batch_id, state)
-        base = waiting.agg(F.max("_buffer")).first()[0] or 0
+        # the open buffer holds the last row so far, whose keys tell what comes too late
+        base, newest = waiting.agg(F.max("_buffer"), F.max(F.struct(*keys))).first()
+        base = base or 0
+        if newest is not None:
+            beyond = F.struct(*keys) > F.struct(*[F.lit(v).cast(stream.schema[k].dataType) for k, v in zip(keys, newest)])
+            batch.filter(~beyond).write.mode("overwrite").parquet(f"{folder}/late/{BATCH}={batch_id}")
+            batch = batch.filter(beyond)
         rows = materialize(waiting.select(*keys, ids).union(batch.select(*keys, ids)), "stream-rows")
         placed = materialize(assign_buffers(rows, keys, ids=ids, **options).select(*keys, "buffer"), "stream-buffers")
         last = placed.agg(F.max("buffer")).first()[0]
@@ -108,30 +117,59 @@ def stream_perplexity(
     min_ppl: float = MIN_LOG_PPL,
     available_now: bool = True,
 ) -> StreamingQuery:
-    """Perplexity series across micro-batches into ``folder/data/batch=<id>``.
-
-    ``folder/last/batch=<id>`` holds the latest value of every run, one row per run, after
-    that batch; the next batch starts from it. Steps of a run must arrive in order.
+    """Perplexity series of runs that go on logging, appended to ``folder/data``.
+
+    Spark's state store keeps the last step and value of every run, so a micro-batch touches the
+    state of the runs it holds and no other. Steps that arrive together may come in any order. A
+    step that is not beyond the run's last one is late (so is a repeated step, and one without a
+    number): its successor has been rated already, so it is told apart by ``late``, gets no
+    ``delta_ppl`` and changes nothing that follows. Rows without loss are skipped. The rows of one
+    run in one micro-batch meet in one task; ``read_stream``'s ``max_files`` bounds them.
     """
-    last_schema = f"{run} {stream.schema[run].dataType.simpleString()}, _carried double"
-
-    def rate(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        logged = batch.filter(F.col(loss).isNotNull()).select(run, step, loss, F.exp(loss).alias("_ppl"))
-        if batch_id:
-            known = spark.read.schema(last_schema).parquet(f"{folder}/last/{BATCH}={batch_id - 1}")
-        else:
-            known = spark.createDataFrame([], last_schema)
-        newest = logged.groupBy(run).agg(F.max_by("_ppl", step).alias("_newest"))
-        # one row a run; grouping takes null runs for one run, as joins below do
-        both = known.select(run, "_carried", F.lit(0).alias("_at")).union(newest.select(run, "_newest", F.lit(1)))
-        merged = both.groupBy(run).agg(F.max_by("_carried", "_at").alias("_carried"))
-        merged.write.mode("overwrite").parquet(f"{folder}/last/{BATCH}={batch_id}")
-
-        linked = previous_value(logged, run, step, "_ppl", "_previous")
-        # only the first step of a run in this batch looks back into the table
-        joined = join_keyed(linked, known, [run], "left").withColumn("_previous", F.coalesce("_previous", "_carried"))
-        rated = reported(joined.drop("_carried"), min_ppl=min_ppl)
-        rated.write.mode("overwrite").parquet(f"{folder}/data/{BATCH}={batch_id}")
-
-    return _start(stream.writeStream.foreachBatch(rate), folder, available_now)
+    kinds = {name: stream.schema[name].dataType.simpleString() for name in (run, step)}
+    out = f"{run} {kinds[run]}, {step} {kinds[step]}, {loss} double, perplexity double, delta_ppl double, late boolean"
+    logged = stream.filter(F.col(loss).isNotNull()).select(run, step, F.col(loss).cast("double").alias(loss))
+    rate = _rating(run, step, loss, math.exp(min_ppl), kinds[step] in ("tinyint", "smallint", "int", "bigint"))
+    rated = logged.groupBy(run).applyInPandasWithState(rate, out, f"step {kinds[step]}, ppl double", "append", "NoTimeout")
+    writer = rated.writeStream.format("parquet").outputMode("append").option("path", f"{folder}/data")
+    return _start(writer, folder, available_now)
+
+
+def _rating(run: str, step: str, loss: str, limit: float, whole: bool):
+    """The function that rates the new rows of one run and moves its state on."""
+
+    def rate(key, frames, state):
+        import numpy as np
+        import pandas as pd
+
+        rows = pd.concat(list(frames), ignore_index=True).sort_values([step, loss], kind="stable", ignore_index=True)
+        steps, ppl = rows[step], np.exp(rows[loss].to_numpy())
+        last_step, last_ppl = state.get if state.exists else (None, 0.0)
+        late = steps.isna().to_numpy() | steps.duplicated().to_numpy()
+        if last_step is not None:
+            late |= (steps <= last_step).to_numpy()
+        series = ppl[~late]
+        delta = np.full(len(rows), np.nan)
+        delta[~late] = np.concatenate([[last_ppl], series[:-1]])[: len(series)] - series
+        if len(series):
+            newest = steps[~late].iloc[-1]
+            # a missing step makes a column of whole numbers one of floats
+            state.update((int(newest) if whole else newest, float(series[-1])))
+        below = ppl < limit
+        yield pd.DataFrame(
+            {
+                run: [key[0]] * len(rows),
+                step: steps,
+                loss: rows[loss],
+                "perplexity": _with_nulls(ppl, below),
+                "delta_ppl": _with_nulls(delta, below & ~late),
+                "late": late,
+            }
+        )
+
+    def _with_nulls(values, known):
+        import pandas as pd
+
+        return pd.array([float(v) if k else None for v, k in zip(values, known)], dtype="Float64")
+
+    return rate

@@ -323,3 +323,79 @@ def test_numbers_from_a_table(spark, tmp_path):
     numbers = spark.createDataFrame([(2, 30), (1, 10), (3, 20)], "place int, number int")
     writers.write_many(strings(spark, ["a", "b"]), "k", numbers, str(tmp_path / "x{i:03d}"), to_json=True)
     assert {f: (tmp_path / f).read_text() for f in os.listdir(tmp_path)} == {"x010": '"a"', "x030": '"b"'}
+
+
+def test_late_steps_are_told_apart(spark, tmp_path):
+    import math
+
+    source, out = str(tmp_path / "in"), str(tmp_path / "out")
+    schema = "run_id string, step int, loss double"
+    batches = [
+        [("a", 3, 1.0), ("a", 1, 2.0), ("b", 7, 0.5), ("a", 2, None)],
+        [("a", 2, 1.5), ("a", 3, 0.1), ("a", 5, 0.4), ("a", 4, 4.0), ("a", 4, 4.5), ("a", None, 1.0), ("b", 8, 0.25)],
+        [("a", 6, 0.2), ("a", 4, 0.3)],
+    ]
+    for i, rows in enumerate(batches):
+        drop(spark.createDataFrame(rows, schema), source, str(i))
+    streams.stream_perplexity(readers.read_stream(spark, source, schema, max_files=1), out).awaitTermination()
+    got = {(r.run_id, r.step, r.loss): (r.perplexity, r.delta_ppl, r.late) for r in spark.read.parquet(f"{out}/data").collect()}
+    e, late = math.exp, lambda x: (math.exp(x), None, True)
+    want = {
+        ("a", 1, 2.0): (e(2), -e(2), False), ("a", 3, 1.0): (e(1), e(2) - e(1), False), ("b", 7, 0.5): (e(0.5), -e(0.5), False),
+        ("a", 2, 1.5): late(1.5), ("a", 3, 0.1): late(0.1), ("a", 4, 4.0): (None, None, False), ("a", 4, 4.5): (None, None, True),
+        ("a", 5, 0.4): (e(0.4), e(4) - e(0.4), False), ("a", None, 1.0): late(1.0), ("b", 8, 0.25): (e(0.25), e(0.5) - e(0.25), False),
+        ("a", 6, 0.2): (e(0.2), e(0.4) - e(0.2), False), ("a", 4, 0.3): late(0.3),
+    }
+    assert got.keys() == want.keys()
+    for key, values in want.items():
+        assert got[key][2] == values[2] and all((g is None) == (w is None) and (w is None or math.isclose(g, w)) for g, w in zip(got[key][:2], values[:2])), (key, got[key])
+
+
+def test_restart_in_the_middle_of_a_batch(spark, tmp_path):
+    """A job that dies while it rates a batch goes on from the state before that batch."""
+    import math
+
+    source, out, flag = str(tmp_path / "in"), str(tmp_path / "out"), tmp_path / "died"
+    schema = "run_id string, step int, loss double"
+    for i in range(3):
+        drop(spark.createDataFrame([(f"r{r}", 2 * i + s, 0.1 * r + 0.01 * (2 * i + s)) for r in range(9) for s in range(2)], schema), source, str(i))
+
+    @F.udf("double")
+    def fails_once(step, loss):
+        if step == 3 and not flag.exists():
+            flag.write_text("x")
+            raise RuntimeError("lost power")
+        return loss
+
+    def run():
+        stream = readers.read_stream(spark, source, schema, max_files=1)
+        streams.stream_perplexity(stream.withColumn("loss", fails_once("step", "loss")), out).awaitTermination()
+
+    with pytest.raises(Exception, match="lost power"):
+        run()
+    assert spark.read.parquet(f"{out}/data").count() == 18
+    run()
+    rows = spark.read.parquet(f"{out}/data").collect()
+    assert len(rows) == 54 and not any(r.late for r in rows)
+    value = lambda run_id, step: math.exp(0.1 * int(run_id[1:]) + 0.01 * step)
+    for r in rows:
+        before = value(r.run_id, r.step - 1) if r.step else 0.0
+        assert math.isclose(r.delta_ppl, before - value(r.run_id, r.step), abs_tol=1e-12)
+
+
+def test_streaming_pack_tells_late_rows_apart(spark, tmp_path):
+    from packfold.operators.packing import pack_aligned
+
+    source, out = str(tmp_path / "in"), str(tmp_path / "out")
+    schema = "k int, input_ids array<int>"
+    batches = [[(i, [5] * (i + 3)) for i in (1, 2, 3)], [(4, [6] * 9), (2, [7]), (5, [8] * 4)], [(6, [9] * 12), (5, [1])]]
+    for i, rows in enumerate(batches):
+        drop(spark.createDataFrame(rows, schema), source, str(i))
+    options = {"bos": 1, "eos": 2, "seq_length": 6, "num_sequences": 2}
+    stream = readers.read_stream(spark, source, schema, max_files=1)
+    streams.stream_packed(stream, "k", out, **options).awaitTermination()
+    streams.close_packed(spark, "k", out, stream.schema, **options)
+    assert sorted((r.k, r.batch) for r in spark.read.parquet(f"{out}/late").collect()) == [(2, 1), (5, 2)]
+    kept = spark.createDataFrame([r for rows in batches for r in rows if r not in ((2, [7]), (5, [1]))], schema)
+    rows = lambda df: sorted((r.buffer, r.chunk, list(r.input_ids)) for r in df.collect())
+    assert rows(spark.read.parquet(f"{out}/data")) == rows(pack_aligned(kept, "k", **options))
