@@ -10,7 +10,7 @@ from packfold.functions import arrays
 from packfold.functions.encoders import HashEncoder
 from packfold.functions.text import stripped
 from packfold.functions.tokenizers import ByteTokenizer, WordTokenizer
-from packfold.operators import embedding, grouping, mapping, mixing, packing, padding, tokenizing
+from packfold.operators import embedding, grouping, mapping, mixing, packing, padding, tokenizing, vocabulary
 from packfold.operators.perplexity import perplexity_series as series
 from packfold.plans.ordinals import with_ordinal
 from packfold.sources.readers import spread
@@ -107,30 +107,51 @@ def mapped_batches(spark, sf):
 
 VOCABULARY_SQL = f"""words AS (SELECT doc_id, unnest(regexp_extract_all(text, '{WORD}')) AS word,
         unnest(range(len(regexp_extract_all(text, '{WORD}')))) AS place FROM documents),
-    vocabulary AS (SELECT word, row_number() OVER (ORDER BY n DESC, word) + 3 AS id
-        FROM (SELECT word, count(*) AS n FROM words GROUP BY 1) ORDER BY n DESC, word LIMIT 1000)"""
+    vocabulary AS (SELECT word, row_number() OVER (ORDER BY n DESC, word) + 3 AS id, n
+        FROM (SELECT word, count(*) AS n FROM words GROUP BY 1))"""
 
 
-@query(
-    "word_vocabulary",
-    f"WITH {VOCABULARY_SQL} SELECT word, id FROM vocabulary",
-)
+@query("word_vocabulary", f"WITH {VOCABULARY_SQL} SELECT word, id, n FROM vocabulary")
 def word_vocabulary(spark, sf):
-    learned = WordTokenizer.learn(spread(docs(spark, sf)), "text", 1000)
-    rows = [(word, i + learned.shift) for i, word in enumerate(learned.vocabulary)]
-    return spark.createDataFrame(rows, "word string, id bigint")
+    """Every word of the texts, as a table."""
+    return vocabulary.learn_vocabulary(spread(docs(spark, sf)))
 
 
 @query(
     "word_tokens",
     f"""WITH {VOCABULARY_SQL}
-    SELECT doc_id, count(word) AS token_count, coalesce(string_agg(coalesce(id, 3)::VARCHAR, ',' ORDER BY place), '') AS input_ids
+    SELECT doc_id, count(word) AS token_count, coalesce(string_agg(id::VARCHAR, ',' ORDER BY place), '') AS input_ids
     FROM documents LEFT JOIN words USING (doc_id) LEFT JOIN vocabulary USING (word) GROUP BY doc_id""",
 )
 def word_tokens(spark, sf):
+    """Ids of all words, the rare ones too."""
+    rows = spread(docs(spark, sf))
+    tokens = vocabulary.encode_words(rows, vocabulary.learn_vocabulary(rows), "doc_id", head_words=200)
+    count = arrays.token_count("input_ids").cast("long")
+    return tokens.select("doc_id", count.alias("token_count"), arrays.as_text("input_ids").alias("input_ids"))
+
+
+@query("word_round_trip", f"SELECT doc_id, array_to_string(regexp_extract_all(text, '{WORD}'), ' ') AS text FROM documents")
+def word_round_trip(spark, sf):
+    """Ids give back every word."""
+    rows = spread(docs(spark, sf))
+    learned = vocabulary.learn_vocabulary(rows)
+    return vocabulary.decode_words(vocabulary.encode_words(rows, learned, "doc_id"), learned, "doc_id")
+
+
+@query(
+    "word_tokens_bounded",
+    f"""WITH {VOCABULARY_SQL}
+    SELECT doc_id, coalesce(string_agg(CASE WHEN id < 1004 THEN id ELSE 3 END::VARCHAR, ',' ORDER BY place), '') AS input_ids,
+        coalesce(string_agg(word, ' ' ORDER BY place) FILTER (id < 1004), '') AS text
+    FROM documents LEFT JOIN words USING (doc_id) LEFT JOIN vocabulary USING (word) GROUP BY doc_id""",
+)
+def word_tokens_bounded(spark, sf):
+    """A tokenizer of the most frequent words only, inside expressions."""
     rows = spread(docs(spark, sf))
-    tokens = tokenizing.tokenize(rows, WordTokenizer.learn(rows, "text", 1000))
-    return tokens.select("doc_id", F.col("token_count").cast("long"), arrays.as_text("input_ids").alias("input_ids"))
+    tokenizer = WordTokenizer.learn(rows, "text", 1000)
+    tokens = tokenizing.tokenize(rows, tokenizer).select("doc_id", "input_ids")
+    return tokens.select("doc_id", arrays.as_text("input_ids").alias("input_ids"), tokenizer.decode("input_ids").alias("text"))
 
 
 @query("row_ordinals", "SELECT l_orderkey, l_linenumber, l_partkey, ordinal FROM (SELECT *, row_number() OVER (ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey, l_shipdate, l_extendedprice) - 1 AS ordinal FROM lineitem)")

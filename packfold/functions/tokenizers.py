@@ -194,13 +194,17 @@ class WordTokenizer(Tokenizer):
         vocabulary, shift = self.vocabulary, self.shift
 
         def decode(lists):
+            import numpy as np
             import pyarrow as pa
+            import pyarrow.compute as pc
 
-            texts = [
-                None if ids is None else " ".join(vocabulary[i - shift] for i in ids if i >= shift)
-                for ids in lists.to_pylist()
-            ]
-            return pa.array(texts, pa.string())
+            offsets = lists.offsets.to_numpy()
+            ids = lists.values.to_numpy(zero_copy_only=False)[offsets[0] : offsets[-1]]
+            kept = ids >= shift
+            ends = np.concatenate([[0], np.cumsum(kept)]).astype(np.int32)
+            words = pa.array(vocabulary, pa.string()).take(pa.array(ids[kept] - shift))
+            cut = pa.ListArray.from_arrays(pa.array(ends[offsets - offsets[0]]), words, mask=lists.is_null())
+            return pc.binary_join(cut, " ")
 
         return decode
 
