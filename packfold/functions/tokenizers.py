@@ -41,6 +41,10 @@ class Tokenizer:
     def encode(self, text: Column | str, add_special_tokens: bool = False) -> Column:
         return array_function(self._encoder(add_special_tokens), IDS)(text)
 
+    def array_encoder(self, add_special_tokens: bool = False):
+        """The function from an Arrow string array to token arrays, for work inside tasks."""
+        return self._encoder(add_special_tokens)
+
     def encode_each(self, texts: Column | str) -> Column:
         """Token ids of every string of an ``array<string>`` column, without exploding it."""
         encode = self._encoder(False)

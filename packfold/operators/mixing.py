@@ -11,7 +11,6 @@ from pyspark.sql import functions as F
 from packfold.functions.hashing import shuffle_key, uniform
 from packfold.functions.tokenizers import Tokenizer
 from packfold.operators.packing import pack_aligned, pack_fixed
-from packfold.operators.tokenizing import tokenize
 from packfold.plans.ordinals import join_back, names, ordinals
 
 SOURCE = "_source"
@@ -124,10 +123,8 @@ def tokenize_shuffle_pack(
     seed: int = 42,
 ) -> DataFrame:
     """Tokenize, put all rows in a seeded global order, cut into rows of ``seq_length`` tokens."""
-    tokens = tokenize(df, tokenizer, column=column).select(
-        key, "input_ids", shuffle_key(F.col(key), seed).alias("_mix")
-    )
-    return pack_fixed(tokens, ["_mix", key], seq_length=seq_length)
+    mixed = df.select(key, column, shuffle_key(F.col(key), seed).alias("_mix"))
+    return pack_fixed(mixed, ["_mix", key], seq_length=seq_length, ids=column, encode=tokenizer.array_encoder())
 
 
 def pack_splits(

@@ -1,12 +1,13 @@
 """Cutting token arrays into training rows of one length.
 
-Both packers move tokens twice: once to meet their cut plan, once to meet the other parts of
-their chunk. Everything sequential happens on row lengths only, in tasks of bounded size.
+Cutting at fixed places needs one shuffle, which puts rows in order. Aligned packing moves tokens
+twice: once to meet their cut plan, once to meet the other parts of their chunk; everything
+sequential there happens on row lengths only, in tasks of bounded size.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -15,6 +16,8 @@ from pyspark.sql import types as T
 from packfold.functions.hashing import shuffle_key
 from packfold.operators.buffers import number_buffers
 from packfold.plans.ordinals import join_back, names, ordinals
+from packfold.plans.runs import cut_stream, token_stream
+from packfold.session import materialize
 
 # Rows and chunks one task looks at while it numbers buffers.
 SHARD_CHUNKS = 1 << 20
@@ -98,6 +101,8 @@ def pack_aligned(
     if seq_length < 2:
         raise ValueError("seq_length must be at least 2")
     keys, groups = names(order_by), names(group)
+    # what made the tokens runs once; lengths and tokens are both read from here
+    df = materialize(df.select(*dict.fromkeys(groups + keys), ids), "tokens")
     buffered, most_cuts = _buffered(
         df, keys, groups, ids, seq_length, num_sequences, bos=bos, shuffle_seed=shuffle_seed, **options
     )
@@ -220,35 +225,16 @@ def pack_fixed(
     seq_length: int = 2048,
     group: str | Sequence[str] | None = None,
     ids: str = "input_ids",
+    encode: Callable | None = None,
 ) -> DataFrame:
     """All rows concatenated in order and cut every ``seq_length`` tokens, per group.
 
-    No separator is added and the incomplete last chunk of a group is dropped. Each row finds
-    its chunks from a prefix sum of lengths, so no step depends on the step before it. Rows are
-    cut before they are multiplied: a row of many chunks never travels whole beside each.
+    No separator is added and the incomplete last chunk of a group is dropped. Tokens are written
+    once, in order, and cut where they lie (``plans/runs.py``). With ``encode``, a function between
+    Arrow arrays, ``ids`` names a text column that becomes tokens after the shuffle.
     """
-    keys, groups = names(order_by), names(group)
-    row_keys = list(dict.fromkeys(groups + keys))
-    size = F.coalesce(F.size(ids), F.lit(0)).cast("long")
-    starts, rows, _ = ordinals(df, keys, group=groups, carry={"_len": size}, sums={"_start": size})
-    starts = starts.filter(F.col("_len") > 0).drop("ordinal", "_len")
-
-    first = F.floor(F.col("_start") / seq_length)
-    last = F.floor((F.col("_start") + F.size(ids) - 1) / seq_length)
-
-    def part(chunk: Column) -> Column:
-        lo = F.greatest(chunk * seq_length - F.col("_start"), F.lit(0))
-        hi = F.least((chunk + 1) * seq_length - F.col("_start"), F.size(ids).cast("long"))
-        return F.struct(
-            chunk.alias("chunk"), F.col("_start").alias("at"), F.slice(ids, (lo + 1).cast("int"), (hi - lo).cast("int")).alias("ids")
-        )
-
-    spread = join_back(df.select(*row_keys, ids), starts, row_keys, rows).select(
-        *groups, F.inline(F.transform(F.sequence(first, last), part))
-    )
-    whole: Column = F.flatten(F.sort_array(F.collect_list(F.struct("at", "ids")))["ids"])
-    packed = spread.groupBy(*groups, "chunk").agg(whole.alias("input_ids"))
-    return packed.filter(F.size("input_ids") == seq_length).withColumn("labels", F.col("input_ids"))
+    stream = token_stream(df, names(order_by), names(group), ids, encode)
+    return cut_stream(stream, seq_length).withColumn("labels", F.col("input_ids"))
 
 
 def shuffle_in_buffers(

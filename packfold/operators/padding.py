@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from packfold.functions.arrays import IGNORED, pad_right, repeated, round_up, token_count
 from packfold.plans.ordinals import join_back, names, ordinals
+from packfold.session import materialize
 
 
 def assign_batches(
@@ -49,6 +50,8 @@ def pad_with_labels(
     """Right-pad ids with ``pad_id`` and labels with the ignored label, to the longest row of the
     batch rounded up to ``multiple``; add ``attention_mask``."""
     keys = names(order_by)
+    # what made the rows (a tokenizer, a template) runs once
+    df = materialize(df, "unpadded")
     numbered, rows = _batches(df, keys, batch_size, ids, "batch_id")
     if drop_last:
         numbered = numbered.filter(F.col("_batch_rows") == batch_size)

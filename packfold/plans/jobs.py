@@ -72,9 +72,8 @@ def make_constant(
     split = "split" if "split" in data.columns else None
     if max_records:
         data = _capped(data, order_by, max_records, split)
-    keys = [split, order_by] if split else [order_by]
-    tokens = tokenize(data, tokenizer, column=column, add_special_tokens=add_special_tokens, counts_column=None)
-    packed = pack_fixed(tokens.select(*keys, "input_ids"), order_by, seq_length=seq_length, group=split)
+    encode = tokenizer.array_encoder(add_special_tokens)
+    packed = pack_fixed(data, order_by, seq_length=seq_length, group=split, ids=column, encode=encode)
     if output_dir is None:
         return packed
     return save_splits(packed, output_dir, overwrite=overwrite) if split else save(packed, output_dir, overwrite=overwrite)
