@@ -43,6 +43,25 @@ def scan_json_gzip(spark, sf):
     return readers.load(spark, f"{path}/*.json.gz", schema=DOC_SCHEMA).select("doc_id", "lang", "source", "n_chars", "text")
 
 
+@query("scan_json_zstd", DOCS_SQL)
+def scan_json_zstd(spark, sf):
+    """Lines of JSON under zstd, each file a stream of its own."""
+    folder = fresh_path(spark, "json-zst")
+    os.makedirs(folder)
+
+    def compress(rows):
+        import zstandard
+        from pyspark import TaskContext
+
+        with open(f"{folder}/part-{TaskContext.get().partitionId():05d}.json.zst", "wb") as out:
+            with zstandard.ZstdCompressor().stream_writer(out) as lines:
+                for row in rows:
+                    lines.write(row.value.encode() + b"\n")
+
+    docs(spark, sf).repartition(4).select(F.to_json(F.struct("*"), {"ignoreNullFields": "false"}).alias("value")).foreachPartition(compress)
+    return readers.load(spark, f"{folder}/*.json.zst", schema=DOC_SCHEMA).select("doc_id", "lang", "source", "n_chars", "text")
+
+
 @query("scan_csv", "SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice FROM orders")
 def scan_csv(spark, sf):
     path = fresh_path(spark, "csv")
@@ -270,13 +289,34 @@ def tsv_metadata(spark, sf):
 
 @query(
     "tsv_vectors",
-    """SELECT vec_id, round(list_sum(list_transform(embedding, lambda x: x::DOUBLE)), 4) AS total, len(embedding) AS width FROM embeddings""",
+    """SELECT vec_id::VARCHAR AS vec_id, label::VARCHAR AS label, round(list_sum(list_transform(embedding, lambda x: x::DOUBLE)), 4) AS total, len(embedding) AS width
+    FROM embeddings""",
 )
 def tsv_vectors(spark, sf):
-    rows = table(spark, sf, "embeddings").select("vec_id", writers.vectors_tsv().alias("line"))
+    """Vectors and labels exported in many parts, read back and joined line by line."""
+    path = fresh_path(spark, "vectors")
+    writers.export_vectors(table(spark, sf, "embeddings").repartition(5), path, labels=["vec_id", "label"])
+    vectors = readers.in_list_order(spark, [f"{path}/vectors"], "text").withColumnRenamed("value", "line")
+    options = {"schema": "vec_id string, label string", "sep": "\t", "quote": ""}
+    labels = readers.in_list_order(spark, [f"{path}/metadata"], "csv", **options)
     numbers = F.transform(F.split("line", "\t"), lambda x: x.cast("double"))
     total = F.aggregate(numbers, F.lit(0.0), lambda t, x: t + x)
-    return rows.select("vec_id", F.round(total, 4).alias("total"), F.size(numbers).cast("long").alias("width"))
+    return vectors.join(labels, "row_no").select("vec_id", "label", F.round(total, 4).alias("total"), F.size(numbers).cast("long").alias("width"))
+
+
+@query(
+    "tsv_vectors_head",
+    """SELECT vec_id::VARCHAR AS vec_id, round(list_sum(list_transform(embedding, lambda x: x::DOUBLE)), 4) AS total
+    FROM embeddings ORDER BY embeddings.vec_id LIMIT 70""",
+)
+def tsv_vectors_head(spark, sf):
+    """The first records only."""
+    path = fresh_path(spark, "vectors")
+    writers.export_vectors(table(spark, sf, "embeddings"), path, labels=["vec_id"], order_by="vec_id", max_records=70)
+    vectors = readers.in_list_order(spark, [f"{path}/vectors"], "text")
+    labels = readers.in_list_order(spark, [f"{path}/metadata"], "csv", schema="vec_id string", sep="\t")
+    total = F.aggregate(F.split("value", "\t"), F.lit(0.0), lambda t, x: t + x.cast("double"))
+    return vectors.join(labels, "row_no").select("vec_id", F.round(total, 4).alias("total"))
 
 
 @query("head_rows", "SELECT doc_id, lang FROM documents ORDER BY doc_id LIMIT 137")
@@ -321,6 +361,47 @@ def group_tables(spark, sf):
     return readers.load(spark, writers.save_groups(rows, fresh_path(spark, "groups"), "lang"), "parquet")
 
 
+FIRST_SQL = "(SELECT source, row_number() OVER (ORDER BY min(doc_id)) - 1 AS group_no FROM documents GROUP BY 1)"
+
+
+@query("group_views", f"SELECT group_no, source AS group_id, doc_id, lang, text FROM documents JOIN {FIRST_SQL} USING (source)")
+def group_views(spark, sf):
+    """A table split by key, keys unknown before, numbered as they first appear."""
+    split = grouping.group_by(docs(spark, sf), "source", "doc_id")
+    return split.rows.select(F.col("group_no").cast("long").alias("group_no"), "group_id", "doc_id", "lang", "text")
+
+
+@query("group_view_first", f"SELECT doc_id, text FROM documents JOIN {FIRST_SQL} USING (source) WHERE group_no = 3")
+def group_view_first(spark, sf):
+    """The table of one key, from its own folder."""
+    split = grouping.group_by(docs(spark, sf), "source", "doc_id")
+    return split[split.keys()[3]].select("doc_id", "text")
+
+
+@query("group_rows", "SELECT lang, doc_id, text FROM documents WHERE lang IN ('en', 'fr')")
+def group_rows(spark, sf):
+    """The rows of keys that the caller names."""
+    views = grouping.groups(docs(spark, sf), "lang", ["en", "fr"])
+    return views["en"].union(views["fr"]).select("lang", "doc_id", "text")
+
+
+@query("guarded_columns", "SELECT doc_id, lang, octet_length(encode(text)) AS text_bytes FROM documents")
+def guarded_columns(spark, sf):
+    """Guards that let a table pass, and stop it when a column is missing, in the way or forbidden."""
+    rows = docs(spark, sf)
+    selecting.require_columns(rows, "doc_id", "text")
+    selecting.require_new_columns(rows, "text_bytes")
+    for guard, columns in ((selecting.require_columns, ["none"]), (selecting.require_new_columns, ["lang"]), (selecting.forbid_columns, ["text"])):
+        try:
+            guard(rows, *columns)
+        except ValueError:
+            continue
+        raise AssertionError(f"{guard.__name__} let {columns} pass")
+    made = rows.select("doc_id", "lang", F.octet_length("text").cast("long").alias("text_bytes"))
+    selecting.forbid_columns(made, "text")
+    return made
+
+
 @query("bucket_int", "SELECT o_orderkey, (o_custkey % 16)::VARCHAR AS bucket_id FROM orders")
 def bucket_int(spark, sf):
     return grouping.bucket_by(table(spark, sf, "orders"), "o_custkey", 16).select("o_orderkey", "bucket_id")

@@ -4,15 +4,18 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from checks.registry import WORD, byte_count, byte_ids, query, split_of, table
+from checks.registry import SQL, WORD, byte_count, byte_ids, query, split_of, table
 from checks.scans import docs, with_split
 from packfold.functions import arrays
-from packfold.functions.encoders import HashEncoder
+from packfold.functions.encoders import HashEncoder, ModelEncoder
 from packfold.functions.text import stripped
 from packfold.functions.tokenizers import ByteTokenizer, WordTokenizer
 from packfold.operators import embedding, grouping, mapping, mixing, packing, padding, tokenizing, vocabulary
 from packfold.operators.perplexity import perplexity_series as series
+from packfold.plans import jobs
 from packfold.plans.ordinals import with_ordinal
+from packfold.session import fresh_path
+from packfold.sources import readers
 from packfold.sources.readers import spread
 
 TOKENIZER = ByteTokenizer()
@@ -187,7 +190,8 @@ def fixed_sql(length: int, order: str = "doc_id", group: str = "0") -> str:
 
 @query("pack_fixed", f"SELECT chunk, input_ids FROM ({fixed_sql(256)})")
 def pack_fixed(spark, sf):
-    packed = packing.pack_fixed(byte_tokens(spark, sf), "doc_id", seq_length=256)
+    encode = TOKENIZER.array_encoder()
+    packed = packing.pack_fixed(spread(docs(spark, sf)), "doc_id", seq_length=256, ids="text", encode=encode)
     return packed.select("chunk", arrays.as_text("input_ids").alias("input_ids"))
 
 
@@ -198,6 +202,46 @@ def pack_fixed_by_split(spark, sf):
     return packed.select("split", "chunk", arrays.as_text("input_ids").alias("input_ids"))
 
 
+@query("save_packed", f"SELECT grp AS split, chunk, input_ids FROM ({fixed_sql(512, group=split_of('doc_id'))})")
+def save_packed(spark, sf):
+    """The whole job: texts to rows of one length, saved split by split."""
+    path = fresh_path(spark, "packed")
+    data = with_split(spread(docs(spark, sf))).select("doc_id", "split", "text")
+    saved = jobs.make_constant(data, TOKENIZER, "doc_id", output_dir=path, seq_length=512, add_special_tokens=False)
+    packed = readers.load(spark, saved, "splits")
+    return packed.select("split", "chunk", arrays.as_text("input_ids").alias("input_ids"))
+
+
+@query(
+    "tokenize_job",
+    f"""SELECT doc_id, text, {byte_count('text')}::INTEGER AS text_count, array_to_string({byte_ids('text')}, ',') AS text_input_ids,
+    (SELECT sum({byte_count('text')}) FROM documents)::BIGINT AS total FROM documents""",
+)
+def tokenize_job(spark, sf):
+    """The whole job: load, tokenize, save, and the sum of what was saved."""
+    path = fresh_path(spark, "tokenized")
+    options = {"output_column": None, "counts_column": "text_count"}
+    total = jobs.tokenize_table(spark, TOKENIZER, f"{sf}/documents.parquet", path, **options)
+    saved = readers.load(spark, path, "parquet")
+    ids = arrays.as_text("text_input_ids").alias("text_input_ids")
+    return saved.select("doc_id", "text", "text_count", ids, F.lit(total).cast("long").alias("total"))
+
+
+@query(
+    "pad_rule",
+    f"""WITH cut AS (SELECT doc_id, {byte_ids('text')} AS ids, (row_number() OVER (ORDER BY doc_id) - 1) // 4 AS batch_id FROM documents),
+    sized AS (SELECT *, (ceil(max(len(ids)) OVER (PARTITION BY batch_id) / 32.0) * 32)::INTEGER AS width FROM cut)
+    SELECT doc_id, array_to_string(list_concat(ids, list_transform(range(width - len(ids)), lambda i: 2)), ',') AS input_ids FROM sized""",
+)
+def pad_rule(spark, sf):
+    """A tokenizer without a padding token pads with its end token."""
+    tokenizer = ByteTokenizer()
+    tokenizer._pad_id = None
+    rows = tokenizing.tokenize(spread(docs(spark, sf)), tokenizer, counts_column=None).select("doc_id", "input_ids")
+    padded = padding.pad_for_lm(rows, "doc_id", tokenizer.pad_id, batch_size=4, multiple=32, drop_last=False)
+    return padded.select("doc_id", arrays.as_text("input_ids").alias("input_ids"))
+
+
 @query("tokenize_shuffle_pack", f"SELECT chunk, input_ids FROM ({fixed_sql(2048, order=SHUFFLED)})")
 def tokenize_shuffle_pack(spark, sf):
     packed = mixing.tokenize_shuffle_pack(spread(docs(spark, sf)), TOKENIZER, "doc_id", seq_length=2048)
@@ -342,6 +386,46 @@ def embed_hash(spark, sf):
     return vectors.filter(F.col("value") > 0).withColumn("value", F.round(F.col("value").cast("double"), 5))
 
 
+EMBED_SQL = SQL["embed_hash"]
+
+
+@query("embed_job", EMBED_SQL)
+def embed_job(spark, sf):
+    """The whole job: encode, save, export; vectors as read from the export, line by line."""
+    path, lines = fresh_path(spark, "embedded"), fresh_path(spark, "embedded-tsv")
+    rows = spread(docs(spark, sf)).select("doc_id", "lang", "text")
+    embedding.embed_table(rows, HashEncoder(64), path, vectors_path=lines, labels=["doc_id", "lang"])
+    vectors = readers.in_list_order(spark, [f"{lines}/vectors"], "text")
+    labels = readers.in_list_order(spark, [f"{lines}/metadata"], "csv", schema="doc_id bigint, lang string", sep="\t")
+    numbers = F.transform(F.split("value", "\t"), lambda x: x.cast("float").cast("double"))
+    slots = vectors.join(labels, "row_no").select("doc_id", F.posexplode(numbers).alias("slot", "value"))
+    return slots.filter(F.col("value") > 0).withColumn("value", F.round("value", 5))
+
+
+@query("embed_model", EMBED_SQL)
+def embed_model(spark, sf):
+    """A model that a function loads once per worker, here one that counts hashed words."""
+
+    def load():
+        import hashlib
+
+        import numpy as np
+        import regex
+
+        def encode(texts):
+            out = np.zeros((len(texts), 64), np.float32)
+            for i, text in enumerate(texts):
+                for word in regex.findall(WORD, text.lower()):
+                    out[i, int(hashlib.md5(word.encode()).hexdigest()[:8], 16) % 64] += 1
+            return out
+
+        return encode
+
+    vectors = embedding.embed(spread(docs(spark, sf)).select("doc_id", "text"), ModelEncoder(load, 128))
+    slots = vectors.select("doc_id", F.posexplode_outer("embedding").alias("slot", "value"))
+    return slots.filter(F.col("value") > 0).withColumn("value", F.round(F.col("value").cast("double"), 5))
+
+
 @query(
     "l2_normalize",
     """SELECT vec_id, round((x / norm)::FLOAT::DOUBLE, 5) AS value, place::INTEGER AS place FROM (

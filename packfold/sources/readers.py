@@ -21,6 +21,8 @@ FORMATS = {
     ".jsonl": "json",
     ".json.gz": "json",
     ".jsonl.gz": "json",
+    ".json.zst": "json",
+    ".jsonl.zst": "json",
     ".csv": "csv",
     ".txt": "text",
 }

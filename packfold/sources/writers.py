@@ -9,8 +9,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from packfold.functions.text import NUMBER_PLACE, json_line, json_value, numbered_path, tsv_safe
-from packfold.plans.ordinals import ordinals, join_back, names
-from packfold.session import materialize
+from packfold.operators.selecting import head
+from packfold.plans.ordinals import join_back, names, ordinals
+from packfold.session import fresh_path
 from packfold.sources.manifests import catalogue
 from packfold.sources.numbered import FORMAT, NumberedFiles
 
@@ -176,19 +177,52 @@ def export_vectors(
     column: str = "embedding",
     labels: Sequence[str] = (),
     order_by: str | Sequence[str] | None = None,
+    max_records: int | None = None,
     overwrite: bool = False,
 ) -> None:
     """``path/vectors`` with one vector per line and ``path/metadata`` with the labels, TSV.
 
-    Both list the rows in the same order: they are read from one written copy, or sorted by
-    ``order_by``.
+    Both come from one pass and have parts of the same numbers, so that line i of a part of one
+    belongs to line i of that part of the other, beside the header that each metadata part
+    begins with. ``order_by`` sorts all lines; ``max_records`` keeps the first of them.
     """
-    if order_by:
-        df = df.sort(*names(order_by))
-    elif labels:
-        df = materialize(df.select(column, *[c for c in labels if c != column]), "export")
-    _save(df.select(vectors_tsv(column).alias("value")).write.mode(_mode(overwrite)).text, f"{path}/vectors")
+    spark, keys = df.sparkSession, names(order_by)
+    if max_records:
+        df = head(df, max_records, keys or None)
+    ordered = df.sort(*keys) if keys else df
+    numbered = ordered.select(
+        vectors_tsv(column).alias("_vector"),
+        F.concat_ws("\t", *[F.coalesce(tsv_safe(F.col(c).cast("string")), F.lit("")) for c in labels]).alias("_labels"),
+        F.monotonically_increasing_id().alias("_line"),
+    )
+    entry = lambda kind, line, text: F.struct(F.lit(kind).alias("kind"), line.alias("line"), text.alias("value"))
+    entries = F.array(entry("vectors", F.col("_line"), F.col("_vector")))
     if labels:
-        safe = df.select(*[tsv_safe(F.col(c).cast("string")).alias(c) for c in labels])
-        writer = safe.write.mode(_mode(overwrite)).option("sep", "\t").option("header", True).option("quote", "")
-        _save(writer.csv, f"{path}/metadata")
+        told = F.array(entry("metadata", F.col("_line"), F.col("_labels")))
+        first = F.col("_line").bitwiseAND((1 << 33) - 1) == 0
+        title = F.array(entry("metadata", F.col("_line") - 1, F.lit("\t".join(labels))))
+        entries = F.concat(entries, F.when(first, F.concat(title, told)).otherwise(told))
+    lines = numbered.select(F.inline(entries)).sortWithinPartitions("kind", "line").select("kind", "value")
+    parts = fresh_path(spark, "export")
+    lines.write.partitionBy("kind").text(parts)
+    kinds = ["vectors", "metadata"] if labels else ["vectors"]
+    _publish(spark, {f"{parts}/kind={kind}": f"{path.rstrip('/')}/{kind}" for kind in kinds}, overwrite)
+
+
+def _publish(spark: SparkSession, moves: dict[str, str], overwrite: bool) -> None:
+    """Written folders under their final names, all or none where a name is taken."""
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    conf = spark._jsc.hadoopConfiguration()
+    targets = [hadoop.Path(target) for target in moves.values()]
+    taken = [target for target in targets if target.getFileSystem(conf).exists(target)]
+    if taken and not overwrite:
+        raise FileExistsError(f"{taken[0].toString()} exists; pass overwrite=True to replace it")
+    for target in taken:
+        target.getFileSystem(conf).delete(target, True)
+    for source, target in zip(map(hadoop.Path, moves), targets):
+        system = source.getFileSystem(conf)
+        if not system.exists(source):
+            # no row, no part
+            target.getFileSystem(conf).mkdirs(target)
+        elif not hadoop.FileUtil.copy(system, source, target.getFileSystem(conf), target, True, conf):
+            raise OSError(f"cannot move {source.toString()} to {target.toString()}")

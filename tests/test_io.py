@@ -186,6 +186,8 @@ def test_vector_export(spark, tmp_path):
     df = spark.createDataFrame([(i, [float(i), 0.5], f"l\t{i}") for i in range(4)], "k int, embedding array<float>, name string")
     out = str(tmp_path / "v")
     writers.export_vectors(df, out, labels=["k", "name"], order_by="k")
+    with pytest.raises(FileExistsError):
+        writers.export_vectors(df, out, labels=["k"])
     lines = sorted(r.value for r in spark.read.text(f"{out}/vectors").collect())
     assert lines[1] == "1.0\t0.5"
     meta = spark.read.option("sep", "\t").option("header", True).csv(f"{out}/metadata")

@@ -297,3 +297,18 @@ def test_perplexity_limits(spark):
     assert [r.step for r in got] == [1, 3, 4]
     assert math.isclose(got[0].delta_ppl, -math.e) and got[1].perplexity is None
     assert math.isclose(got[2].delta_ppl, math.exp(5) - math.exp(2))
+
+
+def test_groups_in_order_of_first_appearance(spark):
+    rows = [(1, "b"), (2, None), (3, "a"), (4, "b"), (5, ""), (6, "7"), (7, "a/b=c"), (8, None)] + [(i, "hot") for i in range(10, 2500)]
+    df = spark.createDataFrame(rows, "k long, name string").repartition(4)
+    split = grouping.group_by(df, "name", "k")
+    assert split.keys() == ["b", "__NULL__", "a", "", "7", "a/b=c", "hot"]
+    assert {key: sorted(r.k for r in split[key].collect())[:2] for key in split.keys()} == {
+        "b": [1, 4], "__NULL__": [2, 8], "a": [3], "": [5], "7": [6], "a/b=c": [7], "hot": [10, 11],
+    }
+    assert split["hot"].columns == ["k", "name"] and split["hot"].count() == 2490 and split.rows.count() == len(rows)
+    assert "group_no=3" in split[""].inputFiles()[0] or "PartitionFilters: [isnotnull(group_no" in split[""]._jdf.queryExecution().toString()
+    with pytest.raises(KeyError):
+        split["none"]
+    assert grouping.group_by(df, "name", "k", drop_null=True).keys()[:2] == ["b", "a"]
