@@ -1,8 +1,9 @@
 """Row numbers and prefix sums over a global order, without a single-task window.
 
-Rows are cut into contiguous *pieces* by a range shuffle on the order keys, numbered inside
-each piece, and shifted by the totals of the pieces before it. A group that holds most of
-the rows is cut into as many pieces as its size asks for, so no task sees a whole group.
+Rows are cut into contiguous *pieces* by a range shuffle on the order keys, numbered where they
+lie, in one walk along each sorted piece, and shifted by the totals of the pieces before it. A
+group that holds most of the rows is cut into as many pieces as its size asks for, so no task
+sees a whole group.
 """
 
 from __future__ import annotations
@@ -10,8 +11,9 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from typing import NamedTuple
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from packfold.session import materialize
 
@@ -37,8 +39,8 @@ def join_keyed(
     return left.join(right, condition, how).drop(*[f"_r_{key}" for key in keys])
 
 
-# A narrow table of up to this many rows is numbered as one piece; longer ones are cut.
-ONE_PIECE_ROWS = 1 << 20
+# Rows of a piece, unless the session's shuffles have more partitions than that asks for.
+PIECE_ROWS = 1 << 20
 # A narrow side of up to this many rows (tens of MB) may be broadcast to the wide side.
 BROADCAST_ROWS = 200_000
 
@@ -51,23 +53,21 @@ class Numbered(NamedTuple):
     totals: dict[str, int]
 
 
-def cut_into_pieces(
-    narrow: DataFrame, sort_keys: Sequence[str], partitions: int | None = None
-) -> tuple[DataFrame, int, bool]:
+def piece_count(spark: SparkSession, rows: int, piece_rows: int | None = None) -> int:
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), rows // (piece_rows or PIECE_ROWS) + 1)
+
+
+def cut_into_pieces(narrow: DataFrame, sort_keys: Sequence[str], partitions: int | None = None) -> DataFrame:
     """Add ``_piece``, a number that grows with the order and splits it into balanced ranges.
 
-    Also returns the row count and whether there is more than one piece. The narrow table is written first, so what produced it (a
-    tokenizer, say) runs once although range bounds need a sampling pass; it is written again
-    after the range shuffle, because sampled bounds could change on recomputation.
+    The narrow table is written first, so what produced it (a tokenizer, say) runs once although
+    range bounds need a sampling pass; it is written again after the range shuffle, because
+    sampled bounds could change on recomputation.
     """
-    spark = narrow.sparkSession
     narrow = materialize(narrow, "narrow")
-    rows = narrow.count()
-    if partitions is None and rows <= ONE_PIECE_ROWS:
-        return narrow.withColumn(PIECE, F.lit(0)), rows, False
-    count = partitions or max(int(spark.conf.get("spark.sql.shuffle.partitions")), rows // ONE_PIECE_ROWS + 1)
+    count = partitions or piece_count(narrow.sparkSession, narrow.count())
     ranged = narrow.repartitionByRange(count, *sort_keys).withColumn(PIECE, F.spark_partition_id())
-    return materialize(ranged, "pieces"), rows, True
+    return materialize(ranged, "pieces")
 
 
 def join_back(wide: DataFrame, narrow: DataFrame, keys: Sequence[str], narrow_rows: int | None) -> DataFrame:
@@ -108,39 +108,115 @@ def ordinals(
         *[F.coalesce(expr.cast("long"), F.lit(0)).alias(f"_add_{col}") for col, expr in sums.items()],
     )
     if piece is not None:
-        cut, rows, many, totals = narrow.withColumn(PIECE, piece), None, True, {}
+        cut, rows, totals = narrow.withColumn(PIECE, piece), None, {}
+        numbered = _numbered_by_window(cut, groups, keys, list(sums))
     else:
-        cut, rows, many = cut_into_pieces(narrow, groups + keys, partitions)
-        totals = _totals(cut, list(sums))
+        narrow = materialize(narrow, "narrow")
+        rows, totals = _totals(narrow, list(sums))
+        cut = numbered = _numbered_in_place(narrow, groups, keys, list(sums), partitions or piece_count(df.sparkSession, rows))
+    # without groups there is one row a piece
+    hint = None if groups or piece is not None else "broadcast"
+    placed = join_keyed(numbered, _piece_offsets(cut, groups, list(sums)), groups + [PIECE], hint=hint)
+    kept = [c for c in narrow.columns if not c.startswith("_add_")]
+    result = placed.select(
+        *kept,
+        (F.col("_at") + F.col("_before_rows")).alias(name),
+        *[(F.col(f"_run_{c}") + F.col(f"_before_{c}")).alias(c) for c in sums],
+    )
+    return Numbered(result, rows, totals)
 
+
+def _numbered_by_window(cut: DataFrame, groups: list[str], keys: list[str], sums: list[str]) -> DataFrame:
     inside = Window.partitionBy(*groups, PIECE).orderBy(*keys)
     earlier = inside.rowsBetween(Window.unboundedPreceding, -1)
     tie = F.lag(F.struct(*keys)).over(inside) == F.struct(*keys)
-    numbered = cut.select(
+    return cut.select(
         *[c for c in cut.columns if not c.startswith("_add_")],
         F.when(tie, F.raise_error(f"order keys {keys} are not unique").cast("long"))
         .otherwise(F.row_number().over(inside).cast("long") - 1)
         .alias("_at"),
         *[F.coalesce(F.sum(f"_add_{c}").over(earlier), F.lit(0)).alias(f"_run_{c}") for c in sums],
     )
-    if many:
-        placed = join_keyed(numbered, _piece_offsets(cut, groups, list(sums)), groups + [PIECE])
-    else:
-        placed = numbered.withColumns({f"_before_{c}": F.lit(0).cast("long") for c in ["rows", *sums]})
-    kept = [c for c in narrow.columns if not c.startswith("_add_")]
-    result = placed.select(
-        *kept,
-        (F.col("_at") + F.col("_before_rows")).alias(name),
-        *[(F.col(f"_run_{c}") + F.col(f"_before_{c}")).alias(c) for c in sums],
-    )
-    return Numbered(result, rows, totals)
 
 
-def _totals(cut: DataFrame, sums: list[str]) -> dict[str, int]:
-    if not sums:
-        return {}
-    row = cut.agg(*[F.sum(f"_add_{c}").alias(c) for c in sums]).first()
-    return {c: row[c] or 0 for c in sums}
+def _numbered_in_place(narrow: DataFrame, groups: list[str], keys: list[str], sums: list[str], count: int) -> DataFrame:
+    """``narrow`` plus its piece, the number of each row in piece and group, and running sums.
+
+    One exchange puts rows in order; they are numbered along the sorted batches of a partition."""
+    order = [*groups, *[k for k in keys if k not in groups]]
+    ordered = narrow.repartitionByRange(count, *order).sortWithinPartitions(*order)
+    added = [(PIECE, T.IntegerType()), ("_at", T.LongType()), *[(f"_run_{c}", T.LongType()) for c in sums]]
+    schema = T.StructType([*narrow.schema.fields, *[T.StructField(n, t) for n, t in added]])
+    return materialize(ordered.mapInArrow(_numbering(groups, keys, sums), schema), "pieces")
+
+
+def same_as_before(columns: list, last: list | None):
+    """Whether each row of some Arrow arrays has the values of the row before it (null being a
+    value); ``last`` are the values before the first row, None if there is none."""
+    import numpy as np
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    count = len(columns[0]) if columns else 0
+    same = np.ones(count, np.bool_)
+    for column, value in zip(columns, last or [None] * len(columns)):
+        if pa.types.is_nested(column.type):
+            values = [value, *column.to_pylist()]
+            same &= np.array([a == b for a, b in zip(values, values[1:])], np.bool_)
+            continue
+        shifted = pa.concat_arrays([pa.array([value], column.type), column.slice(0, count - 1)])
+        equal = pc.fill_null(pc.equal(column, shifted), False)
+        same &= pc.or_(equal, pc.and_(pc.is_null(column), pc.is_null(shifted))).to_numpy(zero_copy_only=False)
+    if last is None and count:
+        same[0] = False
+    return same
+
+
+def since_change(values, same, carried: int):
+    """Running sums before each row, begun anew where ``same`` is false, and what they have come to
+    after the last; ``carried`` is that of the rows before."""
+    import numpy as np
+
+    after = np.cumsum(values)
+    before = after - values + carried
+    begins = np.flatnonzero(~same)
+    base = np.concatenate([[0], before[begins]])[np.cumsum(~same)]
+    return before - base, int(after[-1] + carried - base[-1])
+
+
+def _numbering(groups: list[str], keys: list[str], sums: list[str]):
+    def number(batches):
+        import numpy as np
+        import pyarrow as pa
+        from pyspark import TaskContext
+
+        piece, last, runs = TaskContext.get().partitionId(), None, [0] * (1 + len(sums))
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            own = [batch.column(g) for g in groups]
+            others = [batch.column(k) for k in keys if k not in groups]
+            same = same_as_before(own, last and last[: len(own)]) if own else np.ones(batch.num_rows, np.bool_)
+            if not own and last is None:
+                same[0] = False
+            if (same & same_as_before(others, last and last[len(own) :]) if others else same).any():
+                raise ValueError(f"order keys {keys} are not unique")
+            last = [c[batch.num_rows - 1].as_py() for c in [*own, *others]]
+            added = [np.ones(batch.num_rows, np.int64), *[batch.column(f"_add_{c}").to_numpy() for c in sums]]
+            made = []
+            for i, values in enumerate(added):
+                before, runs[i] = since_change(values, same, runs[i])
+                made.append(pa.array(before, pa.int64()))
+            pieces = pa.array(np.full(batch.num_rows, piece, np.int32))
+            names = [*batch.schema.names, "_piece", "_at", *[f"_run_{c}" for c in sums]]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pieces, *made], names=names)
+
+    return number
+
+
+def _totals(narrow: DataFrame, sums: list[str]) -> tuple[int, dict[str, int]]:
+    row = narrow.agg(F.count(F.lit(1)).alias("_rows"), *[F.sum(f"_add_{c}").alias(c) for c in sums]).first()
+    return row["_rows"], {c: row[c] or 0 for c in sums}
 
 
 def _piece_offsets(cut: DataFrame, groups: list[str], sums: list[str]) -> DataFrame:
@@ -188,12 +264,10 @@ def previous_value(
     of the group's piece before it. Two rows of a group with equal ``order_by`` have no order;
     they stop the job.
     """
-    cut, _, many = cut_into_pieces(df, [group, order_by], partitions)
+    cut = cut_into_pieces(df, [group, order_by], partitions)
     inside = Window.partitionBy(group, PIECE).orderBy(order_by)
     tie = F.raise_error(f"values of {order_by} are not unique in a {group}").cast(df.schema[value].dataType)
     before = F.when(F.lag(order_by).over(inside) == F.col(order_by), tie).otherwise(F.lag(value).over(inside))
-    if not many:
-        return cut.select(*df.columns, before.alias(name))
     last = cut.groupBy(group, PIECE).agg(F.max_by(value, order_by).alias("_last"))
     carried = last.select(
         group, PIECE, F.lag("_last").over(Window.partitionBy(group).orderBy(PIECE)).alias("_carried")

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from packfold.plans.ordinals import BROADCAST_ROWS, PIECE, join_keyed
+from packfold.plans.ordinals import BROADCAST_ROWS, PIECE, join_keyed, piece_count, same_as_before, since_change
 from packfold.session import materialize
 
 # Rows of a piece, unless the session asks for more pieces.
@@ -44,7 +44,7 @@ def token_stream(
     plain = df.select(*groups, *keys, F.col(source).alias("_source"))
     if encode is None:
         plain = materialize(plain, "tokens")
-    count = partitions or max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), plain.count() // PIECE_ROWS + 1)
+    count = partitions or piece_count(df.sparkSession, plain.count(), PIECE_ROWS)
     ordered = plain.repartitionByRange(count, *groups, *keys).sortWithinPartitions(*groups, *keys)
     kept = [plain.schema[g] for g in groups]
     added = [T.StructField(PIECE, T.IntegerType()), T.StructField("_run", T.LongType()), T.StructField("ids", IDS)]
@@ -61,25 +61,6 @@ def token_stream(
     return Stream(placed.select(*groups, "ids", (F.col("_run") + F.col("_before")).alias("start")), groups)
 
 
-def _same_as_before(columns: list, last: list | None):
-    """Whether each row has the values of the row before it; ``last`` are those before the first."""
-    import numpy as np
-    import pyarrow as pa
-    import pyarrow.compute as pc
-
-    count = len(columns[0]) if columns else 0
-    same = np.ones(count, np.bool_)
-    for column, value in zip(columns, last or [None] * len(columns)):
-        head = pa.array([value], column.type) if last else column.slice(0, 1)
-        shifted = pa.concat_arrays([head, column.slice(0, count - 1)])
-        equal = pc.fill_null(pc.equal(column, shifted), False)
-        both_null = pc.and_(pc.is_null(column), pc.is_null(shifted))
-        same &= pc.or_(equal, both_null).to_numpy(zero_copy_only=False)
-    if last is None and count:
-        same[0] = False
-    return same
-
-
 def _numbering(groups: list[str], keys: list[str], encode: Callable | None):
     def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import numpy as np
@@ -94,20 +75,15 @@ def _numbering(groups: list[str], keys: list[str], encode: Callable | None):
             source = batch.column(batch.num_columns - 1)
             ids = source if encode is None else encode(source)
             ids = pa.ListArray.from_arrays(ids.offsets, ids.values) if ids.null_count == 0 else pa.array([i or [] for i in ids.to_pylist()], ids.type)
-            same_group = _same_as_before(columns[: len(groups)], last and last[: len(groups)])
-            if not groups:
-                same_group = np.full(batch.num_rows, True)
-                same_group[0] = last is not None
-            if (same_group & _same_as_before(columns[len(groups) :], last and last[len(groups) :])).any():
+            own, others = columns[: len(groups)], columns[len(groups) :]
+            same = same_as_before(own, last and last[: len(own)]) if own else np.ones(batch.num_rows, np.bool_)
+            if not own and last is None:
+                same[0] = False
+            if (same & same_as_before(others, last and last[len(own) :]) if others else same).any():
                 raise ValueError(f"order keys {keys} are not unique")
             last = [c[batch.num_rows - 1].as_py() for c in columns]
-            sizes = np.diff(ids.offsets.to_numpy()).astype(np.int64)
-            ends = np.cumsum(sizes)
             # tokens before each row, counted from where its group begins in this piece
-            at = ends - sizes + run
-            begins = np.where(same_group, 0, at)
-            at -= np.maximum.accumulate(begins)
-            run = int(at[-1] + sizes[-1])
+            at, run = since_change(np.diff(ids.offsets.to_numpy()).astype(np.int64), same, run)
             made = [*columns[: len(groups)], pa.array(np.full(len(at), piece, np.int32)), pa.array(at), ids.cast(pa.list_(pa.int32()))]
             yield pa.RecordBatch.from_arrays(made, names=[*groups, "_piece", "_run", "ids"])
 
@@ -175,7 +151,7 @@ def _cutting(groups: list[str], length: int):
             follows = np.zeros(batch.num_rows, np.bool_)
             follows[1:] = start[1:] == start[:-1] + np.diff(offsets)[:-1]
             own = batch.columns[: len(groups)]
-            follows &= _same_as_before(own, None) if groups else True
+            follows &= same_as_before(own, None) if groups else True
             edges = [*np.flatnonzero(~follows).tolist(), batch.num_rows]
             for low, high in zip(edges[:-1], edges[1:]):
                 group = [column[low] for column in own]

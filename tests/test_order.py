@@ -70,6 +70,36 @@ def test_skewed_lookup_finds_hot_and_cold_keys(spark, monkeypatch):
 
 def test_pieces_are_balanced_when_one_group_is_hot(spark):
     df = spark.range(4000).select(F.when(F.col("id") < 3500, "hot").otherwise("cold").alias("g"), F.col("id").alias("k"))
-    cut, _, _ = plans.cut_into_pieces(df, ["g", "k"], partitions=8)
+    cut = plans.cut_into_pieces(df, ["g", "k"], partitions=8)
     sizes = [r["count"] for r in cut.groupBy(plans.PIECE).count().collect()]
     assert max(sizes) < 1200 and sum(sizes) == 4000
+
+
+def test_numbering_is_one_exchange_and_walks_sorted_pieces(spark):
+    rows = [(f"g{i % 3}" if i % 5 else None, i * 7 % 1009, i % 4) for i in range(1000)]
+    df = spark.createDataFrame(rows, "g string, k int, w int").repartition(6)
+    numbered, count, totals = plans.ordinals(df, "k", group="g", carry={"c": F.col("w") + 1}, sums={"run": F.col("w")}, partitions=5)
+    assert (count, totals) == (1000, {"run": sum(w for _, _, w in rows)})
+    want, runs = {}, {}
+    for g, k, w in sorted(rows, key=lambda r: r[1]):
+        at, run = runs.get(g, (0, 0))
+        want[g, k] = (w + 1, at, run)
+        runs[g] = (at + 1, run + w)
+    assert {(r.g, r.k): (r.c, r.ordinal, r.run) for r in numbered.collect()} == want
+    with pytest.raises(Exception, match="not unique"):
+        plans.ordinals(df.union(df.limit(1)), "k", group="g", partitions=5).frame.count()
+    with pytest.raises(Exception, match="not unique"):
+        plans.ordinals(df, "g", group="g").frame.count()
+    nested = df.select(F.struct("g", "k").alias("s"))
+    assert sorted(r.ordinal for r in plans.ordinals(nested, "s", partitions=3).frame.collect()) == list(range(1000))
+
+
+def test_numbering_many_batches(spark):
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        df = spark.range(500).select(F.pmod("id", F.lit(3)).alias("g"), "id")
+        got = {(r.g, r.id): (r.ordinal, r.s) for r in plans.ordinals(df, "id", group="g", sums={"s": F.col("id")}, partitions=3).frame.collect()}
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    assert got == {(i % 3, i): (i // 3, sum(range(i % 3, i, 3))) for i in range(500)}

@@ -130,7 +130,7 @@ def test_aligned_does_not_depend_on_partitions(spark, monkeypatch):
     docs = random_docs(11, 80, 40, 0.1)
     one = packed_rows(pack_aligned(frame(spark, docs, 1, seed=1), "doc", bos=BOS, eos=EOS, seq_length=8, num_sequences=4))
     # forces range pieces and the shuffled join, as for tables of any size
-    monkeypatch.setattr(plans, "ONE_PIECE_ROWS", 10)
+    monkeypatch.setattr(plans, "PIECE_ROWS", 10)
     monkeypatch.setattr(plans, "BROADCAST_ROWS", 0)
     many = packed_rows(pack_aligned(frame(spark, docs, 7, seed=2), "doc", bos=BOS, eos=EOS, seq_length=8, num_sequences=4))
     assert one == many == walk(docs, 8, 32)
@@ -179,7 +179,7 @@ def test_fixed_equals_plain_cut(spark, seed, length):
 
 
 def test_fixed_by_group_with_one_hot_group(spark, monkeypatch):
-    monkeypatch.setattr(plans, "ONE_PIECE_ROWS", 8)
+    monkeypatch.setattr(plans, "PIECE_ROWS", 8)
     monkeypatch.setattr(plans, "BROADCAST_ROWS", 0)
     docs = random_docs(5, 90, 20, 0.0)
     group = lambda i: "hot" if i % 3 else f"g{i % 2}"
