@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from packfold.functions.tokenizers import WORD_PATTERN
 from packfold.plans.barrier import computed_once
-from packfold.plans.ordinals import join_back, ordinals
+from packfold.plans.ordinals import join_back, join_keyed, ordinals
 from packfold.plans.skew import lookup_skewed
 from packfold.session import materialize
 
@@ -40,14 +40,14 @@ def paragraph_table(df: DataFrame, *columns: str, text: str = "text") -> DataFra
     return df.select(*columns, F.posexplode(F.split(F.coalesce(text, F.lit("")), "\n")).alias("para", "paragraph"))
 
 
-def ngram_table(
+def ngram_arrays(
     paragraphs: DataFrame,
     *columns: str,
     min_size: int = NGRAM_SIZE,
     max_size: int = NGRAM_SIZE,
     within: str | None = None,
 ) -> DataFrame:
-    """One row per n-gram occurrence: ``columns`` and the hash ``h``.
+    """``columns`` and ``grams``, the hashes of the n-grams of each paragraph in order.
 
     With ``within``, equal n-grams under different values of that column get different hashes.
     """
@@ -59,7 +59,12 @@ def ngram_table(
     none = F.array().cast("array<int>")
     starts = F.when(count > 0, F.sequence(F.lit(1), count)).otherwise(none)
     hashes = F.transform(starts, lambda i: F.xxhash64(F.slice("_words", i, max_size), *scope))
-    return words.select(*columns, F.explode(hashes).alias("h"))
+    return words.select(*columns, hashes.alias("grams"))
+
+
+def ngram_table(paragraphs: DataFrame, *columns: str, **options) -> DataFrame:
+    """One row per n-gram occurrence: ``columns`` and the hash ``h``."""
+    return ngram_arrays(paragraphs, *columns, **options).select(*columns, F.explode("grams").alias("h"))
 
 
 def _document_positions(df: DataFrame, doc: str) -> DataFrame:
@@ -85,7 +90,7 @@ def _position() -> Column:
     return F.when(F.col("para") < (1 << PARAGRAPH_BITS), F.col("_base") + F.col("para")).otherwise(too_long)
 
 
-def seen_per_paragraph(
+def paragraph_verdicts(
     df: DataFrame,
     doc: str = "doc_id",
     *,
@@ -94,13 +99,19 @@ def seen_per_paragraph(
     min_size: int = NGRAM_SIZE,
     max_size: int = NGRAM_SIZE,
 ) -> DataFrame:
-    """``doc``, ``para`` and ``seen``, the number of its n-grams seen earlier; only where any was."""
+    """``doc`` and ``_counted``, (para, ngrams, seen) of its paragraphs that have n-grams, in order.
+
+    Texts are matched once, into a written table of hashes that holds no text. Counting the
+    n-grams and looking up the repeated ones both read that.
+    """
     shard = F.lit(0) if shard is None else shard
     placed = _document_positions(df.select(doc, text, shard.cast("long").alias("_shard")), doc)
     paragraphs = paragraph_table(placed, doc, "_base", "_shard", text=text).select(
         doc, "para", "_shard", "paragraph", _position().alias("pos")
     )
-    grams = ngram_table(paragraphs, doc, "para", "pos", min_size=min_size, max_size=max_size, within="_shard")
+    arrays = ngram_arrays(paragraphs, doc, "para", "pos", min_size=min_size, max_size=max_size, within="_shard")
+    arrays = materialize(arrays, "grams")
+    grams = arrays.select(doc, "para", "pos", F.explode("grams").alias("h"))
 
     repeated = (
         grams.groupBy("h")
@@ -109,7 +120,10 @@ def seen_per_paragraph(
     )
     repeated = materialize(repeated.select("h", "n", "first"), "repeated")
     matched = lookup_skewed(grams, repeated, "h", weight="n", scatter=F.xxhash64("h", "pos"))
-    return matched.filter(F.col("pos") > F.col("first")).groupBy(doc, "para").agg(F.count(F.lit(1)).alias("seen"))
+    hit = F.coalesce(F.col("pos") > F.col("first"), F.lit(False))
+    counted = matched.groupBy(doc, "para").agg(F.count(F.lit(1)).alias("ngrams"), F.count_if(hit).alias("seen"))
+    listed = F.sort_array(F.collect_list(F.struct("para", "ngrams", "seen")))
+    return counted.groupBy(doc).agg(listed.alias("_counted"))
 
 
 def annotate(
@@ -124,42 +138,40 @@ def annotate(
 ) -> DataFrame:
     """All rows, plus ``paragraphs`` (text, ngrams, seen, dup_ratio, is_dup per line),
     ``doc_ngrams``, ``doc_seen``, ``doc_ratio`` and ``doc_dup``. ``doc`` must be unique."""
-    seen = seen_per_paragraph(df, doc, text=text, shard=shard, min_size=min_size, max_size=max_size)
-    per_doc = seen.groupBy(doc).agg(F.sort_array(F.collect_list(F.struct("para", "seen"))).alias("_seen"))
-    joined = computed_once(df.join(per_doc, doc, "left"), _lines=F.split(F.coalesce(text, F.lit("")), "\n"))
-    grams = lambda line: ngram_count(F.regexp_count(F.lower(line), F.lit(WORD_PATTERN)), min_size, max_size)
+    per_doc = paragraph_verdicts(df, doc, text=text, shard=shard, min_size=min_size, max_size=max_size)
+    # one row of counts a document meets the texts, which are cut at line ends and not matched
+    # again; whether the counts are small enough to broadcast is for Spark to see when they are there
+    joined = join_keyed(df, per_doc, [doc], "left")
+    joined = computed_once(joined, _lines=F.split(F.coalesce(text, F.lit("")), "\n"))
     ratio = lambda hit, all_: F.when(all_ > 0, hit / all_).otherwise(F.lit(0.0))
-    counted = F.zip_with(
+    rated = F.zip_with(
         "_lines",
-        _dense(F.col("_seen"), F.size("_lines")),
-        lambda line, n: F.struct(line.alias("text"), grams(line).cast("long").alias("ngrams"), n.alias("seen")),
-    )
-    joined = computed_once(joined, _counted=counted)
-    rated = F.transform(
-        "_counted",
-        lambda p: F.struct(
-            p["text"].alias("text"),
-            p["ngrams"].alias("ngrams"),
-            p["seen"].alias("seen"),
-            ratio(p["seen"], p["ngrams"]).alias("dup_ratio"),
-            (ratio(p["seen"], p["ngrams"]) >= threshold).alias("is_dup"),
+        _dense(F.col("_counted"), F.size("_lines")),
+        lambda line, n: F.struct(
+            line.alias("text"),
+            n["ngrams"].alias("ngrams"),
+            n["seen"].alias("seen"),
+            ratio(n["seen"], n["ngrams"]).alias("dup_ratio"),
+            (ratio(n["seen"], n["ngrams"]) >= threshold).alias("is_dup"),
         ),
     )
-    total = lambda field: F.aggregate("_counted", F.lit(0).cast("long"), lambda t, x: t + x[field])
+    known = F.coalesce("_counted", F.array().cast(per_doc.schema["_counted"].dataType))
+    total = lambda field: F.aggregate(known, F.lit(0).cast("long"), lambda t, x: t + x[field])
     joined = computed_once(joined, paragraphs=rated, doc_ngrams=total("ngrams"), doc_seen=total("seen"))
     return joined.withColumns(
         {"doc_ratio": ratio(F.col("doc_seen"), F.col("doc_ngrams"))}
-    ).withColumn("doc_dup", F.col("doc_ratio") >= threshold).drop("_seen", "_lines", "_counted")
+    ).withColumn("doc_dup", F.col("doc_ratio") >= threshold).drop("_lines", "_counted")
 
 
 def _dense(sparse: Column, size: Column) -> Column:
-    """Counts for lines 0..size-1 from sorted (para, seen) pairs: zeros fill the gaps, so the
+    """Counts for lines 0..size-1 from sorted (para, ngrams, seen): zeros fill the gaps, so the
     work is linear in the number of lines."""
-    zeros = lambda n: F.array_repeat(F.lit(0).cast("long"), n.cast("int"))
+    zero = F.lit(0).cast("long")
+    nothing = F.struct(zero.alias("ngrams"), zero.alias("seen"))
+    zeros = lambda n: F.array_repeat(nothing, n.cast("int"))
     before = lambda i: F.coalesce(F.get(sparse, i - 1)["para"], F.lit(-1))
-    filled = F.flatten(
-        F.transform(sparse, lambda s, i: F.concat(zeros(s["para"] - before(i) - 1), F.array(s["seen"])))
-    )
+    own = lambda s: F.array(F.struct(s["ngrams"].alias("ngrams"), s["seen"].alias("seen")))
+    filled = F.flatten(F.transform(sparse, lambda s, i: F.concat(zeros(s["para"] - before(i) - 1), own(s))))
     tail = zeros(size - F.element_at(sparse, -1)["para"] - 1)
     return F.when(sparse.isNull(), zeros(size)).otherwise(F.concat(filled, tail))
 
