@@ -12,11 +12,11 @@ from packfold.sources.readers import spread
 
 def by_language(spark, sf):
     """English and all other documents as two tables."""
-    rows = docs(spark, sf).select("doc_id", "lang")
+    rows = docs(spark, sf).select("doc_id", "lang", "text")
     return [rows.filter(F.col("lang") == "en"), rows.filter(F.col("lang") != "en")]
 
 
-@query("concat_sources", "SELECT (lang <> 'en')::INTEGER AS src_ord, doc_id, lang FROM documents")
+@query("concat_sources", "SELECT (lang <> 'en')::INTEGER AS src_ord, doc_id, lang, text FROM documents")
 def concat_sources(spark, sf):
     return mixing.concatenate(by_language(spark, sf))
 
@@ -28,28 +28,28 @@ def interleave_sql(rows: str) -> str:
     draws AS (SELECT k, CASE WHEN {draw('k')} < 0.8 THEN 0 ELSE 1 END AS s FROM range((SELECT count(*) FROM src)) t(k)),
     picks AS (SELECT k, s, row_number() OVER (PARTITION BY s ORDER BY k) - 1 AS ord FROM draws),
     stop AS (SELECT min(k) AS k FROM picks JOIN sizes USING (s) WHERE ord >= n)
-    SELECT k AS draw, doc_id FROM picks JOIN numbered USING (s, ord) WHERE k < coalesce((SELECT k FROM stop), 9e18)"""
+    SELECT k AS draw, doc_id, text FROM picks JOIN numbered USING (s, ord) WHERE k < coalesce((SELECT k FROM stop), 9e18)"""
 
 
-@query("interleave_80_20", interleave_sql("SELECT doc_id, CASE lang WHEN 'en' THEN 0 ELSE 1 END AS s FROM documents"))
+@query("interleave_80_20", interleave_sql("SELECT doc_id, text, CASE lang WHEN 'en' THEN 0 ELSE 1 END AS s FROM documents"))
 def interleave_80_20(spark, sf):
-    return mixing.interleave(by_language(spark, sf), [0.8, 0.2], "doc_id", seed=42).select("draw", "doc_id")
+    return mixing.interleave(by_language(spark, sf), [0.8, 0.2], "doc_id", seed=42).select("draw", "doc_id", "text")
 
 
 @query(
     "training_mix",
-    f"""SELECT 'train' AS split, draw, doc_id FROM ({interleave_sql(f"SELECT doc_id, CASE lang WHEN 'en' THEN 0 ELSE 1 END AS s FROM documents WHERE ({split_of('doc_id')}) = 'train'")})
-    UNION ALL SELECT split, NULL, doc_id FROM (SELECT doc_id, lang, {split_of('doc_id')} AS split FROM documents)
+    f"""SELECT 'train' AS split, draw, doc_id, text FROM ({interleave_sql(f"SELECT doc_id, text, CASE lang WHEN 'en' THEN 0 ELSE 1 END AS s FROM documents WHERE ({split_of('doc_id')}) = 'train'")})
+    UNION ALL SELECT split, NULL, doc_id, text FROM (SELECT doc_id, lang, text, {split_of('doc_id')} AS split FROM documents)
     WHERE split <> 'train' AND lang = 'en'""",
 )
 def training_mix(spark, sf):
     first, second = [with_split(t) for t in by_language(spark, sf)]
-    return mixing.training_mix(first, second, "doc_id").select("split", "draw", "doc_id")
+    return mixing.training_mix(first, second, "doc_id").select("split", "draw", "doc_id", "text")
 
 
-@query("epoch_repeat", "SELECT epoch::INTEGER AS epoch, doc_id FROM documents, range(3) t(epoch)")
+@query("epoch_repeat", "SELECT epoch::INTEGER AS epoch, doc_id, text FROM documents, range(3) t(epoch)")
 def epoch_repeat(spark, sf):
-    return mixing.repeat_epochs(docs(spark, sf).select("doc_id"), 3)
+    return mixing.repeat_epochs(docs(spark, sf).select("doc_id", "text"), 3)
 
 
 def seen_sql(shard: str = "0") -> str:

@@ -92,18 +92,17 @@ def first_line(spark, sf):
     return readers.read_lines(spark, path, split_lines=False)
 
 
-@query("scan_glob", "SELECT count(*) AS row_count, sum(n_chars)::BIGINT AS chars FROM documents")
+@query("scan_glob", DOCS_SQL)
 def scan_glob(spark, sf):
     path = fresh_path(spark, "many")
     docs(spark, sf).repartition(5, "doc_id").write.parquet(path)
-    scanned = readers.load(spark, f"{path}/part-*.parquet")
-    return scanned.agg(F.count("*").alias("row_count"), F.sum("n_chars").alias("chars"))
+    return readers.load(spark, f"{path}/part-*.parquet").select("doc_id", "lang", "source", "n_chars", "text")
 
 
-@query("scan_splits", f"SELECT doc_id, {split_of('doc_id')} AS split, n_chars FROM documents")
+@query("scan_splits", f"SELECT doc_id, {split_of('doc_id')} AS split, n_chars, text FROM documents")
 def scan_splits(spark, sf):
     path = writers.save_splits(with_split(docs(spark, sf)), fresh_path(spark, "splits"))
-    return readers.load(spark, path, "splits").select("doc_id", "split", "n_chars")
+    return readers.load(spark, path, "splits").select("doc_id", "split", "n_chars", "text")
 
 
 SPLITS = ("test", "train", "validation")
@@ -176,9 +175,13 @@ def manifest_lines(spark, sf):
     return manifests.manifest_lines(spark, writers.write_manifest(names, fresh_path(spark, "manifest")))
 
 
-@query("file_catalogue")
+@query("file_catalogue", "SELECT doc_id || '.txt' AS file, octet_length(encode(text)) AS length FROM documents")
 def file_catalogue(spark, sf):
-    found = manifests.catalogue(spark, sf)
+    """Names and sizes of the files below a folder that have an ending, none of them opened."""
+    root, rows = fresh_path(spark, "catalogue"), docs(spark, sf)
+    writers.write_many(rows, "doc_id", rows.select("doc_id"), f"{root}/texts/deep/{{i}}.txt", column="text")
+    writers.write_many(rows.select("doc_id", "lang"), "doc_id", 3, f"{root}/texts/{{i}}.other", column="lang")
+    found = manifests.catalogue(spark, root, fmt="txt", prefix="texts", recursive=True)
     return found.select(F.element_at(F.split("path", "/"), -1).alias("file"), "length")
 
 
@@ -206,22 +209,22 @@ def save_parquet(spark, sf):
 
 @query(
     "json_lines",
-    """SELECT json_object('doc_id', doc_id, 'lang', lang, 'source', source)::VARCHAR AS value FROM documents""",
+    """SELECT json_object('doc_id', doc_id, 'lang', lang, 'source', source, 'text', text)::VARCHAR AS value FROM documents""",
 )
 def json_lines(spark, sf):
-    rows = docs(spark, sf).select("doc_id", "lang", "source")
+    rows = docs(spark, sf).select("doc_id", "lang", "source", "text")
     return spark.read.text(writers.write_lines(rows, fresh_path(spark, "jsonl"), to_json=True))
 
 
 @query(
     "shard_write_plan",
-    """SELECT doc_id, 3 + row_number() OVER (ORDER BY doc_id) - 1 AS shard_id,
+    """SELECT doc_id, text, 3 + row_number() OVER (ORDER BY doc_id) - 1 AS shard_id,
     'out/part-' || (2 + row_number() OVER (ORDER BY doc_id)) || '.txt' AS output_file
     FROM documents""",
 )
 def shard_write_plan(spark, sf):
-    rows = docs(spark, sf).select("doc_id", "lang")
-    return writers.plan_files(rows, "doc_id", (3, 2**63 - 1), "out/part-{i}.txt").select("doc_id", "shard_id", "output_file")
+    rows = docs(spark, sf).select("doc_id", "text")
+    return writers.plan_files(rows, "doc_id", (3, 2**63 - 1), "out/part-{i}.txt").select("doc_id", "text", "shard_id", "output_file")
 
 
 NUMBERED_SQL = "SELECT 'part-' || lpad((7 + row_number() OVER (ORDER BY doc_id))::VARCHAR, 6, '0') || '.txt' AS file, text FROM documents"
@@ -266,12 +269,11 @@ def write_numbered_own(spark, sf):
     return numbered_back(spark, folder)
 
 
-@query("write_shards", "SELECT (doc_id % 7)::INTEGER AS shard_id, count(*) AS row_count, sum(n_chars)::BIGINT AS chars FROM documents GROUP BY 1")
+@query("write_shards", "SELECT (doc_id % 7)::INTEGER AS shard_id, doc_id, text FROM documents")
 def write_shards(spark, sf):
     rows = docs(spark, sf).withColumn("shard_id", F.pmod("doc_id", F.lit(7)).cast("int"))
     path = writers.write_shards(rows, fresh_path(spark, "shards"))
-    saved = readers.load(spark, path, "parquet")
-    return saved.groupBy("shard_id").agg(F.count("*").alias("row_count"), F.sum("n_chars").alias("chars"))
+    return readers.load(spark, path, "parquet").select("shard_id", "doc_id", "text")
 
 
 @query(
@@ -354,10 +356,10 @@ def group_counts(spark, sf):
     return summary.withColumnRenamed("rows", "row_count")
 
 
-@query("group_tables", "SELECT lang, doc_id, n_chars FROM documents")
+@query("group_tables", "SELECT lang, doc_id, n_chars, text FROM documents")
 def group_tables(spark, sf):
     """The table written as one folder per key and read back."""
-    rows = docs(spark, sf).select("lang", "doc_id", "n_chars")
+    rows = docs(spark, sf).select("lang", "doc_id", "n_chars", "text")
     return readers.load(spark, writers.save_groups(rows, fresh_path(spark, "groups"), "lang"), "parquet")
 
 
@@ -409,11 +411,10 @@ def bucket_int(spark, sf):
 
 @query(
     "bucket_text",
-    "SELECT bucket_id, count(*) AS row_count FROM (SELECT (('0x' || substr(md5(text), 1, 8))::BIGINT % 16)::VARCHAR AS bucket_id FROM documents) GROUP BY 1",
+    "SELECT doc_id, (('0x' || substr(md5(text), 1, 8))::BIGINT % 16)::VARCHAR AS bucket_id, text FROM documents",
 )
 def bucket_text(spark, sf):
-    bucketed = grouping.bucket_by(docs(spark, sf), "text", 16)
-    return grouping.row_counts(bucketed, "bucket_id").withColumnRenamed("rows", "row_count")
+    return grouping.bucket_by(docs(spark, sf), "text", 16).select("doc_id", "bucket_id", "text")
 
 
 @query("distinct_keys", "SELECT DISTINCT source FROM documents")

@@ -56,10 +56,10 @@ def token_counts_capped(spark, sf):
     return byte_tokens(spark, sf, max_records=100, order_by="doc_id").select("doc_id", "token_count")
 
 
-@query("tokens_named_by_column", f"SELECT doc_id, array_to_string({byte_ids('lang')}, ',') AS lang_input_ids FROM documents")
+@query("tokens_named_by_column", f"SELECT doc_id, array_to_string({byte_ids('text')}, ',') AS text_input_ids FROM documents")
 def tokens_named_by_column(spark, sf):
-    tokens = tokenizing.tokenize(docs(spark, sf), TOKENIZER, column="lang", output_column=None)
-    return tokens.select("doc_id", arrays.as_text("lang_input_ids").alias("lang_input_ids"))
+    tokens = tokenizing.tokenize(docs(spark, sf), TOKENIZER, column="text", output_column=None)
+    return tokens.select("doc_id", arrays.as_text("text_input_ids").alias("text_input_ids"))
 
 
 @query("tokens_with_bos", f"SELECT doc_id, {byte_count('text')}::INTEGER + 1 AS token_count, '1,' || array_to_string({byte_ids('text')}, ',') AS input_ids FROM documents")
@@ -68,9 +68,9 @@ def tokens_with_bos(spark, sf):
     return tokens.select("doc_id", "token_count", arrays.as_text("input_ids").alias("input_ids"))
 
 
-@query("prefix_bos", f"SELECT doc_id, '9,' || array_to_string({byte_ids('lang')}, ',') AS input_ids FROM documents")
+@query("prefix_bos", f"SELECT doc_id, '9,' || array_to_string({byte_ids('text')}, ',') AS input_ids FROM documents")
 def prefix_bos(spark, sf):
-    ids = docs(spark, sf).select("doc_id", TOKENIZER.encode("lang").alias("ids"))
+    ids = docs(spark, sf).select("doc_id", TOKENIZER.encode("text").alias("ids"))
     return ids.select("doc_id", arrays.as_text(arrays.with_prefix("ids", 9)).alias("input_ids"))
 
 
@@ -157,21 +157,22 @@ def word_tokens_bounded(spark, sf):
     return tokens.select("doc_id", arrays.as_text("input_ids").alias("input_ids"), tokenizer.decode("input_ids").alias("text"))
 
 
-@query("row_ordinals", "SELECT l_orderkey, l_linenumber, l_partkey, ordinal FROM (SELECT *, row_number() OVER (ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey, l_shipdate, l_extendedprice) - 1 AS ordinal FROM lineitem)")
+@query("row_ordinals", "SELECT l_orderkey, l_linenumber, l_partkey, l_quantity, l_tax, l_returnflag, ordinal FROM (SELECT *, row_number() OVER (ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey, l_shipdate, l_extendedprice) - 1 AS ordinal FROM lineitem)")
 def row_ordinals(spark, sf):
+    """Numbers from the keys alone, joined to the whole rows."""
     keys = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_shipdate", "l_extendedprice"]
-    rows = table(spark, sf, "lineitem").select(*keys)
-    return with_ordinal(rows, keys, partitions=8).select("l_orderkey", "l_linenumber", "l_partkey", "ordinal")
+    numbered = with_ordinal(table(spark, sf, "lineitem"), keys, partitions=8)
+    return numbered.select("l_orderkey", "l_linenumber", "l_partkey", "l_quantity", "l_tax", "l_returnflag", "ordinal")
 
 
-@query("shard_assign", "SELECT doc_id, ntile(32) OVER (ORDER BY doc_id) - 1 AS shard_id FROM documents")
+@query("shard_assign", "SELECT doc_id, text, ntile(32) OVER (ORDER BY doc_id) - 1 AS shard_id FROM documents")
 def shard_assign(spark, sf):
-    return mixing.assign_shards(docs(spark, sf).select("doc_id"), "doc_id", 32)
+    return mixing.assign_shards(docs(spark, sf).select("doc_id", "text"), "doc_id", 32)
 
 
-@query("batch_assign", "SELECT doc_id, (row_number() OVER (ORDER BY doc_id) - 1) // 8 AS batch_id FROM documents")
+@query("batch_assign", "SELECT doc_id, text, (row_number() OVER (ORDER BY doc_id) - 1) // 8 AS batch_id FROM documents")
 def batch_assign(spark, sf):
-    return padding.assign_batches(docs(spark, sf).select("doc_id"), "doc_id", 8)
+    return padding.assign_batches(docs(spark, sf).select("doc_id", "text"), "doc_id", 8)
 
 
 LENGTHS_SQL = f"lens AS (SELECT doc_id, {byte_ids('text')} AS ids FROM documents)"
