@@ -34,8 +34,10 @@ SLOTS = BANDS * ROWS
 LEAST_AGREEMENT = 0.6
 # Bits of the filter that tells which texts may be in a pair; 2 MB at any size of the table.
 FILTER_BITS = 1 << 24
-# Nodes of a bucket that meet in one tile; larger buckets are dealt over several tiles.
+# Nodes of a bucket that meet in one tile, and their shingles (12 bytes each), about; larger
+# buckets are dealt over several tiles.
 TILE = 1024
+TILE_SHINGLES = 1 << 21
 # Pairs of a tile that are compared at a time.
 CELLS = 1 << 16
 
@@ -174,14 +176,24 @@ def sign(batch: pa.RecordBatch) -> dict[str, np.ndarray | pa.Array]:
 
 
 def ranked_bands(nodes: DataFrame) -> DataFrame:
-    """(band, node, rank) for bands of two nodes or more. A node's rank is the sum of its
+    """(band, node, n, rank) for bands of two nodes or more. A node's rank is the sum of its
     buckets' sizes: edited copies have more in common with their source than with each other,
     so the source of a group ranks first."""
-    rows = materialize(nodes.select("node", F.explode("bands").alias("band")), "bands")
+    rows = materialize(nodes.select("node", "n", F.explode("bands").alias("band")), "bands")
     sizes = rows.groupBy("band").agg(F.count(F.lit(1)).alias("size")).filter(F.col("size") > 1)
     shared = materialize(rows.join(sizes, "band"), "shared-bands")
     ranks = shared.groupBy("node").agg(F.sum("size").alias("rank"))
-    return materialize(shared.select("band", "node").join(ranks, "node"), "ranked-bands")
+    return materialize(shared.select("band", "node", "n").join(ranks, "node"), "ranked-bands")
+
+
+def hub_pairs(ranked: DataFrame) -> DataFrame:
+    """One pair (a, b) for each node: with the node that ranks first in most of its buckets. A
+    group of copies hangs together by these alone, as a rule, at one pair a node."""
+    hubs = ranked.groupBy("band").agg(F.max(F.struct("rank", "node")).alias("hub"))
+    met = ranked.join(hubs, "band").filter(F.col("node") != F.col("hub.node"))
+    counted = met.groupBy("node", "hub").agg(F.count(F.lit(1)).alias("times"))
+    best = counted.groupBy("node").agg(F.max(F.struct("times", "hub")).alias("best"))
+    return best.select(F.least("node", "best.hub.node").alias("a"), F.greatest("node", "best.hub.node").alias("b")).distinct()
 
 
 def star_pairs(ranked: DataFrame) -> DataFrame:
@@ -206,23 +218,28 @@ def tiles(ranked: DataFrame, nodes: DataFrame, roots: DataFrame) -> DataFrame:
     """(tile, band, side, node, root, n, bands, sketch): every two nodes of one bucket and of different
     components meet in a tile, on its sides 0 and 1 or both on side 2.
 
-    A bucket of up to TILE nodes is one tile. In larger ones the nodes of the largest component
+    A bucket of up to TILE nodes and TILE_SHINGLES shingles is one tile. In larger ones the nodes of the largest component
     (most of the bucket, as a rule) meet only those of the others, which meet each other too.
     """
-    rooted = ranked.join(roots, "node", "left").select("band", "node", F.coalesce("root", "node").alias("root"))
+    rooted = ranked.join(roots, "node", "left").select("band", "node", "n", F.coalesce("root", "node").alias("root"))
     rooted = materialize(rooted, "rooted-bands")
-    parts = rooted.groupBy("band", "root").agg(F.count(F.lit(1)).alias("n"))
-    mixed = parts.groupBy("band").agg(F.sum("n").alias("size"), F.count(F.lit(1)).alias("parts"), F.max(F.struct("n", "root")).alias("top"))
-    mixed = materialize(mixed.filter(F.col("parts") > 1).select("band", "size", "top"), "mixed-bands")
-    many = lambda n: F.greatest(F.ceil(n / TILE).cast("int"), F.lit(1))
+    parts = rooted.groupBy("band", "root").agg(F.count(F.lit(1)).alias("n"), F.sum("n").alias("w"))
+    mixed = parts.groupBy("band").agg(
+        F.sum("n").alias("size"), F.sum("w").alias("weight"), F.count(F.lit(1)).alias("parts"), F.max(F.struct("n", "w", "root")).alias("top")
+    )
+    mixed = materialize(mixed.filter(F.col("parts") > 1).select("band", "size", "weight", "top"), "mixed-bands")
+
+    def many(n, w):
+        return F.greatest(F.ceil(n / TILE), F.ceil(w / TILE_SHINGLES), F.lit(1)).cast("int")
+
     placed = rooted.join(mixed, "band").select(
         "band",
         "node",
         "root",
-        "size",
+        ((F.col("size") <= TILE) & (F.col("weight") <= TILE_SHINGLES)).alias("is_one"),
         (F.col("root") == F.col("top.root")).alias("is_top"),
-        many(F.col("top.n")).alias("tops"),
-        many(F.col("size") - F.col("top.n")).alias("others"),
+        many(F.col("top.n"), F.col("top.w")).alias("tops"),
+        many(F.col("size") - F.col("top.n"), F.col("weight") - F.col("top.w")).alias("others"),
     )
     count = F.when(F.col("is_top"), F.col("tops")).otherwise(F.col("others"))
     placed = placed.withColumn("part", F.pmod(F.xxhash64("band", "node"), count).cast("int"))
@@ -240,7 +257,7 @@ def tiles(ranked: DataFrame, nodes: DataFrame, roots: DataFrame) -> DataFrame:
         lambda q: cell(1, F.least(q, part), F.greatest(q, part), F.when(q == part, 2).when(part < q, 0).otherwise(1)),
     )
     cells = (
-        F.when(F.col("size") <= TILE, F.array(cell(1, zero, zero, F.lit(2))))
+        F.when(F.col("is_one"), F.array(cell(1, zero, zero, F.lit(2))))
         .when(F.col("is_top"), with_top)
         .otherwise(F.concat(with_top, among))
     )
@@ -325,13 +342,13 @@ def likeliest_pairs(dealt: DataFrame, similarity: float) -> DataFrame:
     return found.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 
 
-def tile_links(docs: DataFrame, dealt: DataFrame, similarity: float) -> DataFrame:
+def tile_links(bags: DataFrame, dealt: DataFrame, similarity: float) -> DataFrame:
     """Links (u, v) that join all components of a tile that any of its pairs links, written.
 
     Pairs are made and verified inside a tile and never are rows of a table: what is shuffled is
     the nodes of each tile that may have a link, with their multisets.
     """
-    spark = docs.sparkSession
+    spark = dealt.sparkSession
 
     def some(tile):
         found = [np.concatenate(pair) for pair in _tile_pairs(tile, similarity, False)]
@@ -362,7 +379,6 @@ def tile_links(docs: DataFrame, dealt: DataFrame, similarity: float) -> DataFram
         u, v = (pa.array([link[k] for link in links], pa.binary()) for k in (0, 1))
         yield pa.RecordBatch.from_arrays([u, v], names=["u", "v"])
 
-    bags = _bags_of(docs, near.select("node").distinct())
     with texts.small_batches(spark):
         whole = near.join(bags, "node").select(*near.columns, "bag")
         return materialize(_together(whole).mapInArrow(_by_tile(linked), "u binary, v binary"), "links")
@@ -436,14 +452,11 @@ def _passing(nodes: DataFrame) -> np.ndarray:
     return np.unpackbits(words.view(np.uint8), bitorder="little").astype(np.bool_)
 
 
-def verified(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, similarity: float) -> DataFrame:
+def verified(nodes: DataFrame, bags: DataFrame, pairs: DataFrame, similarity: float) -> DataFrame:
     """Those of the pairs (a, b) whose multisets are similar enough, as (u, v), written."""
-    spark = docs.sparkSession
     near = _with_both(pairs, nodes, "signature").mapInArrow(_agreement, "a binary, b binary")
     near = materialize(near, "near-pairs")
-    wanted = near.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    bags = _bags_of(docs, wanted)
-    with texts.small_batches(spark):
+    with texts.small_batches(nodes.sparkSession):
         return materialize(_with_both(near, bags, "bag").mapInArrow(_verified(similarity), "u binary, v binary"), "links")
 
 
@@ -458,20 +471,29 @@ def _bags_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
 def linked_roots(docs: DataFrame, nodes: DataFrame, similarity: float) -> DataFrame:
     """(node, root) for all nodes with a link.
 
-    Stars link most of a bucket. Of what they leave in different components each node is
-    tested with its likeliest partners, which joins most of the rest, and then every pair of
-    different components that has a bucket in common and signatures that agree enough."""
+    One pair a node links most of a group. What it leaves in different components is paired as
+    stars, then each node with its likeliest partners, which joins most of the rest, and then
+    every pair of different components that has a bucket in common and signatures that agree
+    enough is tested inside its tile. The multisets of all nodes that share a bucket are made
+    once, and every step reads those."""
     ranked = ranked_bands(nodes)
-    tested = materialize(star_pairs(ranked.withColumn("root", F.col("node"))), "pairs")
-    edges = verified(docs, nodes, tested, similarity)
+    bags = _bags_of(docs, ranked.select("node").distinct())
+    pairs = materialize(hub_pairs(ranked), "pairs")
+    edges = verified(nodes, bags, pairs, similarity)
     roots = materialize(components(edges), "roots")
-    more = likeliest_pairs(tiles(ranked, nodes, roots), similarity).join(tested, ["a", "b"], "left_anti")
-    edges = edges.union(verified(docs, nodes, materialize(more, "pairs"), similarity))
-    roots = materialize(components(edges), "roots")
-    found = tile_links(docs, tiles(ranked, nodes, roots), similarity)
+    tested = pairs
+    for make in (lambda: star_pairs(_rooted(ranked, roots)), lambda: likeliest_pairs(tiles(ranked, nodes, roots), similarity)):
+        more = materialize(make().join(tested, ["a", "b"], "left_anti"), "pairs")
+        edges = edges.union(verified(nodes, bags, more, similarity))
+        roots, tested = materialize(components(edges), "roots"), tested.union(more)
+    found = tile_links(bags, tiles(ranked, nodes, roots), similarity)
     return roots if found.isEmpty() else materialize(components(edges.union(found)), "roots")
 
 
+def _rooted(ranked: DataFrame, roots: DataFrame) -> DataFrame:
+    return ranked.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+
+
 def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", similarity: float = SIMILARITY) -> DataFrame:
     """One row for each row: key, n_shingles and class_id.
 
@@ -484,32 +506,26 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", simi
     """
     docs = df.select(F.col(f"`{key}`").alias("key"), F.col(f"`{text}`").alias("text"))
     with texts.small_batches(df.sparkSession):
-        signed = texts.map_texts(docs, ["key"], "text", SIGNED, sign)
+        signed = materialize(texts.map_texts(docs, ["key"], "text", SIGNED, sign), "signed")
         # all that a node has is the same in its rows
         nodes = signed.filter(F.col("n_shingles") > 0).groupBy("node").agg(
             F.count(F.lit(1)).alias("times"), F.min("key").alias("least"), F.first("signature").alias("signature"),
             F.first("bands").alias("bands"), F.first("sketch").alias("sketch"), F.first("n_shingles").alias("n"),
         )
         nodes = materialize(nodes, "nodes")
-        rows = materialize(texts.map_texts(docs, ["key"], "text", SIGNED[:2], name_only), "named")
     roots = linked_roots(docs, nodes, similarity)
     owned = nodes.select("node", "times", "least").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     owned = materialize(owned, "owned")
     classes = owned.groupBy("root").agg(F.min("least").alias("class"), F.sum("times").alias("members"))
     table = owned.select("node", "times", "root").join(classes.filter(F.col("members") > 1), "root").select("node", "times", "class")
     table = materialize(table, "classes")
-    placed = lookup_skewed(rows, table, "node", "times", scatter())
-    alone = F.col("class").isNull() | (F.col("n_shingles") == 0)
-    return placed.select(F.col("key").alias(key), "n_shingles", F.when(alone, F.col("key")).otherwise(F.col("class")).alias("class_id"))
-
-
-def name_only(batch: pa.RecordBatch) -> dict[str, np.ndarray | pa.Array]:
-    n, node = [np.empty(0, np.int64)], [np.empty((0, 2), U64)]
-    for block in texts.blocks(batch.column(1)):
-        text, hashes, weight, total = shingles(block)
-        n.append(total)
-        node.append(names(text, hashes, weight, len(block.starts)))
-    return {"n_shingles": np.concatenate(n), "node": _binary(np.concatenate(node))}
+    # texts without a word have one name and no class; they do not meet anywhere
+    worded, wordless = signed.filter(F.col("n_shingles") > 0), signed.filter(F.col("n_shingles") == 0)
+    placed = lookup_skewed(worded.select("key", "n_shingles", "node"), table, "node", "times", scatter())
+    alone = F.col("class").isNull()
+    found = placed.select("key", "n_shingles", F.when(alone, F.col("key")).otherwise(F.col("class")).alias("class_id"))
+    every = found.union(wordless.select("key", "n_shingles", F.col("key")))
+    return every.select(F.col("key").alias(key), "n_shingles", "class_id")
 
 
 def scatter() -> Column:
