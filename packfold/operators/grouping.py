@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from packfold.functions.hashing import md5_number
-from packfold.plans.ordinals import names, ordinals
+from packfold.plans.ordinals import join_keyed, names, ordinals
 from packfold.plans.skew import lookup_skewed
 from packfold.session import fresh_path, materialize
 
@@ -99,5 +99,8 @@ def row_counts(df: DataFrame, split: str | Sequence[str]) -> DataFrame:
 
 
 def longest_in(df: DataFrame, batch: str | Sequence[str], ids: str = "input_ids", name: str = "longest") -> DataFrame:
-    """Length of the longest row of each batch, on every row. Batches hold a fixed few rows."""
-    return df.withColumn(name, F.max(F.size(ids)).over(Window.partitionBy(*names(batch))))
+    """Length of the longest row of each batch, on every row. Lengths alone are compared; where
+    batches are few, the token arrays do not move at all."""
+    keys = names(batch)
+    longest = df.groupBy(*keys).agg(F.max(F.size(ids)).alias(name))
+    return join_keyed(df, longest, keys)

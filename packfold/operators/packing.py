@@ -108,11 +108,11 @@ def pack_aligned(
     )
     row_keys = list(dict.fromkeys(groups + keys))
     cut = T.StructType(
-        [T.StructField(n, T.LongType()) for n in ("buffer", "chunk")]
+        [T.StructField(n, T.LongType()) for n in ("buffer", "chunk", "position")]
         + [T.StructField(n, T.IntegerType()) for n in ("lo", "hi", "at")]
     )
     schema = T.StructType([buffered.schema[k] for k in row_keys] + [T.StructField("_cuts", T.ArrayType(cut))])
-    plan = _aligned_plan(seq_length, row_keys, shuffle_seed is not None)
+    plan = _aligned_plan(seq_length, row_keys, shuffle_seed)
     task = F.floor(F.col("buffer") / BUFFERS_PER_TASK).alias("_task")
     cuts = buffered.groupBy(*groups, task).applyInArrow(plan, schema)
 
@@ -128,25 +128,21 @@ def pack_aligned(
         F.slice("_stream", F.col("_cut.lo") + 1, F.col("_cut.hi") - F.col("_cut.lo")).alias("ids"),
     )
     chunk_key = [*groups, "buffer", "chunk"]
+    shuffled = [] if shuffle_seed is None else ["position"]
     packed = (
-        pieces.select(*groups, "_cut.buffer", "_cut.chunk", part.alias("_part"))
-        .groupBy(*chunk_key)
+        pieces.select(*groups, "_cut.buffer", "_cut.chunk", *[f"_cut.{c}" for c in shuffled], part.alias("_part"))
+        .groupBy(*chunk_key, *shuffled)
         .agg(F.sort_array(F.collect_list("_part")).alias("_parts"))
     )
     whole = F.flatten(F.col("_parts.ids"))
     inserted = F.col("_parts")[0]["at"] == 1
     packed = packed.select(
-        *chunk_key, F.when(inserted, F.concat(F.array(F.lit(bos)), whole)).otherwise(whole).alias("input_ids")
+        *chunk_key, *shuffled, F.when(inserted, F.concat(F.array(F.lit(bos)), whole)).otherwise(whole).alias("input_ids")
     )
-    if shuffle_seed is not None:
-        # chunks of a buffer: at most num_sequences and the length of one row
-        mix = shuffle_key(F.concat_ws("/", "buffer", "chunk"), shuffle_seed)
-        place = Window.partitionBy(*groups, "buffer").orderBy(mix)
-        packed = packed.withColumn("position", F.row_number().over(place).cast("long") - 1)
     return packed.withColumn("labels", F.col("input_ids"))
 
 
-def _aligned_plan(seq_length: int, kept: list[str], shuffled: bool):
+def _aligned_plan(seq_length: int, kept: list[str], shuffle_seed: int | None):
     """The function that turns the rows of some buffers into cuts of those rows."""
 
     def chunk_spans(size, bos_at):
@@ -183,11 +179,24 @@ def _aligned_plan(seq_length: int, kept: list[str], shuffled: bool):
         hi = np.minimum(stops[chunk], ends[row])
         return row, chunk, lo - begins[row], hi - begins[row], lo - starts[chunk] + lead[chunk]
 
+    def mixed_places(buffer, chunks):
+        """Place of each of a buffer's chunks once they are shuffled, by the same key as rows are."""
+        import hashlib
+
+        import numpy as np
+
+        if shuffle_seed is None:
+            return np.zeros(chunks, np.int64)
+        key = [hashlib.md5(f"{shuffle_seed}:{buffer}/{chunk}".encode()).hexdigest() for chunk in range(chunks)]
+        out = np.empty(chunks, np.int64)
+        out[sorted(range(chunks), key=key.__getitem__)] = np.arange(chunks)
+        return out
+
     def plan(table):
         import numpy as np
         import pyarrow as pa
 
-        table = table.sort_by([("buffer", "ascending"), ("_mix" if shuffled else "ordinal", "ascending")])
+        table = table.sort_by([("buffer", "ascending"), ("ordinal" if shuffle_seed is None else "_mix", "ascending")])
         buffers = table["buffer"].to_numpy()
         lens = table["_len"].to_numpy().astype(np.int64)
         has_bos = np.diff(table["_bos_at"].combine_chunks().offsets.to_numpy()) > 0
@@ -198,19 +207,21 @@ def _aligned_plan(seq_length: int, kept: list[str], shuffled: bool):
             inner = has_bos[span].any()
             places = table["_bos_at"].slice(start, stop - start).to_pylist() if inner else ()
             row, chunk, lo, hi, at = buffer_cuts(lens[span], places)
-            found.append((row + start, np.full(len(row), buffers[start]), chunk, lo, hi, at))
-        row, buffer, chunk, lo, hi, at = (np.concatenate(part) for part in zip(*found))
+            place = mixed_places(buffers[start], int(chunk[-1]) + 1 if len(chunk) else 0)
+            found.append((row + start, np.full(len(row), buffers[start]), chunk, place[chunk], lo, hi, at))
+        row, buffer, chunk, place, lo, hi, at = (np.concatenate(part) for part in zip(*found))
         order = np.argsort(row, kind="stable")
         counts = np.bincount(row, minlength=len(lens))
         cuts = pa.StructArray.from_arrays(
             [
                 pa.array(buffer[order], pa.int64()),
                 pa.array(chunk[order], pa.int64()),
+                pa.array(place[order], pa.int64()),
                 pa.array(lo[order], pa.int32()),
                 pa.array(hi[order], pa.int32()),
                 pa.array(at[order], pa.int32()),
             ],
-            names=["buffer", "chunk", "lo", "hi", "at"],
+            names=["buffer", "chunk", "position", "lo", "hi", "at"],
         )
         offsets = np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)
         return table.select(kept).append_column("_cuts", pa.ListArray.from_arrays(pa.array(offsets), cuts))
