@@ -1,9 +1,10 @@
 """Quality rules: counts per text, and how far its histograms are from its language's.
 
 Two histograms of a text (character classes, and the language's commonest words against all
-others) are compared with references by Jensen-Shannon distance. The references are counted
-over all rows of the table. Short texts have histograms too noisy to judge, so each test
-passes below its minimum length.
+others) are compared with references by Jensen-Shannon distance. The references are counted over all
+rows of the table, one for each language that has enough text of its own, whatever else the table
+holds. Short texts have histograms too noisy to judge, and a language of little text none that
+anything could be held against, so each test passes below its minimum length.
 """
 
 from __future__ import annotations
@@ -19,13 +20,16 @@ from pyspark.sql import types as T
 
 from packfold.llm import texts
 from packfold.llm.texts import U64, Block
+from packfold.plans.skew import lookup_skewed
 from packfold.session import materialize
 
 # Words that a language's reference names; all others share one bin.
 COMMON_WORDS = 100
-# Languages with less than this share of all words use the reference of the whole table, so
-# there are at most 1,000 references besides that one.
-LEAST_SHARE = 0.001
+# Words that make a reference: below that a language's rows pass both tests.
+MIN_REFERENCE_WORDS = 20_000
+# References that travel with the tasks, those of most words first; any others meet their rows by
+# a join.
+NEAR_LANGUAGES = 1_000
 MIN_CHARACTERS = 250
 MIN_WORDS = 60
 MAX_CLASS_DISTANCE = 0.25
@@ -118,8 +122,8 @@ def js_distance(p: np.ndarray, q: np.ndarray) -> np.ndarray:
 
 
 class References(NamedTuple):
-    """Row r of ``classes`` and ``words`` is the reference of the language with code r; row 0
-    is that of the whole table. ``keys`` (ascending) hold a common word mixed with its code,
+    """Row r of ``classes`` and ``words`` is the reference of the language with code r; code 0
+    stands for all languages without one. ``keys`` (ascending) hold a common word mixed with its code,
     ``bins`` its bin; the last bin is for all other words."""
 
     codes: dict[str | None, int]
@@ -174,47 +178,39 @@ def _count_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
         )
 
 
-def references(df: DataFrame, text: str = "text", lang: str = "lang") -> References:
-    """Count the reference histograms of every language over all rows.
-
-    What comes to the driver is bounded: CLASSES + COMMON_WORDS + 1 numbers for each of at
-    most 1 / LEAST_SHARE languages and for the whole table.
-    """
+def reference_table(df: DataFrame, text: str = "text", lang: str = "lang") -> DataFrame:
+    """lang, total (words), classes (item, n) and words (rank, item, n) of every language that has
+    MIN_REFERENCE_WORDS words, counted over all rows; written."""
     rows = df.select(F.col(f"`{lang}`").cast("string").alias("lang"), F.col(f"`{text}`").alias("text"))
-    counted = rows.mapInArrow(_count_batches, "lang string, kind int, item long, n long")
+    counted = rows.filter(F.col("lang").isNotNull()).mapInArrow(_count_batches, "lang string, kind int, item long, n long")
     counts = materialize(counted.groupBy("lang", "kind", "item").agg(F.sum("n").alias("n")), "reference-counts")
-    everything = counts.filter(F.col("kind") == TOTAL).agg(F.sum("n")).first()[0] or 0
-    major = [
-        r[0]
-        for r in counts.filter((F.col("kind") == TOTAL) & F.col("lang").isNotNull() & (F.col("n") >= LEAST_SHARE * everything))
-        .orderBy("lang")
-        .select("lang")
-        .collect()
-    ]
-    codes = {name: i + 1 for i, name in enumerate(major)}
-    code = F.lit(None).cast("int")
-    if codes:
-        table = F.create_map(*[x for name, i in codes.items() for x in (F.lit(name), F.lit(i))])
-        code = F.element_at(table, F.col("lang"))
-    whole = counts.groupBy("kind", "item").agg(F.sum("n").alias("n")).select(F.lit(0).alias("code"), "kind", "item", "n")
-    coded = counts.select(code.alias("code"), "kind", "item", "n").filter(F.col("code").isNotNull()).union(whole)
-    rank = F.row_number().over(Window.partitionBy("code", "kind").orderBy(F.desc("n"), "item"))
-    kept = coded.withColumn("rank", rank).filter(F.col("rank") <= COMMON_WORDS).collect()
-
-    size = len(codes) + 1
+    # a language has few classes and one total, and of its words the commonest stay
+    rank = F.row_number().over(Window.partitionBy("lang", "kind").orderBy(F.desc("n"), "item"))
+    ranked = counts.withColumn("rank", rank).filter(F.col("rank") <= COMMON_WORDS)
+    of = lambda kind, *columns: F.collect_list(F.when(F.col("kind") == kind, F.struct(*columns)))
+    made = ranked.groupBy("lang").agg(
+        F.sum(F.when(F.col("kind") == TOTAL, F.col("n"))).alias("total"),
+        of(CLASS, "item", "n").alias("classes"),
+        F.sort_array(of(WORD, "rank", "item", "n")).alias("words"),
+    )
+    return materialize(made.filter(F.col("total") >= MIN_REFERENCE_WORDS), "references")
+
+
+def references(rows: list[dict]) -> References:
+    """The arrays that texts are held against, from rows of a reference table."""
+    size = len(rows) + 1
     classes, words = np.zeros((size, CLASSES)), np.zeros((size, COMMON_WORDS + 1))
     own, hashes, bins = [], [], []
-    for r in kept:
-        if r.kind == CLASS:
-            classes[r.code, r.item] += r.n
-        elif r.kind == WORD:
-            words[r.code, r["rank"] - 1] += r.n
-            own.append(r.code), hashes.append(r.item), bins.append(r["rank"] - 1)
-        else:
-            words[r.code, COMMON_WORDS] += r.n
-    words[:, COMMON_WORDS] -= words[:, :COMMON_WORDS].sum(axis=1)
+    for code, row in enumerate(rows, 1):
+        for c in row["classes"]:
+            classes[code, c["item"]] = c["n"]
+        for w in row["words"]:
+            words[code, w["rank"] - 1] = w["n"]
+            own.append(code), hashes.append(w["item"]), bins.append(w["rank"] - 1)
+        words[code, COMMON_WORDS] = row["total"] - words[code, :COMMON_WORDS].sum()
     keys = _word_key(np.array(hashes, np.int64).view(U64), np.array(own, np.int64))
     order = np.argsort(keys)
+    codes = {row["lang"]: code for code, row in enumerate(rows, 1)}
     return References(codes, classes, words, keys[order], np.array(bins, np.int64)[order])
 
 
@@ -253,6 +249,9 @@ def judge(block: Block, code: np.ndarray, known: References) -> dict[str, np.nda
     class_distance = js_distance(classes, known.classes[code])
     word_distance = js_distance(histogram, known.words[code])
     n_chars = classes.sum(axis=1)
+    class_distance[code == 0] = np.nan
+    word_distance[code == 0] = np.nan
+    # nothing is greater than what is not known
     odd = ((n_chars >= MIN_CHARACTERS) & (class_distance > MAX_CLASS_DISTANCE)) | (
         (n_words >= MIN_WORDS) & (word_distance > MAX_WORD_DISTANCE)
     )
@@ -272,19 +271,41 @@ def judge(block: Block, code: np.ndarray, known: References) -> dict[str, np.nda
 def quality_rules(df: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
     """One row for each row: key, the counts, both distances and the verdict.
 
-    A null text is empty; it has no words, so it fails. A row whose language is null or rare
-    is held against the whole table. Repeated rows are judged alike. Other columns are ignored.
+    A null text is empty; it has no words, so it fails. A row whose language is null, or has too
+    little text in the table for a reference, has null distances and passes these tests. Repeated
+    rows are judged alike. Other columns are ignored. Texts are judged whole, however long.
     """
-    known = references(df, text, lang)
+    made = reference_table(df, text, lang)
+    near = made.orderBy(F.desc("total"), "lang").limit(NEAR_LANGUAGES).collect()
+    known = references([r.asDict(recursive=True) for r in near])
+    narrow = df.select(F.col(f"`{key}`").alias("key"), F.col(f"`{lang}`").cast("string").alias("lang"), F.col(f"`{text}`").alias("text"))
+    if len(near) < NEAR_LANGUAGES:
+        judged = _judged(narrow, ["key", "lang"], known)
+    else:
+        taken = F.array(*[F.lit(r.lang) for r in near])
+        of_near = F.coalesce(F.array_contains(taken, F.col("lang")), F.lit(False))
+        far = made.filter(~F.array_contains(taken, F.col("lang")))
+        told = far.select("lang", "total", F.struct("lang", "total", "classes", "words").alias("reference"))
+        rest = lookup_skewed(narrow.filter(~of_near), told, "lang", "total", F.concat(F.lit("\0"), F.xxhash64("key").cast("string")))
+        judged = _judged(narrow.filter(of_near), ["key", "lang"], known).union(
+            _judged(rest, ["key", "lang", "reference"], None).drop("reference")
+        )
+    return judged.drop("lang").withColumnRenamed("key", key)
+
 
-    def work(batch: pa.RecordBatch) -> dict[str, np.ndarray]:
+def _judged(rows: DataFrame, keep: list[str], known: References | None) -> DataFrame:
+    """Verdicts on rows of key, lang and text; without ``known`` the rows bring their references."""
+
+    def work(batch: pa.RecordBatch) -> dict[str, np.ndarray | pa.Array]:
         labels = batch.column(1).dictionary_encode()
-        of = np.array([known.codes.get(x, 0) for x in labels.dictionary.to_pylist()] + [0])
+        own = known or references(list({r["lang"]: r for r in batch.column(2).to_pylist() if r is not None}.values()))
+        of = np.array([own.codes.get(x, 0) for x in labels.dictionary.to_pylist()] + [0])
         code = of[np.asarray(labels.indices.fill_null(len(labels.dictionary)))]
-        parts = [
-            judge(b, code[b.first : b.first + len(b.starts)], known) for b in texts.blocks(batch.column(2))
-        ]
-        return texts.gather(parts, [name for name, _ in FIELDS])
-
-    narrow = df.select(F.col(f"`{key}`").alias("key"), F.col(f"`{lang}`").cast("string").alias("lang"), F.col(f"`{text}`").alias("text"))
-    return texts.map_texts(narrow, ["key", "lang"], "text", FIELDS, work).drop("lang").withColumnRenamed("key", key)
+        column = batch.column(batch.schema.get_field_index("_text"))
+        parts = [judge(b, code[b.first : b.first + len(b.starts)], own) for b in texts.blocks(column)]
+        made = texts.gather(parts, [name for name, _ in FIELDS])
+        for name in ("class_distance", "word_distance"):
+            made[name] = pa.array(made[name], pa.float64(), mask=np.isnan(made[name].astype(float)))
+        return made
+
+    return texts.map_texts(rows, keep, "text", FIELDS, work)

@@ -190,6 +190,82 @@ def test_rules(spark, docs, empty):
     assert rules.quality_rules(empty).count() == 0
 
 
+def prose(words, n, seed):
+    rnd = random.Random(seed)
+    return " ".join(rnd.choice(words) + rnd.choice(["", "", "", "."]) for _ in range(n))
+
+
+ENGLISH = [w + e for w in "the of and to in house water green people morning story field".split() for e in ("", "s", "ly", "ed")]
+GREEK = [w + e for w in "και του στην νερό σπίτι πράσινο άνθρωπος πρωί ιστορία πεδίο".split() for e in ("", "ς", "ν")]
+
+
+@pytest.mark.parametrize("near", [1_000, 1])
+def test_a_rare_language_is_never_judged_by_another(spark, monkeypatch, near):
+    """Whether its rows are kept does not hang on how much other text there is."""
+    monkeypatch.setattr(rules, "MIN_REFERENCE_WORDS", 1_500)
+    monkeypatch.setattr(rules, "NEAR_LANGUAGES", near)
+    greek = [(i, prose(GREEK, 100, i), "el") for i in range(20)]
+    odd = [(900, prose(GREEK, 120, 900), "en"), (901, prose(ENGLISH, 120, 901), "el"), (902, prose(ENGLISH, 120, 902), "xx"), (903, prose(GREEK, 120, 903), None)]
+    for n in (100, 2_000):
+        rows = greek + odd + [(1000 + i, prose(ENGLISH, 60, 10_000 + i), "en") for i in range(n)]
+        df = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(6)
+        got = {r.doc_id: r for r in rules.quality_rules(df).collect()}
+        assert len(got) == len(rows) and all(got[i].kept or got[i].base_failed for i, *_ in greek)
+        assert sum(got[i].kept for i, *_ in greek) >= 18
+        assert got[900].class_distance > 0.5 and not got[900].kept and not got[901].kept
+        assert got[902].class_distance is None and got[903].word_distance is None
+        assert got[902].kept != got[902].base_failed and got[903].kept != got[903].base_failed
+
+
+@pytest.mark.parametrize("near", [1_000, 1])
+def test_distances_against_plain_python(spark, monkeypatch, near):
+    from collections import Counter
+    from math import log2, sqrt
+
+    monkeypatch.setattr(rules, "MIN_REFERENCE_WORDS", 300)
+    monkeypatch.setattr(rules, "NEAR_LANGUAGES", near)
+    monkeypatch.setattr(rules, "COMMON_WORDS", 7)
+    rows = [(i, prose(ENGLISH if i % 2 else GREEK, 5 + i % 90, i) + ["", " 12,5 $x", "\nA B"][i % 3], ("en", "el")[i % 2]) for i in range(120)]
+    rows += [(500, "few words", "de"), (501, None, "en"), (502, "", "el")]
+    spans = {0: "abcdefghijklmnopqrstuvwxyz", 1: "ABCDEFGHIJKLMNOPQRSTUVWXYZ", 2: "0123456789", 3: " \t\n\v\f\r", 4: ".,;:!?'\"-()", 6: "#*$%&|<>@^_~=+/\\{}[]`"}
+
+    def kind(c):
+        b = c.encode()
+        return 7 if 0xC0 <= b[0] < 0xE0 else 8 if b[0] >= 0xE0 else next((k for k, chars in spans.items() if c in chars), 5)
+
+    def words(t):
+        return (t or "").split()
+
+    def distance(p, q):
+        total = lambda x: max(sum(x.values()), 1e-300)
+        p, q = {k: v / total(p) for k, v in p.items()}, {k: v / total(q) for k, v in q.items()}
+        half = lambda a, b: sum(v * log2(v / ((v + b.get(k, 0)) / 2)) for k, v in a.items() if v)
+        return sqrt(min(max((half(p, q) + half(q, p)) / 2, 0), 1))
+
+    texts_of, refs = {}, {}
+    for _, t, lang in rows:
+        texts_of.setdefault(lang, []).append(t or "")
+    for lang, own in texts_of.items():
+        n = Counter(w for t in own for w in words(t))
+        if sum(n.values()) >= 300:
+            hashed = lambda w: int(texts.slice_hash(texts.prefix_hash(np.frombuffer(w.encode(), np.uint8)), np.array([0]), np.array([len(w.encode())]))[0].view(np.int64))
+            top = sorted(n, key=lambda w: (-n[w], hashed(w)))[:7]
+            refs[lang] = (Counter(kind(c) for t in own for c in t), Counter({w: n[w] for w in top}) + Counter({None: sum(n.values()) - sum(n[w] for w in top)}), set(top))
+    got = {r.doc_id: r for r in rules.quality_rules(spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3)).collect()}
+    assert set(refs) == {"en", "el"}
+    for i, t, lang in rows:
+        r = got[i]
+        if lang not in refs:
+            assert r.class_distance is None and r.word_distance is None
+            continue
+        classes, common, top = refs[lang]
+        by_class = distance(Counter(kind(c) for c in t or ""), classes)
+        by_word = distance(Counter(w if w in top else None for w in words(t)), common)
+        assert abs(r.class_distance - by_class) < 1e-9 and abs(r.word_distance - by_word) < 1e-9, i
+        odd = len(t or "") >= rules.MIN_CHARACTERS and by_class > rules.MAX_CLASS_DISTANCE or len(words(t)) >= rules.MIN_WORDS and by_word > rules.MAX_WORD_DISTANCE
+        assert r.kept == (not r.base_failed and not odd)
+
+
 def test_js_distance():
     p, q = np.array([[1.0, 0.0], [1.0, 1.0]]), np.array([[0.0, 1.0], [2.0, 2.0]])
     assert rules.js_distance(p, q).tolist() == [1.0, 0.0]
