@@ -136,8 +136,20 @@ WITH u AS (
   FROM (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS l, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS i FROM documents)
 ),
 n AS (SELECT *, trim(regexp_replace(translate(l, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x09-\x0D\x20]+', ' ', 'g'), ' ') AS g FROM u),
-r AS (SELECT *, len(string_split(g, ' ')) >= 8 AND row_number() OVER (PARTITION BY g ORDER BY doc_id, i) > 1 AS gone FROM n)
-SELECT doc_id, count(*) FILTER (g <> '') AS n_units, count(*) FILTER (gone) AS n_removed,
+b AS (
+  SELECT *, count(*) FILTER (g = '') OVER (PARTITION BY doc_id ORDER BY i) AS block, row_number() OVER (PARTITION BY doc_id, g <> '' ORDER BY i) AS k,
+    CASE WHEN g = '' THEN 0 ELSE len(string_split(g, ' ')) END AS c FROM n
+),
+f AS (SELECT *, sum(c) OVER (PARTITION BY doc_id ORDER BY k) AS upto FROM b WHERE g <> ''),
+runs AS (SELECT a.doc_id, a.k AS k, min(z.k) AS e FROM f a JOIN f z ON a.doc_id = z.doc_id AND z.k BETWEEN a.k AND a.k + 7 AND z.upto - a.upto + a.c >= 8 GROUP BY 1, 2),
+w AS (
+  SELECT r.doc_id, min(f.i) AS i, max(f.i) AS last, string_agg(f.g, ' ' ORDER BY f.i) AS g FROM runs r JOIN f ON f.doc_id = r.doc_id AND f.k BETWEEN r.k AND r.e GROUP BY r.doc_id, r.k
+  UNION SELECT doc_id, min(i), max(i), string_agg(g, ' ' ORDER BY i) FROM f GROUP BY doc_id, block HAVING sum(c) >= 8
+),
+later AS (SELECT doc_id, i, last FROM (SELECT *, row_number() OVER (PARTITION BY g ORDER BY doc_id, i) AS times FROM w) WHERE times > 1),
+gone AS (SELECT DISTINCT doc_id, unnest(range(i, last + 1)) AS i FROM later),
+r AS (SELECT b.*, gone.i IS NOT NULL AND g <> '' AS gone FROM b LEFT JOIN gone ON b.doc_id = gone.doc_id AND b.i = gone.i)
+SELECT doc_id, count(*) FILTER (gone) AS n_removed, count(*) FILTER (g <> '') AS n_units,
   coalesce(string_agg(s || ':' || (s + length(l)), ',' ORDER BY i) FILTER (gone), '') AS removed_spans,
   sha256(coalesce(string_agg(l, chr(10) ORDER BY i) FILTER (NOT gone), '')) AS kept_sha256
 FROM r GROUP BY doc_id
@@ -149,8 +161,8 @@ def op9(spark: SparkSession, folder: str) -> DataFrame:
     found = units.dedup_units(table(spark, folder, "documents"))
     return found.select(
         "doc_id",
-        "n_units",
         F.size("removed").cast("long").alias("n_removed"),
+        "n_units",
         F.array_join(F.transform("removed", lambda r: F.concat_ws(":", r["start"], r["end"])), ",").alias("removed_spans"),
         F.sha2(F.coalesce("kept_text", F.lit("")), 256).alias("kept_sha256"),
     )

@@ -1,7 +1,10 @@
-"""Substring dedup by line: repeated lines stay where they come first, and go elsewhere.
+"""Substring dedup by lines and paragraphs: repeated units stay where they come first, and go elsewhere.
 
-Lines are normalised and hashed, digests grouped over the whole table, and every later
-occurrence removed; what was removed is told by its offsets in the original text.
+Units are the runs of consecutive lines that just reach a number of words (a long line is one by
+itself) and paragraphs, the lines between blank ones. They are normalised to their words and
+hashed, digests grouped over the whole table, and the lines of every later occurrence removed;
+what was removed is told by its offsets in the original text. A passage of short lines is thus
+found like a long line is, and a paragraph wrapped in another way has the digest of its words.
 """
 
 from __future__ import annotations
@@ -19,54 +22,69 @@ from packfold.plans.ordinals import join_keyed
 from packfold.plans.skew import lookup_skewed
 from packfold.session import materialize
 
-# A line of fewer words may recur by chance or by layout and always stays.
+# Words of a unit, at least. Shorter lines that recur one by one do so by chance or by layout.
 MIN_WORDS = 8
 
+# Lines of a unit: the first and the last, and the digest of all its words.
 UNIT = T.StructType(
-    [
-        T.StructField("unit", T.IntegerType()),
-        T.StructField("start", T.LongType()),
-        T.StructField("end", T.LongType()),
-        T.StructField("digest", T.BinaryType()),
-    ]
+    [T.StructField("unit", T.IntegerType()), T.StructField("last", T.IntegerType()), T.StructField("digest", T.BinaryType())]
 )
 FIELDS = [("n_units", T.LongType()), ("units", T.ArrayType(UNIT))]
-
-
-def digests(text: str | None, separator: str = "\n", min_words: int = MIN_WORDS) -> tuple[int, list[tuple[int, int, int, bytes]]]:
-    """Number of units that hold a word, and (unit, start, end, digest) of those long enough.
-
-    A unit is normalised to its words in lower case (A-Z), joined by single spaces."""
-    out, n, at = [], 0, 0
-    for i, unit in enumerate((text or "").split(separator)):
-        words = unit.encode("utf-8", "replace").lower().split()
-        n += bool(words)
-        if len(words) >= min_words:
-            out.append((i, at, at + len(unit), hashlib.md5(b" ".join(words)).digest()))
-        at += len(unit) + len(separator)
-    return n, out
+SPANS = T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())]))
+
+
+def digests(text: str | None, separator: str = "\n", min_words: int = MIN_WORDS) -> tuple[int, list[tuple[int, int, bytes]]]:
+    """Number of lines that hold a word, and (first line, last line, digest) of the units.
+
+    A unit is normalised to its words in lower case (A-Z), joined by single spaces. From every
+    line with a word on there is one run, over blank lines if need be, unless the text ends
+    before it has its words."""
+    lines = [line.encode("utf-8", "replace").lower().split() for line in (text or "").split(separator)]
+    filled = [i for i, words in enumerate(lines) if words]
+    spans, end, held = set(), 0, 0
+    for at, first in enumerate(filled):
+        while end < len(filled) and held < min_words:
+            held += len(lines[filled[end]])
+            end += 1
+        if held >= min_words:
+            spans.add((first, filled[end - 1]))
+        held -= len(lines[first])
+    block: list[int] = []
+    for i in [*filled, len(lines) + 1]:
+        if block and i != block[-1] + 1:
+            if sum(len(lines[k]) for k in block) >= min_words:
+                spans.add((block[0], block[-1]))
+            block = []
+        block.append(i)
+    digest = lambda a, b: hashlib.md5(b" ".join(w for words in lines[a : b + 1] for w in words)).digest()
+    return len(filled), [(a, b, digest(a, b)) for a, b in sorted(spans)]
+
+
+def _filled(line: str) -> bool:
+    return bool(line.encode("utf-8", "replace").split())
 
 
 def dedup_units(
     df: DataFrame, key: str = "doc_id", text: str = "text", *, separator: str = "\n", min_words: int = MIN_WORDS
 ) -> DataFrame:
-    """One row for each row: key, n_units, removed and kept_text.
+    """One row for each row: key, n_units (lines with a word), removed and kept_text.
 
-    Occurrences are ranked by key (null first), text hash and place; the first of a digest
-    stays. ``removed`` has (start, end) in code points of the original text, separators not
-    counted; ``kept_text`` is the other units joined by the separator. A null text is empty and
+    Occurrences of a unit are ranked by key (null first), text hash and place; the first of a
+    digest stays, the lines of all others go, but for blank ones. With ``min_words`` 1 every line
+    is a unit. ``removed`` has (start, end) of the lines in code points of the original text,
+    separators not counted; ``kept_text`` is the other lines joined by the separator. What goes
+    is always found earlier, so every line's words stay somewhere. A null text is empty and
     stays null. Rows that repeat a key and its text are one document and get one result. Other
     columns are ignored. A digest that a third of all lines share is grouped map-side first
-    and looked up without its rows meeting in one task.
+    and looked up without its rows meeting in one task. Texts are cut whole, however long.
     """
     own = F.xxhash64(F.col(f"`{text}`"))
     docs = df.select(F.col(f"`{key}`").alias("key"), own.alias("hash"), F.col(f"`{text}`").alias("text"))
 
     def find(batch: pa.RecordBatch) -> dict[str, pa.Array]:
         made = [digests(x, separator, min_words) for x in batch.column(2).to_pylist()]
-        kinds = pa.list_(pa.struct([("unit", pa.int32()), ("start", pa.int64()), ("end", pa.int64()), ("digest", pa.binary())]))
-        names = ("unit", "start", "end", "digest")
-        units = [[dict(zip(names, u)) for u in found] for _, found in made]
+        kinds = pa.list_(pa.struct([("unit", pa.int32()), ("last", pa.int32()), ("digest", pa.binary())]))
+        units = [[dict(zip(("unit", "last", "digest"), u)) for u in found] for _, found in made]
         return {"n_units": np.array([n for n, _ in made], np.int64), "units": pa.array(units, kinds)}
 
     found = materialize(texts.map_texts(docs, ["key", "hash"], "text", FIELDS, find), "units")
@@ -77,21 +95,27 @@ def dedup_units(
     scatter = F.unhex(F.md5(F.concat_ws(" ", F.col("key").cast("string"), F.col("hash"), F.col("unit"))))
     placed = lookup_skewed(units, firsts, "digest", "times", scatter)
     later = placed.filter(F.col("first").isNotNull() & ~F.col("first").eqNullSafe(rank))
-    removed = later.groupBy("key", "hash").agg(F.sort_array(F.collect_set(F.struct("unit", "start", "end"))).alias("removed"))
+    removed = later.groupBy("key", "hash").agg(F.collect_set(F.struct("unit", "last")).alias("gone"))
     # all rows of a document have one count
     counts = found.groupBy("key", "hash").agg(F.max("n_units").alias("n_units"))
     verdicts = materialize(join_keyed(counts, removed, ["key", "hash"], "left"), "unit-verdicts")
     joined = join_keyed(docs, verdicts, ["key", "hash"], "left")
 
     def cut(batch: pa.RecordBatch) -> dict[str, pa.Array]:
-        out = []
+        kept, spans = [], []
         for gone, whole in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
-            if whole is not None and gone:
-                drop = {u["unit"] for u in gone}
-                whole = separator.join(u for i, u in enumerate(whole.split(separator)) if i not in drop)
-            out.append(whole)
-        return {"kept_text": pa.array(out, pa.string())}
-
-    made = texts.map_texts(joined, ["key", "n_units", "removed"], "text", [("kept_text", T.StringType())], cut)
-    spans = F.transform(F.coalesce("removed", F.array().cast(made.schema["removed"].dataType)), lambda u: F.struct(u["start"].alias("start"), u["end"].alias("end")))
-    return made.select(F.col("key").alias(key), "n_units", spans.alias("removed"), "kept_text")
+            own, drop = [], {i for u in gone or () for i in range(u["unit"], u["last"] + 1)}
+            if drop:
+                lines, at = whole.split(separator), 0
+                for i, line in enumerate(lines):
+                    if i in drop and _filled(line):
+                        own.append((at, at + len(line)))
+                    at += len(line) + len(separator)
+                whole = separator.join(line for i, line in enumerate(lines) if i not in drop or not _filled(line))
+            kept.append(whole)
+            spans.append(own)
+        kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
+        return {"removed": pa.array(spans, kind), "kept_text": pa.array(kept, pa.string())}
+
+    made = texts.map_texts(joined, ["key", "n_units", "gone"], "text", [("removed", SPANS), ("kept_text", T.StringType())], cut)
+    return made.select(F.col("key").alias(key), "n_units", "removed", "kept_text")

@@ -505,6 +505,57 @@ def test_lines_of_tricky_rows(docs, empty):
     assert units.dedup_units(empty).count() == 0
 
 
+def test_passages_of_short_lines_and_wrapped_paragraphs(spark):
+    verse = ["one two", "three", "Four five six", "", "seven", "eight nine ten"]
+    rows = [
+        (1, "alpha\n" + "\n".join(verse) + "\nbeta"),
+        (2, "own words\n" + "\n".join(verse)),
+        (3, "x y\n\none  TWO three four\nfive six seven EIGHT\n\nend"),
+        (4, "one two three four five six seven eight"),
+        (5, "alpha\n\nthree\nbeta"),
+        (None, "three"),
+        (6, "a b\n" * 30 + "end"),
+    ]
+    got = {r.doc_id: r for r in units.dedup_units(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()}
+    # lines that recur one by one stay
+    assert all(got[k].kept_text == t for k, t in rows if k in (None, 1, 3, 5))
+    assert got[2].kept_text == "own words\n" and got[4].kept_text == ""
+    # a line that is all of a text many times stays once, and with it what has too few words after it
+    assert got[6].kept_text == "a b\nend"
+    for key, text in rows:
+        left = got[key].kept_text.split("\n")
+        assert sum(s.end - s.start for s in got[key].removed) == sum(map(len, text.split("\n"))) - sum(map(len, left))
+
+
+@pytest.mark.parametrize("least", [1, 4])
+def test_units_against_plain_python(spark, least):
+    rnd = random.Random(12)
+    words = "a B c dd Dd".split()
+    rows = []
+    for i in range(200):
+        lines = [" ".join(rnd.choices(words, k=rnd.choice([0, 0, 1, 2, 3]))) for _ in range(rnd.randint(0, 9))]
+        rows.append((i, "\n".join(lines)))
+    seen, want = set(), {}
+    for key, text in rows:
+        lines, drop, own = text.split("\n"), set(), set()
+        found = [line.lower().split() for line in lines]
+        said = lambda a, b: tuple(w for line in found[a : b + 1] for w in line)
+        for a in range(len(lines)):
+            ends = [b for b in range(a, len(lines)) if found[a] and found[b] and len(said(a, b)) >= least]
+            own |= {(a, ends[0])} if ends else set()
+            for b in range(a, len(lines)):
+                bounded = (a == 0 or not found[a - 1]) and (b + 1 == len(lines) or not found[b + 1])
+                if bounded and all(found[a : b + 1]) and len(said(a, b)) >= least:
+                    own.add((a, b))
+        for a, b in sorted(own):
+            if said(a, b) in seen:
+                drop |= set(range(a, b + 1))
+            seen.add(said(a, b))
+        want[key] = "\n".join(line for i, line in enumerate(lines) if i not in drop or not found[i])
+    out = units.dedup_units(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), min_words=least)
+    assert {r.doc_id: r.kept_text for r in out.collect()} == want
+
+
 # -- 10 chats ---------------------------------------------------------------------------------
 
 
