@@ -1,8 +1,8 @@
 """Chat formatting by schema fingerprints, in native expressions only.
 
-Rows of one table may hold conversations in different layouts. The paths of a row's nested
-fields are hashed, and the hash selects a declarative mapping that gives canonical turns, an
-array of (role, text). Turns are written in one template whose control strings cannot occur
+Rows of one table may hold conversations in different layouts, in columns of their own or merged
+into one. The paths of the nested fields that a row fills are hashed, and the hash selects a
+declarative mapping that gives canonical turns, an array of (role, text). Turns are written in one template whose control strings cannot occur
 in a text, since texts are escaped reversibly; a loss mask marks what the assistant says.
 """
 
@@ -17,6 +17,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from packfold.plans.barrier import computed_once
+
 TURNS = "array<struct<role:string,text:string>>"
 START, END = "<|im_start|>", "<|im_end|>\n"
 
@@ -61,8 +63,14 @@ def fingerprint(paths: Sequence[str]) -> str:
 
 
 def fingerprints(mapping: Mapping) -> list[str]:
-    must = [p for p in mapping.paths() if p not in mapping.optional]
-    return [fingerprint([*must, *some]) for n in range(len(mapping.optional) + 1) for some in combinations(mapping.optional, n)]
+    """Those of all rows that the mapping reads: with or without optional paths, and, since any
+    field of a message may be null in a whole conversation, with or without fields of messages."""
+    must = [p for _, p in mapping.fixed if p not in mapping.optional]
+    may = list(mapping.optional)
+    if mapping.turns:
+        must.append(f"{mapping.turns[0]}[]")
+        may += [f"{mapping.turns[0]}[].{f}" for f in mapping.turns[1:]]
+    return [fingerprint([*must, *some]) for n in range(len(may) + 1) for some in combinations(may, n)]
 
 
 def field_paths(name: str, kind: T.DataType) -> list[str]:
@@ -74,10 +82,30 @@ def field_paths(name: str, kind: T.DataType) -> list[str]:
     return [name]
 
 
+def filled_paths(value: Column, path: str, kind: T.DataType) -> list[tuple[str, Column]]:
+    """Paths below a column, lists too, each with whether a row fills it: a list that is not null,
+    and a leaf that is not null, in some element where it lies in lists."""
+    if isinstance(kind, T.StructType):
+        return [p for f in kind.fields for p in filled_paths(value[f.name], f"{path}.{f.name}", f.dataType)]
+    if not isinstance(kind, T.ArrayType):
+        return [(path, value.isNotNull())]
+    found = [(f"{path}[]", value.isNotNull())]
+    if isinstance(kind.elementType, (T.StructType, T.ArrayType)):
+        # one look along the list for each leaf
+        for n, (inner, _) in enumerate(filled_paths(value, f"{path}[]", kind.elementType)):
+            found.append((inner, F.coalesce(F.exists(value, _fills(kind.elementType, n)), F.lit(False))))
+    return found
+
+
+def _fills(kind: T.DataType, n: int):
+    """Whether an element fills the n-th path of its type."""
+    return lambda element: F.coalesce(filled_paths(element, "", kind)[n][1], F.lit(False))
+
+
 def row_fingerprint(schema: T.StructType) -> Column:
-    """Fingerprint of the paths below the columns that are not null in a row."""
-    by_path = sorted((p, f.name) for f in schema.fields for p in field_paths(f.name, f.dataType))
-    present = [F.when(F.col(f"`{name}`").isNotNull(), F.lit(path)) for path, name in by_path]
+    """Fingerprint of the paths that a row fills."""
+    paths = [p for f in schema.fields for p in filled_paths(F.col(f"`{f.name}`"), f.name, f.dataType)]
+    present = [F.when(filled, F.lit(path)) for path, filled in sorted(paths, key=lambda p: p[0])]
     return F.md5(F.concat_ws("\n", *present))
 
 
@@ -109,13 +137,14 @@ def _turns(mapping: Mapping, schema: T.StructType) -> Column | None:
 def canonical_turns(df: DataFrame, keep: Sequence[str], mappings: Sequence[Mapping] = MAPPINGS) -> DataFrame:
     """``keep`` columns, layout (the mapping's name), fingerprint and turns.
 
-    All columns that are not kept are part of the layout. A row whose fingerprint no mapping
-    has keeps null layout and turns, so that unknown layouts can be counted and looked at.
+    All columns that are not kept are part of the layout. Where several mappings have a row's
+    fingerprint (its messages hold no text, say) the first of them reads it. A row whose fingerprint
+    no mapping has keeps null layout and turns; ``split_layouts`` takes such rows apart.
     """
     schema = T.StructType([f for f in df.schema.fields if f.name not in keep])
     marked = df.withColumn("_fingerprint", row_fingerprint(schema))
     layout, turns = F.lit(None).cast("string"), F.lit(None).cast(TURNS)
-    for mapping in mappings:
+    for mapping in reversed(mappings):
         made = _turns(mapping, schema)
         if made is not None:
             chosen = F.col("_fingerprint").isin(fingerprints(mapping))
@@ -123,6 +152,11 @@ def canonical_turns(df: DataFrame, keep: Sequence[str], mappings: Sequence[Mappi
     return marked.select(*keep, layout.alias("layout"), F.col("_fingerprint").alias("fingerprint"), turns.alias("turns"))
 
 
+def split_layouts(turned: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Rows with a known layout, and the rejected rest, to be counted by fingerprint and looked at."""
+    return turned.filter(F.col("layout").isNotNull()), turned.filter(F.col("layout").isNull())
+
+
 def escape(text: Column) -> Column:
     """No control string is left: between < and | comes one backslash more than there was."""
     return F.regexp_replace(text, r"<(\\*)\|", r"<$1\\|")
@@ -143,11 +177,27 @@ def unescape_role(role: Column) -> Column:
 SPANS = "array<struct<start:bigint,end:bigint>>"
 
 
+def starts_of(sizes: Column) -> Column:
+    """Running totals before each of an array of sizes.
+
+    A total is taken over whole blocks of sizes first and inside a block then, so the work for n
+    sizes grows with n times the square root of n, and no array is copied for each of them."""
+    n = F.size(sizes)
+    width = F.greatest(F.ceil(F.sqrt(n)).cast("int"), F.lit(1))
+    blocks = F.transform(F.sequence(F.lit(0), F.ceil(n / width).cast("int") - 1), lambda b: F.slice(sizes, b * width + 1, width))
+    total = lambda part: F.aggregate(part, F.lit(0).cast("long"), lambda t, x: t + x)
+    sums = F.transform(blocks, total)
+    placed = F.zip_with(blocks, F.transform(sums, lambda s, b: total(F.slice(sums, 1, b))), lambda block, at: F.struct(block.alias("block"), at.alias("at")))
+    within = F.transform(placed, lambda p: F.transform(p["block"], lambda x, i: p["at"] + total(F.slice(p["block"], 1, i))))
+    return F.when(n > 0, F.flatten(within)).otherwise(F.array().cast("array<bigint>"))
+
+
 def formatted(df: DataFrame, keep: Sequence[str], turns: str = "turns") -> DataFrame:
     """``keep`` columns, formatted (the text of all turns) and loss_mask.
 
     The mask has (start, end) in code points of the formatted text, one span for each
-    assistant text. Null roles and texts are empty; a conversation of no turns is empty text.
+    assistant text. Null roles and texts are empty; a conversation of no turns is empty text. Null
+    turns, those of a layout that is not known, have null text and mask.
     """
     empty = F.lit("")
     pieces = F.transform(
@@ -158,20 +208,16 @@ def formatted(df: DataFrame, keep: Sequence[str], turns: str = "turns") -> DataF
             F.coalesce(t["role"] == "assistant", F.lit(False)).alias("loss"),
         ),
     )
-    cut = df.select(*keep, F.coalesce(pieces, F.array()).alias("_pieces"))
-
-    def step(seen: Column, piece: Column) -> Column:
-        start = seen["at"] + F.length(piece["head"])
-        end = start + F.length(piece["body"])
-        span = F.array(F.struct(start.alias("start"), end.alias("end")))
-        spans = F.when(piece["loss"], F.concat(seen["spans"], span)).otherwise(seen["spans"])
-        return F.struct((end + len(END)).cast("long").alias("at"), spans.cast(SPANS).alias("spans"))
-
-    begin = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast(SPANS).alias("spans"))
-    text = F.array_join(F.transform("_pieces", lambda p: F.concat(p["head"], p["body"], F.lit(END))), "")
-    return cut.select(
-        *keep, text.alias("formatted"), F.aggregate("_pieces", begin, step, lambda s: s["spans"]).alias("loss_mask")
+    cut = computed_once(df.select(*keep, F.col(turns)), _pieces=pieces)
+    sizes = F.transform("_pieces", lambda p: (F.length(p["head"]) + F.length(p["body"]) + len(END)).cast("long"))
+    sized = computed_once(cut, _sizes=sizes)
+    placed = F.zip_with("_pieces", starts_of(F.col("_sizes")), lambda p, at: F.struct(p.alias("piece"), (at + F.length(p["head"])).alias("at")))
+    spans = F.transform(
+        F.filter(placed, lambda p: p["piece"]["loss"]),
+        lambda p: F.struct(p["at"].alias("start"), (p["at"] + F.length(p["piece"]["body"])).alias("end")),
     )
+    text = F.array_join(F.transform("_pieces", lambda p: F.concat(p["head"], p["body"], F.lit(END))), "")
+    return sized.select(*keep, text.alias("formatted"), spans.cast(SPANS).alias("loss_mask"))
 
 
 def read_turns(text: Column) -> Column:

@@ -591,8 +591,44 @@ def test_template_is_read_back(spark):
     out = chatformat.formatted(df, ["id"])
     read = out.select("id", chatformat.read_turns(F.col("formatted")).alias("t"), chatformat.read_loss(F.col("formatted"), F.col("loss_mask")).alias("loss"))
     for r in read.collect():
-        turns = [(a or "", b or "") for a, b in (chats[r.id][1] if r.id < 300 else [])]
+        if r.id == 300:
+            # null turns are no empty text
+            assert r.t is None and r.loss is None
+            continue
+        turns = [(a or "", b or "") for a, b in chats[r.id][1]]
         assert [tuple(t) for t in r.t] == turns
+def test_layouts_merged_into_one_column(spark):
+    """Two layouts of messages in one struct, told apart by what each row fills."""
+    schema = "id long, messages array<struct<role:string,content:string,text:string>>, conversations array<struct<from:string,value:string>>"
+    rows = [
+        (1, [("user", "a", None), ("assistant", "b", None)], None),
+        (2, [("user", None, "c"), ("assistant", None, "d"), ("user", None, None)], None),
+        (3, [("user", None, None)], None),
+        (4, [("user", "e", None), ("assistant", None, "f")], None),
+        (5, None, [("human", "g"), ("gpt", None)]),
+        (6, [("user", "h", None)], [("human", "i")]),
+        (7, [(None, None, None), None], None),
+        (8, None, None),
+    ]
+    turned = chatformat.canonical_turns(spark.createDataFrame(rows, schema), ["id"])
+    known, unknown = chatformat.split_layouts(turned)
+    got = {r.id: [tuple(t) for t in r.t] for r in chatformat.formatted(known, ["id"]).select("id", chatformat.read_turns(F.col("formatted")).alias("t")).collect()}
+    assert got == {
+        1: [("user", "a"), ("assistant", "b")], 2: [("user", "c"), ("assistant", "d"), ("user", "")], 3: [("user", "")],
+        5: [("user", "g"), ("assistant", "")], 7: [("", ""), ("", "")],
+    }
+    assert {r.id for r in unknown.collect()} == {4, 6, 8}
+    assert all(r.formatted is None and r.loss_mask is None for r in chatformat.formatted(unknown, ["id"]).collect())
+
+
+def test_running_totals(spark):
+    rnd = random.Random(6)
+    rows = [(n, [rnd.randrange(9) for _ in range(n)]) for n in (0, 1, 2, 3, 10, 17, 64, 100, 5000)]
+    df = spark.createDataFrame(rows, "id long, sizes array<long>")
+    for r in df.select("id", "sizes", chatformat.starts_of(F.col("sizes")).alias("at")).collect():
+        assert r["at"] == [sum(r.sizes[:i]) for i in range(len(r.sizes))]
+
+
         assert r.loss == "".join(b for a, b in turns if a == "assistant")
 
 
