@@ -221,7 +221,7 @@ def save_packed(spark, sf):
 def tokenize_job(spark, sf):
     """The whole job: load, tokenize, save, and the sum of what was saved."""
     path = fresh_path(spark, "tokenized")
-    options = {"output_column": None, "counts_column": "text_count"}
+    options = {"output_column": None, "counts_column": "text_count", "batch_size": 64}
     total = jobs.tokenize_table(spark, TOKENIZER, f"{sf}/documents.parquet", path, **options)
     saved = readers.load(spark, path, "parquet")
     ids = arrays.as_text("text_input_ids").alias("text_input_ids")
@@ -395,7 +395,7 @@ def embed_job(spark, sf):
     """The whole job: encode, save, export; vectors as read from the export, line by line."""
     path, lines = fresh_path(spark, "embedded"), fresh_path(spark, "embedded-tsv")
     rows = spread(docs(spark, sf)).select("doc_id", "lang", "text")
-    embedding.embed_table(rows, HashEncoder(64), path, vectors_path=lines, labels=["doc_id", "lang"])
+    embedding.embed_table(rows, HashEncoder(64), path, vectors_path=lines, labels=["doc_id", "lang"], batch_size=128)
     vectors = readers.in_list_order(spark, [f"{lines}/vectors"], "text")
     labels = readers.in_list_order(spark, [f"{lines}/metadata"], "csv", schema="doc_id bigint, lang string", sep="\t")
     numbers = F.transform(F.split("value", "\t"), lambda x: x.cast("float").cast("double"))

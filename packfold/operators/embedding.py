@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from packfold.functions.encoders import Encoder
 from packfold.operators.selecting import head, warn_missing
+from packfold.session import arrow_rows
 from packfold.sources.writers import export_vectors, save
 
 
@@ -48,12 +49,15 @@ def embed_table(
     vectors_path: str | None = None,
     labels: Sequence[str] = (),
     output_column: str = "embedding",
+    batch_size: int | None = None,
     **options,
 ) -> DataFrame:
-    """Embed and save; exports read the saved table, so no text is encoded twice."""
+    """Embed and save; exports read the saved table, so no text is encoded twice. The encoder gets
+    ``batch_size`` rows at a time while the table is saved, or as many as the session is set to."""
     embedded = embed(df, encoder, output_column=output_column, **options)
     if path:
-        save(embedded, path, fmt, overwrite=overwrite)
+        with arrow_rows(df.sparkSession, batch_size):
+            save(embedded, path, fmt, overwrite=overwrite)
         embedded = df.sparkSession.read.schema(embedded.schema).format(fmt).load(path)
     if vectors_path:
         export_vectors(embedded, vectors_path, column=output_column, labels=labels, overwrite=overwrite)

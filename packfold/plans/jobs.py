@@ -11,6 +11,7 @@ from packfold.functions.tokenizers import Tokenizer
 from packfold.operators.packing import pack_fixed
 from packfold.operators.tokenizing import output_name, tokenize
 from packfold.plans.ordinals import with_ordinal
+from packfold.session import arrow_rows
 from packfold.sources.readers import load
 from packfold.sources.writers import save, save_splits
 
@@ -30,10 +31,12 @@ def tokenize_table(
     max_records: int | None = None,
     order_by: str | Sequence[str] | None = None,
     overwrite: bool = False,
+    batch_size: int | None = None,
 ) -> int:
     """Load, tokenize, save; returns the token total, or -1 without counts.
 
-    The total is read from the saved column, so text is tokenized once.
+    The total is read from the saved column, so text is tokenized once. The tokenizer gets
+    ``batch_size`` rows at a time, or as many as the session is set to.
     """
     df = load(spark, input_path, input_format)
     tokens = tokenize(
@@ -46,7 +49,8 @@ def tokenize_table(
         max_records=max_records,
         order_by=order_by,
     )
-    save(tokens, output_path, output_format, overwrite=overwrite)
+    with arrow_rows(spark, batch_size):
+        save(tokens, output_path, output_format, overwrite=overwrite)
     if not counts_column:
         return -1
     saved = spark.read.schema(tokens.schema).format(output_format).load(output_path)

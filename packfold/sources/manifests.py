@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import posixpath
 import re
 from collections.abc import Sequence
 
@@ -9,9 +10,12 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from packfold.session import materialize
+
 PREFIX = "list:"
 # file:///a and file:/a are one file; which of the two is told depends on who tells it.
 NO_HOST = "^([^:/]+):///"
+GLOB = re.compile(r"[*?\[{]")
 
 
 def is_manifest(fmt: str | None) -> bool:
@@ -77,13 +81,51 @@ def file_name() -> Column:
     return F.regexp_replace(F.col("_metadata.file_path"), NO_HOST, "$1:/")
 
 
+def qualified(spark: SparkSession, paths: Sequence[str]) -> list[str]:
+    """Paths as Spark names files: with their file system, and from its root."""
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path("x")
+    here = hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(hadoop).toString()[: -len("/x")]
+    root = re.match("^[^:/]+:(//[^/]+)?", here)[0]
+
+    def whole(path: str) -> str:
+        system = re.match("^[A-Za-z][A-Za-z0-9+.-]+:(//[^/]*)?", path)
+        if system:
+            return re.sub(NO_HOST, r"\1:/", system[0] + "/" + posixpath.normpath("/" + path[system.end() :]).lstrip("/"))
+        return root + posixpath.normpath(path) if path.startswith("/") else root + posixpath.normpath(f"{here[len(root):]}/{path}")
+
+    return [whole(path) for path in paths]
+
+
 def manifest_table(spark: SparkSession, paths: Sequence[str], ordinal: str) -> DataFrame:
-    """Files as Spark reports them in metadata: ``_file``, the place in the list of each entry they
-    belong to, and ``_seq``, which grows with the list and, inside an entry, with the name. One
-    row a file: the driver lists them as it does for any scan."""
-    located = [(file, i) for i, path in enumerate(paths) for file in sorted(files_of(spark, path))]
-    numbered = [(file, i, seq) for seq, (file, i) in enumerate(located)]
-    return spark.createDataFrame(numbered, f"_file string, {ordinal} int, _seq long")
+    """Files as Spark reports them in metadata: ``_file``, and the place in the list of each entry
+    they belong to. Entries are files, folders with all below them, and globs.
+
+    Spark lists files and folders, in parallel where there are many; only globs are looked up
+    one by one. An entry that stands for no file raises FileNotFoundError.
+    """
+    plain = [(i, path) for i, path in enumerate(paths) if not GLOB.search(path)]
+    located = [(file, i) for i, path in enumerate(paths) if GLOB.search(path) for file in files_of(spark, path)]
+    by_glob = spark.createDataFrame(located, f"_file string, {ordinal} int")
+    if not plain:
+        return by_glob
+    reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
+    try:
+        listed = reader.load(list(dict.fromkeys(path for _, path in plain)))
+    except AnalysisException as error:
+        if "PATH_NOT_FOUND" in str(error):
+            raise FileNotFoundError(str(error)) from error
+        raise
+    named = listed.select(F.regexp_replace("path", NO_HOST, "$1:/").alias("_path"), file_name().alias("_file"))
+    parts = F.split("_path", "/")
+    above = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda n: F.array_join(F.slice(parts, 1, n), "/"))
+    places = list(zip([i for i, _ in plain], qualified(spark, [path for _, path in plain])))
+    entries = spark.createDataFrame(places, f"{ordinal} int, _entry string")
+    files = materialize(named.distinct().select("_file", F.explode(above).alias("_entry")).join(entries, "_entry"), "listed-files")
+    files = files.select("_file", ordinal)
+    missing = entries.join(files.select(ordinal).distinct(), ordinal, "left_anti").first()
+    if missing is not None:
+        raise FileNotFoundError(missing["_entry"])
+    return files.union(by_glob) if located else files
 
 
 def catalogue(

@@ -115,7 +115,7 @@ def load_many(
     """
     if not paths:
         raise ValueError("no files to read")
-    places = manifest_table(spark, paths, ordinal or "_place").drop("_seq")
+    places = manifest_table(spark, paths, ordinal or "_place")
     placed = _listed(spark, paths, fmt, schema, options).join(places, "_file").drop("_file")
     return placed if ordinal else placed.drop("_place")
 
@@ -146,9 +146,9 @@ def in_list_order(
     held = rows.groupBy("_file", "_block").agg(F.count(F.lit(1)).alias("_rows"), F.min("_line").alias("_first"))
     before, blocks, _ = ordinals(
         held.join(files, "_file"),
-        ["_seq", "_block"],
+        ["_file", "_block"],
         group="file_no",
-        carry={"_file": F.col("_file"), "_first": F.col("_first")},
+        carry={"_first": F.col("_first")},
         sums={"_before": F.col("_rows")},
     )
     # a file that is listed twice meets its rows twice

@@ -401,3 +401,19 @@ def test_streaming_pack_tells_late_rows_apart(spark, tmp_path):
     kept = spark.createDataFrame([r for rows in batches for r in rows if r not in ((2, [7]), (5, [1]))], schema)
     rows = lambda df: sorted((r.buffer, r.chunk, list(r.input_ids)) for r in df.collect())
     assert rows(spark.read.parquet(f"{out}/data")) == rows(pack_aligned(kept, "k", **options))
+
+
+def test_listed_paths_of_all_kinds(spark, tmp_path):
+    for name in ("deep/a/1.txt", "deep/2.txt", "odd % name/3.txt", "x+y=é/4.txt"):
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_text(name)
+    (tmp_path / "empty").mkdir()
+    near = os.path.relpath(tmp_path, os.getcwd())
+    listed = [f"file://{tmp_path}/deep", f"{near}/deep/a/1.txt", f"{tmp_path}/odd % name/", f"file:{tmp_path}/x+y=é/4.txt", f"{tmp_path}/deep/*.txt", f"{tmp_path}//deep/a"]
+    got = {(r.place, r.value) for r in readers.load_many(spark, listed, "text", ordinal="place").collect()}
+    assert got == {
+        (0, "deep/a/1.txt"), (0, "deep/2.txt"), (1, "deep/a/1.txt"), (2, "odd % name/3.txt"), (3, "x+y=é/4.txt"), (4, "deep/2.txt"), (5, "deep/a/1.txt"),
+    }
+    for missing in (["deep", "empty"], ["none"], ["deep/*.none"]):
+        with pytest.raises(FileNotFoundError):
+            readers.load_many(spark, [f"{tmp_path}/{name}" for name in missing], "text")

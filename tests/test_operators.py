@@ -312,3 +312,24 @@ def test_groups_in_order_of_first_appearance(spark):
     with pytest.raises(KeyError):
         split["none"]
     assert grouping.group_by(df, "name", "k", drop_null=True).keys()[:2] == ["b", "a"]
+
+
+def test_functions_get_rows_in_batches(spark, tmp_path):
+    from packfold.plans import jobs
+
+    class Counting(ByteTokenizer):
+        def _encoder(self, add_special_tokens):
+            encode = super()._encoder(add_special_tokens)
+
+            def checked(texts):
+                assert len(texts) <= 7
+                return encode(texts)
+
+            return checked
+
+    spark.range(100).selectExpr("cast(id as string) AS text").coalesce(1).write.parquet(str(tmp_path / "in"))
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert jobs.tokenize_table(spark, Counting(), str(tmp_path / "in"), str(tmp_path / "out"), batch_size=7) == 190
+    with pytest.raises(PySparkException):
+        jobs.tokenize_table(spark, Counting(), str(tmp_path / "in"), str(tmp_path / "more"), batch_size=8)
+    assert spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == before
