@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Iterable, Sequence
 
 from pyspark.errors import AnalysisException
@@ -11,7 +12,6 @@ from pyspark.sql import functions as F
 from packfold.functions.text import NUMBER_PLACE, json_line, json_value, numbered_path, tsv_safe
 from packfold.operators.selecting import head
 from packfold.plans.ordinals import join_back, names, ordinals
-from packfold.session import fresh_path
 from packfold.sources.manifests import catalogue
 from packfold.sources.numbered import FORMAT, NumberedFiles
 
@@ -203,26 +203,28 @@ def export_vectors(
         title = F.array(entry("metadata", F.col("_line") - 1, F.lit("\t".join(labels))))
         entries = F.concat(entries, F.when(first, F.concat(title, told)).otherwise(told))
     lines = numbered.select(F.inline(entries)).sortWithinPartitions("kind", "line").select("kind", "value")
-    parts = fresh_path(spark, "export")
-    lines.write.partitionBy("kind").text(parts)
     kinds = ["vectors", "metadata"] if labels else ["vectors"]
-    _publish(spark, {f"{parts}/kind={kind}": f"{path.rstrip('/')}/{kind}" for kind in kinds}, overwrite)
+    _publish(spark, lines.write.partitionBy("kind"), path.rstrip("/"), {f"kind={kind}": kind for kind in kinds}, overwrite)
 
 
-def _publish(spark: SparkSession, moves: dict[str, str], overwrite: bool) -> None:
-    """Written folders under their final names, all or none where a name is taken."""
+def _publish(spark: SparkSession, writer, path: str, names: dict[str, str], overwrite: bool) -> None:
+    """Write lines beside their places below ``path`` and rename the folders, all or none where a
+    name is taken."""
     hadoop = spark._jvm.org.apache.hadoop.fs
-    conf = spark._jsc.hadoopConfiguration()
-    targets = [hadoop.Path(target) for target in moves.values()]
-    taken = [target for target in targets if target.getFileSystem(conf).exists(target)]
-    if taken and not overwrite:
-        raise FileExistsError(f"{taken[0].toString()} exists; pass overwrite=True to replace it")
-    for target in taken:
-        target.getFileSystem(conf).delete(target, True)
-    for source, target in zip(map(hadoop.Path, moves), targets):
-        system = source.getFileSystem(conf)
-        if not system.exists(source):
+    system = hadoop.Path(path).getFileSystem(spark._jsc.hadoopConfiguration())
+    targets = {made: hadoop.Path(f"{path}/{name}") for made, name in names.items()}
+    for target in targets.values():
+        if system.exists(target) and not overwrite:
+            raise FileExistsError(f"{target.toString()} exists; pass overwrite=True to replace it")
+    staging = f"{path}/_export-{uuid.uuid4().hex}"
+    try:
+        writer.text(staging)
+        for made, target in targets.items():
+            source = hadoop.Path(f"{staging}/{made}")
+            system.delete(target, True)
             # no row, no part
-            target.getFileSystem(conf).mkdirs(target)
-        elif not hadoop.FileUtil.copy(system, source, target.getFileSystem(conf), target, True, conf):
-            raise OSError(f"cannot move {source.toString()} to {target.toString()}")
+            done = system.rename(source, target) if system.exists(source) else system.mkdirs(target)
+            if not done:
+                raise OSError(f"cannot move {source.toString()} to {target.toString()}")
+    finally:
+        system.delete(hadoop.Path(staging), True)
