@@ -21,7 +21,7 @@ from pyspark.sql import types as T
 from packfold.llm import texts
 from packfold.llm.lyndon import suffix_array
 from packfold.llm.texts import U64, Block
-from packfold.plans.ordinals import join_keyed
+from packfold.plans.ordinals import join_keyed, ordinals
 from packfold.plans.skew import lookup_skewed
 from packfold.session import materialize
 
@@ -31,18 +31,42 @@ REACH = 48
 STEM = LENGTH - REACH
 GRAM = 32
 _PLACE_BITS = 28
+# Bytes whose anchors are looked for together, fewer than 2 ** _PLACE_BITS.
+WINDOW = 1 << 24
 # Bits of the filters that spare unrepeated stems the shuffle; 8 MB at any size of the table.
 FILTER_BITS = 1 << 26
 # Contexts that one task sorts together at most; a stem with more is split by longer stems.
 TOGETHER = 2_000
 FINER = 6
+# Contexts of a stem from which on it is dealt to a task in turn.
+DEALT_SIZE = 50
 
 
 def anchors(block: Block) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Text, place and stem hash of the anchors of all strings of LENGTH bytes.
 
     The anchor of the string at p is the place in p..p+REACH whose GRAM bytes hash least, the
-    first of equal ones: equal strings have their anchors at the same distance."""
+    first of equal ones: equal strings have their anchors at the same distance. A long block is
+    looked at in windows that overlap by a string, so every string lies in one of them."""
+    n = len(block.data)
+    if n <= WINDOW:
+        return _anchors(block)
+    found = []
+    for low in range(0, n - LENGTH + 1, WINDOW - LENGTH + 1):
+        high = min(low + WINDOW, n)
+        first = int(np.searchsorted(block.starts, low, side="right")) - 1
+        last = int(np.searchsorted(block.starts, high, side="left"))
+        own = slice(first, last)
+        part = Block(0, block.data[low:high], np.maximum(block.starts[own] - low, 0), np.clip(block.ends[own] - low, 0, high - low))
+        text, place, stem = _anchors(part)
+        found.append((text + first, place + low, stem))
+    text, place, stem = map(np.concatenate, zip(*found))
+    # strings of two windows may share an anchor
+    place, at = np.unique(place, return_index=True)
+    return text[at], place, stem[at]
+
+
+def _anchors(block: Block) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     n = len(block.data)
     if n < LENGTH:
         empty = np.empty(0, np.int64)
@@ -249,6 +273,15 @@ def hash_bytes(data: bytes) -> int:
 ROW = "group long, context long, base int, left binary, right binary"
 
 
+def _dealt(sizes: DataFrame, tasks: int) -> DataFrame:
+    """``task`` of each group (group, size): the large ones in turn, from the largest down, so that
+    no task gets many of them, the others by hash."""
+    large = sizes.filter(F.col("size") >= DEALT_SIZE).select("group", (-F.col("size")).alias("order"))
+    turns = ordinals(large, ["order", "group"]).frame.select("group", (F.col("ordinal") % tasks).cast("int").alias("turn"))
+    task = F.coalesce("turn", F.pmod(F.hash("group"), F.lit(tasks)))
+    return sizes.join(turns, "group", "left").select("group", task.alias("task"))
+
+
 def starts_of(rows: DataFrame) -> DataFrame:
     """(context, starts) for contexts that share a part of LENGTH bytes with another of their
     stem; bit d of ``starts`` is the string that begins d bytes before the anchor.
@@ -262,10 +295,11 @@ def starts_of(rows: DataFrame) -> DataFrame:
         if reach == 0:
             done = rows.join(sizes, "group").select("context", F.expr("shiftleft(1L, base)").alias("starts"))
         else:
-            small = rows.join(sizes.filter(F.col("size") <= TOGETHER).select("group"), "group").select("group", "context", "base", "left", "right")
-            # a number of its own, else adaptive execution deals a few bytes of much work to few tasks
             tasks = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-            together = small.repartition(tasks, "group").sortWithinPartitions("group")
+            dealt = _dealt(sizes.filter(F.col("size") <= TOGETHER), tasks)
+            small = rows.join(dealt, "group").select("group", "context", "base", "left", "right", "task")
+            # few bytes are much work here, so adaptive execution must not put them into few tasks
+            together = small.repartitionById(tasks, F.col("task")).sortWithinPartitions("group").drop("task")
             done = together.mapInArrow(_sorted_groups(reach), "context long, starts long")
         found = done if found is None else found.union(done)
         large = sizes.filter(F.col("size") > TOGETHER).select("group")

@@ -274,6 +274,17 @@ def test_js_distance():
 # -- 4 repeats --------------------------------------------------------------------------------
 
 
+def test_anchors_of_a_long_text_are_found_by_windows(monkeypatch):
+    rnd = random.Random(8)
+    for _ in range(20):
+        column = pa.array(["".join(rnd.choices("ab c", k=rnd.randrange(6000))) for _ in range(rnd.randrange(1, 6))])
+        (block,) = texts.blocks(column, 1 << 30)
+        monkeypatch.setattr(repeats, "WINDOW", 1 << 20)
+        whole = repeats.anchors(block)
+        monkeypatch.setattr(repeats, "WINDOW", 1000)
+        assert all((a == b).all() for a, b in zip(whole, repeats.anchors(block)))
+
+
 def without_repeats(rows):
     raw = [(t or "").encode() for t in rows]
     seen = {}
@@ -582,21 +593,6 @@ def test_layouts_become_turns(spark):
     assert got[6].layout is None and got[4].layout == got[5].layout == "instruction" and got[4].fingerprint != got[5].fingerprint
 
 
-def test_template_is_read_back(spark):
-    rnd = random.Random(11)
-    bits = ["<|im_start|>", "<|im_end|>", "<", "|", "\\", "<\\|", "\n", "%", "%0A", "é", "assistant", "im_end|>", "a"]
-    text = lambda: "".join(rnd.choices(bits, k=rnd.randrange(8)))
-    chats = [(i, [(rnd.choice(["user", "assistant", text()]), rnd.choice([text(), None])) for _ in range(rnd.randrange(5))]) for i in range(300)]
-    df = spark.createDataFrame([*chats, (300, None)], "id long, turns array<struct<role:string,text:string>>")
-    out = chatformat.formatted(df, ["id"])
-    read = out.select("id", chatformat.read_turns(F.col("formatted")).alias("t"), chatformat.read_loss(F.col("formatted"), F.col("loss_mask")).alias("loss"))
-    for r in read.collect():
-        if r.id == 300:
-            # null turns are no empty text
-            assert r.t is None and r.loss is None
-            continue
-        turns = [(a or "", b or "") for a, b in chats[r.id][1]]
-        assert [tuple(t) for t in r.t] == turns
 def test_layouts_merged_into_one_column(spark):
     """Two layouts of messages in one struct, told apart by what each row fills."""
     schema = "id long, messages array<struct<role:string,content:string,text:string>>, conversations array<struct<from:string,value:string>>"
@@ -629,6 +625,21 @@ def test_running_totals(spark):
         assert r["at"] == [sum(r.sizes[:i]) for i in range(len(r.sizes))]
 
 
+def test_template_is_read_back(spark):
+    rnd = random.Random(11)
+    bits = ["<|im_start|>", "<|im_end|>", "<", "|", "\\", "<\\|", "\n", "%", "%0A", "é", "assistant", "im_end|>", "a"]
+    text = lambda: "".join(rnd.choices(bits, k=rnd.randrange(8)))
+    chats = [(i, [(rnd.choice(["user", "assistant", text()]), rnd.choice([text(), None])) for _ in range(rnd.randrange(5))]) for i in range(300)]
+    df = spark.createDataFrame([*chats, (300, None)], "id long, turns array<struct<role:string,text:string>>")
+    out = chatformat.formatted(df, ["id"])
+    read = out.select("id", chatformat.read_turns(F.col("formatted")).alias("t"), chatformat.read_loss(F.col("formatted"), F.col("loss_mask")).alias("loss"))
+    for r in read.collect():
+        if r.id == 300:
+            # null turns are no empty text
+            assert r.t is None and r.loss is None
+            continue
+        turns = [(a or "", b or "") for a, b in chats[r.id][1]]
+        assert [tuple(t) for t in r.t] == turns
         assert r.loss == "".join(b for a, b in turns if a == "assistant")
 
 
