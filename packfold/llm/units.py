@@ -11,7 +11,6 @@ from __future__ import annotations
 
 import hashlib
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -82,12 +81,20 @@ def dedup_units(
     docs = df.select(F.col(f"`{key}`").alias("key"), own.alias("hash"), F.col(f"`{text}`").alias("text"))
 
     def find(batch: pa.RecordBatch) -> dict[str, pa.Array]:
-        made = [digests(x, separator, min_words) for x in batch.column(2).to_pylist()]
-        kinds = pa.list_(pa.struct([("unit", pa.int32()), ("last", pa.int32()), ("digest", pa.binary())]))
-        units = [[dict(zip(("unit", "last", "digest"), u)) for u in found] for _, found in made]
-        return {"n_units": np.array([n for n, _ in made], np.int64), "units": pa.array(units, kinds)}
-
-    found = materialize(texts.map_texts(docs, ["key", "hash"], "text", FIELDS, find), "units")
+        n_units, ends, unit, last, digest = [], [0], [], [], []
+        for one in batch.column(2):
+            n, found = digests(one.as_py(), separator, min_words)
+            n_units.append(n)
+            for first, end, name in found:
+                unit.append(first), last.append(end), digest.append(name)
+            ends.append(len(unit))
+        flat = pa.StructArray.from_arrays(
+            [pa.array(unit, pa.int32()), pa.array(last, pa.int32()), pa.array(digest, pa.binary())], names=["unit", "last", "digest"]
+        )
+        return {"n_units": pa.array(n_units, pa.int64()), "units": pa.ListArray.from_arrays(pa.array(ends, pa.int32()), flat)}
+
+    with texts.small_batches(df.sparkSession):
+        found = materialize(texts.map_texts(docs, ["key", "hash"], "text", FIELDS, find), "units")
     units = found.select("key", "hash", F.inline("units"))
     rank = F.struct("key", "hash", "unit")
     firsts = units.groupBy("digest").agg(F.count(F.lit(1)).alias("times"), F.min(rank).alias("first"))
