@@ -151,7 +151,7 @@ def _binary(rows: np.ndarray) -> pa.Array:
     return pa.Array.from_buffers(pa.binary(), len(rows), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(rows))])
 
 
-SIGNED = [("n_shingles", T.LongType()), ("node", T.BinaryType()), ("signature", T.BinaryType()), ("bands", T.ArrayType(T.LongType())), ("sketch", T.BinaryType())]
+SIGNED = [("n_shingles", T.LongType()), ("node", T.BinaryType()), ("signature", T.BinaryType()), ("bands", T.ArrayType(T.LongType()))]
 
 
 def sign(batch: pa.RecordBatch) -> dict[str, np.ndarray | pa.Array]:
@@ -170,8 +170,6 @@ def sign(batch: pa.RecordBatch) -> dict[str, np.ndarray | pa.Array]:
         # half of each slot is enough to compare
         "signature": _binary(signature.astype(np.uint16)),
         "bands": pa.ListArray.from_arrays(offsets, flat),
-        # a byte of each slot: slots agree by chance a little more often, never less
-        "sketch": _binary(signature.astype(np.uint8)),
     }
 
 
@@ -179,7 +177,8 @@ def ranked_bands(nodes: DataFrame) -> DataFrame:
     """(band, node, n, rank) for bands of two nodes or more. A node's rank is the sum of its
     buckets' sizes: edited copies have more in common with their source than with each other,
     so the source of a group ranks first."""
-    rows = materialize(nodes.select("node", "n", F.explode("bands").alias("band")), "bands")
+    # made anew where it is read: that is cheaper than to write a row for each band of each node
+    rows = nodes.select("node", "n", F.explode("bands").alias("band"))
     sizes = rows.groupBy("band").agg(F.count(F.lit(1)).alias("size")).filter(F.col("size") > 1)
     shared = materialize(rows.join(sizes, "band"), "shared-bands")
     ranks = shared.groupBy("node").agg(F.sum("size").alias("rank"))
@@ -215,7 +214,7 @@ def _as_pairs(pairs: DataFrame) -> DataFrame:
 
 
 def tiles(ranked: DataFrame, nodes: DataFrame, roots: DataFrame) -> DataFrame:
-    """(tile, band, side, node, root, n, bands, sketch): every two nodes of one bucket and of different
+    """(tile, band, side, node, root, n, bands, signature): every two nodes of one bucket and of different
     components meet in a tile, on its sides 0 and 1 or both on side 2.
 
     A bucket of up to TILE nodes and TILE_SHINGLES shingles is one tile. In larger ones the nodes of the largest component
@@ -261,10 +260,10 @@ def tiles(ranked: DataFrame, nodes: DataFrame, roots: DataFrame) -> DataFrame:
         .when(F.col("is_top"), with_top)
         .otherwise(F.concat(with_top, among))
     )
-    known = nodes.select("node", "n", "bands", "sketch")
+    known = nodes.select("node", "n", "bands", "signature")
     dealt = placed.join(known, "node").withColumn("cell", F.explode(cells))
     tile = F.xxhash64("band", "cell.kind", "cell.i", "cell.j")
-    return dealt.select(tile.alias("tile"), "band", "cell.side", "node", "root", "n", "bands", "sketch")
+    return dealt.select(tile.alias("tile"), "band", "cell.side", "node", "root", "n", "bands", "signature")
 
 
 def _words(column: pa.ChunkedArray) -> np.ndarray:
@@ -277,7 +276,9 @@ def _tile_pairs(tile: pa.Table, similarity: float, best: bool):
     that it shares; with ``best`` the likeliest of each node only, in any bucket."""
     side, n = np.asarray(tile.column("side")), np.asarray(tile.column("n"))
     root = _words(tile.column("root"))
-    sketch = np.frombuffer(b"".join(tile.column("sketch").to_pylist()), np.uint8).reshape(-1, SLOTS)
+    # a byte of each slot: slots agree by chance a little more often, never less
+    signature = np.frombuffer(b"".join(tile.column("signature").to_pylist()), np.uint8).reshape(-1, 2 * SLOTS)
+    sketch = np.ascontiguousarray(signature[:, ::2])
     bands = np.asarray(tile.column("bands").combine_chunks().flatten()).reshape(-1, BANDS)
     band = tile.column("band")[0].as_py()
     left, right = np.flatnonzero(side != 0), np.flatnonzero(side != 1)
@@ -510,7 +511,7 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", simi
         # all that a node has is the same in its rows
         nodes = signed.filter(F.col("n_shingles") > 0).groupBy("node").agg(
             F.count(F.lit(1)).alias("times"), F.min("key").alias("least"), F.first("signature").alias("signature"),
-            F.first("bands").alias("bands"), F.first("sketch").alias("sketch"), F.first("n_shingles").alias("n"),
+            F.first("bands").alias("bands"), F.first("n_shingles").alias("n"),
         )
         nodes = materialize(nodes, "nodes")
     roots = linked_roots(docs, nodes, similarity)
