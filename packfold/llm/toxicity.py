@@ -16,6 +16,7 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -192,14 +193,20 @@ def train(df: DataFrame, labels: DataFrame, trainable: Column, key: str, text: s
     )
     fields = [("bucket", T.ArrayType(T.IntegerType())), ("share", T.ArrayType(T.FloatType()))]
     with texts.small_batches(df.sparkSession):
-        got = texts.map_texts(chosen, ["key", "_label"], "text", fields, _bags).toArrow().sort_by("key")
+        got = texts.map_texts(chosen, ["key", "_label"], "text", fields, _bags).toArrow()
     target = np.asarray(got.column("_label")).astype(np.int64)
     if len(set(target.tolist())) < 2:
         rate = (target.sum() + 1) / (len(target) + 2)
         return Model(np.zeros(BUCKETS), float(np.log(rate / (1 - rate))))
-    bucket, share = got.column("bucket").combine_chunks(), got.column("share").combine_chunks()
-    offset = np.concatenate([[0], np.cumsum(np.asarray(bucket.value_lengths()))])
-    model = fit(offset, np.asarray(bucket.flatten()), np.asarray(share.flatten()), target)
+    # one column at a time is put in the order of keys, and what it came from given back
+    order = pc.sort_indices(got.column("key"))
+    target = target[np.asarray(order)]
+    lists = {}
+    for name in ("bucket", "share"):
+        lists[name] = got.column(name).combine_chunks().take(order)
+        got = got.drop_columns([name])
+    offset = np.concatenate([[0], np.cumsum(np.asarray(lists["bucket"].value_lengths()))])
+    model = fit(offset, np.asarray(lists["bucket"].flatten()), np.asarray(lists["share"].flatten()), target)
     return model._replace(bias=model.bias - float(log_rates[1] - log_rates[0]))
 
 
