@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from packfold.llm import bagminhash, bpe, decontaminate, secrets, toxicity
+from packfold.plans.ordinals import BROADCAST_ROWS
 from packfold.session import materialize
 
 KEY, TEXT = "in_doc_id", "in_text"
@@ -39,11 +40,18 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that share no window of words with the benchmark."""
+    """Documents that share no window of words with the benchmark.
+
+    What a document shares hangs on its text alone, so verdicts are kept by a hash of the text
+    (128 bits), and only hashes of texts that go meet the documents: by a broadcast if they are
+    few, which is counted, else by a shuffle."""
     benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    name = F.md5(F.coalesce(F.col(TEXT), F.lit("")))
     rows = _apart(docs)
-    found = decontaminate.contamination(rows, benchmark, rows.columns, TEXT)
-    return _back(found.filter(~F.col("contaminated")), docs)
+    found = decontaminate.contamination(rows.select(name.alias("name"), TEXT), benchmark, ["name"], TEXT)
+    gone = materialize(found.filter("contaminated").select("name").distinct(), "contaminated")
+    hint = "broadcast" if gone.count() <= BROADCAST_ROWS else "merge"
+    return _back(rows.join(gone.hint(hint), name == F.col("name"), "left_anti"), docs)
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
