@@ -54,7 +54,8 @@ def ngram_arrays(
     scope = [within] if within else []
     # words become numbers first: an n-gram then hashes a few longs instead of strings
     numbers = F.transform(words_of(F.col("paragraph")), lambda w: F.xxhash64(w))
-    words = paragraphs.select(*dict.fromkeys([*columns, *scope]), numbers.alias("_words"))
+    # words are matched once, whatever is filtered by or taken from the n-grams later
+    words = computed_once(paragraphs.select(*dict.fromkeys([*columns, *scope, "paragraph"])), _words=numbers)
     count = ngram_count(F.size("_words"), min_size, max_size)
     none = F.array().cast("array<int>")
     starts = F.when(count > 0, F.sequence(F.lit(1), count)).otherwise(none)
@@ -64,7 +65,8 @@ def ngram_arrays(
 
 def ngram_table(paragraphs: DataFrame, *columns: str, **options) -> DataFrame:
     """One row per n-gram occurrence: ``columns`` and the hash ``h``."""
-    return ngram_arrays(paragraphs, *columns, **options).select(*columns, F.explode("grams").alias("h"))
+    arrays = computed_once(ngram_arrays(paragraphs, *columns, **options), _grams=F.col("grams"))
+    return arrays.select(*columns, F.explode("_grams").alias("h"))
 
 
 def _document_positions(df: DataFrame, doc: str) -> DataFrame:

@@ -106,3 +106,13 @@ def test_an_id_met_twice_stops_the_job(spark):
     twice = spark.createDataFrame([(1, "a b c"), (1, "a b c")], "doc_id long, text string")
     with pytest.raises(ValueError, match="not unique"):
         dedup.remove_seen(twice, "doc_id", min_size=2, max_size=2)
+
+
+def executed(df):
+    plan = df._jdf.queryExecution().executedPlan()
+    return plan.toString()
+
+
+def test_words_are_matched_once_for_statistics(spark):
+    df = spark.createDataFrame([(1, "a b c d\nx")], "doc_id int, text string")
+    assert executed(dedup.ngram_stats(df)).count("regexp_extract_all") == 1
