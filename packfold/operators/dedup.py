@@ -1,8 +1,8 @@
 """Removing paragraphs and documents whose word n-grams were seen earlier.
 
 An n-gram is *seen* where some occurrence has a smaller position. Positions are single
-integers and n-grams 64-bit hashes, so the big aggregate runs on fixed-width rows with
-map-side combining, and only n-grams found at two positions take part in the join back.
+integers and n-grams 64-bit hashes, so the big shuffle moves two numbers an n-gram, once;
+what comes back from it is counts by position.
 """
 
 from __future__ import annotations
@@ -12,8 +12,7 @@ from pyspark.sql import functions as F
 
 from packfold.functions.tokenizers import WORD_PATTERN
 from packfold.plans.barrier import computed_once
-from packfold.plans.ordinals import join_back, join_keyed, ordinals
-from packfold.plans.skew import lookup_skewed
+from packfold.plans.ordinals import join_back, join_keyed, ordinals, piece_count
 from packfold.session import materialize
 
 # Defaults of the filter.
@@ -103,8 +102,8 @@ def paragraph_verdicts(
 ) -> DataFrame:
     """``doc`` and ``_counted``, (para, ngrams, seen) of its paragraphs that have n-grams, in order.
 
-    Texts are matched once, into a written table of hashes that holds no text. Counting the
-    n-grams and looking up the repeated ones both read that.
+    Texts are matched once, into a written table of hashes that holds no text. The n-grams of a
+    paragraph and which of them were seen both come from that.
     """
     shard = F.lit(0) if shard is None else shard
     placed = _document_positions(df.select(doc, text, shard.cast("long").alias("_shard")), doc)
@@ -113,21 +112,67 @@ def paragraph_verdicts(
     )
     arrays = ngram_arrays(paragraphs, doc, "para", "pos", min_size=min_size, max_size=max_size, within="_shard")
     arrays = materialize(arrays, "grams")
-    grams = arrays.select(doc, "para", "pos", F.explode("grams").alias("h"))
-
-    repeated = (
-        grams.groupBy("h")
-        .agg(F.min("pos").alias("first"), F.max("pos").alias("last"), F.count(F.lit(1)).alias("n"))
-        .filter(F.col("first") < F.col("last"))
+    seen = _seen_places(arrays.filter(F.col("pos").isNotNull()).select("pos", "grams"))
+    own = arrays.select(doc, "para", "pos", F.size("grams").alias("_own")).filter(F.col("_own") > 0)
+    counted = (
+        own.join(seen, "pos", "left")
+        .groupBy(doc, "para")
+        .agg(F.sum("_own").alias("ngrams"), F.coalesce(F.sum("_seen"), F.lit(0)).cast("long").alias("seen"))
     )
-    repeated = materialize(repeated.select("h", "n", "first"), "repeated")
-    matched = lookup_skewed(grams, repeated, "h", weight="n", scatter=F.xxhash64("h", "pos"))
-    hit = F.coalesce(F.col("pos") > F.col("first"), F.lit(False))
-    counted = matched.groupBy(doc, "para").agg(F.count(F.lit(1)).alias("ngrams"), F.count_if(hit).alias("seen"))
     listed = F.sort_array(F.collect_list(F.struct("para", "ngrams", "seen")))
     return counted.groupBy(doc).agg(listed.alias("_counted"))
 
 
+def _seen_places(arrays: DataFrame) -> DataFrame:
+    """``pos`` and ``_seen``, how many n-grams there occur at a smaller position too.
+
+    One range shuffle brings equal n-grams together in order of position, and one walk along each
+    sorted piece finds those that are not first. A frequent n-gram is cut into many pieces: what a
+    piece begins with may go on from the piece before, so its occurrences are kept apart with their
+    hash until the first of them is known, which needs no more than a row or two a piece.
+    """
+    total = arrays.agg(F.sum(F.size("grams"))).first()[0] or 0
+    grams = arrays.select(F.explode("grams").alias("h"), "pos")
+    order = ["h", "pos"]
+    ordered = grams.repartitionByRange(piece_count(arrays.sparkSession, total), *order).sortWithinPartitions(*order)
+    # bounds of pieces are sampled, so what was found in them is written
+    found = materialize(ordered.mapInArrow(_later_places, "h long, pos long, n long"), "seen")
+    parted = found.filter(F.col("h").isNotNull())
+    first = parted.groupBy("h").agg(F.min("pos").alias("_first"))
+    later = parted.join(F.broadcast(first), "h").filter(F.col("pos") > F.col("_first"))
+    whole = found.filter(F.col("h").isNull()).select("pos", "n").union(later.select("pos", "n"))
+    return whole.groupBy("pos").agg(F.sum("n").alias("_seen"))
+
+
+def _later_places(batches):
+    """Positions of sorted (h, pos) rows beyond the first of their h, with counts. Rows of the h that
+    a piece begins with come with it, and so does, with no count, the first of the one it ends with."""
+    import numpy as np
+    import pyarrow as pa
+
+    def counted(places, h=None):
+        places, counts = np.unique(places, return_counts=True)
+        hashes = pa.nulls(len(places), pa.int64()) if h is None else pa.array(np.full(len(places), h, np.int64))
+        return pa.RecordBatch.from_arrays([hashes, pa.array(places), pa.array(counts.astype(np.int64))], names=["h", "pos", "n"])
+
+    begun = last = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        h, pos = batch.column("h").to_numpy(), batch.column("pos").to_numpy()
+        begun = h[0] if last is None else begun
+        last = last or (h[0], pos[0])
+        new = np.concatenate([[h[0] != last[0]], h[1:] != h[:-1]])
+        first = np.concatenate([[last[1]], pos[new]])[np.cumsum(new)]
+        last = h[-1], first[-1]
+        unknown = h == begun
+        if unknown.any():
+            yield counted(pos[unknown], begun)
+        yield counted(pos[~unknown & (pos > first)])
+    if last is not None:
+        yield pa.RecordBatch.from_pydict({"h": pa.array([last[0]]), "pos": pa.array([last[1]]), "n": pa.array([0], pa.int64())})
+
+
 def annotate(
     df: DataFrame,
     doc: str = "doc_id",

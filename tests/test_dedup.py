@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from packfold.operators import dedup
+from packfold.session import materialize
 from packfold.plans import skew
 
 
@@ -116,3 +117,37 @@ def executed(df):
 def test_words_are_matched_once_for_statistics(spark):
     df = spark.createDataFrame([(1, "a b c d\nx")], "doc_id int, text string")
     assert executed(dedup.ngram_stats(df)).count("regexp_extract_all") == 1
+
+
+def test_ngrams_move_once(spark, monkeypatch):
+    """Nothing is joined by n-gram: what one shuffle finds comes back as counts by position."""
+    written = []
+
+    def noted(df, label):
+        written.append((label, df.columns))
+        return materialize(df, label)
+
+    monkeypatch.setattr(dedup, "materialize", noted)
+    df = spark.createDataFrame([(1, "a b c"), (2, "a b c\nz b c")], "doc_id long, text string")
+    verdicts = dedup.paragraph_verdicts(df, min_size=2, max_size=2)
+    assert [label for label, _ in written] == ["grams", "seen"]
+    found = {r.doc_id: [tuple(x) for x in r._counted] for r in verdicts.collect()}
+    assert found == {1: [(0, 2, 0)], 2: [(0, 2, 2), (1, 2, 1)]}
+
+
+@pytest.mark.parametrize("pieces", [1, 3, 16])
+def test_an_ngram_cut_into_pieces(spark, monkeypatch, pieces):
+    """Most rows hold one n-gram, so pieces begin and end inside it."""
+    monkeypatch.setattr(dedup, "piece_count", lambda spark, rows: pieces)
+    texts = [(i, "a b\na b a b" if i % 7 else f"x{i % 3} y") for i in range(200)] + [(None, "a b"), (None, "x0 y")]
+    df = spark.createDataFrame(texts, "doc_id long, text string").repartition(5)
+    firsts, wanted = {}, {}
+    for i, text in texts:
+        for para, line in enumerate(text.split("\n")):
+            words = line.split()
+            grams = list(zip(words, words[1:]))
+            seen = 0 if i is None else sum(firsts.setdefault(g, (i, para)) < (i, para) for g in grams)
+            old = wanted.setdefault(i, {}).get(para, (0, 0))
+            wanted[i][para] = (old[0] + len(grams), old[1] + seen)
+    verdicts = dedup.paragraph_verdicts(df, min_size=2, max_size=2).collect()
+    assert {r.doc_id: {x.para: (x.ngrams, x.seen) for x in r._counted} for r in verdicts} == wanted
