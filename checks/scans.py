@@ -111,11 +111,19 @@ LISTED_SQL = f"""SELECT file_no::INTEGER AS file_no, row_number() OVER (PARTITIO
     FROM (SELECT *, {PLACE_SQL} AS file_no FROM documents)"""
 
 
+# Fixed value: bytes of text that one file of a list holds.
+LISTED_BYTES = 32 << 20
+
+
 def listed(spark, sf, fmt, *columns):
     """Documents in one folder a split, each of several files in order, and a manifest of the folders."""
     rows, root = with_split(docs(spark, sf)), fresh_path(spark, "listed")
+    size = F.sum(F.octet_length("text").cast("long"))
+    held = {row.split: row.size or 0 for row in rows.groupBy("split").agg(size.alias("size")).collect()}
     for split in SPLITS:
-        one = rows.filter(F.col("split") == split).repartitionByRange(3, "doc_id").sortWithinPartitions("doc_id")
+        # quoted lines are not split, so a file is what one task reads
+        files = max(3, -(-held.get(split, 0) // LISTED_BYTES))
+        one = rows.filter(F.col("split") == split).repartitionByRange(files, "doc_id").sortWithinPartitions("doc_id")
         one.select(*columns).write.format(fmt).options(**({"header": True, "escape": '"'} if fmt == "csv" else {})).save(f"{root}/{split}")
     paths = spark.createDataFrame([(f"{root}/{split}",) for split in SPLITS], "path string").coalesce(1)
     manifest = writers.write_manifest(paths, fresh_path(spark, "manifest"))

@@ -417,3 +417,13 @@ def test_listed_paths_of_all_kinds(spark, tmp_path):
     for missing in (["deep", "empty"], ["none"], ["deep/*.none"]):
         with pytest.raises(FileNotFoundError):
             readers.load_many(spark, [f"{tmp_path}/{name}" for name in missing], "text")
+
+
+def test_listed_files_grow_in_number(spark, tmp_path, monkeypatch):
+    from checks import scans
+
+    spark.range(2000).selectExpr("id AS doc_id", "'en' AS lang", "repeat('a', 100) AS text").write.parquet(f"{tmp_path}/documents.parquet")
+    monkeypatch.setattr(scans, "LISTED_BYTES", 10_000)
+    paths, _ = scans.listed(spark, str(tmp_path), "csv", "doc_id", "lang", "text")
+    found = [[f for f in os.listdir(path) if f.startswith("part-")] for path in paths]
+    assert [len(files) for files in found] == [3, 16, 3]
