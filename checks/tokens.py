@@ -353,8 +353,10 @@ def buffer_shuffle(spark, sf):
     FROM (SELECT doc_id, {byte_count('text')} AS n, row_number() OVER (ORDER BY doc_id) - 1 AS o FROM documents)""",
 )
 def longest_in_batch(spark, sf):
-    batches = padding.assign_batches(byte_tokens(spark, sf), "doc_id", 8)
-    return grouping.longest_in(batches, "batch_id").select("doc_id", "longest")
+    # batches are told apart by lengths, so the arrays stay behind
+    lengths = byte_tokens(spark, sf).select("doc_id", F.size("input_ids").alias("length"))
+    batches = padding.assign_batches(lengths, "doc_id", 8)
+    return grouping.longest_in(batches, "batch_id", length="length").select("doc_id", "longest")
 
 
 @query(

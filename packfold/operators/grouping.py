@@ -98,9 +98,12 @@ def row_counts(df: DataFrame, split: str | Sequence[str]) -> DataFrame:
     return df.groupBy(*names(split)).agg(F.count(F.lit(1)).alias("rows"))
 
 
-def longest_in(df: DataFrame, batch: str | Sequence[str], ids: str = "input_ids", name: str = "longest") -> DataFrame:
+def longest_in(
+    df: DataFrame, batch: str | Sequence[str], ids: str = "input_ids", name: str = "longest", length: str | None = None
+) -> DataFrame:
     """Length of the longest row of each batch, on every row. Lengths alone are compared; where
-    batches are few, the token arrays do not move at all."""
+    batches are few, the token arrays do not move at all. A table without token arrays tells the
+    column of their ``length``."""
     keys = names(batch)
-    longest = df.groupBy(*keys).agg(F.max(F.size(ids)).alias(name))
+    longest = df.groupBy(*keys).agg(F.max(F.col(length) if length else F.size(ids)).alias(name))
     return join_keyed(df, longest, keys)

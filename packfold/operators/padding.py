@@ -78,9 +78,7 @@ def pad_for_lm(
 ) -> DataFrame:
     """Padding for plain language modelling: labels are the ids, ignored wherever they are the
     padding id; a short last batch is dropped."""
-    with_labels = df.withColumn("_label", F.col(ids))
-    padded = pad_with_labels(
-        with_labels, order_by, pad_id, batch_size=batch_size, multiple=multiple, ids=ids, label="_label", drop_last=drop_last
-    )
+    # the ids are their own labels, so one array moves
+    padded = pad_with_labels(df, order_by, pad_id, batch_size=batch_size, multiple=multiple, ids=ids, label=ids, drop_last=drop_last)
     masked = F.transform("labels", lambda x: F.when(x == pad_id, F.lit(IGNORED)).otherwise(x))
     return padded.withColumn("labels", F.when(F.array_contains("labels", pad_id), masked).otherwise(F.col("labels")))

@@ -333,3 +333,18 @@ def test_functions_get_rows_in_batches(spark, tmp_path):
     with pytest.raises(PySparkException):
         jobs.tokenize_table(spark, Counting(), str(tmp_path / "in"), str(tmp_path / "more"), batch_size=8)
     assert spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == before
+
+
+def test_padding_for_lm_moves_one_array(spark, monkeypatch):
+    written = []
+    real = padding.materialize
+    monkeypatch.setattr(padding, "materialize", lambda df, label: written.append(df.columns) or real(df, label))
+    rows = spark.createDataFrame([(i, [5] * (i + 1)) for i in range(4)], "k int, input_ids array<int>")
+    padded = padding.pad_for_lm(rows, "k", 0, batch_size=4, multiple=4)
+    assert written == [["k", "input_ids"]]
+    assert {r.k: r["labels"] for r in padded.collect()} == {i: [5] * (i + 1) + [-100] * (3 - i) for i in range(4)}
+
+
+def test_longest_row_from_lengths(spark):
+    rows = spark.createDataFrame([(1, 0, 3), (2, 0, 9), (3, 1, None)], "k int, b int, n int")
+    assert {r.k: r.longest for r in grouping.longest_in(rows, "b", length="n").collect()} == {1: 9, 2: 9, 3: None}
