@@ -240,8 +240,7 @@ NUMBERED_SQL = "SELECT 'part-' || lpad((7 + row_number() OVER (ORDER BY doc_id))
 
 def numbered_back(spark, folder):
     """Files by name, each with its whole text."""
-    whole = spark.read.text(folder, wholetext=True)
-    return whole.select(F.col("_metadata.file_name").alias("file"), F.col("value").alias("text"))
+    return readers.whole_files(spark, folder)
 
 
 @query("write_numbered", NUMBERED_SQL)

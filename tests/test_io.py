@@ -427,3 +427,15 @@ def test_listed_files_grow_in_number(spark, tmp_path, monkeypatch):
     paths, _ = scans.listed(spark, str(tmp_path), "csv", "doc_id", "lang", "text")
     found = [[f for f in os.listdir(path) if f.startswith("part-")] for path in paths]
     assert [len(files) for files in found] == [3, 16, 3]
+
+
+def test_many_small_files_are_read_by_few_tasks(spark, tmp_path):
+    folder = str(tmp_path / "many")
+    texts = {f"f{i}.txt": "é\r\n" * (i % 3) for i in range(300)}
+    os.makedirs(folder + "/below")
+    for name, text in {**texts, "_hidden": "x", ".dot": "x"}.items():
+        with open(f"{folder}/{name}", "w", encoding="utf-8", newline="") as out:
+            out.write(text)
+    read = readers.whole_files(spark, folder)
+    assert read.rdd.getNumPartitions() <= spark.sparkContext.defaultParallelism
+    assert {r.file: r.text for r in read.collect()} == texts
