@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from packfold.functions.tokenizers import WORD_PATTERN
 from packfold.plans.ordinals import join_keyed, ordinals
 from packfold.plans.skew import lookup_skewed
-from packfold.session import materialize
+from packfold.session import arrow_rows, materialize
 
 # Ids below stand for padding, begin, end and an unknown word.
 UNKNOWN = 3
@@ -24,6 +24,8 @@ FIRST_ID = 4
 # Words that travel with the tasks, and the longest of them in bytes.
 HEAD_WORDS = 32_000
 HEAD_BYTES = 64
+# Texts whose words a Python function holds at once.
+TEXTS_AT_ONCE = 500
 
 IDS = "array<int>"
 RARE = "array<struct<place:int,word:string>>"
@@ -60,7 +62,8 @@ def encode_words(
     words = F.regexp_extract_all(column, F.lit(pattern), F.lit(0))
     looked = F.arrow_udf(_head_lookup(head), f"struct<ids:{IDS},rare:{RARE}>")(words).alias("_found")
     split = df.select(*[F.col(c) for c in kept], looked)
-    split = materialize(split.select(*kept, "_found.ids", "_found.rare"), "words")
+    with arrow_rows(df.sparkSession, TEXTS_AT_ONCE):
+        split = materialize(split.select(*kept, "_found.ids", "_found.rare"), "words")
 
     rare = split.select(F.col(key).alias("_key"), F.inline("rare"))
     far = vocabulary.filter(~near).select("word", "id", "n")

@@ -47,3 +47,13 @@ def test_unknown_words_shared_keys_and_empty_tables(spark, texts):
     none = vocabulary.learn_vocabulary(empty)
     assert none.count() == 0 and vocabulary.encode_words(empty, none, "k").count() == 0
     assert {tuple(r.input_ids) for r in vocabulary.encode_words(shared.limit(1), none, "k").collect()} == {(3, 3)}
+
+
+def test_few_texts_at_once_have_their_words_in_python(spark, monkeypatch):
+    setting, seen = "spark.sql.execution.arrow.maxRecordsPerBatch", {}
+    before, real = spark.conf.get(setting), vocabulary.materialize
+    monkeypatch.setattr(vocabulary, "materialize", lambda df, label: seen.update({label: spark.conf.get(setting)}) or real(df, label))
+    rows = spark.createDataFrame([(1, "a b a"), (2, None)], "doc_id long, text string")
+    tokens = vocabulary.encode_words(rows, vocabulary.learn_vocabulary(rows), "doc_id")
+    assert int(seen["words"]) <= 500 and spark.conf.get(setting) == before
+    assert {r.doc_id: r.input_ids for r in tokens.collect()} == {1: [4, 5, 4], 2: None}
