@@ -12,6 +12,7 @@ is one number per row: the difference of the two classes' logits.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from typing import NamedTuple
 
 import numpy as np
@@ -100,8 +101,8 @@ def logits(block: Block, model: Model) -> np.ndarray:
     return model.bias + total / np.maximum(count, 1)
 
 
-def fit(offset: np.ndarray, bucket: np.ndarray, weight: np.ndarray, label: np.ndarray, seed: int = 7) -> Model:
-    """Train on bags: bag i has bucket[offset[i]:offset[i + 1]], each with its share ``weight``.
+def fit(size: np.ndarray, bucket: Callable[[int], np.ndarray], weight: Callable[[int], np.ndarray], label: np.ndarray, seed: int = 7) -> Model:
+    """Train on bags: bag i has size[i] features bucket(i), each with its share weight(i).
 
     Mini-batches with Adagrad steps; every batch updates the table and the softmax together.
     """
@@ -111,16 +112,15 @@ def fit(offset: np.ndarray, bucket: np.ndarray, weight: np.ndarray, label: np.nd
     bias = np.zeros(2, np.float32)
     seen_table = np.full(BUCKETS, 1e-8, np.float32)
     seen_soft, seen_bias = np.full(soft.shape, 1e-8, np.float32), np.full(2, 1e-8, np.float32)
-    size = 64
+    together = 64
     for epoch in range(EPOCHS):
         rate = 1.0 * (1 - epoch / EPOCHS)
         order = rng.permutation(len(label))
-        for at in range(0, len(order), size):
-            chosen = order[at : at + size]
-            spans = [slice(offset[i], offset[i + 1]) for i in chosen]
-            rows = np.concatenate([bucket[s] for s in spans])
-            share = np.concatenate([weight[s] for s in spans])
-            row_text = np.repeat(np.arange(len(chosen)), [s.stop - s.start for s in spans])
+        for at in range(0, len(order), together):
+            chosen = order[at : at + together]
+            rows = np.concatenate([bucket(i) for i in chosen])
+            share = np.concatenate([weight(i) for i in chosen])
+            row_text = np.repeat(np.arange(len(chosen)), size[chosen])
             ids, back = np.unique(rows, return_inverse=True)
             own = table[ids]
             average = np.stack(
@@ -145,8 +145,8 @@ def fit(offset: np.ndarray, bucket: np.ndarray, weight: np.ndarray, label: np.nd
     return Model((table @ (soft[:, 1] - soft[:, 0])).astype(np.float64), float(bias[1] - bias[0]))
 
 
-def shares(block: Block) -> list[tuple[np.ndarray, np.ndarray]]:
-    """Per text of the block, the distinct features of its bag and their shares of it."""
+def counts(block: Block) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Per text of the block, the distinct features of its bag, ascending, and how often each is in it."""
     made = bag(block)
     sizes = np.diff(made.offset)[made.word]
     before = np.cumsum(sizes) - sizes
@@ -155,18 +155,43 @@ def shares(block: Block) -> list[tuple[np.ndarray, np.ndarray]]:
         np.repeat(made.text, sizes).astype(np.int64) * BUCKETS + made.feature[at], return_counts=True
     )
     edges = np.searchsorted(key, np.arange(len(block.starts) + 1) * BUCKETS)
-    spans = [slice(a, b) for a, b in zip(edges[:-1], edges[1:])]
-    return [((key[s] % BUCKETS).astype(np.int32), (n[s] / max(n[s].sum(), 1)).astype(np.float32)) for s in spans]
+    return [((key[a:b] % BUCKETS).astype(np.int32), n[a:b]) for a, b in zip(edges[:-1], edges[1:])]
+
+
+# A bag as it travels: the low 16 bits of its features, how many are below 2 ** 16, and their
+# counts, in one byte each if all fit. With BUCKETS rows a feature has one bit more.
+PACKED = [("low", T.BinaryType()), ("below", T.IntegerType()), ("count", T.BinaryType())]
 
 
 def _bags(batch: pa.RecordBatch) -> dict[str, pa.Array]:
-    made = [pair for block in texts.blocks(batch.column(2), BLOCK) for pair in shares(block)]
+    made = [pair for block in texts.blocks(batch.column(2), BLOCK) for pair in counts(block)]
+    kinds = [np.uint8 if not len(n) or n.max() < 256 else np.uint32 for _, n in made]
     return {
-        "bucket": pa.array([b for b, _ in made], pa.list_(pa.int32())),
-        "share": pa.array([w for _, w in made], pa.list_(pa.float32())),
+        "low": pa.array([b.astype(np.uint16).tobytes() for b, _ in made], pa.binary()),
+        "below": pa.array([int(np.searchsorted(b, 1 << 16)) for b, _ in made], pa.int32()),
+        "count": pa.array([n.astype(kind).tobytes() for (_, n), kind in zip(made, kinds)], pa.binary()),
     }
 
 
+class Bags:
+    """Packed bags in the order ``order`` of their rows; one is unpacked when it is asked for."""
+
+    def __init__(self, table: pa.Table, order: np.ndarray):
+        self.order, self.below = order, np.asarray(table.column("below"))
+        self.low, self.count = (table.column(name).combine_chunks() for name in ("low", "count"))
+        self.size = np.asarray(pc.binary_length(self.low))[order] // 2
+
+    def bucket(self, i: int) -> np.ndarray:
+        made = np.frombuffer(self.low[self.order[i]].as_buffer(), np.uint16).astype(np.int32)
+        made[self.below[self.order[i]] :] += 1 << 16
+        return made
+
+    def share(self, i: int) -> np.ndarray:
+        data = self.count[self.order[i]].as_buffer()
+        n = np.frombuffer(data, np.uint8 if data.size == self.size[i] else np.uint32).astype(np.int64)
+        return (n / max(n.sum(), 1)).astype(np.float32)
+
+
 def train(df: DataFrame, labels: DataFrame, trainable: Column, key: str, text: str, label: str) -> Model:
     """Fit on a bounded sample of the labelled rows for which ``trainable`` holds.
 
@@ -191,22 +216,16 @@ def train(df: DataFrame, labels: DataFrame, trainable: Column, key: str, text: s
     chosen = df.select(F.col(f"`{key}`").alias("key"), F.col(f"`{text}`").alias("text")).join(
         F.broadcast(sample), F.col("key") == F.col("_labelled")
     )
-    fields = [("bucket", T.ArrayType(T.IntegerType())), ("share", T.ArrayType(T.FloatType()))]
     with texts.small_batches(df.sparkSession):
-        got = texts.map_texts(chosen, ["key", "_label"], "text", fields, _bags).toArrow()
+        got = texts.map_texts(chosen, ["key", "_label"], "text", PACKED, _bags).toArrow()
     target = np.asarray(got.column("_label")).astype(np.int64)
     if len(set(target.tolist())) < 2:
         rate = (target.sum() + 1) / (len(target) + 2)
         return Model(np.zeros(BUCKETS), float(np.log(rate / (1 - rate))))
-    # one column at a time is put in the order of keys, and what it came from given back
-    order = pc.sort_indices(got.column("key"))
-    target = target[np.asarray(order)]
-    lists = {}
-    for name in ("bucket", "share"):
-        lists[name] = got.column(name).combine_chunks().take(order)
-        got = got.drop_columns([name])
-    offset = np.concatenate([[0], np.cumsum(np.asarray(lists["bucket"].value_lengths()))])
-    model = fit(offset, np.asarray(lists["bucket"].flatten()), np.asarray(lists["share"].flatten()), target)
+    order = np.asarray(pc.sort_indices(got.column("key")))
+    bags = Bags(got, order)
+    del got
+    model = fit(bags.size, bags.bucket, bags.share, target[order])
     return model._replace(bias=model.bias - float(log_rates[1] - log_rates[0]))
 
 

@@ -403,6 +403,22 @@ def test_training_takes_exactly_its_rows_and_keeps_the_odds(spark, monkeypatch):
     assert np.isclose(model.bias, np.log(200 / 270) - np.log(20 / 30))
 
 
+def test_bags_travel_packed():
+    rows = ["", None, "x " * 300 + "yes no", " ".join(sentence(i, 60) for i in range(9))]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(4)), pa.array([0] * 4), pa.array(rows)], names=["key", "_label", "text"])
+    made = toxicity._bags(batch)
+    order = np.array([3, 1, 0, 2])
+    bags = toxicity.Bags(pa.table(made), order)
+    plain = [pair for block in texts.blocks(pa.array(rows)) for pair in toxicity.counts(block)]
+    assert max(n.max() for _, n in plain if len(n)) > 255 and max(b.max() for b, _ in plain if len(b)) > 1 << 16
+    for i, row in enumerate(order):
+        bucket, n = plain[row]
+        assert bags.size[i] == len(bucket) and bags.bucket(i).tolist() == bucket.tolist()
+        assert bags.share(i).tolist() == (n / max(n.sum(), 1)).astype(np.float32).tolist()
+    # two numbers of four bytes each before
+    assert len(made["low"][3].as_py()) + len(made["count"][3].as_py()) == 3 * len(plain[3][0])
+
+
 # -- 7 near copies ----------------------------------------------------------------------------
 
 
