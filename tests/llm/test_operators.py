@@ -285,6 +285,23 @@ def test_anchors_of_a_long_text_are_found_by_windows(monkeypatch):
         assert all((a == b).all() for a, b in zip(whole, repeats.anchors(block)))
 
 
+def test_anchors_are_rated_in_short_stretches(monkeypatch):
+    """Every string's anchor, by the text it is in, however few starts are rated together."""
+    rnd = random.Random(9)
+    for starts in (1, 7, 400, repeats.STARTS):
+        monkeypatch.setattr(repeats, "STARTS", starts)
+        shared = "".join(rnd.choices("ab c", k=900))
+        rows = [None, "", shared[:399], "x" * 401, shared, "", "y" + shared + "z", None]
+        (block,) = texts.blocks(pa.array(rows), 1 << 30)
+        text, place, stem = repeats.anchors(block)
+        assert set(text.tolist()) == {3, 4, 6} and (np.diff(place) > 0).all()
+        own = [(place[text == i] - block.starts[i]).tolist() for i in (4, 6)]
+        # both copies have the same anchors at the same distance; the edges of the longer may have more
+        assert {p + 1 for p in own[0]} <= set(own[1])
+        for start in range(len(shared) - repeats.LENGTH + 1):
+            assert any(start <= p <= start + repeats.REACH for p in own[0])
+
+
 def without_repeats(rows):
     raw = [(t or "").encode() for t in rows]
     seen = {}
