@@ -11,11 +11,14 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from packfold.session import materialize
+from packfold.sources.numbered import file_system
 
 PREFIX = "list:"
 # file:///a and file:/a are one file; which of the two is told depends on who tells it.
 NO_HOST = "^([^:/]+):///"
 GLOB = re.compile(r"[*?\[{]")
+# Names listed before they are handed on, and files that a task looks up.
+NAMES_AT_ONCE, FILES_OF_TASK = 10_000, 20_000
 
 
 def is_manifest(fmt: str | None) -> bool:
@@ -133,7 +136,87 @@ def catalogue(
 ) -> DataFrame:
     """Files below ``root`` ending in ``.fmt``: path, size and time. File contents are not read."""
     start = f"{root.rstrip('/')}/{prefix}" if prefix else root
+    if recursive and not GLOB.search(fmt) and (folder := _reached_folder(spark, start)):
+        return _listed_below(spark, folder, f".{fmt}")
     reader = spark.read.format("binaryFile").option("pathGlobFilter", f"*.{fmt}")
     if recursive:
         reader = reader.option("recursiveFileLookup", "true")
     return reader.load(start).select("path", "length", "modificationTime")
+
+
+def _reached_folder(spark: SparkSession, path: str) -> str | None:
+    """``path`` as Spark names it, if it is a folder that tasks can list by themselves."""
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+    system = hadoop.getFileSystem(spark._jsc.hadoopConfiguration())
+    if GLOB.search(path) or not (system.exists(hadoop) and system.getFileStatus(hadoop).isDirectory()):
+        return None
+    (folder,) = qualified(spark, [path])
+    try:
+        file_system(folder)
+    except Exception:  # a file system that only Spark knows
+        return None
+    return folder
+
+
+def _shown(name: str) -> bool:
+    """Whether Spark's own listing shows files and folders of this name."""
+    if name.startswith(("_metadata", "_common_metadata")):
+        return True
+    return not (name.startswith("_") and "=" not in name or name.startswith(".") or name.endswith("._COPYING_"))
+
+
+def _listed_below(spark: SparkSession, root: str, ending: str) -> DataFrame:
+    """The catalogue of all folders below ``root``: one task lists names, folder by folder, and tasks
+    look up the files that are dealt to them. A file without bytes has no row, as in Spark's own scan."""
+
+    def listed(batches):
+        import os
+
+        import pyarrow as pa
+        from pyarrow import fs
+
+        for _ in batches:
+            pass
+        system, path = file_system(root)
+
+        def inside(folder):
+            if system.type_name == "local":
+                with os.scandir(folder) as entries:
+                    yield from ((entry.name, entry.is_dir()) for entry in entries)
+            else:
+                for info in system.get_file_info(fs.FileSelector(folder)):
+                    yield info.base_name, info.type == fs.FileType.Directory
+
+        folders, names = [""], []
+        while folders:
+            below = folders.pop()
+            for name, is_folder in inside(f"{path}/{below}"):
+                if is_folder and _shown(name):
+                    folders.append(f"{below}{name}/")
+                elif name.endswith(ending) and _shown(name):
+                    names.append(below + name)
+                if len(names) == NAMES_AT_ONCE:
+                    yield pa.RecordBatch.from_pydict({"file": pa.array(names, pa.string())})
+                    names = []
+        yield pa.RecordBatch.from_pydict({"file": pa.array(names, pa.string())})
+
+    def looked_up(batches):
+        import pyarrow as pa
+        from pyarrow import fs
+
+        system, path = file_system(root)
+        for batch in batches:
+            names = batch.column("file").to_pylist()
+            found = [(name, info) for name, info in zip(names, system.get_file_info([f"{path}/{name}" for name in names])) if info.type == fs.FileType.File and info.size]
+            yield pa.RecordBatch.from_pydict(
+                {
+                    "path": pa.array([f"{root}/{name}" for name, _ in found], pa.string()),
+                    "length": pa.array([info.size for _, info in found], pa.int64()),
+                    "millis": pa.array([info.mtime_ns // 1_000_000 for _, info in found], pa.int64()),
+                }
+            )
+
+    names = materialize(spark.range(1).coalesce(1).mapInArrow(listed, "file string"), "file-names")
+    tasks = max(spark.sparkContext.defaultParallelism, names.count() // FILES_OF_TASK + 1)
+    found = names.repartition(tasks).mapInArrow(looked_up, "path string, length long, millis long")
+    return found.select("path", "length", F.timestamp_millis("millis").alias("modificationTime"))

@@ -56,6 +56,22 @@ def test_catalogue_prefix_recursion_and_manifest(spark, tmp_path):
     assert "content" not in plan.split("ReadSchema")[1]
 
 
+def test_catalogue_of_all_folders_is_listed_by_tasks(spark, tmp_path):
+    names = ["a/x y.txt", "a/b/%41é.txt", "a/b/empty.txt", "a/_hidden.txt", "a/.b/z.txt", "a/_c/z.txt", "a/_d=1/z.txt", "a/other.csv", "a/dir.txt/w.txt"]
+    for name in names:
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_text("" if "empty" in name else name)
+    reader = spark.read.format("binaryFile").option("pathGlobFilter", "*.txt").option("recursiveFileLookup", "true")
+    expected = reader.load(f"{tmp_path}/a").select("path", "length", "modificationTime")
+    got = manifests.catalogue(spark, str(tmp_path), fmt="txt", prefix="a", recursive=True)
+    assert got.schema.names == expected.schema.names and got.dtypes == expected.dtypes
+    assert sorted(got.collect()) == sorted(expected.collect()) and got.count() == 4
+    # Spark's own scan opens a split for every few files
+    assert "binaryFile" not in got._jdf.queryExecution().toString()
+    with pytest.raises(Exception, match="PATH_NOT_FOUND"):
+        manifests.catalogue(spark, str(tmp_path), prefix="none", recursive=True)
+
+
 def test_scan_pushes_filter_and_columns(spark, small):
     df = readers.load(spark, f"{small}/documents.parquet").filter("n_chars > 100").select("doc_id")
     plan = df._jdf.queryExecution().executedPlan().toString()
