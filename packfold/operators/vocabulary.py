@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from packfold.functions.tokenizers import WORD_PATTERN
@@ -29,6 +29,7 @@ TEXTS_AT_ONCE = 500
 
 IDS = "array<int>"
 RARE = "array<struct<place:int,word:string>>"
+FAR = "array<struct<place:int,id:bigint>>"
 
 
 def learn_vocabulary(df: DataFrame, column: str = "text", *, min_count: int = 1, pattern: str = WORD_PATTERN) -> DataFrame:
@@ -57,7 +58,7 @@ def encode_words(
     vocabulary are looked up in it by a shuffled join that no frequent word slows down.
     """
     kept = list(dict.fromkeys([key, *keep]))
-    near = (F.col("id") < FIRST_ID + head_words) & (F.octet_length("word") <= HEAD_BYTES)
+    near = _near(head_words)
     head = {row.word: row.id for row in vocabulary.filter(near).select("word", "id").collect()}
     words = F.regexp_extract_all(column, F.lit(pattern), F.lit(0))
     looked = F.arrow_udf(_head_lookup(head), f"struct<ids:{IDS},rare:{RARE}>")(words).alias("_found")
@@ -75,6 +76,11 @@ def encode_words(
     return joined.select(*kept, whole.alias(output_column))
 
 
+def _near(head_words: int) -> Column:
+    """Whether a row of a vocabulary is at its head."""
+    return (F.col("id") < FIRST_ID + head_words) & (F.octet_length("word") <= HEAD_BYTES)
+
+
 def _head_lookup(head: dict[str, int]):
     """Ids of frequent words, -1 for others, and the places and words of those."""
 
@@ -133,15 +139,75 @@ def _annotated(fn):
 
 
 def decode_words(
-    df: DataFrame, vocabulary: DataFrame, key: str, *, column: str = "input_ids", output_column: str = "text"
+    df: DataFrame,
+    vocabulary: DataFrame,
+    key: str,
+    *,
+    column: str = "input_ids",
+    output_column: str = "text",
+    head_words: int = HEAD_WORDS,
 ) -> DataFrame:
-    """``key`` (unique) and the words of all ids, one space between them; ids below 4 stand for no
-    word. Null ids give null text."""
-    placed = df.select(F.col(key).alias("_key"), F.posexplode(column).alias("_place", "id"))
-    known = placed.filter(F.col("id") >= FIRST_ID).withColumn("id", F.col("id").cast("long"))
-    scatter = -F.pmod(F.xxhash64("_key", "_place"), F.lit(1 << 62)) - 1
-    found = lookup_skewed(known, vocabulary, "id", "n", scatter)
-    listed = F.sort_array(F.collect_list(F.struct("_place", "word")))
-    texts = found.groupBy("_key").agg(F.array_join(listed["word"], " ").alias("_text")).withColumnRenamed("_key", key)
-    whole = join_keyed(df.select(key, F.col(column).isNotNull().alias("_there")), texts, [key], "left")
-    return whole.select(key, F.when(F.col("_there"), F.coalesce("_text", F.lit(""))).alias(output_column))
+    """``key`` and the words of all ids, one space between them; ids below 4, and those that the
+    vocabulary lacks, stand for no word. Null ids give null text.
+
+    Ids are written once. Words at the head of the vocabulary are put in where the ids lie; only
+    the places of others are looked up by a shuffled join and brought back to their row.
+    """
+    near = _near(head_words)
+    head = {row.id: row.word for row in vocabulary.filter(near).select("word", "id").collect()}
+    split = df.select(F.col(key), F.col(column).alias("_ids"), F.monotonically_increasing_id().alias("_row"))
+    with arrow_rows(df.sparkSession, TEXTS_AT_ONCE):
+        split = materialize(split.withColumn("_far", F.arrow_udf(_beyond_head(list(head)), FAR)("_ids")), "ids")
+
+    places = split.select("_row", F.inline("_far"))
+    scatter = -F.pmod(F.xxhash64("_row", "place"), F.lit(1 << 62)) - 1
+    found = lookup_skewed(places, vocabulary.filter(~near).select("word", "id", "n"), "id", "n", scatter)
+    late = found.filter(F.col("word").isNotNull()).groupBy("_row").agg(F.collect_list(F.struct("place", "word")).alias("_late"))
+    joined = split.drop("_far").join(late, "_row", "left")
+    return joined.select(key, F.arrow_udf(_words_of(head), "string")("_ids", "_late").alias(output_column))
+
+
+def _beyond_head(head: list[int]):
+    """Places and ids of words that are not among ``head``."""
+
+    def beyond(ids: object) -> object:
+        import numpy as np
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        offsets = ids.offsets.to_numpy()
+        values = pc.fill_null(ids.values.slice(offsets[0], offsets[-1] - offsets[0]), -1)
+        known = pc.is_in(values, value_set=pa.array(head, pa.int32())).to_numpy(zero_copy_only=False)
+        starts = (offsets - offsets[0]).astype(np.int32)
+        at = np.flatnonzero(~known & (values.to_numpy() >= FIRST_ID))
+        owner = np.searchsorted(starts, at, side="right") - 1
+        fields = [pa.array((at - starts[owner]).astype(np.int32)), values.take(pa.array(at)).cast(pa.int64())]
+        flat = pa.StructArray.from_arrays(fields, names=["place", "id"])
+        return pa.ListArray.from_arrays(pa.array(np.searchsorted(at, starts).astype(np.int32)), flat)
+
+    return _annotated(beyond)
+
+
+def _words_of(head: dict[int, str]):
+    """The words of ids as one text: those of the head, and late ones at their places."""
+
+    def words_of(ids: object, late: object) -> object:
+        import numpy as np
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        offsets = ids.offsets.to_numpy()
+        starts = (offsets - offsets[0]).astype(np.int64)
+        values = ids.values.slice(offsets[0], offsets[-1] - offsets[0])
+        at = pc.fill_null(pc.index_in(values, value_set=pa.array(list(head), pa.int32())), -1).to_numpy().copy()
+        at[pc.fill_null(values, -1).to_numpy() < FIRST_ID] = -1
+        cuts = late.offsets.to_numpy()
+        given = late.values.slice(cuts[0], cuts[-1] - cuts[0])
+        rows = np.repeat(np.arange(len(ids)), np.diff(cuts))
+        at[starts[rows] + given.field("place").to_numpy(zero_copy_only=False)] = len(head) + np.arange(len(given))
+        words = pa.concat_arrays([pa.array(list(head.values()), pa.string()), given.field("word").cast(pa.string())])
+        ends = np.concatenate([[0], np.cumsum(at >= 0)])[starts].astype(np.int32)
+        lists = pa.ListArray.from_arrays(pa.array(ends), words.take(pa.array(at[at >= 0])), mask=ids.is_null())
+        return pc.binary_join(lists, " ")
+
+    return _annotated(words_of)

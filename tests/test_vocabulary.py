@@ -57,3 +57,22 @@ def test_few_texts_at_once_have_their_words_in_python(spark, monkeypatch):
     tokens = vocabulary.encode_words(rows, vocabulary.learn_vocabulary(rows), "doc_id")
     assert int(seen["words"]) <= 500 and spark.conf.get(setting) == before
     assert {r.doc_id: r.input_ids for r in tokens.collect()} == {1: [4, 5, 4], 2: None}
+
+
+@pytest.mark.parametrize("head", [0, 3, 32_000])
+def test_only_rare_ids_are_looked_up_by_a_join(spark, texts, head, monkeypatch):
+    """Rows are told apart by themselves: keys may repeat or be null, ids may be null or unknown."""
+    learned = vocabulary.learn_vocabulary(texts)
+    word = {r.id: r.word for r in learned.collect()}
+    known = sorted(word)
+    ids = [known[:9], known[::-1], None, [], [0, 3, known[0], None, 10**6, known[-1], known[0]], known[:9]]
+    rows = list(zip([1, 1, 2, None, None, 3], ids))
+    df = spark.createDataFrame(rows, "k long, input_ids array<int>")
+    joined = []
+    real = vocabulary.lookup_skewed
+    monkeypatch.setattr(vocabulary, "lookup_skewed", lambda rows, *rest: joined.append(rows.count()) or real(rows, *rest))
+    got = vocabulary.decode_words(df, learned, "k", head_words=head).collect()
+    expected = [(k, None if own is None else " ".join(word[i] for i in own if i in word)) for k, own in rows]
+    order = lambda found: sorted(found, key=str)
+    assert order(tuple(r) for r in got) == order(expected)
+    assert joined == [sum(i is not None and (i in word and i >= 4 + head or i == 10**6) for _, own in rows for i in own or ())]
