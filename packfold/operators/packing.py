@@ -116,9 +116,13 @@ def pack_aligned(
     task = F.floor(F.col("buffer") / BUFFERS_PER_TASK).alias("_task")
     cuts = buffered.groupBy(*groups, task).applyInArrow(plan, schema)
 
+    # tokens are moved in two bytes each where they all fit
+    least, most = df.agg(F.min(F.array_min(ids)), F.max(F.array_max(ids))).first()
+    short = min(least or 0, bos, eos) >= -(1 << 15) and max(most or 0, bos, eos) < 1 << 15
+    kind = "array<smallint>" if short else "array<int>"
     stream = df.select(
         *row_keys,
-        F.concat(F.coalesce(F.col(ids), F.array().cast("array<int>")), F.array(F.lit(eos), F.lit(bos))).alias("_stream"),
+        F.concat(F.coalesce(F.col(ids), F.array().cast("array<int>")), F.array(F.lit(eos), F.lit(bos))).cast(kind).alias("_stream"),
     )
     pieces = join_back(stream, cuts, row_keys, most_cuts).select(
         *groups, F.explode("_cuts").alias("_cut"), "_stream"
@@ -134,7 +138,7 @@ def pack_aligned(
         .groupBy(*chunk_key, *shuffled)
         .agg(F.sort_array(F.collect_list("_part")).alias("_parts"))
     )
-    whole = F.flatten(F.col("_parts.ids"))
+    whole = F.flatten(F.col("_parts.ids")).cast("array<int>")
     inserted = F.col("_parts")[0]["at"] == 1
     packed = packed.select(
         *chunk_key, *shuffled, F.when(inserted, F.concat(F.array(F.lit(bos)), whole)).otherwise(whole).alias("input_ids")

@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from packfold.operators import buffers
+from packfold.operators import buffers, packing
 from packfold.operators.packing import assign_buffers, pack_aligned, pack_fixed
 from packfold.plans import ordinals as plans
 
@@ -196,3 +196,19 @@ def test_fixed_by_group_with_one_hot_group(spark, monkeypatch):
 def test_rejects_length_one(spark):
     with pytest.raises(ValueError):
         pack_aligned(frame(spark, [[1]]), "doc", bos=1, eos=2, seq_length=1)
+
+
+@pytest.mark.parametrize("most, kind", [(32_767, "smallint"), (32_768, "int"), (2**31 - 1, "int")])
+def test_tokens_that_fit_two_bytes_are_moved_in_two(spark, monkeypatch, most, kind):
+    rows = [(i, [3, most, None, 7][: i % 5] * 3) for i in range(40)] + [(40, None)]
+    df = spark.createDataFrame(rows, "k long, input_ids array<int>")
+    moved = []
+    real = packing.join_back
+    monkeypatch.setattr(packing, "join_back", lambda wide, *rest: moved.append(dict(wide.dtypes)["_stream"]) or real(wide, *rest))
+    got = packing.pack_aligned(df, "k", bos=1, eos=2, seq_length=8, num_sequences=100)
+    assert moved == [f"array<{kind}>"] and dict(got.dtypes)["input_ids"] == "array<int>"
+    stream, at, expected = [t for _, ids in rows for t in [*(ids or []), 2, 1]], 0, []
+    while at + (take := 8 - (stream[at : at + 1] != [1])) <= len(stream):
+        expected.append([1] * (8 - take) + stream[at : at + take])
+        at += take
+    assert [r.input_ids for r in got.orderBy("chunk").collect()] == expected
