@@ -18,7 +18,7 @@ from packfold.functions.tokenizers import Tokenizer
 from packfold.operators.packing import assign_buffers, pack_aligned
 from packfold.operators.perplexity import MIN_LOG_PPL
 from packfold.operators.tokenizing import tokenize
-from packfold.plans.ordinals import join_keyed, names
+from packfold.plans.ordinals import names
 from packfold.session import materialize
 
 BATCH = "batch"
@@ -79,12 +79,12 @@ def stream_packed(
             batch = batch.filter(beyond)
         rows = materialize(waiting.select(*keys, ids).union(batch.select(*keys, ids)), "stream-rows")
         placed = materialize(assign_buffers(rows, keys, ids=ids, **options).select(*keys, "buffer"), "stream-buffers")
-        last = placed.agg(F.max("buffer")).first()[0]
-        last = 0 if last is None else last
-        by_buffer = join_keyed(rows, placed, keys)
-        still = by_buffer.filter(F.col("buffer") == last).select(*keys, ids, F.lit(base + last).cast("long").alias("_buffer"))
+        # buffers follow the order, so the first row of the open one parts the rows and none is moved
+        back, *opened = placed.agg(F.min(F.struct((-F.col("buffer")).alias("_back"), *keys))).first()[0] or [0] + [None] * len(keys)
+        last, first = -back, F.struct(*[F.lit(v).cast(stream.schema[k].dataType) for k, v in zip(keys, opened)])
+        still = rows.filter(F.struct(*keys) >= first).select(*keys, ids, F.lit(base + last).cast("long").alias("_buffer"))
         still.write.mode("overwrite").parquet(f"{folder}/open/{BATCH}={batch_id}")
-        full = by_buffer.filter(F.col("buffer") < last).select(*keys, ids)
+        full = rows.filter(F.struct(*keys) < first)
         packed = pack_aligned(full, keys, bos=bos, eos=eos, ids=ids, **options)
         numbered = packed.withColumn("buffer", F.col("buffer") + F.lit(base))
         numbered.write.mode("overwrite").parquet(f"{folder}/data/{BATCH}={batch_id}")
