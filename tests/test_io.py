@@ -256,6 +256,27 @@ def test_streaming_pack_equals_packing_all(spark, tmp_path, at_once):
     assert rows(spark.read.parquet(f"{out}/data")) == rows(pack_aligned(whole, "k", **options))
 
 
+def test_streaming_pack_parts_rows_without_a_join(spark, tmp_path, monkeypatch):
+    source, out = str(tmp_path / "in"), str(tmp_path / "out")
+    schema = "a int, b string, input_ids array<int>"
+    keys = [(None, None), (None, "x"), (1, None), (1, "x"), (1, "y"), (2, None), (3, "z")]
+    drop(spark.createDataFrame([(a, b, [5] * 9) for a, b in keys], schema), source, "0")
+    seen, real = [], streams.pack_aligned
+
+    def pack(df, *rest, **options):
+        seen.append((df._jdf.queryExecution().optimizedPlan().toString(), sorted(map(str, df.select("a", "b").collect()))))
+        return real(df, *rest, **options)
+
+    monkeypatch.setattr(streams, "pack_aligned", pack)
+    options = {"bos": 1, "eos": 2, "seq_length": 8, "num_sequences": 2}
+    stream = readers.read_stream(spark, source, schema, max_files=1)
+    streams.stream_packed(stream, ["a", "b"], out, **options).awaitTermination()
+    ((plan, full),) = seen
+    # two rows fill a buffer, and the last one stays open
+    assert "Join" not in plan and len(full) == 6 and "Row(a=3, b='z')" not in full
+    assert [(r.a, r.b, r._buffer) for r in spark.read.parquet(f"{out}/open").collect()] == [(3, "z", 3)]
+
+
 def test_streaming_perplexity_of_a_run_without_a_name(spark, tmp_path):
     source, out = str(tmp_path / "in"), str(tmp_path / "out")
     schema = "run_id string, step int, loss double"
