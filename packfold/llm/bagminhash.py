@@ -191,9 +191,11 @@ def hub_pairs(ranked: DataFrame) -> DataFrame:
     group of copies hangs together by these alone, as a rule, at one pair a node."""
     hubs = ranked.groupBy("band").agg(F.max(F.struct("rank", "node")).alias("hub"))
     met = ranked.join(hubs, "band").filter(F.col("node") != F.col("hub.node"))
-    counted = met.groupBy("node", "hub").agg(F.count(F.lit(1)).alias("times"))
+    # a node is in no more rows than there are bands: they are counted where its best is found
+    counted = met.repartition("node").groupBy("node", "hub").agg(F.count(F.lit(1)).alias("times"))
     best = counted.groupBy("node").agg(F.max(F.struct("times", "hub")).alias("best"))
-    return best.select(F.least("node", "best.hub.node").alias("a"), F.greatest("node", "best.hub.node").alias("b")).distinct()
+    # a hub ranks before its node, so no pair is found from both sides
+    return best.select(F.least("node", "best.hub.node").alias("a"), F.greatest("node", "best.hub.node").alias("b"))
 
 
 def star_pairs(ranked: DataFrame) -> DataFrame:
@@ -479,15 +481,20 @@ def linked_roots(docs: DataFrame, nodes: DataFrame, similarity: float) -> DataFr
     ranked = ranked_bands(nodes)
     bags = _bags_of(docs, ranked.select("node").distinct())
     pairs = materialize(hub_pairs(ranked), "pairs")
-    edges = verified(nodes, bags, pairs, similarity)
-    roots = materialize(components(edges), "roots")
+    roots = components(verified(nodes, bags, pairs, similarity))
     tested = pairs
     for make in (lambda: star_pairs(_rooted(ranked, roots)), lambda: likeliest_pairs(tiles(ranked, nodes, roots), similarity)):
         more = materialize(make().join(tested, ["a", "b"], "left_anti"), "pairs")
-        edges = edges.union(verified(nodes, bags, more, similarity))
-        roots, tested = materialize(components(edges), "roots"), tested.union(more)
-    found = tile_links(bags, tiles(ranked, nodes, roots), similarity)
-    return roots if found.isEmpty() else materialize(components(edges.union(found)), "roots")
+        roots, tested = joined_roots(roots, verified(nodes, bags, more, similarity)), tested.union(more)
+    return joined_roots(roots, tile_links(bags, tiles(ranked, nodes, roots), similarity))
+
+
+def joined_roots(roots: DataFrame, links: DataFrame) -> DataFrame:
+    """``roots`` (node, root) after more links (u, v): the links are added to the stars, one edge a
+    node, that stand for all links before."""
+    if links.isEmpty():
+        return roots
+    return components(roots.select(F.col("node").alias("u"), F.col("root").alias("v")).union(links))
 
 
 def _rooted(ranked: DataFrame, roots: DataFrame) -> DataFrame:

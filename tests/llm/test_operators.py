@@ -15,7 +15,7 @@ from tokenizers import Tokenizer
 
 import corpus_pipeline
 from packfold.llm import (
-    bagminhash, bpe, chatformat, decontaminate, lyndon, repeats, resampling, rules, secrets, texts, toxicity, units,
+    bagminhash, bpe, chatformat, components, decontaminate, lyndon, repeats, resampling, rules, secrets, texts, toxicity, units,
 )
 
 BPE = public_tokenizers.path("byte_bpe_50k.json")
@@ -712,3 +712,40 @@ def test_pipeline_does_what_its_stages_say(spark, small):
     for r in out.limit(20).collect():
         assert hashlib.sha256(r.ids).digest() and len(r.ids) == 4 * r.n_tokens
         assert np.frombuffer(r.ids, "<u4").max() < library.get_vocab_size()
+
+
+def test_components_of_any_graph(spark, monkeypatch):
+    rnd = random.Random(7)
+    stars = [(i, i % 10) for i in range(10, 500)]
+    chain = [(1000 + i, 1001 + i) for i in range(40)]
+    loose = [(rnd.randrange(2000, 2400), rnd.randrange(2000, 2400)) for _ in range(180)]
+    edges = stars + stars + chain + loose + [(5000, 5000)]
+    rnd.shuffle(edges)
+    parent = {}
+
+    def find(i):
+        while parent.setdefault(i, i) != i:
+            i = parent[i]
+        return i
+
+    for u, v in edges:
+        if u != v:
+            parent[max(find(u), find(v))] = min(find(u), find(v))
+    made = components.components(spark.createDataFrame(edges, "u long, v long"))
+    rows = made.collect()
+    assert len(rows) == len(parent)
+    assert {r.node: r.root for r in rows} == {i: find(i) for i in parent}
+    # what is a star already is told without a round
+    labels = []
+    real = components.materialize
+    monkeypatch.setattr(components, "materialize", lambda df, label: labels.append(label) or real(df, label))
+    components.components(spark.createDataFrame(stars, "u long, v long"))
+    assert labels == ["edges", "around"]
+
+
+def test_links_join_known_components(spark):
+    roots = components.components(spark.createDataFrame([(1, 2), (3, 4), (5, 6), (8, 9)], "u long, v long"))
+    more = spark.createDataFrame([(4, 6), (9, 7)], "u long, v long")
+    got = {r.node: r.root for r in bagminhash.joined_roots(roots, more).collect()}
+    assert got == {1: 1, 2: 1, 3: 3, 4: 3, 5: 3, 6: 3, 7: 7, 8: 7, 9: 7}
+    assert bagminhash.joined_roots(roots, more.limit(0)) is roots
