@@ -67,16 +67,9 @@ def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids, packed as little-endian unsigned 32-bit integers, and whether they decode back."""
-    rows = docs.select("doc_id", "lang", "source", "text")
-    made = bpe.round_trip(rows, public_tokenizers.path("byte_bpe_50k.json"), ["doc_id", "lang", "source", "text"])
-    return made.select(
-        "doc_id",
-        "lang",
-        "source",
-        F.expr("octet_length(ids) div 4").cast("long").alias("n_tokens"),
-        "ids",
-        (F.col("decoded") == F.coalesce("text", F.lit(""))).alias("decodes_back"),
-    )
+    made = bpe.checked(docs, public_tokenizers.path("byte_bpe_50k.json"), ["doc_id", "lang", "source"])
+    n_tokens = F.expr("octet_length(ids) div 4").cast("long").alias("n_tokens")
+    return made.select("doc_id", "lang", "source", n_tokens, "ids", "decodes_back")
 
 
 STAGES = [

@@ -389,3 +389,17 @@ def round_trip(df: DataFrame, path: str, keep: list[str], text: str = "text") ->
         return {"ids": pa.array(ids, pa.binary()), "decoded": pa.array([decode_ids(v, x) for x in ids], pa.string())}
 
     return texts.map_texts(df, keep, text, [("ids", T.BinaryType()), ("decoded", T.StringType())], work)
+
+
+def checked(df: DataFrame, path: str, keep: list[str], text: str = "text") -> DataFrame:
+    """``keep`` columns, ids as of ``encode`` and decodes_back: whether ``decode`` gives the text again (null: empty).
+
+    Texts are compared where they are decoded, one by one, and do not come back from Python."""
+
+    def work(batch: pa.RecordBatch) -> dict[str, pa.Array]:
+        v, whole = vocabulary(path), batch.column(batch.num_columns - 1).to_pylist()
+        ids = encode_texts(path, whole)
+        back = [decode_ids(v, x) == (t or "") for x, t in zip(ids, whole)]
+        return {"ids": pa.array(ids, pa.binary()), "decodes_back": pa.array(back, pa.bool_())}
+
+    return texts.map_texts(df, keep, text, [("ids", T.BinaryType()), ("decodes_back", T.BooleanType())], work)

@@ -749,3 +749,20 @@ def test_links_join_known_components(spark):
     got = {r.node: r.root for r in bagminhash.joined_roots(roots, more).collect()}
     assert got == {1: 1, 2: 1, 3: 3, 4: 3, 5: 3, 6: 3, 7: 7, 8: 7, 9: 7}
     assert bagminhash.joined_roots(roots, more.limit(0)) is roots
+
+
+def test_pipeline_sends_no_text_back(spark):
+    rows = [(1, "de", "a", "some words, ä and 文字"), (2, None, None, None), (3, "fr", "b", "")]
+    docs = spark.createDataFrame(rows, "doc_id long, lang string, source string, text string")
+    made = corpus_pipeline.encode(spark, docs, "")
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    whole = bpe.round_trip(docs, path, ["doc_id", "text"]).collect()
+    ids = {r.doc_id: bytes(r.ids) for r in whole}
+    assert [(r.doc_id, r.lang, r.source) for r in made.orderBy("doc_id").collect()] == [r[:3] for r in rows]
+    assert {r.doc_id: (r.n_tokens, bytes(r.ids)) for r in made.collect()} == {i: (len(x) // 4, x) for i, x in ids.items()}
+    assert {r.doc_id: r.decodes_back for r in made.collect()} == {r.doc_id: r.decoded == (r.text or "") for r in whole}
+    python = [line for line in made._jdf.queryExecution().optimizedPlan().toString().splitlines() if "MapInArrow" in line]
+    # neither texts nor what is decoded leave Python
+    assert len(python) == 1
+    out = python[0].rpartition("[")[2]
+    assert (out.count("_k"), out.count("_r"), out.count(",")) == (3, 2, 5)
